@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, quality, warc
+from . import bpe, media, mixing, quality, tokens, warc
 from .common import documents
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,25 @@ def op1_media_columns(spark, sf_dir):
     return media.media_columns(documents(spark, sf_dir))
 
 
+@query
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers as public
+
+    return bpe.encoded(documents(spark, sf_dir), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
 @query
 def op3_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query
+def op7_token_shards(spark, sf_dir):
+    import public_tokenizers as public
+
+    return tokens.round_trip(documents(spark, sf_dir), public.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_mixing(spark, sf_dir):
     return mixing.mixed_sizes(documents(spark, sf_dir))
