@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, tokens, warc
+from . import bpe, language, media, mixing, quality, tokens, toxicity, warc
 from .common import documents
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_language(spark, sf_dir):
+    return language.identified(documents(spark, sf_dir))
+
+
 @query
 def op7_token_shards(spark, sf_dir):
     import public_tokenizers as public
