@@ -1,20 +1,52 @@
-"""A corpus pipeline: each stage reads what the one before has kept, decides, and hands on."""
+"""A corpus pipeline: each stage reads what the one before has kept, decides, and hands on.
+
+All but the last stage return the columns that they got. Stages work on tables (a stage's result is written and read
+again before the next), which also lets a repeated task see the same rows in the same order.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing
+from quern.llm import bpe, language, mixing, simhash, substring
 from quern.llm.common import documents, written
 
 
+def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that the network knows go."""
+    return language.accepted(docs, language.learned(language.sample(docs)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays."""
+    return simhash.deduplicated(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that a repeated window covers go, and documents of which nothing stays."""
+    return substring.deduplicated(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, with their number and digests."""
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, texts=True)
+
+
+STAGES = [
+    ("language ID", tell_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
-#: Learned and hashed decisions are not expressible in SQL; tests hold the stages against brute force.
+#: Learned decisions, fingerprints and BPE are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -23,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            docs = written(docs, "stage-" + name.split()[0].lower())
     return docs

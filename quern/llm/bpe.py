@@ -230,7 +230,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> Da
                     pa.array([hashlib.sha256(decode(x, v)).hexdigest() for x in ids]),
                 ]
                 if texts:
-                    cols.append(pa.array([list(map(int, x.split(" "))) if x else [] for x in ids], pa.list_(pa.int32())))
+                    flat = np.fromstring(" ".join(x for x in ids if x), np.int32, sep=" ")
+                    ends = np.concatenate(([0], np.cumsum(cols[1].to_numpy()))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

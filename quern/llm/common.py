@@ -55,9 +55,13 @@ def put_file(uri: str, data) -> None:
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.part"
     with fs.open_output_stream(part, compression=None) as out:
-        for x in [data] if isinstance(data, (bytes, bytearray, memoryview)) else data:
-            out.write(x)
-    fs.move(part, path)
+        out.write(data)
+    try:
+        fs.move(part, path)
+    except OSError:  # some stores don't replace a file; the one there is of an earlier attempt, with the same bytes
+        if fs.get_file_info(path).type.name != "File":
+            raise
+        fs.delete_file(part)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

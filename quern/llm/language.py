@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import pieces, text_bytes
 
 SAMPLE_ROWS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 6, 200
+#: Below it a text is of no language that was learned.
+LEAST_SCORE = 0.3
 WINDOW, EMBED, FILTERS, WIDTHS = 192, 8, 12, (2, 3, 4)
 WIDE = max(WIDTHS)
 ASCII = re.compile(rb"[A-Za-z]")
@@ -136,35 +138,51 @@ def learned(rows: list[tuple[str, bytes]], seed: int = 3) -> Net | None:
     return Net(langs).train(np.concatenate(xs), np.array(ys))
 
 
+def judged(net: Net | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """(language, score) of each text."""
+    texts = column.to_pylist()
+    raws = text_bytes(column)
+    lang, score = ["und"] * len(raws), [0.0] * len(raws)
+    at = [k for k, (r, t) in enumerate(zip(raws, texts)) if net is not None and r and (ASCII.search(r) or has_letter(t))]
+    if at:
+        ws = [windows(raws[k]) for k in at]
+        allw = np.concatenate(ws)
+        p = np.concatenate([net.probabilities(allw[k : k + 64]) for k in range(0, len(allw), 64)]).astype(np.float64)
+        n = np.array([len(w) for w in ws])
+        begins = np.cumsum(n) - n
+        weight = np.full(len(allw), float(WINDOW))
+        weight[begins + n - 1] = [len(raws[k]) - (c - 1) * WINDOW for k, c in zip(at, n.tolist())]
+        mean = np.add.reduceat(p * weight[:, None], begins, axis=0) / np.add.reduceat(weight, begins)[:, None]
+        for k, i, x in zip(at, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
+            lang[k], score[k] = net.langs[i], min(1.0, x)
+    return lang, score
+
+
 def predicted(docs: DataFrame, net: Net | None) -> DataFrame:
     """One row per document: held_out, lang_pred, score."""
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, 4 << 20):
-                texts = b.column("text").to_pylist()
-                raws = text_bytes(b.column("text"))
-                told = [bool(r) and (bool(ASCII.search(r)) or has_letter(t)) and net is not None for r, t in zip(raws, texts)]
-                lang, score = ["und"] * len(raws), [0.0] * len(raws)
-                at = [k for k, ok in enumerate(told) if ok]
-                if at:
-                    ws = [windows(raws[k]) for k in at]
-                    allw = np.concatenate(ws)
-                    p = np.concatenate([net.probabilities(allw[k : k + 64]) for k in range(0, len(allw), 64)]).astype(np.float64)
-                    n = np.array([len(w) for w in ws])
-                    begins = np.cumsum(n) - n
-                    weight = np.full(len(allw), float(WINDOW))
-                    weight[begins + n - 1] = [len(raws[k]) - (c - 1) * WINDOW for k, c in zip(at, n.tolist())]
-                    mean = np.add.reduceat(p * weight[:, None], begins, axis=0) / np.add.reduceat(weight, begins)[:, None]
-                    best = mean.argmax(axis=1)
-                    for k, i, s in zip(at, best.tolist(), mean.max(axis=1).tolist()):
-                        lang[k], score[k] = net.langs[i], min(1.0, s)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                lang, score = judged(net, b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, net: Net | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, as they are, whose language is told with a score of at least `least`."""
+
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch, 4 << 20):
+                lang, score = judged(net, b.column("text"))
+                yield b.filter(pa.array([x != "und" and y >= least for x, y in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Languages of `docs` by a network learned from `labelled` (the same table if none is given)."""
     return predicted(docs, learned(sample(docs if labelled is None else labelled)))

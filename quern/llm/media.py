@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, scratch, text_bytes
+from .common import pieces, scratch, small, text_bytes, written
 
 UNIT = 576
 ITEM = "struct<pos int, kind string, text string, ref string, caption string>"
@@ -227,5 +227,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Each document's payload stored, referred to, resolved and described; one row per row of `docs`."""
     store = stored(docs, scratch(docs.sparkSession, "op1-store"))
     refs = references(sequences(store, keep=("doc_id", "n_bytes")), ("doc_id", "n_bytes"))
-    out = resolved(refs, described(store))
+    out = resolved(refs, small(written(described(store), "op1-info")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")

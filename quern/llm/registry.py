@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, mixing, quality, tokens, toxicity, warc
+from . import bpe, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import documents
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op6_language(spark, sf_dir):
     return language.identified(documents(spark, sf_dir))
@@ -52,6 +57,11 @@ def op7_token_shards(spark, sf_dir):
     return tokens.round_trip(documents(spark, sf_dir), public.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_substring(spark, sf_dir):
+    return substring.digests(documents(spark, sf_dir))
+
+
 @query
 def op9_mixing(spark, sf_dir):
     return mixing.mixed_sizes(documents(spark, sf_dir))
