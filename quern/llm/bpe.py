@@ -22,11 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces
+from .common import Remembered, pieces
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct words that a worker remembers; it forgets them all when they are more.
-KNOWN = 400_000
 
 
 class Vocabulary:
@@ -146,67 +144,23 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-class Encoder:
-    """Texts to ids, as strings of decimal numbers. Words that single spaces divide are looked up whole where they are
-    known; no match of the pattern reaches over a single space between two other characters but by starting at it."""
+class Encoder(Remembered):
+    """Texts to ids, as strings of decimal numbers."""
 
     def __init__(self, v: Vocabulary, pattern: str) -> None:
-        import regex
-
-        self.v, self.find = v, regex.compile(pattern).findall
-        self.head: dict[str, str | None] = {}
-        self.rest: dict[str, str | None] = {}
-        self.piece: dict[str, str] = {}
-
-    def learn(self, fresh: list[tuple[dict, str, list[str]]]) -> None:
-        """Gives every (table, key, pieces) the ids of its pieces."""
-        new = list({p for _, _, ps in fresh for p in ps if p not in self.piece})
-        ask, raws, ranks = [], [], self.v.ranks
-        for p in new:
-            b = p.encode()
-            r = ranks.get(b)
-            if r is not None:
-                self.piece[p] = str(r)
-            else:
-                ask.append(p)
-                raws.append(b)
-        for p, ids in zip(ask, replay(raws, self.v)):
-            self.piece[p] = " ".join(map(str, ids))
-        of = self.piece.__getitem__
-        for table, key, ps in fresh:
-            table[key] = " ".join(map(of, ps))
-
-    def __call__(self, texts: list[str]) -> list[str]:
-        if len(self.rest) > KNOWN or len(self.piece) > KNOWN:
-            self.head, self.rest, self.piece = {}, {}, {}
-        head, rest = self.head, self.rest
-        split = [t.split(" ") for t in texts]
-        fresh, odd = [], {}
-        for w in {x for s in split for x in s[1:]} - rest.keys():
-            if not w or w[0].isspace() or w[-1].isspace():
-                rest[w] = None
-            else:
-                fresh.append((rest, w, self.find(" " + w)))
-        for w in {s[0] for s in split if s} - head.keys():
-            if not w or w[0].isspace() or w[-1].isspace():
-                head[w] = None
-            else:
-                fresh.append((head, w, self.find(w)))
-        self.learn(fresh)
-        out: list[str | None] = []
-        of = rest.__getitem__
-        for k, s in enumerate(split):
-            try:
-                out.append(" ".join([head[s[0]], *map(of, s[1:])]))
-            except TypeError:  # a space beside other white space, or at an end
-                odd[k] = self.find(texts[k]) if texts[k] else []
-                out.append(None)
-        if odd:
-            one: dict[str, str] = {}
-            self.learn([(one, p, [p]) for p in {p for ps in odd.values() for p in ps}])
-            for k, ps in odd.items():
-                out[k] = " ".join(map(one.__getitem__, ps))
-        return out
+        super().__init__(pattern, self.ids, " ")
+        self.v = v
+
+    def ids(self, new: list[str]) -> list[str]:
+        raws = [p.encode() for p in new]
+        out = [self.v.ranks.get(b) for b in raws]
+        split = iter(replay([b for b, r in zip(raws, out) if r is None], self.v))
+        return [" ".join(map(str, next(split))) if r is None else str(r) for r in out]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(vocabulary(path), pattern)
 
 
 def decode(ids: str, v: Vocabulary) -> bytes:
@@ -218,8 +172,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> Da
     schema = SCHEMA + (", ids array<int>" if texts else "")
 
     def run(batches):
-        v = vocabulary(path)
-        enc = Encoder(v, pattern)
+        v, enc = vocabulary(path), encoder(path, pattern)
         for batch in batches:
             for b in pieces(batch, 6 << 20):
                 ids = enc([x or "" for x in b.column("text").to_pylist()])

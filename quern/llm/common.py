@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +153,70 @@ def running(df: DataFrame, order: list[str], value: str, tag: str, by: str | Non
     shift = small(written(shift, f"{tag}-shift"))
     on = [table["part"] == shift["part"], *([table[by].eqNullSafe(shift[by])] if by else [])]
     return table.join(shift, on).select(*(table[k] for k in kept), table["part"], (table["inside"] + shift["shift"]).alias("before"))
+
+
+class Remembered:
+    """Values of texts from the values of the pieces that a pre-tokenizer's pattern cuts them into.
+
+    What stands between single spaces is looked up whole once it is known: no match of the pattern reaches over a single
+    space between two other characters but by starting at it. Texts in which a space stands beside other white space or
+    at an end are cut by the pattern as they are. Each distinct piece is asked for once; a worker remembers at most
+    WORDS words and PIECES pieces, and forgets all of a kind when they are more.
+    """
+
+    WORDS, PIECES = 600_000, 600_000
+
+    def __init__(self, pattern: str, ask, sep) -> None:
+        import regex
+
+        self.find, self.ask, self.join = regex.compile(pattern).findall, ask, sep.join
+        self.head: dict = {}
+        self.rest: dict = {}
+        self.piece: dict = {}
+
+    def learn(self, fresh: list[tuple[dict, str, list[str]]]) -> None:
+        new = list({p for _, _, ps in fresh for p in ps if p not in self.piece})
+        self.piece.update(zip(new, self.ask(new)))
+        of, join = self.piece.__getitem__, self.join
+        for table, key, ps in fresh:
+            table[key] = join(map(of, ps))
+
+    def __call__(self, texts: list[str]) -> list:
+        """The values of texts, in their order. Nothing made here is cyclic, so the collector of cycles waits."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.values(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def values(self, texts: list[str]) -> list:
+        if len(self.rest) > self.WORDS or len(self.head) > self.WORDS:
+            self.head, self.rest = {}, {}
+        if len(self.piece) > self.PIECES:
+            self.piece = {}
+        head, rest, find = self.head, self.rest, self.find
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        fresh = []
+        for table, lead, words in ((rest, " ", set(chain.from_iterable(split))), (head, "", set(heads))):
+            for w in [w for w in words if w not in table]:
+                if not w or w[0].isspace() or w[-1].isspace():
+                    table[w] = None
+                else:
+                    fresh.append((table, w, find(lead + w)))
+        self.learn(fresh)
+        of, join, out, odd = rest.__getitem__, self.join, [], {}
+        for k, (h, s) in enumerate(zip(heads, split)):
+            try:
+                out.append(join([head[h], *map(of, s)]))
+            except TypeError:
+                odd[k] = find(texts[k])
+                out.append(join([]))
+        if odd:
+            one: dict = {}
+            self.learn([(one, p, [p]) for p in {p for ps in odd.values() for p in ps}])
+            for k, ps in odd.items():
+                out[k] = join(map(one.__getitem__, ps))
+        return out

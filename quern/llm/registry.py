@@ -54,7 +54,7 @@ def op6_language(spark, sf_dir):
 def op7_token_shards(spark, sf_dir):
     import public_tokenizers as public
 
-    return tokens.round_trip(documents(spark, sf_dir), public.path("byte_bpe_50k.json"))
+    return tokens.round_trip(documents(spark, sf_dir), public.path("byte_bpe_50k.json"), public.PATTERN)
 
 
 @query

@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import local_fs, pieces, put_file, scratch, written
+from .common import Remembered, local_fs, pieces, put_file, scratch, written
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
 SHARD_TOKENS, END = 4 << 20, 0
-KNOWN = 300_000
 
 
 def stable(a: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, int]:
@@ -182,63 +181,50 @@ class Wavelet:
         return np.zeros(0, np.uint16) if x is None else x
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. What stands between single
-    spaces is given to the library once and remembered: no match of its pattern reaches over a single space between two
-    other characters but by starting at it."""
+class Encoder(Remembered):
+    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. The library gets each distinct
+    piece once, many in one text with line ends between them: pieces but those of white space have none at their ends."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(pattern, self.ids, b"")
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.head: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
-
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > KNOWN:
-            self.head, self.rest = {}, {}
-        split = [t.split(" ") for t in texts]
-        for table, lead, words in ((self.rest, " ", {x for s in split for x in s[1:]}), (self.head, "", {s[0] for s in split})):
-            new, good = words - table.keys(), []
-            for w in new:
-                if not w or w[0].isspace() or w[-1].isspace():
-                    table[w] = None
-                else:
-                    good.append(w)
-            for k in range(0, len(good), 20_000):
-                some = good[k : k + 20_000]
-                table.update(zip(some, self.ask([lead + w for w in some])))
-        head, of = self.head, self.rest.__getitem__
-        out, odd = [], []
-        for k, s in enumerate(split):
-            try:
-                out.append(b"".join([head[s[0]], *map(of, s[1:])]))
-            except TypeError:  # a space beside other white space, or at an end
-                odd.append(k)
-                out.append(b"")
-        for k, ids in zip(odd, self.ask([texts[k] for k in odd])):
-            out[k] = ids
-        return out
+        (self.line_end,) = self.t.encode("\n", add_special_tokens=False).ids
+
+    def ids(self, new: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        white = [p for p in new if p.isspace()]
+        for p, e in zip(white, self.t.encode_batch_fast(white, add_special_tokens=False)):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        dark = [p for p in new if not p.isspace()]
+        groups = [dark[k : k + 2000] for k in range(0, len(dark), 2000)]
+        for some in (groups[k : k + 8] for k in range(0, len(groups), 8)):
+            for group, e in zip(some, self.t.encode_batch_fast(["\n".join(g) for g in some], add_special_tokens=False)):
+                a = np.array(e.ids, "<u4")
+                cut = np.flatnonzero(a == self.line_end)
+                if len(cut) != len(group) - 1:
+                    raise ValueError("pieces ran together")
+                raw = a.tobytes()
+                out.update(zip(group, (raw[i:j] for i, j in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]))))
+        return [out[p] for p in new]
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
-def write_shards(docs: DataFrame, path: str, folder: str) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataFrame:
     """Encodes and writes all documents in ascending doc_id order; one row per shard: part, shard, path, tokens."""
     schema = "part long, shard long, path string, tokens long"
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, enc, done = TaskContext.get().partitionId(), encoder(path), []
+        part, enc, done = TaskContext.get().partitionId(), encoder(path, pattern), []
         ids, docs_, lengths, size = [], [], [], 0
         end = struct.pack("<I", END)
 
@@ -295,5 +281,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return placed.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    return read_shards(write_shards(docs, path, scratch(docs.sparkSession, "op7-shards")))
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    return read_shards(write_shards(docs, path, pattern, scratch(docs.sparkSession, "op7-shards")))
