@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -82,6 +83,20 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
         yield batch.slice(a, b - a)
 
 
+def tidy(run):
+    """A task's function that gives freed memory back at its end: workers stay for later tasks, of other operators too."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -104,8 +119,9 @@ class Rolling:
             return np.zeros(0, np.uint64)
         if len(self.up) < n:
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * n, self.base))), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * n, self.inverse))), dtype=np.uint64)
+                m = n + n // 8
+                self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.base))), dtype=np.uint64)
+                self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.inverse))), dtype=np.uint64)
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(words * self.up[:n], out=s[1:])
         return mix64((s[width:] - s[: n - width + 1]) * self.down[: n - width + 1])
@@ -164,7 +180,7 @@ class Remembered:
     WORDS words and PIECES pieces, and forgets all of a kind when they are more.
     """
 
-    WORDS, PIECES = 600_000, 600_000
+    WORDS, PIECES = 250_000, 350_000
 
     def __init__(self, pattern: str, ask, sep) -> None:
         import regex

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import pieces, text_bytes
+from .common import pieces, text_bytes, tidy
 
 SAMPLE_ROWS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 6, 200
 #: Below it a text is of no language that was learned.
@@ -168,7 +168,7 @@ def predicted(docs: DataFrame, net: Net | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, SCHEMA)
+    return d.mapInArrow(tidy(run), SCHEMA)
 
 
 def accepted(docs: DataFrame, net: Net | None, least: float = LEAST_SCORE) -> DataFrame:
@@ -180,7 +180,7 @@ def accepted(docs: DataFrame, net: Net | None, least: float = LEAST_SCORE) -> Da
                 lang, score = judged(net, b.column("text"))
                 yield b.filter(pa.array([x != "und" and y >= least for x, y in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

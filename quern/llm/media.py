@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, scratch, small, text_bytes, written
+from .common import pieces, scratch, small, text_bytes, tidy, written
 
 UNIT = 576
 ITEM = "struct<pos int, kind string, text string, ref string, caption string>"
@@ -108,7 +108,7 @@ def sequences(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_i
                 items = [parse(x) for x in b.column("__html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(items, kind)], names=[*keep, "items"])
 
-    return df.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(tidy(run), schema)
 
 
 def png(payload: bytes) -> bytes:
@@ -186,7 +186,7 @@ def stored(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
 
     schema = "doc_id long, n_bytes long, html string, digest string, media binary"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -205,7 +205,7 @@ def described(store: DataFrame) -> DataFrame:
                     out.append((digest, len(raw), sha, zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k in (0, 2, 5, 6) else pa.int64()) for k, c in enumerate(zip(*out))], names=[x.split()[0] for x in INFO.split(", ")])
 
-    return store.where("media is not null").select("digest", "media").mapInArrow(run, INFO).dropDuplicates(["digest"])
+    return store.where("media is not null").select("digest", "media").mapInArrow(tidy(run), INFO).dropDuplicates(["digest"])
 
 
 def references(seqs: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, pieces, text_bytes
+from .common import pieces, text_bytes, tidy, Rolling
 
 SAMPLE_ROWS = 400
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -177,4 +177,4 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Cal
                 cols = [pa.array([getattr(d, k) for d in out], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)

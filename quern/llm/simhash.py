@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, text_bytes, written
+from .common import pieces, text_bytes, tidy, written
 from .components import components, forest
 
 SHINGLE, RADIUS, PREFIX_BITS, SEED = 4, 4, 16, 42
@@ -69,7 +69,7 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             for b in pieces(batch, 4 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(text_bytes(b.column("text")), width).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def flips(bits: int, most: int) -> list[np.ndarray]:
@@ -96,7 +96,7 @@ def dealt(fps: DataFrame, bits: int, half: int) -> DataFrame:
                 p = ((g >> np.uint64(64 - bits))[:, None] ^ masks).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(np.repeat(g, len(masks)).view(np.int64))], names=["prefix", "fp"])
 
-    return fps.mapInArrow(run, "prefix int, fp long")
+    return fps.mapInArrow(tidy(run), "prefix int, fp long")
 
 
 def variants(prefix: np.ndarray, fp: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows:
             yield pa.RecordBatch.from_arrays([pa.array(a_all), pa.array(b_all)], names=["a", "b"])
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt(fps, bits, half).repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
+    return dealt(fps, bits, half).repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(tidy(run), "a long, b long")
 
 
 def clustered(prints: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:

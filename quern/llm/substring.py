@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, local_fs, mix64, pieces, put_file, scratch, text_bytes, written
+from .common import local_fs, mix64, pieces, put_file, scratch, text_bytes, tidy, written, Rolling
 
 WIDTH, PERIOD = 35, 21
 #: Every difference modulo 21 is one of two of these.
 COVER = (0, 1, 4, 14, 16)
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PACKED = "part int, chunk string, data binary"
 
@@ -156,7 +156,7 @@ def send_anchors(docs: DataFrame, folder: str, parts: int, width: int, period: i
         if held:
             yield from in_batches(rows())
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(tidy(run), PACKED)
 
 
 def met(sent: DataFrame, parts: int, extra: bool) -> DataFrame:
@@ -194,7 +194,7 @@ def met(sent: DataFrame, parts: int, extra: bool) -> DataFrame:
         cuts = np.searchsorted(c[o], np.arange(len(chunks) + 1))
         yield from in_batches((0, chunks[j], p[o[cuts[j] : cuts[j + 1]]].tobytes()) for j in range(len(chunks)) if cuts[j + 1] > cuts[j])
 
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(run, PACKED)
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), PACKED)
 
 
 def by_chunk(batches) -> Iterator[tuple[str, np.ndarray]]:
@@ -237,7 +237,7 @@ def send_windows(reported: DataFrame, parts: int, width: int, period: int, cover
                 w, keys = w[first], keys[first]
                 yield from in_batches(packed(chunk, w, keys, (SECOND(x.words, width)[w] >> np.uint64(32)).astype(np.uint32), parts))
 
-    return reported.mapInArrow(run, PACKED)
+    return reported.mapInArrow(tidy(run), PACKED)
 
 
 def covered(x: Hashes, places: np.ndarray, width: int) -> np.ndarray:
@@ -282,7 +282,7 @@ def finished(reported: DataFrame, schema: str, width: int, digest: bool) -> Data
                 for b in out.combine_chunks().to_batches(max_chunksize=2000):
                     yield b
 
-    return reported.mapInArrow(run, schema)
+    return reported.mapInArrow(tidy(run), schema)
 
 
 def exchanged(docs: DataFrame, schema: str, digest: bool, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:

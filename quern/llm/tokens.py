@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Remembered, local_fs, pieces, put_file, scratch, written
+from .common import local_fs, pieces, put_file, scratch, tidy, written, Remembered
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
 SHARD_TOKENS, END = 4 << 20, 0
@@ -253,7 +253,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataF
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema), "op7-list")
+    return written(d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), schema), "op7-list")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(m.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, shards.count())
-    return placed.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "path").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

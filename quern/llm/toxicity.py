@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import pieces
+from .common import pieces, tidy
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, words: list[tuple[str, bool]], weights: np.ndarray)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, SCHEMA)
+    return d.mapInArrow(tidy(run), SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import local_fs, pieces, put_file, scratch, small, text_bytes, written
+from .common import local_fs, pieces, put_file, scratch, small, text_bytes, tidy, written
 
 MAGIC, LEVEL = 0x184D2A5D, 3
 DICT_BYTES, DICT_ROWS, SHARD_BYTES, MIN_REVISIT = 64 << 10, 600, 128 << 20, 100
@@ -178,7 +178,7 @@ def write_archives(rows: DataFrame, words: bytes, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "records", "bytes"])
 
-    return written(rows.mapInArrow(run, "path string, records long, bytes long"), "op3-shards")
+    return written(rows.mapInArrow(tidy(run), "path string, records long, bytes long"), "op3-shards")
 
 
 def read_archives(shards: DataFrame, payload: bool = False) -> DataFrame:
@@ -204,7 +204,7 @@ def read_archives(shards: DataFrame, payload: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     n = max(1, shards.count())
-    return shards.repartition(n, "path").mapInArrow(run, RECORD + (", html binary" if payload else ""))
+    return shards.repartition(n, "path").mapInArrow(tidy(run), RECORD + (", html binary" if payload else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
