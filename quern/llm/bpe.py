@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, tidy, Remembered
+from .common import Remembered, pieces, text_bytes, tidy
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -45,7 +45,9 @@ class Vocabulary:
         for a in range(256):
             for b in range(256):
                 self.of_two[a << 8 | b] = self.ranks.get(bytes((a, b)), -1)
-        self.text_of = {str(r): t for r, t in self.tokens.items()}
+        most = max(self.tokens) + 1
+        self.bytes_of = Table([self.tokens.get(r, b"") for r in range(most)])
+        self.digits_of = Table([b"%d " % r for r in range(most)])
 
 
 @lru_cache(maxsize=2)
@@ -74,8 +76,14 @@ def finish(i: int, tok: list, nxt: list, prv: list, pairs: dict[int, int]) -> No
 
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     """Ids of each word."""
+    flat, ends = replayed(words, v)
+    return [flat[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def replayed(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, where each word's end)."""
     if not words:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(words), np.uint8)
@@ -139,23 +147,40 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
                 finish(i, tok, nxt, prv, pairs)
     ids = np.array(tok, np.int64)
     alive = ids >= 0
-    ends = np.cumsum(alive)[starts + sizes - 1].tolist()
-    flat = ids[alive].tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    return ids[alive], np.cumsum(alive)[starts + sizes - 1]
 
 
 class Encoder(Remembered):
-    """Texts to ids, as strings of decimal numbers."""
+    """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, v: Vocabulary, pattern: str) -> None:
-        super().__init__(pattern, self.ids, " ")
+        super().__init__(pattern, self.ids, b"")
         self.v = v
 
-    def ids(self, new: list[str]) -> list[str]:
+    def ids(self, new: list[str]) -> list[bytes]:
         raws = [p.encode() for p in new]
-        out = [self.v.ranks.get(b) for b in raws]
-        split = iter(replay([b for b, r in zip(raws, out) if r is None], self.v))
-        return [" ".join(map(str, next(split))) if r is None else str(r) for r in out]
+        known = [self.v.ranks.get(b) for b in raws]
+        flat, ends = replayed([b for b, r in zip(raws, known) if r is None], self.v)
+        data = flat.astype("<u4").tobytes()
+        cut = iter(zip([0, *(4 * ends).tolist()], (4 * ends).tolist()))
+        return [data[slice(*next(cut))] if r is None else r.to_bytes(4, "little") for r in known]
+
+
+class Table:
+    """A byte string for each id; strings of many ids at once."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The joined strings of ids[:ends[0]], ids[ends[0]:ends[1]], ..."""
+        n = self.sizes[ids]
+        stop = np.cumsum(n)
+        data = self.flat[np.repeat(self.starts[ids] - (stop - n), n) + np.arange(int(stop[-1]) if len(n) else 0)].tobytes()
+        cuts = np.concatenate(([0], stop))[ends].tolist()
+        return [data[a:z] for a, z in zip([0, *cuts], cuts)]
 
 
 @lru_cache(maxsize=2)
@@ -163,8 +188,8 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(vocabulary(path), pattern)
 
 
-def decode(ids: str, v: Vocabulary) -> bytes:
-    return b"".join(map(v.text_of.__getitem__, ids.split(" "))) if ids else b""
+def decode(ids: list[int], v: Vocabulary) -> bytes:
+    return v.bytes_of(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> DataFrame:
@@ -174,18 +199,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> Da
     def run(batches):
         v, enc = vocabulary(path), encoder(path, pattern)
         for batch in batches:
-            for b in pieces(batch, 6 << 20):
-                ids = enc([x or "" for x in b.column("text").to_pylist()])
+            for b in pieces(batch, 4 << 20):
+                raws = enc(text_bytes(b.column("text")))
+                counts = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+                ends = np.cumsum(counts)
+                ids = np.frombuffer(b"".join(raws), "<u4")
                 cols = [
                     b.column("doc_id"),
-                    pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(decode(x, v)).hexdigest() for x in ids]),
+                    pa.array(counts),
+                    pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in v.digits_of(ids, ends)]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in v.bytes_of(ids, ends)]),
                 ]
                 if texts:
-                    flat = np.fromstring(" ".join(x for x in ids if x), np.int32, sep=" ")
-                    ends = np.concatenate(([0], np.cumsum(cols[1].to_numpy()))).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

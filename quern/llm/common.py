@@ -6,7 +6,6 @@ import ctypes
 import gc
 import re
 import uuid
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,17 +112,26 @@ class Rolling:
         self.base, self.inverse = np.uint64(base | 1), np.uint64(pow(base | 1, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
+    def sums(self, words: np.ndarray) -> np.ndarray:
+        n = len(words)
+        if len(self.up) <= n:
+            m = n + n // 8
+            self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.base))), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.inverse))), dtype=np.uint64)
+        s = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * self.up[:n], out=s[1:])
+        return s
+
+    def spans(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans."""
+        s = self.sums(x.astype(np.uint64) + np.uint64(1))
+        return mix64((s[ends] - s[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
     def __call__(self, words: np.ndarray, width: int) -> np.ndarray:
         n = len(words)
         if n < width:
             return np.zeros(0, np.uint64)
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                m = n + n // 8
-                self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.base))), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.inverse))), dtype=np.uint64)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * self.up[:n], out=s[1:])
+        s = self.sums(words)
         return mix64((s[width:] - s[: n - width + 1]) * self.down[: n - width + 1])
 
 
@@ -174,10 +182,11 @@ def running(df: DataFrame, order: list[str], value: str, tag: str, by: str | Non
 class Remembered:
     """Values of texts from the values of the pieces that a pre-tokenizer's pattern cuts them into.
 
-    What stands between single spaces is looked up whole once it is known: no match of the pattern reaches over a single
-    space between two other characters but by starting at it. Texts in which a space stands beside other white space or
-    at an end are cut by the pattern as they are. Each distinct piece is asked for once; a worker remembers at most
-    WORDS words and PIECES pieces, and forgets all of a kind when they are more.
+    What stands between single spaces (a word here) is valued whole: no match of the pattern reaches over a single space
+    between two other characters but by starting at it. The words of a batch are told apart by two rolling hashes of
+    their bytes, so only distinct ones become objects. Texts in which a space stands beside other white space or at an
+    end are cut by the pattern as they are. Each distinct piece is asked for once; a worker remembers at most WORDS
+    words and PIECES pieces, and forgets all of a kind when they are more.
     """
 
     WORDS, PIECES = 250_000, 350_000
@@ -189,47 +198,76 @@ class Remembered:
         self.head: dict = {}
         self.rest: dict = {}
         self.piece: dict = {}
+        self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 
-    def learn(self, fresh: list[tuple[dict, str, list[str]]]) -> None:
+    def learn(self, fresh: list[tuple[dict, object, list[str]]]) -> None:
         new = list({p for _, _, ps in fresh for p in ps if p not in self.piece})
         self.piece.update(zip(new, self.ask(new)))
         of, join = self.piece.__getitem__, self.join
         for table, key, ps in fresh:
             table[key] = join(map(of, ps))
 
-    def __call__(self, texts: list[str]) -> list:
-        """The values of texts, in their order. Nothing made here is cyclic, so the collector of cycles waits."""
+    def __call__(self, raws: list[bytes]) -> list:
+        """The values of UTF-8 texts, in their order. Nothing made here is cyclic, so the collector of cycles waits."""
         on = gc.isenabled()
         gc.disable()
         try:
-            return self.values(texts)
+            return self.values(raws)
         finally:
             if on:
                 gc.enable()
 
-    def values(self, texts: list[str]) -> list:
+    def told_apart(self, buf: bytes) -> tuple[list[bytes], np.ndarray]:
+        """(distinct words, which of them each word between single spaces is)."""
+        x = np.frombuffer(buf, np.uint8)
+        space = np.flatnonzero(x == 32)
+        starts = np.concatenate(([0], space + 1))
+        ends = np.concatenate((space, [len(x)]))
+        one, two = self.first.spans(x, starts, ends), self.second.spans(x, starts, ends)
+        order = np.argsort(one)
+        k = one[order]
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        inverse = np.empty(len(k), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        at = order[new]
+        if (two != two[at][inverse]).any():  # as good as never: two words of one hash
+            names: dict[bytes, int] = {}
+            inverse = np.array([names.setdefault(w, len(names)) for w in buf.split(b" ")])
+            return list(names), inverse
+        return [buf[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist())], inverse
+
+    def values(self, raws: list[bytes]) -> list:
         if len(self.rest) > self.WORDS or len(self.head) > self.WORDS:
             self.head, self.rest = {}, {}
         if len(self.piece) > self.PIECES:
             self.piece = {}
-        head, rest, find = self.head, self.rest, self.find
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
+        head, rest, find, join = self.head, self.rest, self.find, self.join
+        split = [r.partition(b" ") for r in raws]
+        tails = [t for _, s, t in split if s]
+        words, inverse = self.told_apart(b" ".join(tails)) if tails else ([], np.zeros(0, np.int64))
         fresh = []
-        for table, lead, words in ((rest, " ", set(chain.from_iterable(split))), (head, "", set(heads))):
-            for w in [w for w in words if w not in table]:
-                if not w or w[0].isspace() or w[-1].isspace():
+        for table, lead, ws in ((rest, " ", words), (head, "", {h for h, _, _ in split})):
+            for w in [w for w in ws if w not in table]:
+                t = w.decode()
+                if not t or t[0].isspace() or t[-1].isspace():
                     table[w] = None
                 else:
-                    fresh.append((table, w, find(lead + w)))
+                    fresh.append((table, w, find(lead + t)))
         self.learn(fresh)
-        of, join, out, odd = rest.__getitem__, self.join, [], {}
-        for k, (h, s) in enumerate(zip(heads, split)):
-            try:
-                out.append(join([head[h], *map(of, s)]))
-            except TypeError:
-                odd[k] = find(texts[k])
+        value = [rest[w] for w in words]
+        odd_word = np.array([v is None for v in value], bool)
+        which, at = inverse.tolist(), 0
+        odd_at = np.concatenate(([0], np.cumsum(odd_word[inverse]))).tolist() if odd_word.any() else None
+        of, out, odd = value.__getitem__, [], {}
+        for k, (h, s, t) in enumerate(split):
+            n = t.count(b" ") + 1 if s else 0
+            first = head[h]
+            if first is None or (odd_at is not None and odd_at[at + n] != odd_at[at]):
+                odd[k] = find(raws[k].decode())
                 out.append(join([]))
+            else:
+                out.append(join([first, *map(of, which[at : at + n])]))
+            at += n
         if odd:
             one: dict = {}
             self.learn([(one, p, [p]) for p in {p for ps in odd.values() for p in ps}])

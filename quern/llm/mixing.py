@@ -8,7 +8,7 @@ and applying it to documents needs no shuffle of texts.
 
 Defined results: a null text counts 0 words and takes 0; a null source is a source, ordered last; sources without words
 get target 0; repeated rows of one id and text tie and are all on one side of a round's cut. An empty table gives an
-empty result. No document is taken more than twice.
+empty result. No document is taken more than twice, and one without words never.
 """
 
 from __future__ import annotations
@@ -88,6 +88,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     d = small(decisions(written(sized(docs), "op9-sizes"), weights).select(F.col("source").alias("__s"), "lap", "last_key").withColumnsRenamed({"lap": "__lap", "last_key": "__last"}))
     names = docs.columns
     key = F.xxhash64(F.lit(0x51D5), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    times = copies(key, F.col("__lap"), F.col("__last"))
+    times = F.when(F.col("text").cast("string").rlike(WORD_JVM), copies(key, F.col("__lap"), F.col("__last"))).otherwise(F.lit(0))
     out = docs.join(d, docs["source"].eqNullSafe(d["__s"]))
     return out.withColumn("__i", F.explode(F.array_repeat(F.lit(1), times))).select(*names)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import local_fs, pieces, put_file, scratch, tidy, written, Remembered
+from .common import Remembered, local_fs, pieces, put_file, scratch, text_bytes, tidy, written
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
 SHARD_TOKENS, END = 4 << 20, 0
@@ -238,8 +238,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataF
                 ids, docs_, lengths, size = [], [], [], 0
 
         for batch in batches:
-            for b in pieces(batch, 6 << 20):
-                for d, x in zip(b.column("doc_id").to_pylist(), enc([t or "" for t in b.column("text").to_pylist()])):
+            for b in pieces(batch, 4 << 20):
+                for d, x in zip(b.column("doc_id").to_pylist(), enc(text_bytes(b.column("text")))):
                     ids += (x, end)
                     docs_.append(d)
                     lengths.append(len(x) // 4 + 1)

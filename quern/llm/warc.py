@@ -73,6 +73,8 @@ def frames(read, chunk: int = 1 << 20):
     import zstandard
 
     rest = read(chunk)
+    while 0 < len(rest) < 8 and (more := read(chunk)):
+        rest += more
     words = None
     if len(rest) >= 8 and struct.unpack("<I", rest[:4])[0] == MAGIC:
         n = struct.unpack("<I", rest[4:8])[0]
