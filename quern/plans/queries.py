@@ -41,8 +41,8 @@ COUNTS = """e AS (SELECT p_brand || '|' || p_type AS feature_id, o_custkey AS sa
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
  f AS (SELECT DISTINCT p_brand || '|' || p_type AS feature_id FROM part),
  s AS (SELECT c_custkey AS sample_id, c_mktsegment AS batch FROM customer)"""
-NN = """p AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v, label FROM embeddings),
- d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p a JOIN p b ON a.vec_id != b.vec_id),
+NN = """p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+ d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p a JOIN p b ON a.vec_id != b.vec_id),
  r AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM d)"""
 KNN = NN + ", nn AS (SELECT src, dst FROM r WHERE rn <= 9 UNION ALL SELECT vec_id, vec_id FROM p)"
 SNN = KNN + """, snn AS (SELECT * FROM (SELECT a.src, b.src AS dst, CASE WHEN a.src = b.src THEN 1.0 ELSE count(*) / (20.0 - count(*)) END AS weight
@@ -280,8 +280,8 @@ def calc_snn(spark, d):
     return rounded(graph.calc_snn(points(spark, d), 10), 6, "weight")
 
 
-@query(f"""WITH p AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
- d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p a JOIN p b ON a.vec_id != b.vec_id AND b.vec_id % 5 != 0),
+@query(f"""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM p a JOIN p b ON a.vec_id != b.vec_id AND b.vec_id % 5 != 0),
  r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM d),
  tr AS (SELECT src, dst FROM r WHERE src % 5 != 0 AND rn <= 9 UNION ALL SELECT vec_id, vec_id FROM p WHERE vec_id % 5 != 0),
  te AS (SELECT src, dst FROM r WHERE src % 5 = 0 AND rn <= 9), far AS (SELECT src, dst FROM r WHERE src % 5 = 0 AND rn <= 100),
@@ -314,7 +314,7 @@ def prune_snn_given_p(spark, d):
     return rounded(graph.prune_with(graph.calc_snn(points(spark, d), 10), g, pairs), 6, "weight")
 
 
-CENT = """p AS (SELECT vec_id, label, unnest(list_transform(embedding, x -> CAST(x AS DOUBLE))) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+CENT = """p AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
  c AS (SELECT label AS grp, pos, avg(v) AS value FROM p GROUP BY 1, 2)"""
 
 
@@ -540,9 +540,9 @@ def check_gene_embedding(spark, d):
 
 
 # ---------------------------------------------------------------- groups
-@query("WITH m AS (SELECT DISTINCT o_orderpriority AS grp, o_custkey AS sample_id FROM orders WHERE o_orderkey % 7 = 0) SELECT sample_id, any_value(grp) AS grp FROM m GROUP BY 1 HAVING count(*) = 1")
+@query("WITH m AS (SELECT DISTINCT l_returnflag AS grp, l_orderkey AS sample_id FROM lineitem) SELECT sample_id, any_value(grp) AS grp FROM m GROUP BY 1 HAVING count(*) = 1")
 def flatten_groups(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("s")).distinct()
+    o = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_orderkey").alias("s")).distinct()
     return groups.flatten_groups(o.groupBy("grp").agg(F.collect_list("s").alias("members")))
 
 
@@ -576,10 +576,10 @@ def plot_group_medians(spark, d):
     return rounded(plotdata.group_medians(plotdata.grouped_points(_vec_xy(spark, d), labels(spark, d))), 6, "x", "y")
 
 
-@query(f"""WITH {VXY}, sc AS (SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS score FROM embeddings WHERE vec_id % 7 != 0), q AS (SELECT quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM sc)
-SELECT cv.vec_id AS sample_id, round(x, 6) AS x, round(y, 6) AS y, round((least(greatest(score, lo), hi) - lo) / (hi - lo), 6) AS score FROM cv LEFT JOIN sc ON cv.vec_id = sc.vec_id, q""")
+@query(f"""WITH {VXY}, sc AS (SELECT vec_id, CASE WHEN label != 0 THEN CAST(embedding[3] AS DOUBLE) END AS score FROM embeddings), q AS (SELECT quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM sc)
+SELECT cv.vec_id AS sample_id, round(x, 6) AS x, round(y, 6) AS y, CASE WHEN score IS NOT NULL THEN round((least(greatest(score, lo), hi) - lo) / (hi - lo), 6) END AS score FROM cv LEFT JOIN sc ON cv.vec_id = sc.vec_id, q""")
 def feature_plot_clip(spark, d):
-    sc = points(spark, d).where("sample_id % 7 != 0").select("sample_id", F.col("v")[2].alias("score"))
+    sc = points(spark, d).join(labels(spark, d), "sample_id").select("sample_id", F.when(F.col("grp") != 0, F.col("v")[2]).alias("score"))
     out = rounded(plotdata.clipped_scores(_vec_xy(spark, d), sc), 6, "x", "y")
     return out.withColumn("score", F.round("score", 6))
 
@@ -592,9 +592,9 @@ def heat_scale_melt(spark, d):
     return rounded(plotdata.heat_table(e, "row", 1.0), 6, "value")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS idx, c_name AS name, c_acctbal AS value FROM customer WHERE c_custkey <= 20")
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS idx, c_name AS name, c_acctbal AS value FROM customer")
 def bar_table(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 20").withColumn("idx", F.row_number().over(Window.orderBy("c_custkey")))
+    c = table(spark, d, "customer").withColumn("idx", F.row_number().over(Window.orderBy("c_custkey")))
     return plotdata.bar_table(c.select("idx", F.col("c_name").alias("name"), F.col("c_acctbal").alias("value")))
 
 
