@@ -199,7 +199,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> Da
     def run(batches):
         v, enc = vocabulary(path), encoder(path, pattern)
         for batch in batches:
-            for b in pieces(batch, 4 << 20):
+            for b in pieces(batch, 1 << 20):
                 raws = enc(text_bytes(b.column("text")))
                 counts = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
                 ends = np.cumsum(counts)

@@ -82,8 +82,16 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
         yield batch.slice(a, b - a)
 
 
+#: Rows that Spark hands to a Python worker at once, so that a batch of whole texts stays small on both sides.
+BATCH_ROWS = "1000"
+
+
 def tidy(run):
-    """A task's function that gives freed memory back at its end: workers stay for later tasks, of other operators too."""
+    """A task's function that gives freed memory back at its end: workers stay for later tasks, of other operators too.
+    On the driver it also has the session hand over small batches, if it isn't told otherwise."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def wrapped(batches):
         try:
@@ -123,8 +131,8 @@ class Rolling:
         return s
 
     def spans(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans."""
-        s = self.sums(x.astype(np.uint64) + np.uint64(1))
+        """Hashes of spans of hashed bytes."""
+        s = self.sums(x)
         return mix64((s[ends] - s[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def __call__(self, words: np.ndarray, width: int) -> np.ndarray:
@@ -189,7 +197,7 @@ class Remembered:
     words and PIECES pieces, and forgets all of a kind when they are more.
     """
 
-    WORDS, PIECES = 250_000, 350_000
+    WORDS, PIECES = 150_000, 200_000
 
     def __init__(self, pattern: str, ask, sep) -> None:
         import regex
@@ -198,7 +206,8 @@ class Remembered:
         self.head: dict = {}
         self.rest: dict = {}
         self.piece: dict = {}
-        self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+        self.rolling = Rolling(0x9E3779B97F4A7C15)
+        self.one, self.two = (mix64(np.arange(a, a + 256, dtype=np.uint64)) for a in (1 << 20, 1 << 30))
 
     def learn(self, fresh: list[tuple[dict, object, list[str]]]) -> None:
         new = list({p for _, _, ps in fresh for p in ps if p not in self.piece})
@@ -223,7 +232,7 @@ class Remembered:
         space = np.flatnonzero(x == 32)
         starts = np.concatenate(([0], space + 1))
         ends = np.concatenate((space, [len(x)]))
-        one, two = self.first.spans(x, starts, ends), self.second.spans(x, starts, ends)
+        one, two = (self.rolling.spans(t[x], starts, ends) for t in (self.one, self.two))
         order = np.argsort(one)
         k = one[order]
         new = np.concatenate(([True], k[1:] != k[:-1]))

@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataF
                 ids, docs_, lengths, size = [], [], [], 0
 
         for batch in batches:
-            for b in pieces(batch, 4 << 20):
+            for b in pieces(batch, 1 << 20):
                 for d, x in zip(b.column("doc_id").to_pylist(), enc(text_bytes(b.column("text")))):
                     ids += (x, end)
                     docs_.append(d)
