@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step joins a table with its own minima per node and writes the links anew in the shared folder, so nothing but
-counts reaches the driver and lost executors cost one step at most. Hubs are pre-aggregated by min(); the join that
-follows is one that adaptive execution can split.
+counts reaches the driver and lost executors cost one step at most. Hubs are pre-aggregated by min(), and the minima are
+a table of their own, so that adaptive execution can split the join of a hub's links with its minimum.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), f"{tag}-low")
         large = both.join(low, both["u"] == low["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         e = written(large, f"{tag}-large")
-        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), f"{tag}-low")
         small = e.join(low, e["u"] == low["n"]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u != v").distinct()
         e = written(small, f"{tag}-small")
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
