@@ -42,6 +42,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def drawn(df: DataFrame, key: str, id_: str, rows: int) -> DataFrame:
+    """About 1.5 * rows rows of each key, or all of a key that has no more, by a hash of the id: a filter with the keys'
+    counts at hand, so that no task gathers a key's rows."""
+    counts = small(written(df.groupBy(key).agg(F.count("*").alias("__n")).withColumnRenamed(key, "__k"), "counts"))
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(77), F.col(id_)), 11) / F.lit(float(1 << 53))
+    return df.join(counts, F.col(key) == F.col("__k")).where(share * F.col("__n") < 1.5 * rows).drop("__k", "__n")
+
+
+def first_of_each(rows: list, key: str, id_: str, most: int) -> list:
+    """At most `most` of the collected rows for each key, in an order that only depends on ids."""
+    import xxhash
+
+    out, seen = [], {}
+    for r in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r[id_]), 5), str(r[id_]))):
+        seen[r[key]] = n = seen.get(r[key], 0) + 1
+        if n <= most:
+            out.append(r)
+    return out
+
+
 def local_fs(uri: str):
     """pyarrow's file system for a folder's URI, and its path there. A bare path is a local one."""
     from pyarrow import fs

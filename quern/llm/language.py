@@ -15,9 +15,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, text_bytes, tidy
+from .common import drawn, first_of_each, pieces, text_bytes, tidy
 
 SAMPLE_ROWS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 6, 200
 #: Below it a text is of no language that was learned.
@@ -109,14 +109,11 @@ def has_letter(text: str) -> bool:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
-    """(lang, text) of at most `rows` learnable documents of each language (the first SAMPLE_WINDOWS * 4 windows' bytes of
-    each are looked at for training). Ids are drawn first, so texts aren't shuffled."""
+    """(lang, text) of at most `rows` learnable documents of each language; of each text its first SAMPLE_WINDOWS * 4
+    windows' characters are drawn from."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null and text is not null and crc32(cast(id as string)) % 4 != 2")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = d.select("id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= rows).select("id", F.col("lang").alias("l")).distinct()
-    most = MOST_LANGUAGES * rows
-    got = d.join(F.broadcast(ids.limit(most)), "id").where("lang = l").select("id", "lang", F.substring("text", 1, WINDOW * SAMPLE_WINDOWS * 4).alias("text")).limit(most).collect()
-    return [(r.lang, r.text.encode()) for r in sorted(got, key=lambda r: (r.lang, r.id, r.text)) if has_letter(r.text)]
+    got = drawn(d, "lang", "id", rows).select("id", "lang", F.substring("text", 1, WINDOW * SAMPLE_WINDOWS * 4).alias("text")).limit(2 * MOST_LANGUAGES * rows).collect()
+    return [(r.lang, r.text.encode()) for r in sorted(first_of_each(got, "lang", "id", rows), key=lambda r: (r.lang, r.id, r.text)) if has_letter(r.text)]
 
 
 def learned(rows: list[tuple[str, bytes]], seed: int = 3) -> Net | None:

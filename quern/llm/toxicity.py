@@ -18,9 +18,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, tidy
+from .common import drawn, first_of_each, pieces, tidy
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -152,10 +152,10 @@ def fitted(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: fl
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """At most `rows` learnable documents of each label; labels' ids are drawn first, so texts aren't shuffled."""
     l = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1) and crc32(cast(id as string)) % 5 != 0")
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    l = l.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= rows).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = first_of_each(drawn(l.groupBy("id").agg(F.max("toxic").alias("toxic")), "toxic", "id", rows).limit(4 * rows).collect(), "toxic", "id", rows)
+    few = docs.sparkSession.createDataFrame([(r.id, r.toxic) for r in ids], "id long, toxic int")
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") < SAMPLE_CHARS)
-    got = d.join(F.broadcast(l), "id").select("id", "text", "toxic").limit(4 * rows).collect()
+    got = d.join(F.broadcast(few), "id").select("id", "text", "toxic").limit(4 * rows).collect()
     return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.id, r.text))]
 
 
