@@ -185,6 +185,8 @@ class Encoder(Remembered):
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. The library gets each distinct
     piece once, many in one text with line ends between them: pieces but those of white space have none at their ends."""
 
+    WORDS, PIECES = 500_000, 700_000
+
     def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
