@@ -208,7 +208,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS)
     names = docs.columns
     prints = written(fingerprinted(docs), "op5-docs")
     c = clustered(prints, radius, bits)
-    keep = prints.join(c, prints["fp"] == c["f"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    keep = written(keep, "op5-kept")
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return out.dropDuplicates(["__id"]).select(*names)
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    keep = prints.join(c, prints["fp"] == c["f"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__keep")).distinct()
+    # one plain key for the join and for repeated rows, so that texts are shuffled once
+    out = docs.withColumn("__key", key).join(written(keep, "op5-kept"), F.col("__key") == F.col("__keep"))
+    return out.dropDuplicates(["__key"]).select(*names)
