@@ -13,6 +13,7 @@ results; without usable labels the weights are the priors; other columns are ign
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -159,8 +160,26 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.id, r.text))]
 
 
+def distinct(rows: list[tuple[str, int]], width: int = 3, sketch: int = 4) -> list[tuple[str, int]]:
+    """The sample without near copies, whose accidental words would pass for evidence: a document goes if one of its few
+    smallest hashes of word runs is one of an earlier document's."""
+    import xxhash
+
+    seen: set[int] = set()
+    out = []
+    for text, y in rows:
+        w = LETTERS.findall(text.lower())
+        runs = {xxhash.xxh64_intdigest(" ".join(w[k : k + width])) for k in range(max(1, len(w) - width + 1))}
+        low = heapq.nsmallest(sketch, runs)
+        if seen.isdisjoint(low):
+            out.append((text, y))
+        seen.update(low)
+    return out
+
+
 def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool]], np.ndarray]:
     """Words from two thirds of the sample and clause weights from the rest, where words haven't been fitted."""
+    rows = distinct(rows)
     one = [r for k, r in enumerate(rows) if k % 3]
     two = [r for k, r in enumerate(rows) if not k % 3]
     words = learned_words([t for t, _ in one], [y for _, y in one])
