@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Remembered, pieces, text_bytes, tidy
 
+REMEMBER = (400_000, 600_000)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -153,9 +154,10 @@ def replayed(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]
 class Encoder(Remembered):
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, v: Vocabulary, pattern: str) -> None:
+    def __init__(self, v: Vocabulary, pattern: str, remember: tuple[int, int]) -> None:
         super().__init__(pattern, self.ids, b"")
         self.v = v
+        self.WORDS, self.PIECES = remember
 
     def ids(self, new: list[str]) -> list[bytes]:
         raws = [p.encode() for p in new]
@@ -184,20 +186,21 @@ class Table:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(vocabulary(path), pattern)
+def encoder(path: str, pattern: str, remember: tuple[int, int] = REMEMBER) -> Encoder:
+    return Encoder(vocabulary(path), pattern, remember)
 
 
 def decode(ids: list[int], v: Vocabulary) -> bytes:
     return v.bytes_of(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> DataFrame:
-    """One row per document: n_tokens and the digests of its ids and of what they decode to; with `texts` also `ids`."""
+def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False, remember: tuple[int, int] = REMEMBER) -> DataFrame:
+    """One row per document: n_tokens and the digests of its ids and of what they decode to; with `texts` also `ids`.
+    remember: words and pieces that a worker keeps the ids of, about 200 bytes each."""
     schema = SCHEMA + (", ids array<int>" if texts else "")
 
     def run(batches):
-        v, enc = vocabulary(path), encoder(path, pattern)
+        v, enc = vocabulary(path), encoder(path, pattern, remember)
         for batch in batches:
             for b in pieces(batch, 1 << 20):
                 raws = enc(text_bytes(b.column("text")))
