@@ -28,3 +28,14 @@ def test_stages(spark):
         if k == 1:
             assert docs.count() == docs.select("doc_id").distinct().count()
     assert docs.where("n_tokens != size(ids)").count() == 0 and docs.count() > 0
+
+
+def test_stages_on_nasty_and_empty_tables(spark, nasty, nothing):
+    for docs in (nasty, nothing):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = written(docs, f"edge-{k}")
+            out = written(stage(spark, docs, D), f"edge-{k}-out")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns and out.join(docs, "doc_id", "left_anti").where("doc_id is not null").count() == 0
+            else:
+                assert out.count() == docs.count()
