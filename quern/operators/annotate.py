@@ -18,7 +18,7 @@ def genesets_indicator(genesets: DataFrame, inverse: bool = False) -> DataFrame:
     long = genesets.select(F.explode("members").alias("feature_id"), "geneset").distinct()
     if not inverse:
         return long
-    grid = long.select("feature_id").distinct().crossJoin(F.broadcast(genesets.select("geneset").distinct()))
+    grid = long.select("feature_id").distinct().crossJoin(bounded(genesets.select("geneset").distinct()))
     return grid.join(long, ["feature_id", "geneset"], "left_anti")
 
 
@@ -262,7 +262,10 @@ def run_gsea(assoc: DataFrame, genesets: DataFrame, power: float = 1.0, n_rand:
     """(factor_idx, geneset, es, p, q): permutation p-values, one group a factor (as many rows as features), q by BH."""
     from ..functions.stats import bh
 
-    sets = {r.geneset: set(r.members) for r in genesets.limit(100_000).collect()}
+    known = genesets.limit(100_001).collect()
+    if len(known) > 100_000:
+        raise ValueError("more than 100,000 sets for the permutation test")
+    sets = {r.geneset: set(r.members) for r in known}
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["assoc", "feature_id"], ascending=[False, True])

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..model import Embedding, bounded
 from .factorize import gram_of
@@ -203,7 +202,7 @@ def project_embedding(emb: Embedding, h_test: DataFrame, snn: DataFrame | None =
 
 def rename_factors(factors: DataFrame, mapping: DataFrame, set_empty: bool = True) -> DataFrame:
     """`name` by (old, new); with set_empty a name that didn't change becomes empty."""
-    j = factors.join(F.broadcast(mapping.select(F.col("old").alias("__o"), "new").limit(10_000)), F.col("name") == F.col("__o"), "left")
+    j = factors.join(bounded(mapping.select(F.col("old").alias("__o"), "new")), F.col("name") == F.col("__o"), "left")
     new = F.coalesce("new", "name")
     return j.withColumn("name", F.when(F.lit(set_empty) & (new == F.col("name")), F.lit("")).otherwise(new)).drop("__o", "new")
 

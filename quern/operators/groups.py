@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..model import bounded
 
 
 def flatten_groups(nested: DataFrame) -> DataFrame:
@@ -24,11 +26,11 @@ def unflatten_dataframe(df: DataFrame, output: str, row: str = "Gene", col: str
 
 def recode(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Labels by (old, new), many to one; others stay."""
-    m = F.broadcast(mapping.select(F.col("old").alias("__o"), F.col("new").alias("__n")).limit(10_000))
+    m = bounded(mapping.select(F.col("old").alias("__o"), F.col("new").alias("__n")))
     return df.join(m, F.col(column) == F.col("__o"), "left").withColumn(column, F.coalesce("__n", column)).drop("__o", "__n")
 
 
 def multi_label(scores: DataFrame, cutoffs: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_id, label): the only label whose score (sample_id, label, score) reaches its cutoff, else null."""
-    hit = scores.join(F.broadcast(cutoffs.limit(10_000)), "label").where("score >= cutoff").groupBy("sample_id").agg(F.count("*").alias("n"), F.first("label").alias("label")).where("n = 1")
+    hit = scores.join(bounded(cutoffs), "label").where("score >= cutoff").groupBy("sample_id").agg(F.count("*").alias("n"), F.first("label").alias("label")).where("n = 1")
     return samples.select("sample_id").join(hit.select("sample_id", "label"), "sample_id", "left")

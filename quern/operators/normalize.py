@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
 from ..model import CountMatrix, bounded
@@ -25,7 +25,7 @@ def normalize_counts(m: CountMatrix, depth_scale: float = 1e3, batch: DataFrame
         share = m.entries.groupBy("feature_id").agg(((F.sum("value") + n) / F.lit(total + n)).alias("share"))
         sums = e.groupBy("feature_id", "batch").agg(F.sum("value").alias("t"))
         depth = e.groupBy("batch").agg(F.sum("value").alias("d"))
-        effect = sums.join(F.broadcast(depth), "batch").join(share, "feature_id").select("feature_id", "batch", F.exp(F.log(F.col("t") + 1) - F.log(F.col("d") + 1) - F.log("share")).alias("bc"))
+        effect = sums.join(depth, "batch").join(share, "feature_id").select("feature_id", "batch", F.exp(F.log(F.col("t") + 1) - F.log(F.col("d") + 1) - F.log("share")).alias("bc"))
         e = e.join(effect, ["feature_id", "batch"])
         value = value / F.col("bc")
     return m.with_entries(e.withColumn("value", value / (F.col("depth") / F.lit(float(depth_scale)))))

@@ -106,7 +106,9 @@ def factor_selection(errors: DataFrame) -> DataFrame:
 
 def palette(groups: DataFrame, seed: int = 42) -> DataFrame:
     """(grp, color): evenly spaced hues, dealt to groups in the order of a seeded hash."""
-    names = sorted({str(r[0]) for r in groups.where("grp is not null").select("grp").distinct().limit(10_000).collect()})
+    names = sorted({str(r[0]) for r in groups.where("grp is not null").select("grp").distinct().limit(10_001).collect()})
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 groups to colour")
     names.sort(key=lambda x: hashlib.sha256(f"{seed}:{x}".encode()).hexdigest())
     out = [(x, "#%02x%02x%02x" % tuple(round(255 * c) for c in colorsys.hls_to_rgb(i / max(1, len(names)), 0.55, 0.65))) for i, x in enumerate(names)]
     return groups.sparkSession.createDataFrame(out, "grp string, color string")
