@@ -27,7 +27,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; a folder of the machine only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with its scheme, so that Python and Spark mean one folder
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
