@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import pieces, text_bytes, tidy, written
 from .components import components, forest
@@ -61,15 +61,19 @@ def fingerprints(raws: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (as a signed long)."""
+    """doc_id, th (a hash of the text as it is), fp (as a signed long)."""
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, 4 << 20):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(text_bytes(b.column("text")), width).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fingerprints(text_bytes(b.column("text")), width).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, th long, fp long")
 
 
 def flips(bits: int, most: int) -> list[np.ndarray]:
@@ -188,12 +192,13 @@ def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows:
 
 
 def clustered(prints: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint in (doc_id, fp)."""
+    """(f, root, component_id) of every distinct fingerprint f in (doc_id, fp). Components without an id have none, and
+    two may have the same where an id is repeated, so only the root tells them apart."""
     rep = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op5-prints")
     roots = components(written(linked(rep.select("fp"), radius, bits), "op5-links"), "op5")
     at = written(rep.join(roots, rep["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "op5-roots")
     ids = at.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    return written(at.join(ids, at["root"] == ids["r"]).select(F.col("fp").alias("f"), "component_id"), "op5-components")
+    return written(at.join(ids, at["root"] == ids["r"]).select(F.col("fp").alias("f"), "root", "component_id"), "op5-components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
@@ -204,12 +209,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BI
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
-    """One document of each component: that of the smallest id, once if it is repeated."""
+    """One document of each component: that of the smallest id that is not null, of several texts under that id (or
+    without one) that of the smallest hash, once if it is repeated."""
     names = docs.columns
     prints = written(fingerprinted(docs), "op5-docs")
     c = clustered(prints, radius, bits)
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    keep = prints.join(c, prints["fp"] == c["f"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__keep")).distinct()
-    # one plain key for the join and for repeated rows, so that texts are shuffled once
-    out = docs.withColumn("__key", key).join(written(keep, "op5-kept"), F.col("__key") == F.col("__keep"))
-    return out.dropDuplicates(["__key"]).select(*names)
+    first = prints.join(c, prints["fp"] == c["f"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("__t"))
+    keep = written(first.select(key.alias("__k"), "__t"), "op5-kept")
+    # an id and a text are of one component, so the keys of the join also tell repeated rows: texts are shuffled once
+    out = docs.withColumn("__key", key).withColumn("__th", text_hash()).join(keep, (F.col("__key") == F.col("__k")) & (F.col("__th") == F.col("__t")))
+    return out.dropDuplicates(["__key", "__th"]).select(*names)

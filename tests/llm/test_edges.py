@@ -157,6 +157,16 @@ def test_simhash(nasty, nothing):
     assert kept.columns == nasty.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    """Unlinked texts without an id, one id with two texts, and rows without an id beside components that are represented."""
+    a, b, c, d, e = (" ".join(f"{x}{(k * k + 7 * k) % 41}" for k in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (None, c), (3, e), (2, e), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = simhash.fingerprints([x.encode() for x in (a, b, c, d, e)])
+    assert min(int(x ^ y).bit_count() for i, x in enumerate(prints) for y in prints[:i]) > simhash.RADIUS
+    same(simhash.deduplicated(docs), [(None, a), (None, b), (1, c), (1, d), (2, e)])
+
+
 def test_simhash_links_exactly(spark):
     """Random fingerprints with planted neighbours, at few prefix bits and in tiny steps, against all pairs."""
     r = np.random.default_rng(3)
