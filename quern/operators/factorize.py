@@ -120,7 +120,7 @@ def _kl_scores(x: np.ndarray, w: np.ndarray, rounds: int = 30) -> np.ndarray:
     return h
 
 
-def run_nmf(m: CountMatrix, k: int, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), init: str = "ica", loss: str = "mse", max_iter: int = 100, ica_fast: bool = False, tol: float = 1e-4, seed: int = 1, pk: linalg.Packed | None = None) -> Factorization:
+def run_nmf(m: CountMatrix, k: int, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), init: str = "ica", loss: str = "mse", max_iter: int = 500, ica_fast: bool = False, tol: float = 1e-4, seed: int = 1, pk: linalg.Packed | None = None) -> Factorization:
     """A ~ W H with W, H >= 0. Each round solves H exactly for W and then W for H, so the error never rises; it ends when
     the error falls by less than `tol` of itself, or after max_iter rounds."""
     _check(m, k, init, loss)
@@ -273,7 +273,7 @@ def factor_number_table(errors: DataFrame) -> DataFrame:
     return errors.select("k", "err", "err_rand", ((F.col("err") - F.lead("err").over(w)) - (F.col("err_rand") - F.lead("err_rand").over(w))).alias("diff"))
 
 
-def find_num_factors(m: CountMatrix, k_range=range(2, 13, 2), loss: str = "mse", max_iter: int = 25, seed: int = 1) -> tuple[int, DataFrame]:
+def find_num_factors(m: CountMatrix, k_range=range(2, 13, 2), loss: str = "mse", max_iter: int = 250, seed: int = 1) -> tuple[int, DataFrame]:
     """(k, table of errors). Fits are by squared error with random starts, as `loss` is the measure of the error only."""
     ks = list(k_range)
     if len(ks) < 3:

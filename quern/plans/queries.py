@@ -515,7 +515,7 @@ def gsea_es(spark, d):
 
 @query()
 def run_gsea(spark, d):
-    return annotate.run_gsea(_assoc(spark, d), _brandsets(spark, d), n_rand=200)
+    return annotate.run_gsea(_assoc(spark, d), _brandsets(spark, d))
 
 
 @query(f"WITH {COUNTS}, g AS (SELECT DISTINCT p_brand AS geneset, p_brand || '|' || p_type AS feature_id FROM part) SELECT geneset, sample_id, sum(value) AS total FROM e JOIN g ON e.feature_id = g.feature_id GROUP BY 1, 2")
@@ -708,22 +708,22 @@ def _norm(spark, d):
 
 @query()
 def run_nmf(spark, d):
-    return factorize.run_nmf(_norm(spark, d), 6, init="random", max_iter=10).w
+    return factorize.run_nmf(_norm(spark, d), 6, init="random").w
 
 
 @query()
 def nnsvd_init(spark, d):
-    return factorize.run_nmf(_norm(spark, d), 4, init="nnsvd", max_iter=3).w
+    return factorize.run_nmf(_norm(spark, d), 4, init="nnsvd").w
 
 
 @query()
 def ica_init(spark, d):
-    return factorize.run_nmf(_norm(spark, d), 4, init="ica", max_iter=3).w
+    return factorize.run_nmf(_norm(spark, d), 4, init="ica").w
 
 
 @query()
 def run_nmf_kl(spark, d):
-    return factorize.run_nmf(_norm(spark, d), 4, init="random", loss="mkl", max_iter=5).w
+    return factorize.run_nmf(_norm(spark, d), 4, init="random", loss="mkl").w
 
 
 @query()
@@ -735,20 +735,20 @@ def project_features(spark, d):
 @query()
 def project_samples(spark, d):
     m = _norm(spark, d)
-    f = factorize.run_nmf(m, 4, init="random", max_iter=3)
+    f = factorize.run_nmf(m, 4, init="random")
     return factorize.project_samples(m, f.w, 4)
 
 
 @query()
 def find_num_factors(spark, d):
-    return factorize.find_num_factors(_norm(spark, d), (2, 3, 4), max_iter=3)[1]
+    return factorize.find_num_factors(_norm(spark, d))[1]
 
 
 @query()
 def run_embedding(spark, d):
     m = _norm(spark, d)
     g = as_groups(batches(spark, d))
-    fit = pipeline.run_embedding(m, 6, init="nnsvd", max_iter=10, groups=g, genes_embed=m.features)
+    fit = pipeline.run_embedding(m, 6, init="nnsvd", groups=g, genes_embed=m.features)
     return fit.embedding.samples
 
 
@@ -757,5 +757,5 @@ def project_embedding(spark, d):
     m = _norm(spark, d)
     train = CountMatrix(m.entries.where("sample_id % 5 != 0"), m.features, m.samples.where("sample_id % 5 != 0"))
     test = CountMatrix(m.entries.where("sample_id % 5 = 0"), m.features, m.samples.where("sample_id % 5 = 0"))
-    fit = pipeline.run_embedding(held(train), 4, init="random", max_iter=5, paga=False, snn_k=10)
+    fit = pipeline.run_embedding(held(train), 4, init="random", paga=False, snn_k=10)
     return pipeline.project_samples(fit, held(test), snn_k=10, k_scale=5)

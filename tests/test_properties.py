@@ -7,7 +7,7 @@ import pytest
 
 from quern.functions import linalg
 from quern.functions.storage import materialized
-from quern.model import CountMatrix
+from quern.model import CountMatrix, Factorization
 from quern.operators import annotate, embed, factorize, graph, plotdata
 from quern.plans import pipeline
 from quern.sources import text
@@ -48,6 +48,49 @@ def test_kl(planted):
     assert all(b <= a + 1e-9 for a, b in zip(f.errors, f.errors[1:]))
 
 
+@pytest.mark.parametrize("name", ["run_nmf", "run_nmf_kl", "nnsvd_init", "ica_init", "project_samples", "find_num_factors", "run_embedding", "project_embedding"])
+def test_registered_fits_have_all_rounds(spark, planted, monkeypatch, name):
+    """Registered fits may take as many rounds as the reference's, and only the tolerance ends them sooner."""
+    from quern.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    fits, whole = [], factorize._factorized
+
+    def spy(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed):
+        fits.append((k, max_iter, tol))
+        f = whole(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed) if name in ("nnsvd_init", "ica_init") else Factorization(None, None, k, (1.0 / k,))
+        if name in ("nnsvd_init", "ica_init"):
+            assert abs(f.errors[-2] - f.errors[-1]) <= tol * f.errors[-2]
+        elif name != "find_num_factors":
+            raise Seen
+        return f
+
+    monkeypatch.setattr(factorize, "_factorized", spy)
+    monkeypatch.setattr(queries, "_norm", lambda spark, d: planted)
+    monkeypatch.setattr(queries, "batches", lambda spark, d: planted.samples.selectExpr("sample_id", "string(sample_id % 3) AS batch"))
+    try:
+        queries.Q[name](spark, "")
+    except Seen:
+        pass
+    if name == "find_num_factors":
+        assert fits == [(k, 250, 1e-4) for k in range(2, 13, 2) for _ in range(2)]
+    else:
+        assert [x[1:] for x in fits] == [(500, 1e-4)]
+
+
+def test_registered_gsea_has_all_permutations(spark, monkeypatch):
+    from quern.plans import queries
+
+    said = {}
+    monkeypatch.setattr(annotate, "run_gsea", lambda *a, **b: said.update(b))
+    monkeypatch.setattr(queries, "_assoc", lambda spark, d: None)
+    monkeypatch.setattr(queries, "_brandsets", lambda spark, d: None)
+    queries.Q["run_gsea"](spark, "")
+    assert said.get("n_rand", 1000) >= 1000
+
+
 def test_refusals(spark, planted):
     for bad in (dict(k=2), dict(k=3, init="x"), dict(k=3, loss="x")):
         with pytest.raises(ValueError):
