@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import linalg
+from ..functions.storage import materialized
 from ..model import CountMatrix, bounded
 from .factorize import gram_of, products, solved, _completed
 from .groups import flatten_groups, unflatten_groups  # noqa: F401  one import for both kinds of sets
@@ -75,10 +76,16 @@ def bcv_bandwidth(x: np.ndarray, bins: int = 1000) -> float:
     sd = min(np.std(x, ddof=1), (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 1.34) or np.std(x, ddof=1)
     if not sd > 0:
         return 1e-6
-    top = 1.144 * np.std(x, ddof=1) * n ** -0.2
     low, high = x.min(), x.max()
     width = (high - low) * 1.01 / bins
     c = np.bincount(np.minimum(((x - low) / width).astype(int), bins - 1), minlength=bins).astype(float)
+    return binned_bandwidth(c, width, np.std(x, ddof=1))
+
+
+def binned_bandwidth(c: np.ndarray, width: float, sd: float) -> float:
+    """The same from counts in bins of a width, and the standard deviation."""
+    n, bins = c.sum(), len(c)
+    top = 1.144 * sd * n ** -0.2
     size = 1 << (2 * bins - 1).bit_length()
     f = np.fft.rfft(c, size)
     pairs = np.rint(np.fft.irfft(f * np.conj(f), size)[:bins])
@@ -123,6 +130,11 @@ def information_coefficient(x: np.ndarray, y: np.ndarray, n_grid: int = 25, seed
     ax = np.exp(-0.5 * ((gx[:, None] - x) / hx) ** 2) / np.sqrt(2 * np.pi)
     ay = np.exp(-0.5 * ((gy[:, None] - y) / hy) ** 2) / np.sqrt(2 * np.pi)
     f = ax @ ay.T / (n * hx * hy) + np.finfo(float).eps
+    return density_coefficient(f, gx, gy, rho)
+
+
+def density_coefficient(f: np.ndarray, gx: np.ndarray, gy: np.ndarray, rho: float) -> float:
+    """The coefficient from a density on a grid."""
     dx, dy = gx[1] - gx[0], gy[1] - gy[0]
     p = f / (f.sum() * dx * dy)
     px, py = p.sum(axis=1) * dy, p.sum(axis=0) * dx
@@ -131,6 +143,53 @@ def information_coefficient(x: np.ndarray, y: np.ndarray, n_grid: int = 25, seed
     return float(ic) if np.isfinite(ic) else 0.0
 
 
+BINS, GRID, EPS = 1000, 25, np.finfo(float).eps
+
+
+def score_summaries(h: DataFrame, k: int) -> dict:
+    """n, and of each factor's scores: low, high, mean, sd, and bandwidth before it shrinks with a correlation."""
+    c = [F.col("h")[j] for j in range(k)]
+    row = h.agg(F.count("*"), *(f(x) for x in c for f in (F.min, F.max, F.avg)), *(F.sum((x.isNull() | F.isnan(x)).cast("int")) for x in c)).first()
+    n = row[0]
+    if n and any(row[1 + 3 * k :]):
+        raise ValueError("scores must be numbers")
+    low, high, mean = (np.array([row[1 + 3 * j + i] or 0.0 for j in range(k)]) for i in range(3))
+    sd = np.sqrt(np.array([x or 0.0 for x in h.agg(*(F.sum((x - float(m)) * (x - float(m))) for x, m in zip(c, mean))).first()]) / max(n - 1, 1))
+    width = (high - low) * 1.01 / BINS
+    b = [F.least(F.floor((x - float(low[j])) / float(width[j])), F.lit(BINS - 1)) if width[j] > 0 else F.lit(0) for j, x in enumerate(c)]
+    counts = np.zeros((k, BINS))
+    for r in h.select(F.posexplode(F.array(*(x.cast("int") for x in b))).alias("j", "b")).groupBy("j", "b").count().collect():
+        counts[r[0], r[1]] = r[2]
+    band = np.array([binned_bandwidth(counts[j], width[j], sd[j]) if sd[j] > 0 else 0.0 for j in range(k)])
+    return {"n": n, "low": low, "high": high, "mean": mean, "sd": sd, "band": band}
+
+
+def kernels(grid: np.ndarray, x: np.ndarray, width: float) -> np.ndarray:
+    return np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2) / np.sqrt(2 * np.pi)
+
+
+def shrunk(band: float, rho: float) -> float:
+    return max(band * (1 - 0.75 * abs(rho)) / 4, 1e-12)
+
+
+def kernel_sums(h: DataFrame, wanted: list[tuple], size: int, one) -> np.ndarray:
+    """one(scores, what) -> vector of `size`, for each wanted and summed over all samples: in a task, then by groups."""
+    def run(batches):
+        total = np.zeros((len(wanted), size))
+        for b in batches:
+            if b.num_rows:
+                y = b.column("h").values.to_numpy().reshape(b.num_rows, -1)
+                for i, w in enumerate(wanted):
+                    total[i] += one(y, w)
+        at = np.arange(len(wanted))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, size), pa.int32()), pa.array(np.tile(np.arange(size), len(at)), pa.int32()), pa.array(total.reshape(-1))], names=["i", "c", "v"])
+
+    out = np.zeros((len(wanted), size))
+    for r in h.select("h").mapInArrow(run, "i int, c int, v double").groupBy("i", "c").agg(F.sum("v")).collect():
+        out[r[0], r[1]] = r[2]
+    return out
+
+
 def information_matrix(h: DataFrame, k: int, most: int = 200_000) -> np.ndarray:
     """Coefficients between factors, each pair a group of its own, from at most `most` samples by hash order: the density
     grid is the same size however many samples there are."""
@@ -143,12 +202,111 @@ def information_matrix(h: DataFrame, k: int, most: int = 200_000) -> np.ndarray:
     return out
 
 
+def associate_ic_passes(m: CountMatrix, h: DataFrame, k: int, features: int = 2000) -> DataFrame:
+    """As associate_ic for any number of samples: bandwidths from distances in bins, then kernel sums on the grid. Only
+    stored entries are visited with their sample's scores; the block of zeros is the kernel at zero times what the sum over
+    all samples has beyond the stored ones. Features are taken by their hash, about `features` at a time."""
+    h = materialized(h.select("sample_id", "h"), "scores")
+    e = materialized(m.entries.join(h, "sample_id").select("feature_id", "sample_id", F.col("value").cast("double").alias("value"), "h"), "scored")
+    if e.where("value is null or isnan(value)").limit(1).count():
+        raise ValueError("values must be numbers")
+    s = score_summaries(h, k)
+    names = materialized(m.entries.select("feature_id").distinct(), "features")
+    kind = dict(m.entries.dtypes)["feature_id"]
+    parts = 1 + names.count() // features
+    out = None
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("feature_id"), F.lit(parts)) == part
+        one = names.where(mine).join(_ic_part(e.where(mine), h, k, s, kind), "feature_id", "left") if s["n"] > 2 else names.where(mine).withColumn("ic", F.lit(None).cast("array<double>"))
+        out = one if out is None else out.unionByName(one)
+    zero = F.array(*(F.lit(0.0) for _ in range(k)))
+    return out.select("feature_id", F.posexplode(F.coalesce("ic", zero)).alias("i", "assoc")).select("feature_id", (F.col("i") + 1).alias("factor_idx"), "assoc")
+
+
+def _ic_part(e: DataFrame, h: DataFrame, k: int, s: dict, kind: str) -> DataFrame:
+    """(feature_id, ic array<double>) of the features in e(feature_id, sample_id, value, h)."""
+    spark, n = e.sparkSession, s["n"]
+    v = F.col("value")
+    rows = e.groupBy("feature_id").agg(F.count("*").alias("m"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum(v).alias("s"), F.array(*(F.sum(v * (F.col("h")[j] - float(s["mean"][j]))) for j in range(k))).alias("p")).collect()
+    at = {r.feature_id: i for i, r in enumerate(rows)}
+    stored = np.array([r.m for r in rows])
+    low = np.array([min(r.low, 0.0) if r.m < n else r.low for r in rows])
+    high = np.array([max(r.high, 0.0) if r.m < n else r.high for r in rows])
+    mean = np.array([r.s / n for r in rows])
+    width = (high - low) * 1.01 / BINS
+    dim = F.broadcast(spark.createDataFrame([(r.feature_id, float(low[i]), float(width[i]), float(mean[i])) for i, r in enumerate(rows) if width[i] > 0], f"feature_id {kind}, low double, width double, mean double"))
+    b = e.join(dim, "feature_id").groupBy("feature_id", F.least(F.floor((v - F.col("low")) / F.col("width")), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.count("*").alias("c"), F.sum((v - F.col("mean")) * (v - F.col("mean"))).alias("q"))
+
+    def banded(g: pd.DataFrame) -> pd.DataFrame:
+        i = at[g.feature_id.iloc[0]]
+        c = np.bincount(g.b, weights=g.c, minlength=BINS)
+        c[min(int((0 - low[i]) / width[i]), BINS - 1) if stored[i] < n else 0] += n - stored[i]
+        sd = np.sqrt((g.q.sum() + (n - stored[i]) * mean[i] ** 2) / (n - 1))
+        return pd.DataFrame({"i": [i], "sd": [sd], "band": [binned_bandwidth(c, width[i], sd)]})
+
+    known = {r.i: (r.sd, r.band) for r in b.groupBy("feature_id").applyInPandas(banded, "i int, sd double, band double").collect()}
+    wanted = []  # (feature, factor, correlation, bandwidths)
+    for i, r in enumerate(rows):
+        for j in range(k):
+            if i in known and s["sd"][j] > 0:
+                rho = float(np.clip(r.p[j] / ((n - 1) * known[i][0] * s["sd"][j]), -1, 1))
+                wanted.append((i, j, rho, shrunk(known[i][1], rho), shrunk(s["band"][j], rho)))
+    gx = [np.linspace(a, z, GRID) for a, z in zip(low, high)]
+    gy = [np.linspace(a, z, GRID) for a, z in zip(s["low"], s["high"])]
+    whole = kernel_sums(h, wanted, GRID, lambda y, w: kernels(gy[w[1]], y[:, w[1]], w[4]).sum(axis=1))
+    by = {}
+    for w, total in zip(wanted, whole):
+        by.setdefault(w[0], []).append((w, total))
+
+    def visited(batches):
+        grids, now = {}, None
+
+        def done():
+            ws = by.get(now, [])
+            if grids:
+                yield pa.RecordBatch.from_arrays([pa.array([now] * len(ws), pa.int32()), pa.array([w[1] for w, _ in ws], pa.int32()), pa.array([np.concatenate([grids[w[1]][0].reshape(-1), grids[w[1]][1]]).tolist() for w, _ in ws], pa.list_(pa.float64()))], names=["i", "j", "g"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i = np.array([at[f] for f in b.column("feature_id").to_pylist()])
+            x, y = b.column("value").to_numpy(), b.column("h").values.to_numpy().reshape(b.num_rows, k)
+            cuts = [0, *(np.flatnonzero(np.diff(i)) + 1).tolist(), len(i)]
+            for a, z in zip(cuts, cuts[1:]):
+                if i[a] != now:
+                    yield from done()
+                    grids, now = {}, int(i[a])
+                for (f, j, _, hx, hy), _ in by.get(now, []):
+                    ky = kernels(gy[j], y[a:z, j], hy)
+                    g, t = grids.get(j, (0.0, 0.0))
+                    grids[j] = g + kernels(gx[f], x[a:z], hx) @ ky.T, t + ky.sum(axis=1)
+        yield from done()
+
+    # a feature's entries are dealt to tasks by about a million, so none of them holds a frequent feature alone
+    spread = F.pmod(F.xxhash64("sample_id"), F.lit(1 + n // 1_000_000))
+    sums = e.repartition(F.col("feature_id"), spread).sortWithinPartitions("feature_id").select("feature_id", "value", "h").mapInArrow(visited, "i int, j int, g array<double>")
+    names = [r.feature_id for r in rows]
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        i = int(g.i.iloc[0])
+        ic = [0.0] * k
+        for (_, j, rho, hx, hy), total in by[i]:
+            got = np.sum(np.stack(g.g[g.j == j].to_list()), axis=0)
+            f, t = got[: GRID * GRID].reshape(GRID, GRID), got[GRID * GRID :]
+            if stored[i] < n:
+                f = f + np.outer(kernels(gx[i], np.zeros(1), hx)[:, 0], np.maximum(total - t, 0))
+            ic[j] = density_coefficient(f / (n * hx * hy) + EPS, gx[i], gy[j], rho)
+        return pd.DataFrame({"feature_id": [names[i]], "ic": [ic]})
+
+    return sums.groupBy("i").applyInPandas(one, f"feature_id {kind}, ic array<double>")
+
+
 def associate_ic(m: CountMatrix, h: DataFrame, k: int, most: int = 2_000_000) -> DataFrame:
-    """Information coefficients of every feature with every factor; absent entries are zeros. The scores are the broadcast
-    side (refused above `most` numbers), a feature's stored entries one group."""
-    rows = h.orderBy("sample_id").limit(most // max(k, 1) + 1).collect()
-    if len(rows) * k > most:
-        raise ValueError("too many samples for information coefficients; sample them first")
+    """Information coefficients of every feature with every factor; absent entries are zeros. Up to `most`
+    numbers the scores are the broadcast side and a feature's stored entries one group; beyond, passes sum the kernels."""
+    if h.limit(most // max(k, 1) + 1).count() * k > most:
+        return associate_ic_passes(m, h, k)
+    rows = h.orderBy("sample_id").collect()
     at = {r.sample_id: i for i, r in enumerate(rows)}
     scores = np.array([r.h for r in rows])
     kind = dict(m.entries.dtypes)["feature_id"]

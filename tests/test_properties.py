@@ -153,6 +153,16 @@ def test_information():
     assert annotate.information_coefficient(x[:2], x[:2]) == 0 and annotate.information_coefficient(x, np.full(400, np.nan)) == 0
 
 
+def test_information_of_any_number_of_samples(spark, planted, fit):
+    """Passes over all samples give what the pairs at hand give, where the scores are too many for the driver too."""
+    want = {(r.feature_id, r.factor_idx): r.assoc for r in annotate.associate_ic(planted, fit.h, 3).collect()}
+    extra = planted.with_entries(planted.entries.unionByName(spark.createDataFrame([("other", 10_000, 1.0)], planted.entries.schema)))
+    got = {(r.feature_id, r.factor_idx): r.assoc for r in annotate.associate_ic(extra, fit.h, 3, most=30).collect()}
+    assert [got.pop(("other", j)) for j in (1, 2, 3)] == [0, 0, 0] and got == pytest.approx(want, abs=1e-5) and len(want) == 45
+    parts = {(r.feature_id, r.factor_idx): r.assoc for r in annotate.associate_ic_passes(planted, fit.h, 3, features=6).collect()}
+    assert parts == pytest.approx(want, abs=1e-5)
+
+
 def test_louvain(spark):
     e = [(a, b) for g in range(3) for a in range(5 * g, 5 * g + 5) for b in range(5 * g, a)] + [(0, 5), (5, 10)]
     df = spark.createDataFrame(e, "src long, dst long")
