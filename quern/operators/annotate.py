@@ -190,15 +190,21 @@ def kernel_sums(h: DataFrame, wanted: list[tuple], size: int, one) -> np.ndarray
     return out
 
 
-def information_matrix(h: DataFrame, k: int, most: int = 200_000) -> np.ndarray:
-    """Coefficients between factors, each pair a group of its own, from at most `most` samples by hash order: the density
-    grid is the same size however many samples there are."""
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    d = h.orderBy(F.xxhash64("sample_id"), "sample_id").limit(most).select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("h")[i].alias("x"), F.col("h")[j].alias("y")) for i, j in pairs))).alias("p")).select("p.*")
-    got = d.groupBy("i", "j").applyInPandas(lambda g: pd.DataFrame({"i": [g.i.iloc[0]], "j": [g.j.iloc[0]], "ic": [information_coefficient(g.x.to_numpy(), g.y.to_numpy())]}), "i int, j int, ic double").collect()
+def information_matrix(h: DataFrame, k: int) -> np.ndarray:
+    """Coefficients between factors, over all samples: the density grids of all pairs are sums of one pass."""
+    h = materialized(h.select("h"), "scores")
+    s = score_summaries(h, k)
     out = np.eye(k)
-    for r in got:
-        out[r.i, r.j] = out[r.j, r.i] = r.ic
+    n, pairs = s["n"], [(i, j) for i in range(k) for j in range(i + 1, k) if s["sd"][i] > 0 and s["sd"][j] > 0]
+    if n <= 2 or not pairs:
+        return out
+    row = h.agg(*(F.sum((F.col("h")[i] - float(s["mean"][i])) * (F.col("h")[j] - float(s["mean"][j]))) for i, j in pairs)).first()
+    rho = [float(np.clip(c / ((n - 1) * s["sd"][i] * s["sd"][j]), -1, 1)) for c, (i, j) in zip(row, pairs)]
+    grid = [np.linspace(a, b, GRID) for a, b in zip(s["low"], s["high"])]
+    wanted = [(i, j, shrunk(s["band"][i], r), shrunk(s["band"][j], r)) for (i, j), r in zip(pairs, rho)]
+    sums = kernel_sums(h, wanted, GRID * GRID, lambda y, w: (kernels(grid[w[0]], y[:, w[0]], w[2]) @ kernels(grid[w[1]], y[:, w[1]], w[3]).T).reshape(-1))
+    for (i, j, hx, hy), r, f in zip(wanted, rho, sums):
+        out[i, j] = out[j, i] = density_coefficient(f.reshape(GRID, GRID) / (n * hx * hy) + EPS, grid[i], grid[j], r)
     return out
 
 

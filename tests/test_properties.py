@@ -3,6 +3,7 @@
 import gzip
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quern.functions import linalg
@@ -163,6 +164,15 @@ def test_information_of_any_number_of_samples(spark, planted, fit):
     assert parts == pytest.approx(want, abs=1e-5)
 
 
+def test_information_matrix_takes_all_samples(spark):
+    r = np.random.default_rng(4)
+    x = r.gamma(1.0, size=(230_000, 2))
+    x[:, 1] += x[:, 0]
+    h = spark.createDataFrame(pd.DataFrame({"sample_id": range(len(x)), "h": list(x)}), "sample_id long, h array<double>")
+    want = annotate.information_coefficient(x[:, 0], x[:, 1])
+    assert annotate.information_matrix(h, 2) == pytest.approx(np.array([[1, want], [want, 1]]), abs=1e-6)
+
+
 def test_louvain(spark):
     e = [(a, b) for g in range(3) for a in range(5 * g, 5 * g + 5) for b in range(5 * g, a)] + [(0, 5), (5, 10)]
     df = spark.createDataFrame(e, "src long, dst long")
