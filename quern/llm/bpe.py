@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus's words.
 
-A task takes the distinct words of a part of the corpus (a piece of text that the pattern matches is a word here) as one
-long row of tokens, and keeps an inverted index from a pair's rank to the places where such a pair stands. Ranks are then
-replayed in ascending order: all places of a rank are merged, and only the pairs with the two touched neighbours enter
-the index anew. Words are independent of each other, so any division of the corpus gives the same ids; a division keeps
-the index within a task's memory, and nothing is shuffled. A pair's rank is that of its joined bytes, as in tiktoken. If
-a merge forms a pair of a lower rank than the one replayed, that word is finished at once, lowest rank first.
+The distinct words of the whole corpus (a piece of text that the pattern matches is a word here) are dealt to partitions
+by hash, each once. A partition takes its words as one long row of tokens, and keeps an inverted index from a pair's rank
+to the places where such a pair stands. Ranks are then replayed in ascending order: all places of a rank are merged, and
+only the pairs with the two touched neighbours enter the index anew. Words are independent of each other, so the division
+doesn't matter; it keeps the index within a task's memory. A pair's rank is that of its joined bytes, as in tiktoken. If a
+merge forms a pair of a lower rank than the one replayed, that word is finished at once, lowest rank first. How words get
+to their partition and ids back to the documents is told in `units`.
 
 Defined results: a null or empty text has no tokens (both digests are those of no bytes); repeated rows give repeated
-results; texts of any length are one document; other columns are ignored.
+results; texts of any length are one document; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Remembered, pieces, text_bytes, tidy
+from .common import scratch
+from .units import spread, valued
 
-REMEMBER = (400_000, 600_000)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -151,21 +153,32 @@ def replayed(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return ids[alive], np.cumsum(alive)[starts + sizes - 1]
 
 
-class Encoder(Remembered):
-    """Texts to ids, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, v: Vocabulary, pattern: str, remember: tuple[int, int]) -> None:
-        super().__init__(pattern, self.ids, b"")
-        self.v = v
-        self.WORDS, self.PIECES = remember
-
-    def ids(self, new: list[str]) -> list[bytes]:
-        raws = [p.encode() for p in new]
-        known = [self.v.ranks.get(b) for b in raws]
-        flat, ends = replayed([b for b, r in zip(raws, known) if r is None], self.v)
-        data = flat.astype("<u4").tobytes()
-        cut = iter(zip([0, *(4 * ends).tolist()], (4 * ends).tolist()))
-        return [data[slice(*next(cut))] if r is None else r.to_bytes(4, "little") for r in known]
+def words_of(units: list[bytes], find: Callable[[str], list[str]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the words of all units by number, where each unit's end)."""
+    names: dict[bytes, int] = {}
+    of = names.setdefault
+    flat, ends = [], []
+    for u in units:
+        if (u[1:] if u[:1] == b" " else u).isalpha():  # ASCII letters after at most one space are one match
+            flat.append(of(u, len(names)))
+        else:
+            flat += [of(p.encode(), len(names)) for p in find(u.decode())]
+        ends.append(len(flat))
+    return list(names), np.array(flat, np.int64), np.array(ends, np.int64)
+
+
+def unit_ids(units: list[bytes], v: Vocabulary, find: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units, where each unit's end)."""
+    words, flat, ends = words_of(units, find)
+    known = np.array([v.ranks.get(w, -1) for w in words], np.int64)
+    rest = np.flatnonzero(known < 0)
+    ids, stops = replayed([words[k] for k in rest.tolist()], v)
+    # the ids of words that are one token stand behind those of the replayed ones
+    begin, size = len(ids) + np.arange(len(words)), np.ones(len(words), np.int64)
+    size[rest] = np.diff(stops, prepend=0)
+    begin[rest] = stops - size[rest]
+    n = size[flat]
+    return np.concatenate((ids, known))[spread(begin[flat], n)], np.concatenate(([0], np.cumsum(n)))[ends]
 
 
 class Table:
@@ -185,30 +198,28 @@ class Table:
         return [data[a:z] for a, z in zip([0, *cuts], cuts)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str, remember: tuple[int, int] = REMEMBER) -> Encoder:
-    return Encoder(vocabulary(path), pattern, remember)
-
-
 def decode(ids: list[int], v: Vocabulary) -> bytes:
     return v.bytes_of(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False, remember: tuple[int, int] = REMEMBER) -> DataFrame:
-    """One row per document: n_tokens and the digests of its ids and of what they decode to; with `texts` also `ids`.
-    remember: words and pieces that a worker keeps the ids of, about 200 bytes each."""
+def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> DataFrame:
+    """One row per document: n_tokens and the digests of its ids and of what they decode to; with `texts` also `ids`. Rows
+    of a partition of `docs` must come again in the same order if a task is repeated, as those of a table do."""
     schema = SCHEMA + (", ids array<int>" if texts else "")
 
-    def run(batches):
-        v, enc = vocabulary(path), encoder(path, pattern, remember)
-        for batch in batches:
-            for b in pieces(batch, 1 << 20):
-                raws = enc(text_bytes(b.column("text")))
-                counts = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+    def values():
+        import regex
+
+        v, find = vocabulary(path), regex.compile(pattern).findall
+        return lambda units: unit_ids(units, v, find)
+
+    def finish(chunks):
+        v = vocabulary(path)
+        for chunk in chunks:
+            for doc, ids, counts in chunk.slices():
                 ends = np.cumsum(counts)
-                ids = np.frombuffer(b"".join(raws), "<u4")
                 cols = [
-                    b.column("doc_id"),
+                    doc,
                     pa.array(counts),
                     pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in v.digits_of(ids, ends)]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in v.bytes_of(ids, ends)]),
@@ -217,4 +228,5 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False, remem
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return valued(d, scratch(docs.sparkSession, "op2-units"), pattern, values, finish, schema)

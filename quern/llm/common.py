@@ -104,6 +104,26 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
         yield batch.slice(a, b - a)
 
 
+#: Bytes of a table that one partition of an exchange may take.
+PART_BYTES = 32 << 20
+
+
+def parts_for(df: DataFrame) -> tuple[int, int]:
+    """Partitions for the exchanges of an operator that sends about as much as it reads: those of the session, more if the
+    tables that `df` reads are large (by their files' sizes); and twice as many for rows that are few but heavy."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(x for x in sizes if x < 1 << 60) // PART_BYTES)
+    return n, 2 * n
+
+
+def dealt_evenly(files: DataFrame) -> DataFrame:
+    """A (materialised) table with a row for each of many files of about one size, dealt in turn to a bounded number of
+    partitions. The rows pass one task on their way; the files don't."""
+    n = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.coalesce(1).repartition(max(1, min(n, files.count())))
+
+
 #: Rows that Spark hands to a Python worker at once, so that a batch of whole texts stays small on both sides.
 BATCH_ROWS = "1000"
 
@@ -152,11 +172,6 @@ class Rolling:
         np.cumsum(words * self.up[:n], out=s[1:])
         return s
 
-    def spans(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of spans of hashed bytes."""
-        s = self.sums(x)
-        return mix64((s[ends] - s[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
     def __call__(self, words: np.ndarray, width: int) -> np.ndarray:
         n = len(words)
         if n < width:
@@ -207,101 +222,3 @@ def running(df: DataFrame, order: list[str], value: str, tag: str, by: str | Non
     shift = small(written(shift, f"{tag}-shift"))
     on = [table["part"] == shift["part"], *([table[by].eqNullSafe(shift[by])] if by else [])]
     return table.join(shift, on).select(*(table[k] for k in kept), table["part"], (table["inside"] + shift["shift"]).alias("before"))
-
-
-class Remembered:
-    """Values of texts from the values of the pieces that a pre-tokenizer's pattern cuts them into.
-
-    What stands between single spaces (a word here) is valued whole: no match of the pattern reaches over a single space
-    between two other characters but by starting at it. The words of a batch are told apart by two rolling hashes of
-    their bytes, so only distinct ones become objects. Texts in which a space stands beside other white space or at an
-    end are cut by the pattern as they are. Each distinct piece is asked for once; a worker remembers at most WORDS
-    words and PIECES pieces, and forgets all of a kind when they are more.
-    """
-
-    WORDS, PIECES = 150_000, 200_000
-
-    def __init__(self, pattern: str, ask, sep) -> None:
-        import regex
-
-        self.find, self.ask, self.join = regex.compile(pattern).findall, ask, sep.join
-        self.head: dict = {}
-        self.rest: dict = {}
-        self.piece: dict = {}
-        self.rolling = Rolling(0x9E3779B97F4A7C15)
-        self.one, self.two = (mix64(np.arange(a, a + 256, dtype=np.uint64)) for a in (1 << 20, 1 << 30))
-
-    def learn(self, fresh: list[tuple[dict, object, list[str]]]) -> None:
-        new = list({p for _, _, ps in fresh for p in ps if p not in self.piece})
-        self.piece.update(zip(new, self.ask(new)))
-        of, join = self.piece.__getitem__, self.join
-        for table, key, ps in fresh:
-            table[key] = join(map(of, ps))
-
-    def __call__(self, raws: list[bytes]) -> list:
-        """The values of UTF-8 texts, in their order. Nothing made here is cyclic, so the collector of cycles waits."""
-        on = gc.isenabled()
-        gc.disable()
-        try:
-            return self.values(raws)
-        finally:
-            if on:
-                gc.enable()
-
-    def told_apart(self, buf: bytes) -> tuple[list[bytes], np.ndarray]:
-        """(distinct words, which of them each word between single spaces is)."""
-        x = np.frombuffer(buf, np.uint8)
-        space = np.flatnonzero(x == 32)
-        starts = np.concatenate(([0], space + 1))
-        ends = np.concatenate((space, [len(x)]))
-        one, two = (self.rolling.spans(t[x], starts, ends) for t in (self.one, self.two))
-        order = np.argsort(one)
-        k = one[order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        inverse = np.empty(len(k), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        at = order[new]
-        if (two != two[at][inverse]).any():  # as good as never: two words of one hash
-            names: dict[bytes, int] = {}
-            inverse = np.array([names.setdefault(w, len(names)) for w in buf.split(b" ")])
-            return list(names), inverse
-        return [buf[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist())], inverse
-
-    def values(self, raws: list[bytes]) -> list:
-        if len(self.rest) > self.WORDS or len(self.head) > self.WORDS:
-            self.head, self.rest = {}, {}
-        if len(self.piece) > self.PIECES:
-            self.piece = {}
-        head, rest, find, join = self.head, self.rest, self.find, self.join
-        split = [r.partition(b" ") for r in raws]
-        tails = [t for _, s, t in split if s]
-        words, inverse = self.told_apart(b" ".join(tails)) if tails else ([], np.zeros(0, np.int64))
-        fresh = []
-        for table, lead, ws in ((rest, " ", words), (head, "", {h for h, _, _ in split})):
-            for w in [w for w in ws if w not in table]:
-                t = w.decode()
-                if not t or t[0].isspace() or t[-1].isspace():
-                    table[w] = None
-                else:
-                    fresh.append((table, w, find(lead + t)))
-        self.learn(fresh)
-        value = [rest[w] for w in words]
-        odd_word = np.array([v is None for v in value], bool)
-        which, at = inverse.tolist(), 0
-        odd_at = np.concatenate(([0], np.cumsum(odd_word[inverse]))).tolist() if odd_word.any() else None
-        of, out, odd = value.__getitem__, [], {}
-        for k, (h, s, t) in enumerate(split):
-            n = t.count(b" ") + 1 if s else 0
-            first = head[h]
-            if first is None or (odd_at is not None and odd_at[at + n] != odd_at[at]):
-                odd[k] = find(raws[k].decode())
-                out.append(join([]))
-            else:
-                out.append(join([first, *map(of, which[at : at + n])]))
-            at += n
-        if odd:
-            one: dict = {}
-            self.learn([(one, p, [p]) for p in {p for ps in odd.values() for p in ps}])
-            for k, ps in odd.items():
-                out[k] = join(map(one.__getitem__, ps))
-        return out

@@ -8,6 +8,9 @@ one compressed file; the whole shard can also be unrolled at once.
 File: b"QWM1", a little-endian unsigned 32-bit length, JSON of that length (n, levels, zeros, docs, nulls, blocks), then
 the compressed parts that `blocks` lists as [name, offset, bytes, ones before].
 
+Texts are brought into the order of their ids first; a chunk of them becomes a shard. The library encodes each distinct
+unit of the corpus once (`units` tells how units get to it and ids back to the shards).
+
 Defined results: a null or empty text has the end id alone; null ids come first; rows of equal id are ordered by text;
 an empty table writes no shard and gives an empty result.
 """
@@ -24,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Remembered, local_fs, pieces, put_file, scratch, text_bytes, tidy, written
+from .common import dealt_evenly, local_fs, parts_for, put_file, scratch, tidy, written
+from .units import spread, valued
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
-SHARD_TOKENS, END = 4 << 20, 0
+SHARD_BYTES, END = 12 << 20, 0
 
 
 def stable(a: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, int]:
@@ -181,81 +185,77 @@ class Wavelet:
         return np.zeros(0, np.uint16) if x is None else x
 
 
-class Encoder(Remembered):
-    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. The library gets each distinct
-    piece once, many in one text with line ends between them: pieces but those of white space have none at their ends."""
-
-    WORDS, PIECES = 500_000, 700_000
+class Encoder:
+    """Ids of units by the tokenizers library. Units go to it many in one text, with line ends between them; those that hold
+    a line end or have white space at an end (but for one space before) go each for itself."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(pattern, self.ids, b"")
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         (self.line_end,) = self.t.encode("\n", add_special_tokens=False).ids
 
-    def ids(self, new: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        white = [p for p in new if p.isspace()]
-        for p, e in zip(white, self.t.encode_batch_fast(white, add_special_tokens=False)):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        dark = [p for p in new if not p.isspace()]
-        groups = [dark[k : k + 2000] for k in range(0, len(dark), 2000)]
-        for some in (groups[k : k + 8] for k in range(0, len(groups), 8)):
-            for group, e in zip(some, self.t.encode_batch_fast(["\n".join(g) for g in some], add_special_tokens=False)):
-                a = np.array(e.ids, "<u4")
-                cut = np.flatnonzero(a == self.line_end)
-                if len(cut) != len(group) - 1:
-                    raise ValueError("pieces ran together")
-                raw = a.tobytes()
-                out.update(zip(group, (raw[i:j] for i, j in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]))))
-        return [out[p] for p in new]
+    @staticmethod
+    def joinable(unit: str) -> bool:
+        t = unit[1:] if unit[:1] == " " else unit
+        return bool(t) and not t[0].isspace() and not t[-1].isspace() and "\n" not in t
+
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, where each unit's end)."""
+        texts = [u.decode() for u in units]
+        fit = np.fromiter(map(self.joinable, texts), bool, len(texts))
+        sizes = np.zeros(len(texts), np.int64)
+        found = [np.zeros(0, np.uint32)]  # ids of the joined units, then of the others
+        together, alone = np.flatnonzero(fit), np.flatnonzero(~fit)
+        for a in range(0, len(together), 16_000):
+            some = [together[k : k + 2000] for k in range(a, min(a + 16_000, len(together)), 2000)]
+            for group, e in zip(some, self.t.encode_batch_fast(["\n".join([texts[k] for k in g.tolist()]) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+                if len(ends) != len(group):
+                    raise ValueError("units ran together")
+                sizes[group] = np.diff(ends, prepend=-1) - 1
+                found.append(ids[ids != self.line_end])
+        for a in range(0, len(alone), 2000):
+            some = alone[a : a + 2000]
+            for k, e in zip(some.tolist(), self.t.encode_batch_fast([texts[k] for k in some.tolist()], add_special_tokens=False)):
+                sizes[k] = len(e.ids)
+                found.append(np.array(e.ids, np.uint32))
+        order = np.concatenate((together, alone))
+        begins = np.empty(len(texts), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(found)[spread(begins, sizes)], np.cumsum(sizes)
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataFrame:
     """Encodes and writes all documents in ascending doc_id order; one row per shard: part, shard, path, tokens."""
-    schema = "part long, shard long, path string, tokens long"
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, enc, done = TaskContext.get().partitionId(), encoder(path, pattern), []
-        ids, docs_, lengths, size = [], [], [], 0
-        end = struct.pack("<I", END)
-
-        def flush():
-            nonlocal ids, docs_, lengths, size
-            if docs_:
-                file = f"{folder}/shard-{part:06d}-{len(done):05d}.qwm"
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                put_file(file, build(flat, np.array([x or 0 for x in docs_], np.int64), np.array(lengths, np.int64), [k for k, x in enumerate(docs_) if x is None]))
-                done.append((part, len(done), file, len(flat)))
-                ids, docs_, lengths, size = [], [], [], 0
-
-        for batch in batches:
-            for b in pieces(batch, 1 << 20):
-                for d, x in zip(b.column("doc_id").to_pylist(), enc(text_bytes(b.column("text")))):
-                    ids += (x, end)
-                    docs_.append(d)
-                    lengths.append(len(x) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= SHARD_TOKENS:
-                        flush()
-        flush()
-        if done:
-            c = list(zip(*done))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64())], names=["part", "shard", "path", "tokens"])
+    def finish(chunks):
+        for chunk in chunks:
+            part, shard = (int(x) for x in chunk.name.split("-")[1:3])
+            parts, lengths = [], []
+            for _, ids, counts in chunk.slices():
+                flat = np.full(len(ids) + len(counts), END, np.uint32)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                parts.append(flat)
+                lengths.append(counts + 1)
+            flat = np.concatenate(parts)
+            file = f"{folder}/shard-{part:06d}-{shard:05d}.qwm"
+            doc = chunk.docs
+            put_file(file, build(flat, doc.fill_null(0).to_numpy(), np.concatenate(lengths), np.flatnonzero(doc.is_null().to_numpy(zero_copy_only=False)).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([file]), pa.array([len(flat)])], names=["part", "shard", "path", "tokens"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), schema), "op7-list")
+    n, _ = parts_for(d)
+    ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return written(valued(ordered, f"{folder}-units", pattern, lambda: encoder(path), finish, "part long, shard long, path string, tokens long", SHARD_BYTES), "op7-list")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -266,9 +266,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for file, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
-                fs, at = local_fs(file)
-                with fs.open_input_stream(at, compression=None) as f:
-                    m = Wavelet(memoryview(f.read()))
+                m = opened(file)
                 flat = m.unrolled().astype("<u4")
                 ends = np.cumsum(m.lengths)
                 if (int(ends[-1]) if len(ends) else 0) != m.n:
@@ -279,8 +277,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 docs = [None if k in m.nulls else x for k, x in enumerate(m.docs.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(m.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, shards.count())
-    return placed.repartition(n, "path").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt_evenly(placed).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def opened(file: str) -> Wavelet:
+    fs, at = local_fs(file)
+    with fs.open_input_stream(at, compression=None) as f:
+        return Wavelet(memoryview(f.read()))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

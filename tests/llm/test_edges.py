@@ -336,3 +336,58 @@ def test_quality(nasty, nothing):
     names = list(quality.RULES)
     a, b = quality.judged(nasty, names), quality.judged(nasty, names[::-1])
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_units(spark):
+    """Units of odd and even texts are cut as the pattern cuts the whole text, and keys tell all of them apart."""
+    import regex
+
+    from quern.llm import units
+
+    find = regex.compile(P.PATTERN).findall
+    r = np.random.default_rng(4)
+    alphabet = ["a", "b", " ", " ", "\n", "\t", ".", "'s", "é", "　", " ", " ", " ", "\u0085", "1", "日", "\x1c", "\x00", "longer" * 5, " word", " and", ","]
+    texts = ["".join(r.choice(alphabet, int(n))) for n in r.integers(0, 30, 3000)] + ["", " ", "a", "a b", " a", "a ", "a  b", "x" * 40 + " " + "x" * 41]
+    raws = [t.encode() for t in texts]
+    buf, starts, counts = units.cut(raws, find)
+    assert buf == b"".join(raws) and counts.sum() == len(starts)
+    ends = np.append(starts[1:], len(buf)).astype(int)
+    cut = [buf[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
+    at = 0
+    for t, n in zip(texts, counts.tolist()):
+        assert [p for u in cut[at : at + n] for p in find(u.decode())] == find(t)
+        at += n
+    first, which = units.distinct(*units.keys(buf, starts, ends - starts))
+    assert len(first) == len(set(cut)) and [cut[first[k]] for k in which] == cut
+    n = np.array([0, 3, 254, 255, 256, 70_000])
+    got, at = units.read_numbers(units.small_numbers(n) + b"rest")
+    assert got.tolist() == n.tolist() and at == 4 + 6 + 12
+
+
+def test_units_over_many_chunks(spark, nasty):
+    """Tiny chunks and several partitions give what one chunk gives, in any order of rows."""
+    import tiktoken
+
+    from quern.llm import units
+
+    v = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+
+    def values():
+        import regex
+
+        v, find = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken")), regex.compile(P.PATTERN).findall
+        return lambda u: bpe.unit_ids(u, v, find)
+
+    def finish(chunks):
+        import pyarrow as pa
+
+        for c in chunks:
+            for doc, ids, counts in c.slices(50):
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays([doc, pa.array([" ".join(map(str, ids[z - n : z].tolist())) for z, n in zip(ends, counts)])], names=["doc_id", "ids"])
+
+    from quern.llm.common import scratch
+
+    got = units.valued(nasty.select("doc_id", "text"), scratch(spark, "test-units"), P.PATTERN, values, finish, "doc_id long, ids string", 3000)
+    same(got, [(i, " ".join(map(str, lib.encode_ordinary(t.decode())))) for i, t in texts(nasty)])
