@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch
-from .units import spread, valued
+from .common import scratch, spread
+from .units import CHUNK_BYTES, valued
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -202,9 +202,10 @@ def decode(ids: list[int], v: Vocabulary) -> bytes:
     return v.bytes_of(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: n_tokens and the digests of its ids and of what they decode to; with `texts` also `ids`. Rows
-    of a partition of `docs` must come again in the same order if a task is repeated, as those of a table do."""
+    of a partition of `docs` must come again in the same order if a task is repeated, as those of a table do.
+    chunk: bytes of text that a task holds at once."""
     schema = SCHEMA + (", ids array<int>" if texts else "")
 
     def values():
@@ -229,4 +230,4 @@ def encoded(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return valued(d, scratch(docs.sparkSession, "op2-units"), pattern, values, finish, schema)
+    return valued(d, scratch(docs.sparkSession, "op2-units"), pattern, values, finish, schema, chunk)

@@ -155,29 +155,80 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Hashes of every run of `width` hashed words, by prefix sums modulo 2**64 with an odd base."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = np.uint64(base | 1), np.uint64(pow(base | 1, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def sums(self, words: np.ndarray) -> np.ndarray:
-        n = len(words)
-        if len(self.up) <= n:
-            m = n + n // 8
-            self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.base))), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, self.inverse))), dtype=np.uint64)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * self.up[:n], out=s[1:])
-        return s
-
-    def __call__(self, words: np.ndarray, width: int) -> np.ndarray:
-        n = len(words)
-        if n < width:
-            return np.zeros(0, np.uint64)
-        s = self.sums(words)
-        return mix64((s[width:] - s[: n - width + 1]) * self.down[: n - width + 1])
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all elements of runs: starts[0], starts[0] + 1, ... for sizes[0], and so on."""
+    stops = np.cumsum(sizes)
+    return np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def keys(buf: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of bytes: mixed from them up to 16, else a hash."""
+    import xxhash
+
+    at = np.ndarray((len(buf) + 9,), "<u8", buf + bytes(16), strides=(1,))
+    low = at[starts] & MASK[np.minimum(sizes, 8)]
+    high = at[starts + 8] & MASK[np.clip(sizes - 8, 0, 8)]
+    n = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one = mix64(low ^ mix64(high + n))
+    two = mix64((high ^ np.uint64(0xD1342543DE82EF95)) + mix64(low + n + np.uint64(1)))
+    long = np.flatnonzero(sizes > 16)
+    if len(long):
+        h = [xxhash.xxh3_128_intdigest(buf[a : a + k]) for a, k in zip(starts[long].tolist(), sizes[long].tolist())]
+        one[long] = np.array([v & (1 << 64) - 1 for v in h], np.uint64)
+        two[long] = np.array([v >> 64 for v in h], np.uint64)
+    return one, two
+
+
+def words_in(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each word starts, its size, number of words of each text)."""
+    x = np.frombuffer(b"".join(raws), np.uint8)
+    n = np.fromiter(map(len, raws), np.int64, len(raws))
+    stops = np.cumsum(n)
+    blank = BLANK[x]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    begins = (stops - n)[n > 0]
+    first[begins] = ~blank[begins]
+    starts = np.flatnonzero(first)
+    sizes = np.add.reduceat(~blank, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    return x, starts, sizes, np.searchsorted(starts, stops) - np.searchsorted(starts, stops - n)
+
+
+def with_spaces(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: int = 1 << 17) -> tuple[bytes, np.ndarray]:
+    """(the words, one space behind each; where each word ends)."""
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+    for k in range(0, len(starts), block):
+        a, n = starts[k : k + block], sizes[k : k + block]
+        out[spread(ends[k : k + block] - n, n)] = x[spread(a, n)]
+    return out.tobytes(), ends
+
+
+def paired(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    return mix64((a ^ np.uint64(salt)) * np.uint64(0xD1342543DE82EF95) + b)
+
+
+def runs(words: np.ndarray, width: int, salt: int = 0, block: int = 1 << 16) -> np.ndarray:
+    """Hashes of every run of `width` hashed words: of runs of 1, 2, 4, ... from those half as long, and of these put
+    together. A block at a time, so that no more than the result is as long as the words."""
+    n = len(words) - width + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for at in range(0, n, block):
+        h, size, done, got = words[at : at + block + width - 1], 1, 0, None
+        while True:
+            if width & size:
+                got = h if got is None else paired(got[: len(h) - done], h[done:], salt)
+                done += size
+            if 2 * size > width:
+                break
+            h, size = paired(h[:-size], h[size:], salt), 2 * size
+        out[at : at + block] = got[: min(block, n - at)]
+    return out
 
 
 def running(df: DataFrame, order: list[str], value: str, tag: str, by: str | None = None) -> DataFrame:

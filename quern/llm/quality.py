@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, text_bytes, tidy, Rolling
+from .common import pieces, runs, text_bytes, tidy
 
 SAMPLE_ROWS = 400
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -110,7 +110,7 @@ class Words(dict):
         return h
 
 
-def repeats(words: list[list[bytes]], cache: Words, rolling: Rolling) -> np.ndarray:
+def repeats(words: list[list[bytes]], cache: Words) -> np.ndarray:
     """For each document the number of its words in WINDOW-word runs that it holds twice or more."""
     counts = np.array([len(x) for x in words], np.int64)
     out = np.zeros(len(words), np.int64)
@@ -120,10 +120,10 @@ def repeats(words: list[list[bytes]], cache: Words, rolling: Rolling) -> np.ndar
     get = cache.__getitem__
     h = np.fromiter((get(w) for x in words for w in x), np.uint64, n)
     doc = np.repeat(np.arange(len(words)), counts)
-    runs = rolling(h, WINDOW)
-    whole = doc[: len(runs)] == doc[WINDOW - 1 :]
+    five = runs(h, WINDOW)
+    whole = doc[: len(five)] == doc[WINDOW - 1 :]
     at = np.flatnonzero(whole)
-    keys = runs[at] ^ (doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys = five[at] ^ (doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     same = k[1:] == k[:-1]
@@ -164,13 +164,13 @@ def judged(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Cal
     chain = [rules[x] for x in order]
 
     def run(batches):
-        cache, rolling = Words(), Rolling(0x5851F42D4C957F2D)
+        cache = Words()
         for batch in batches:
             for b in pieces(batch):
                 raws = text_bytes(b.column("text"))
                 words = [r.split() for r in raws]
                 out = [Doc(r, w) for r, w in zip(raws, words)]
-                for d, k in zip(out, repeats(words, cache, rolling).tolist()):
+                for d, k in zip(out, repeats(words, cache).tolist()):
                     d.n_repeat_words = k
                 failed = [d.n_words < MIN_WORDS or 100 * d.n_repeat_words > REPEAT_PERCENT * d.n_words for d in out]
                 kept = [not f and all(keeps(d) for keeps in chain) for d, f in zip(out, failed)]

@@ -2,9 +2,11 @@
 
 Two fingerprints that differ in at most RADIUS bits have a variant in common that differs from each in at most RADIUS / 2.
 Every distinct fingerprint is therefore dealt to all its variants within RADIUS / 2. The shuffle is on the leading bits of
-the variants: variants of one fingerprint that share them travel as one row (137 instead of 2,081 rows at 16 bits), and
+the variants: variants of one fingerprint that share them travel as one row (137 rows at 16 bits, 277 at 23, instead of 2,081), and
 the task that gets a prefix forms the remaining bits of its variants there. Fingerprints that meet in a variant are
-verified and linked to the smallest of them, never all with all; each task hands on a spanning forest of its links.
+verified and linked to the smallest of them, never all with all; each task hands on a spanning forest of its links. There
+are more leading bits for more fingerprints, so a prefix has about as many in any corpus; of one that still has many (near
+copies share it) the task takes the next bits in turn.
 
 Defined results: documents without words (null, empty, only white space) have fingerprint 0 and are linked as any other;
 fewer words than a shingle are one shingle; null ids belong to components, but a component's id is its smallest id that
@@ -17,47 +19,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pieces, text_bytes, tidy, written
+from .common import PART_BYTES, pieces, text_bytes, tidy, with_spaces, words_in, written
 from .components import components, forest
 
-SHINGLE, RADIUS, PREFIX_BITS, SEED = 4, 4, 16, 42
+SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Fewest leading bits that variants travel by, and fingerprints for each value of them that make it more.
+PREFIX_BITS, PREFIX_ROWS = 16, 256
 
 
-def fingerprints(raws: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of texts."""
+def fingerprints(raws: list[bytes], width: int = SHINGLE, block: int = 1 << 16) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of texts. Hashes are made and counted a block at a time."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
     out = np.zeros(len(raws), np.uint64)
-    hashes, counts, owners = [], [], []
-    for k, raw in enumerate(raws):
-        w = raw.lower().split()
-        if not w:
-            continue
-        if len(w) <= width:
-            x = [h(b" ".join(w), SEED)]
-        else:
-            text = b" ".join(w)
-            ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-            starts = np.concatenate(([0], ends[: -width] + 1)).tolist()
-            x = [h(text[a:z], SEED) for a, z in zip(starts, ends[width - 1 :].tolist())]
-        hashes.append(np.array(x, np.uint64))
-        counts.append(len(x))
-        owners.append(k)
-    if hashes:
-        flat = np.concatenate(hashes)
-        n = np.array(counts)
-        at = np.cumsum(n) - n
-        ones = np.zeros((len(n), 64), np.int64)
-        step = 1 << 17
-        doc = np.repeat(np.arange(len(n)), n)
-        for a in range(0, len(flat), step):
-            bits = np.unpackbits(flat[a : a + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            d = doc[a : a + step]
-            first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-            ones[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        assert at.size == len(owners)
-        out[owners] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    x, starts, sizes, counts = words_in([r.lower() for r in raws])
+    text, stop = with_spaces(x, starts, sizes)
+    starts = stop - sizes
+    owners = np.flatnonzero(counts)
+    if not len(owners):
+        return out
+    words = counts[owners]
+    n = np.maximum(words - width + 1, 1)
+    last = np.cumsum(words)
+    doc = np.repeat(np.arange(len(n)), n)
+    word = np.arange(len(doc)) + np.repeat((last - words) - (np.cumsum(n) - n), n)
+    a_all, z_all = starts[word], stop[np.minimum(word + width - 1, np.repeat(last - 1, n))]
+    ones = np.zeros((len(n), 64), np.int64)
+    for k in range(0, len(doc), block):
+        flat = np.fromiter((h(text[a:z], SEED) for a, z in zip(a_all[k : k + block].tolist(), z_all[k : k + block].tolist())), np.uint64)
+        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        d = doc[k : k + block]
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        ones[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    out[owners] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
     return out
 
 
@@ -70,7 +65,7 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in pieces(batch, 4 << 20):
+            for b in pieces(batch, 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fingerprints(text_bytes(b.column("text")), width).view(np.int64))], names=["doc_id", "th", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, th long, fp long")
@@ -98,9 +93,9 @@ def dealt(fps: DataFrame, bits: int, half: int) -> DataFrame:
             for a in range(0, len(f), 2000):
                 g = f[a : a + 2000]
                 p = ((g >> np.uint64(64 - bits))[:, None] ^ masks).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(np.repeat(g, len(masks)).view(np.int64))], names=["prefix", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(np.repeat(g, len(masks)).view(np.int64))], names=["prefix", "fp"])
 
-    return fps.mapInArrow(tidy(run), "prefix int, fp long")
+    return fps.mapInArrow(tidy(run), "prefix long, fp long")
 
 
 def variants(prefix: np.ndarray, fp: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +131,11 @@ def met(prefix: np.ndarray, fp: np.ndarray, bits: int, radius: int) -> tuple[np.
     return f[ok], least[ok]
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows: int = 6000) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows: int = 6000, count: int = 0) -> DataFrame:
     """Links (a, b) between distinct fingerprints, of which every component keeps enough to stay connected. A task reads
     its prefixes in order and takes about `rows` fingerprints at a time; of a prefix that has more it takes the next
-    bits in turn, so its memory doesn't grow with the prefix's variants."""
+    bits in turn, so its memory doesn't grow with the prefix's variants. `count` fingerprints make more partitions, if the
+    session has too few for them."""
     half = radius // 2
 
     def links(p, f, b):
@@ -164,11 +160,12 @@ def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows:
         yield from links(p[start:], f[start:], b)
 
     def run(batches):
-        kept_p, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one prefix, which may go on
         a_all, b_all = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def take(p, f):
+        def take(some):
             nonlocal a_all, b_all
+            p, f = (np.concatenate(x) for x in zip(*some))
             for a, b in links(p.astype(np.uint64), f.view(np.uint64), bits):
                 if len(a):
                     a_all, b_all = forest(np.concatenate((a_all, a.view(np.int64))), np.concatenate((b_all, b.view(np.int64))))
@@ -176,39 +173,48 @@ def linked(fps: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS, rows:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = np.concatenate((kept_p, batch.column("prefix").to_numpy(zero_copy_only=False).astype(np.int64)))
-            f = np.concatenate((kept_f, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)))
-            cut = int(np.searchsorted(p, p[-1]))  # the last prefix may go on
-            if cut:
-                take(p[:cut], f[:cut])
-            kept_p, kept_f = p[cut:], f[cut:]
-        if len(kept_p):
-            take(kept_p, kept_f)
+            p = batch.column("prefix").to_numpy(zero_copy_only=False).astype(np.int64)
+            f = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = int(np.searchsorted(p, p[-1]))
+            if held and p[-1] != held[-1][0][-1]:
+                take([*held, (p[:cut], f[:cut])])
+                held = []
+            elif cut:
+                take([(p[:cut], f[:cut])])
+            held.append((p[cut:], f[cut:]))
+        if held:
+            take(held)
         if len(a_all):
             yield pa.RecordBatch.from_arrays([pa.array(a_all), pa.array(b_all)], names=["a", "b"])
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * (1 + bits + bits * (bits - 1) // 2) * 16 // PART_BYTES)
     return dealt(fps, bits, half).repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(tidy(run), "a long, b long")
 
 
-def clustered(prints: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
+def prefix_bits(n: int) -> int:
+    return max(PREFIX_BITS, min(32, (n // PREFIX_ROWS).bit_length()))
+
+
+def clustered(prints: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
     """(f, root, component_id) of every distinct fingerprint f in (doc_id, fp). Components without an id have none, and
     two may have the same where an id is repeated, so only the root tells them apart."""
     rep = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op5-prints")
-    roots = components(written(linked(rep.select("fp"), radius, bits), "op5-links"), "op5")
+    n = rep.count()
+    links = linked(rep.select("fp"), radius, prefix_bits(n) if bits is None else bits, count=n)
+    roots = components(written(links, "op5-links"), "op5")
     at = written(rep.join(roots, rep["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "op5-roots")
     ids = at.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     return written(at.join(ids, at["root"] == ids["r"]).select(F.col("fp").alias("f"), "root", "component_id"), "op5-components")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     prints = written(fingerprinted(docs), "op5-docs")
     c = clustered(prints, radius, bits)
     return prints.join(c, prints["fp"] == c["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, bits: int = PREFIX_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
     """One document of each component: that of the smallest id that is not null, of several texts under that id (or
     without one) that of the smallest hash, once if it is repeated."""
     names = docs.columns

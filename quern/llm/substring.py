@@ -12,7 +12,8 @@ So every repeated window holds an anchor that stands elsewhere too, and only win
   3 A chunk marks reported windows and those that it holds twice itself, and drops the words that they cover.
 
 A hash reaches its partition once from a chunk at most, however often a passage is repeated, so no group grows with the
-number of copies. All rows of the exchanges are packed arrays.
+number of copies. All rows of the exchanges are packed arrays, none of them empty, so what is exchanged grows as the words
+do; there are as many partitions as hold each one's hashes to a few times PART_BYTES, for tables of any size.
 
 Defined results: a null or empty text has no words and loses none; texts under WIDTH words lose none; repeated rows of
 WIDTH words or more lose all of them; other columns are kept as they are; an empty table gives an empty result. Rows of
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import local_fs, mix64, pieces, put_file, scratch, text_bytes, tidy, written, Rolling
+from .common import keys, local_fs, parts_for, pieces, put_file, runs, scratch, text_bytes, tidy, with_spaces, words_in, written
 
 WIDTH, PERIOD = 35, 21
 #: Every difference modulo 21 is one of two of these.
@@ -41,19 +42,16 @@ PACKED = "part int, chunk string, data binary"
 class Hashes:
     """Hashes of a chunk's words, and of its runs of words that lie within one document."""
 
-    def __init__(self, texts: list[bytes]) -> None:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest
-        per = []
-        self.counts = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            w = t.split()
-            self.counts[k] = len(w)
-            per.append(np.fromiter(map(h, w), np.uint64, len(w)))
-        self.words = mix64(np.concatenate(per)) if per else np.zeros(0, np.uint64)
+    def __init__(self, texts: list[bytes], block: int = 1 << 17) -> None:
+        self.bytes, self.begins, self.sizes, self.counts = words_in(texts)
+        raw = self.bytes.tobytes()
+        self.words = np.empty(len(self.begins), np.uint64)
+        for k in range(0, len(self.begins), block):
+            a, n = self.begins[k : k + block], self.sizes[k : k + block]
+            at, z = int(a[0]), int(a[-1] + n[-1])
+            self.words[k : k + block] = keys(raw[at:z], a - at, n)[0]
         self.starts = np.cumsum(self.counts) - self.counts
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
 
     def whole(self, width: int) -> np.ndarray:
         """Places at which a run of that many words starts within a document."""
@@ -65,7 +63,7 @@ class Hashes:
         at = self.whole(width - period + 1)
         of = self.doc[at]
         at = at[np.isin((at - self.starts[of]) % period, cover) & (self.counts[of] >= width)]
-        return at, FIRST(self.words, width - period + 1)[at] if len(at) else np.zeros(0, np.uint64)
+        return at, runs(self.words, width - period + 1)[at] if len(at) else np.zeros(0, np.uint64)
 
     def around(self, anchors: np.ndarray, width: int, period: int) -> np.ndarray:
         """Places of all windows that hold one of the anchors."""
@@ -74,13 +72,19 @@ class Hashes:
         of = self.doc[anchors]
         low = np.maximum(anchors - period + 1, self.starts[of])
         high = np.minimum(anchors, self.starts[of] + self.counts[of] - width)
-        edge = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + 1, -1)
-        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        return np.flatnonzero(over(low, high + 1, len(self.words)))
 
 
-FIRST, SECOND = Rolling(0x5851F42D4C957F2D), Rolling(0xD1342543DE82EF95)
+#: Salts of the two hashes of a window.
+FIRST, SECOND = 0, 0x5851F42D4C957F2D
+
+
+def over(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places some of the spans cover."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +104,11 @@ def packed(chunk: str, places: np.ndarray, keys: np.ndarray, more: np.ndarray |
     """The keys' rows by partition: keys, then places, then more bits of the keys."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        o = order[cuts[p] : cuts[p + 1]]
-        if len(o):
-            yield p, chunk, keys[o].tobytes() + places[o].astype("<u4").tobytes() + (b"" if more is None else more[o].astype("<u4").tobytes())
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
+    for a, z in zip(edges, edges[1:]):  # only partitions that get something: rows are never more than keys
+        o = order[a:z]
+        if z > a:
+            yield int(part[o[0]]), chunk, keys[o].tobytes() + places[o].astype("<u4").tobytes() + (b"" if more is None else more[o].astype("<u4").tobytes())
 
 
 def batch_of(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
@@ -124,7 +128,7 @@ def in_batches(rows: Iterator[tuple[int, str, bytes]], most: int = 4 << 20) -> I
         yield batch_of(held)
 
 
-def send_anchors(docs: DataFrame, folder: str, parts: int, width: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def send_anchors(docs: DataFrame, folder: str, parts: int, width: int, period: int, cover: tuple[int, ...], most: int) -> DataFrame:
     """Writes the chunks; rows of packed anchors, and one without data for each chunk."""
 
     def run(batches):
@@ -148,10 +152,10 @@ def send_anchors(docs: DataFrame, folder: str, parts: int, width: int, period: i
             yield from packed(chunk, at[first], keys[first], None, parts)
 
         for batch in batches:
-            for b in pieces(batch, CHUNK_BYTES):
+            for b in pieces(batch, min(most, 1 << 20)):
                 held.append(b)
                 size += b.nbytes
-                if size >= CHUNK_BYTES:
+                if size >= most:
                     yield from in_batches(rows())
         if held:
             yield from in_batches(rows())
@@ -232,10 +236,10 @@ def send_windows(reported: DataFrame, parts: int, width: int, period: int, cover
             w = x.around(at[far | twice], width, period)
             yield from in_batches(iter([(0, chunk, b"")]))
             if len(w):
-                keys = FIRST(x.words, width)[w]
-                first, _ = repeated(keys)
-                w, keys = w[first], keys[first]
-                yield from in_batches(packed(chunk, w, keys, (SECOND(x.words, width)[w] >> np.uint64(32)).astype(np.uint32), parts))
+                one = runs(x.words, width, FIRST)[w]
+                first, _ = repeated(one)
+                w, one = w[first], one[first]
+                yield from in_batches(packed(chunk, w, one, (runs(x.words, width, SECOND)[w] >> np.uint64(32)).astype(np.uint32), parts))
 
     return reported.mapInArrow(tidy(run), PACKED)
 
@@ -243,14 +247,16 @@ def send_windows(reported: DataFrame, parts: int, width: int, period: int, cover
 def covered(x: Hashes, places: np.ndarray, width: int) -> np.ndarray:
     """Which of the chunk's words a repeated window covers."""
     at = x.whole(width)
-    hit = np.zeros(len(x.words) + 1, np.int64)
-    if len(at):
-        keys = FIRST(x.words, width)
-        _, twice = repeated(keys[at])
-        starts = at[twice | np.isin(keys[at], keys[places.astype(np.int64)])]
-        np.add.at(hit, starts, 1)
-        np.add.at(hit, starts + width, -1)
-    return np.cumsum(hit[:-1]) > 0
+    if not len(at):
+        return np.zeros(len(x.words), bool)
+    one = runs(x.words, width, FIRST)
+    known = np.unique(one[places.astype(np.int64)])
+    one = one[at]
+    _, hit = repeated(one)
+    if len(known):
+        hit |= known[np.minimum(np.searchsorted(known, one), len(known) - 1)] == one
+    starts = at[hit]
+    return over(starts, starts + width, len(x.words))
 
 
 def finished(reported: DataFrame, schema: str, width: int, digest: bool) -> DataFrame:
@@ -262,16 +268,17 @@ def finished(reported: DataFrame, schema: str, width: int, digest: bool) -> Data
             gone = covered(x, places, width)
             lost = np.zeros(len(texts), np.int64)
             np.add.at(lost, x.doc[gone], 1)
-            kept = []
-            for k, (raw, n) in enumerate(zip(texts, lost.tolist())):
-                if n or digest:
-                    words = raw.split()
-                    if n:
-                        g = gone[x.starts[k] : x.starts[k] + len(words)].tolist()
-                        words = [w for w, out in zip(words, g) if not out]
-                    kept.append(b" ".join(words))
-                else:
+            # words that stay, of documents that are written anew
+            stay = ~gone if digest else ~gone & (lost > 0)[x.doc]
+            out, ends = with_spaces(x.bytes, x.begins[stay], x.sizes[stay])
+            left = np.bincount(x.doc[stay], minlength=len(texts))
+            stop = np.cumsum(left)
+            kept: list[bytes | None] = []
+            for n, m, z in zip(lost.tolist(), left.tolist(), stop.tolist()):
+                if not (n or digest):
                     kept.append(None)
+                else:
+                    kept.append(out[int(ends[z - m - 1]) + 1 if z > m else 0 : int(ends[z - 1])] if m else b"")
             if digest:
                 yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(x.counts), pa.array(lost), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
@@ -285,14 +292,14 @@ def finished(reported: DataFrame, schema: str, width: int, digest: bool) -> Data
     return reported.mapInArrow(tidy(run), schema)
 
 
-def exchanged(docs: DataFrame, schema: str, digest: bool, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def exchanged(docs: DataFrame, schema: str, digest: bool, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, most: int = CHUNK_BYTES) -> DataFrame:
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, tasks = parts_for(docs)
     folder = scratch(spark, "op8-chunks")
-    one = written(met(send_anchors(docs, folder, parts, width, period, cover), parts, False), "op8-anchors")
-    two = send_windows(one.repartition(parts, "chunk").sortWithinPartitions("chunk"), parts, width, period, cover)
+    one = written(met(send_anchors(docs, folder, parts, width, period, cover, most), parts, False), "op8-anchors")
+    two = send_windows(one.repartition(tasks, "chunk").sortWithinPartitions("chunk"), parts, width, period, cover)
     three = written(met(two, parts, True), "op8-windows")
-    return finished(three.repartition(parts, "chunk").sortWithinPartitions("chunk"), schema, width, digest)
+    return finished(three.repartition(tasks, "chunk").sortWithinPartitions("chunk"), schema, width, digest)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -300,8 +307,9 @@ def digests(docs: DataFrame) -> DataFrame:
     return exchanged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), DIGEST, True)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """The documents without repeated passages: the words that stay, joined by one space, where a document loses some,
-    else its text as it was. A document of which nothing stays is dropped; one without words stays."""
+    else its text as it was. A document of which nothing stays is dropped; one without words stays. chunk: bytes that a task
+    holds at once."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return exchanged(docs, schema, False)
+    return exchanged(docs, schema, False, most=chunk)

@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import dealt_evenly, local_fs, parts_for, put_file, scratch, tidy, written
-from .units import spread, valued
+from .common import dealt_evenly, local_fs, parts_for, put_file, scratch, spread, tidy, written
+from .units import valued
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
 SHARD_BYTES, END = 12 << 20, 0

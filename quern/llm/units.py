@@ -24,20 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import local_fs, mix64, parts_for, pieces, put_file, text_bytes, tidy
+from .common import keys, local_fs, parts_for, pieces, put_file, spread, text_bytes, tidy
 
 CHUNK_BYTES, SLICE_BYTES, SLICE_UNITS = 8 << 20, 1 << 20, 200_000
 ROWS = "to int, chunk string, part int, data binary"
 #: ASCII characters that str.isspace() calls white.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of all elements of runs: starts[0], starts[0] + 1, ... for sizes[0], and so on."""
-    stops = np.cumsum(sizes)
-    return np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
 
 
 def wide_white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,24 +79,6 @@ def cut(raws: list[bytes], find: Callable[[str], list[str]]) -> tuple[bytes, np.
     return buf, starts, np.searchsorted(starts, stops) - np.searchsorted(starts, begins)
 
 
-def keys(buf: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each unit: mixed from its bytes up to 16 of them, else a hash."""
-    import xxhash
-
-    at = np.ndarray((len(buf) + 9,), "<u8", buf + bytes(16), strides=(1,))
-    low = at[starts] & MASK[np.minimum(sizes, 8)]
-    high = at[starts + 8] & MASK[np.clip(sizes - 8, 0, 8)]
-    n = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    one = mix64(low ^ mix64(high + n))
-    two = mix64((high ^ np.uint64(0xD1342543DE82EF95)) + mix64(low + n + np.uint64(1)))
-    long = np.flatnonzero(sizes > 16)
-    if len(long):
-        h = [xxhash.xxh3_128_intdigest(buf[a : a + k]) for a, k in zip(starts[long].tolist(), sizes[long].tolist())]
-        one[long] = np.array([v & (1 << 64) - 1 for v in h], np.uint64)
-        two[long] = np.array([v >> 64 for v in h], np.uint64)
-    return one, two
-
-
 def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct key, in the order of `one`; which of them each place has)."""
     order = np.argsort(one)
@@ -182,7 +157,7 @@ class Gathered:
         sizes = np.diff(starts, append=len(buf))
         one, two = keys(buf, starts, sizes)
         self.docs.append(docs)
-        for held, new in ((self.buf, buf), (self.starts, starts + self.at), (self.sizes, sizes), (self.counts, counts), (self.one, one), (self.two, two)):
+        for held, new in ((self.buf, buf), (self.starts, (starts + self.at).astype(np.uint32)), (self.sizes, sizes.astype(np.uint32)), (self.counts, counts), (self.one, one), (self.two, two)):
             held.append(new)
         self.at += len(buf)
 
@@ -193,9 +168,13 @@ class Gathered:
 
         pack = zstandard.ZstdCompressor(level=1).compress
         buf = np.frombuffer(b"".join(self.buf), np.uint8)
-        one = np.concatenate(self.one)
-        first, which = distinct(one, np.concatenate(self.two))
-        starts, sizes = np.concatenate(self.starts)[first], np.concatenate(self.sizes)[first]
+        one, two = np.concatenate(self.one), np.concatenate(self.two)
+        self.one = self.two = self.buf = []
+        first, which = distinct(one, two)
+        one = one[first]
+        del two
+        starts, sizes = (np.concatenate(x)[first].astype(np.int64) for x in (self.starts, self.sizes))
+        self.starts = self.sizes = []
         if len(first) >> 24:
             raise ValueError("more units in a chunk than its file has numbers for")
         # frequent units get small numbers, which take less room
@@ -212,8 +191,9 @@ class Gathered:
         put_file(chunk, head + b"".join(body))
         to = (task * 7919 + n * 104729) & 0x7FFFFFFF
         yield to, chunk, -1, b""
-        part = ((one[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = ((one >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         flat = buf[spread(starts, sizes)]
+        del buf
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         ends = np.concatenate(([0], np.cumsum(sizes)))
         for a, z in zip(edges.tolist(), edges[1:].tolist()):
@@ -334,10 +314,10 @@ def by_chunk(batches) -> Iterator[tuple[str, list[bytes]]]:
 
 def valued(docs: DataFrame, folder: str, pattern: str, values: Callable, finish: Callable[[Iterator[Chunk]], Iterator[pa.RecordBatch]], schema: str, most: int = CHUNK_BYTES) -> DataFrame:
     """finish(chunks) -> rows. docs: doc_id, text. `most`: bytes of text in a chunk."""
-    parts, tasks = parts_for(docs)
+    _, parts = parts_for(docs)
 
     def run(batches):
         yield from finish(Chunk(path, answers) for path, answers in by_chunk(batches))
 
     back = met(sent(docs, folder, pattern, parts, most), values, parts)
-    return back.repartitionById(tasks, F.col("to") % tasks).sortWithinPartitions("chunk", "part").mapInArrow(tidy(run), schema)
+    return back.repartitionById(parts, F.col("to") % parts).sortWithinPartitions("chunk", "part").mapInArrow(tidy(run), schema)
