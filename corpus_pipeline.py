@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import bpe, language, mixing, simhash, substring
 from quern.llm.common import documents, written
 
+#: Bytes of text that a task holds at once: workers of earlier stages stay, so there is less room than for one query.
+CHUNK = 4 << 20
+
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the network knows go."""
@@ -25,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that a repeated window covers go, and documents of which nothing stays."""
-    return substring.deduplicated(docs)
+    return substring.deduplicated(docs, CHUNK)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with their number and digests."""
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, texts=True)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, texts=True, chunk=CHUNK)
 
 
 STAGES = [
