@@ -1,9 +1,10 @@
 """Language ID by a byte convolutional network in numpy.
 
 Bytes (ASCII letters lower-cased) are embedded, convolved with filters of several widths, max-pooled over fixed windows
-and classified by a softmax layer. The network is trained on the driver from a bounded sample of labelled documents (at
-most SAMPLE_ROWS of a language, in the order of a hash of the id, and of each at most SAMPLE_WINDOWS windows). Whole
-texts are classified: all their windows, in batches, each weighing as many bytes as it holds.
+and classified by a softmax layer. The network is trained on the driver from a bounded sample of labelled documents: at
+most SAMPLE_ROWS of a language (fewer of each, if there are more than SAMPLE_TOTAL / SAMPLE_ROWS languages), by a hash of
+the id, and of each at most SAMPLE_WINDOWS windows from anywhere in its text. More than MOST_LANGUAGES languages are an
+error. Whole texts are classified: all their windows, in batches, each weighing as many bytes as it holds.
 
 Defined results: `und` with score 0 if a text is null, empty or without a letter, or if no language was learned; a
 single learned language wins every other text; repeated rows get repeated results; other columns are ignored.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import drawn, first_of_each, pieces, text_bytes, tidy
 
-SAMPLE_ROWS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 6, 200
+SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_TOTAL, MOST_LANGUAGES = 400, 6, 80_000, 2000
 #: Below it a text is of no language that was learned.
 LEAST_SCORE = 0.3
 WINDOW, EMBED, FILTERS, WIDTHS = 192, 8, 12, (2, 3, 4)
@@ -108,23 +109,29 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
-    """(lang, text) of at most `rows` learnable documents of each language; of each text its first SAMPLE_WINDOWS * 4
-    windows' characters are drawn from."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, list[bytes]]]:
+    """(lang, texts of WINDOW characters or of the whole document, if that is shorter) of at most `rows` learnable documents
+    of each language. Where in the text they start depends on a hash of the id."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null and text is not null and crc32(cast(id as string)) % 4 != 2")
-    got = drawn(d, "lang", "id", rows).select("id", "lang", F.substring("text", 1, WINDOW * SAMPLE_WINDOWS * 4).alias("text")).limit(2 * MOST_LANGUAGES * rows).collect()
-    return [(r.lang, r.text.encode()) for r in sorted(first_of_each(got, "lang", "id", rows), key=lambda r: (r.lang, r.id, r.text)) if has_letter(r.text)]
-
-
-def learned(rows: list[tuple[str, bytes]], seed: int = 3) -> Net | None:
+    langs = d.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if langs > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    rows = max(1, min(rows, SAMPLE_TOTAL // max(langs, 1)))
+    start = lambda j: F.pmod(F.xxhash64("id", j), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
+    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda j: F.substr("text", start(j).cast("int"), F.lit(WINDOW))))
+    got = drawn(d, "lang", "id", rows).select("id", "lang", some.alias("some")).limit(4 * (SAMPLE_TOTAL + MOST_LANGUAGES)).collect()
+    kept = sorted(first_of_each(got, "lang", "id", rows), key=lambda r: (r.lang, r.id, r.some))
+    return [(r.lang, [x.encode() for x in r.some]) for r in kept if any(map(has_letter, r.some))]
+
+
+def learned(rows: list[tuple[str, list[bytes]]], seed: int = 3) -> Net | None:
     if not rows:
         return None
     r = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in rows})
     xs, ys = [], []
-    for lang, raw in rows:
-        w = windows(raw)
-        pick = w[r.permutation(len(w))[:SAMPLE_WINDOWS]]
+    for lang, some in rows:
+        pick = np.concatenate([windows(x[:WINDOW]) for x in some if x])
         xs.append(pick)
         ys += [langs.index(lang)] * len(pick)
         cut = int(r.integers(4, WINDOW))  # short texts are mostly filling

@@ -1,12 +1,17 @@
 """Media columns: interleaved document sequences.
 
-HTML is parsed into an ordered array of structs (position, kind, text, ref, caption). A media struct refers to its
-payload by digest. Payloads are stored once per task and digest as lossless 8-bit grey images; a join on the digest
-resolves references, and what it carries is computed on the payload side first, so payload bytes stay out of the
-shuffle. Positions and captions travel with the reference, so they stay aligned whatever the join does to the order.
-
-Defined results: a null html gives an empty sequence, a null or empty text a payload of one unit; a reference without a
-stored payload keeps its struct with null results; repeated rows give repeated results; other columns are ignored.
+HTML is parsed into an ordered array of structs (position, kind, text, ref, caption): text runs and media references in
+the order in which they stand. A media struct refers to its payload by digest. Payloads are stored once per task and
+digest as lossless 8-bit grey images; a join on the digest resolves references, and what it carries is computed on the
+payload side first, so payload bytes stay out of the shuffle. Positions and captions travel with the reference, so they
+stay aligned whatever the join does to the order, and `assembled` puts each sequence's media together again.
+
+The query makes a page of every document: its lines are paragraphs, between a figure with the document's payload and the
+same image once more at the end.
+
+Defined results: a null html gives an empty sequence, a null or empty text a payload of one unit and a page without text
+runs; a reference without a stored payload keeps its struct with null results; repeated rows give repeated results;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,7 +31,7 @@ from .common import pieces, scratch, small, text_bytes, tidy, written
 
 UNIT = 576
 ITEM = "struct<pos int, kind string, text string, ref string, caption string>"
-INFO = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+INFO = "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": None, "embed": "object", "object": "object"}
 BLOCK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "table", "article", "section", "blockquote", "pre", "header", "footer", "nav", "hr", "title"}
 
@@ -96,8 +103,9 @@ def parse(html: str | None) -> list[dict]:
     return [{"pos": i, **x} for i, x in enumerate(p.items)]
 
 
-def sequences(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `items`, the ordered structs of each row's html."""
+def sequences(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_id",), made: Callable[[bytes], str] | None = None) -> DataFrame:
+    """The kept columns and `items`, the ordered structs of each row's html. With `made` the column holds what the html is
+    made from."""
     types = dict(df.select(*keep).dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"items array<{ITEM}>"])
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
@@ -105,7 +113,8 @@ def sequences(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("doc_i
     def run(batches):
         for batch in batches:
             for b in pieces(batch, column="__html"):
-                items = [parse(x) for x in b.column("__html").to_pylist()]
+                pages = b.column("__html").to_pylist() if made is None else map(made, text_bytes(b.column("__html")))
+                items = [parse(x) for x in pages]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(items, kind)], names=[*keep, "items"])
 
     return df.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(tidy(run), schema)
@@ -165,28 +174,34 @@ def features(x: np.ndarray) -> str:
     return f"{x.shape[0]}x{x.shape[1]};mean={mean:.4f};sd={variance ** 0.5:.4f};ahash={int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
 
 
+def page(text: bytes) -> str:
+    """A document's lines as paragraphs, behind a figure with its payload and before the same image again."""
+    full = payload(text)
+    src = f"sha256:{hashlib.sha256(full).hexdigest()}"
+    paragraphs = "".join(f"<p>{escape(x, quote=False)}</p>" for x in text.decode().split("\n"))
+    return f'<article><figure><img src="{src}" width="{UNIT}" height="{len(full) // UNIT}"><figcaption>{len(text)} bytes</figcaption></figure>{paragraphs}<img src="{src}" alt="the same"></article>'
+
+
 def stored(docs: DataFrame, path: str) -> DataFrame:
-    """Writes (doc_id, n_bytes, html, digest, media) to `path`: html refers to the payload; media is the stored image, left
-    out for a digest that the same task has stored before."""
+    """Writes (digest, media) to `path`: the image of each text's payload, left out if the same task has stored it before."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
             for b in pieces(batch):
-                n, html, digests, media = [], [], [], []
-                for doc, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
+                digests, media = [], []
+                for text in text_bytes(b.column("text")):
                     full = payload(text)
                     d = hashlib.sha256(full).digest()
-                    n.append(len(text))
-                    digests.append(d.hex())
-                    html.append(f'<article><figure><img src="sha256:{d.hex()}" width="{UNIT}" height="{len(full) // UNIT}"><figcaption>document {doc}</figcaption></figure></article>')
-                    media.append(None if d in seen else png(full))
-                    if len(seen) < 500_000:
-                        seen.add(d)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
-
-    schema = "doc_id long, n_bytes long, html string, digest string, media binary"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema).write.option("compression", "none").parquet(path)
+                    if d not in seen:
+                        digests.append(d)
+                        media.append(png(full))
+                        if len(seen) < 500_000:
+                            seen.add(d)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], names=["digest", "media"])
+
+    schema = "digest binary, media binary"
+    docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -200,17 +215,18 @@ def described(store: DataFrame) -> DataFrame:
                 for digest, m in zip(b.column("digest").to_pylist(), b.column("media").to_pylist()):
                     x = samples(m)
                     raw = x.tobytes()
-                    if (sha := hashlib.sha256(raw).hexdigest()) != digest:
-                        raise ValueError(f"payload {digest} reads back as {sha}")
-                    out.append((digest, len(raw), sha, zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k in (0, 2, 5, 6) else pa.int64()) for k, c in enumerate(zip(*out))], names=[x.split()[0] for x in INFO.split(", ")])
+                    if (sha := hashlib.sha256(raw).digest()) != digest:
+                        raise ValueError(f"payload {digest.hex()} reads back as {sha.hex()}")
+                    out.append((sha, len(raw), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).digest(), features(x)))
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in INFO.split(", ")])
 
-    return store.where("media is not null").select("digest", "media").mapInArrow(tidy(run), INFO).dropDuplicates(["digest"])
+    return store.mapInArrow(tidy(run), INFO).dropDuplicates(["digest"])
 
 
 def references(seqs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per media struct: kept columns, pos, kind, caption, ref."""
-    return seqs.select(*keep, F.explode("items").alias("i")).where("i.ref is not null").select(*keep, F.col("i.pos").alias("pos"), F.col("i.kind").alias("kind"), F.col("i.caption").alias("caption"), F.col("i.ref").alias("ref"))
+    """One row per media struct: kept columns, pos, kind, caption, ref (binary)."""
+    return seqs.select(*keep, F.explode("items").alias("i")).where("i.ref is not null").select(*keep, F.col("i.pos").alias("pos"), F.col("i.kind").alias("kind"), F.col("i.caption").alias("caption"), F.unhex("i.ref").alias("ref"))
 
 
 def resolved(refs: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -218,14 +234,27 @@ def resolved(refs: DataFrame, payloads: DataFrame) -> DataFrame:
     return refs.join(payloads, refs["ref"] == payloads["digest"], "left").drop(payloads["digest"])
 
 
-def assembled(rows: DataFrame, seq_id: str, columns: list[str]) -> DataFrame:
-    """Resolved references of one sequence again as an array in order of position."""
-    return rows.groupBy(seq_id).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "caption", "ref", *columns))).alias("media"))
+def assembled(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Resolved references of one sequence again as an array in order of position. `keys` tell the sequences apart; other
+    columns of a sequence are the same in all of its rows."""
+    rest = [c for c in rows.columns if c not in (*keys, *columns, "pos", "kind", "caption", "ref")]
+    return rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in rest), F.sort_array(F.collect_list(F.struct("pos", "kind", "caption", "ref", *columns))).alias("media"))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Each document's payload stored, referred to, resolved and described; one row per row of `docs`."""
-    store = stored(docs, scratch(docs.sparkSession, "op1-store"))
-    refs = references(sequences(store, keep=("doc_id", "n_bytes")), ("doc_id", "n_bytes"))
-    out = resolved(refs, small(written(described(store), "op1-info")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    """Each document's page parsed, its payload stored, its references resolved and put together; one row per row of
+    `docs`, also with the number of text runs and the SHA-256 of these joined by line ends. Rows are told apart by their
+    place in `docs`, which must be the same if a task is repeated, as it is in a table."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    info = written(described(stored(d, scratch(docs.sparkSession, "op1-store"))), "op1-info")
+    seqs = sequences(d.withColumn("n_bytes", F.octet_length("text").cast("long")), "text", ("row", "doc_id", "n_bytes"), page)
+    runs = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    seqs = seqs.select("row", "doc_id", "n_bytes", F.size(runs).alias("n_text"), F.unhex(F.sha2(F.array_join(runs, "\n"), 256)).alias("text_sha"), F.filter("items", lambda x: x["ref"].isNotNull()).alias("items"))
+    values = ["payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    out = assembled(resolved(references(seqs, ("row", "doc_id", "n_bytes", "n_text", "text_sha")), small(info)), ["row"], values)
+    m = F.col("media")[0]
+    hexed = lambda c: F.lower(F.hex(c))
+    return out.select(
+        "doc_id", "n_bytes", m["payload_bytes"].alias("payload_bytes"), hexed(m["ref"]).alias("payload_sha256"), m["tail_crc32"].alias("tail_crc32"), m["media_bytes"].alias("media_bytes"), hexed(m["media_sha256"]).alias("media_sha256"), m["feature"].alias("feature"),
+        "n_text", hexed("text_sha").alias("text_sha256"), F.transform("media", lambda x: F.struct(x["pos"].alias("pos"), x["caption"].alias("caption"), x["payload_bytes"].alias("payload_bytes"))).alias("media"),
+    )

@@ -1,20 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses at sentence marks. One automaton finds the words and stems of the insult and threat
-transducers; only clauses with a hit are read word by word by the others: target (who is addressed), negation and
-reported speech. Their composition labels each hit's clause, e.g. insult+target or threat+negation; words outside such a
-clause count for nothing. The clause labels' weights, and the insult words and stems themselves, are learned from a
-bounded sample of labelled documents: at most SAMPLE_ROWS of each label, by the order of a hash of the id, each under
-SAMPLE_CHARS characters, never held-out rows. Scoring reads whole texts of any length.
+A text is cut into clauses at sentence marks (not at a colon, nor at a mark that a closing quote follows). One automaton
+finds words and stems that may start an insult or a threat; each clause with such a hit, however long, is turned into a
+row of symbols (hits, pronouns, negations, verbs of saying, quotes, ...), which goes through five composed transducers:
+
+  threat    a harmful act counts only with its target after it, or before it with a speaker or a future
+  negation  a hit within three words of a negation is negated; a comma or "but" ends that
+  report    a hit in a quotation with a verb of saying before or after it, or after such a verb and a colon or "that"
+  target    a pronoun within four words before a hit or three after it is its target
+  weights   of each hit by its label (insult or threat; reported, negated, targeted or plain) and its word
+
+The best path is the clause's reading, its strongest hit the clause's label. A document's score comes from how many of
+its clauses have which label and from the strongest word: isolated words count only as the reading of their clause says.
+Insult words and stems with their weights, and the weights of labels, are learned from a bounded sample of labelled
+documents: at most SAMPLE_ROWS of each label, by the order of a hash of the id, each under SAMPLE_CHARS characters, never
+held-out rows. Pronouns, negations, verbs and the like are fixed lists in four languages. Scoring reads whole texts.
 
 Defined results: a null or empty text has no clause and gets the score of one without hits; repeated rows get repeated
-results; without usable labels the weights are the priors; other columns are ignored; an empty table gives no rows.
+results; without usable labels no insult is known and the weights are the priors; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -22,27 +33,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drawn, first_of_each, pieces, tidy
+from .transducers import Symbol, Transducer, best_path, composed
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 LETTERS = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
-QUOTES = re.compile("[\"«»„“”‹›]")
-TARGETS = frozenset("you your yours yourself u ur he she him her they them his their du dich dir dein deine deinen euch ihr sie er tu te toi ton ta tes vous votre vos il elle ils elles usted ustedes tú ti tus ellos ellas él ella".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't didn't won't can't cannot without nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun aucune nunca jamás sin ni tampoco".split())
-REPORTS = frozenset("said says say saying wrote writes called calls quoted reported reports claimed claims sagte sagt schrieb nannte berichtet dit disait écrit appelé selon rapporte dijo dice escribió llamó según informa".split())
-#: Insults that are known before learning.
-SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "trash", "worthless", "disgusting", "clown", "imbecile", "dumb", "arschloch", "dummkopf", "idiotin", "abschaum", "imbécile", "abruti", "crétin", "connard", "idiota", "estúpido", "imbécil", "basura")
-THREATS = ("kill you", "hurt you", "destroy you", "beat you", "find you and", "you will die", "you will pay", "töte dich", "bring dich um", "mach dich fertig", "te tuer", "vais te", "te mataré", "voy a matar", "te voy a")
-KINDS = tuple(f"{a}{b}" for a in ("insult", "threat") for b in ("", "+target", "+negation", "+report"))
-#: Weights before learning: of the constant, then for each kind that some clause is of it, then for the logarithm of how many.
-PRIOR = np.array([-3.0] + [5.0, 5.5, 3.0, 2.5, 5.0, 6.0, 3.0, 2.5] + [0.5] * 8)
-
-
-def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chance: float = 0.05) -> list[tuple[str, bool]]:
-    """(stem, whole word only) that stand in toxic documents and hardly in others, in so many that less than `chance` such
-    stems are expected among all by luck; and the seeds that don't stand in others. Of a stem and its continuations that
-    stand in nearly as many documents the longest is kept."""
+QUOTES = "\"«»„“”‹›"
+CLAUSE = re.compile(rf"[.!?;\n]+(?![{QUOTES}.!?;\n])")
+TOKEN = re.compile(rf"[^\W\d_]+(?:['’][^\W\d_]+)*|[{QUOTES}:,]")
+#: Words of a class, in English, German, French and Spanish.
+LISTS = {
+    "you": "you your yours yourself u ur du dich dir dein deine deinen euch ihr tu te toi ton ta tes vous votre vos usted ustedes tú ti tus you're you'll",
+    "they": "he she him her they them his their sie er il elle ils elles ellos ellas él ella he's she's they're",
+    "first": "i we i'll i'm we'll ich wir je j'vais nous yo nosotros",
+    "will": "will gonna going shall must should werde werden wirst wird vais va allez vas voy va vais",
+    "neg": "not no never isn't aren't wasn't don't doesn't didn't won't can't cannot without nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun aucune nunca jamás sin ni tampoco",
+    "report": "said says say saying wrote writes called calls quoted reported reports claimed claims sagte sagt schrieb nannte berichtet dit disait écrit appelé selon rapporte dijo dice escribió llamó según informa",
+    "that": "that dass que qu'il qu'elle",
+    "but": "but aber sondern mais pero sino",
+    "harm": "kill murder strangle stab shoot hurt beat destroy crush töten töte umbringen umbringe erschlagen erschlage erwürgen erwürge vernichten vernichte tuer tuerai frapper frapperai étrangler étranglerai détruire détruirai matar mataré golpear golpearé estrangular estrangularé destruir destruiré",
+    "end": "die pay suffer sterben büßen bezahlen mourir payer souffrir morir pagar sufrir morirás pagarás",
+}
+CLASS_OF = {w: c for c, words in LISTS.items() for w in words.split()} | {q: "quote" for q in QUOTES} | {":": "colon", ",": "but"}
+NEGATED, REPORTED, TARGETED = 1, 2, 4
+LABELS = tuple(f"{a}{b}" for a in ("insult", "threat") for b in ("", "+target", "+negation", "+report"))
+#: What a label adds to a path, by which readings are chosen. An attributed quotation is preferred to one that isn't.
+STRENGTH = dict(zip(LABELS, (1.0, 3.0, 0.5, 0.25, 3.0, 4.0, 0.5, 0.25)))
+ATTRIBUTED = 100.0
+#: Weights before learning: of the constant, of some clause of a label, of the logarithm of how many, of the strongest word.
+PRIOR = np.array([-3.0] + [2.0, 5.0, 0.5, 0.5, 5.0, 6.0, 0.5, 0.5] + [0.5] * 8 + [0.3])
+
+
+def label_of(symbol: Symbol) -> str | None:
+    kind, flags = symbol
+    if kind not in ("insult", "threat"):
+        return None
+    return kind + ("+report" if flags & REPORTED else "+negation" if flags & NEGATED else "+target" if flags & TARGETED else "")
+
+
+def threat_transducer() -> Transducer:
+    """harm -> threat with "you" in the four words after it, or before it within two words and a speaker or a future within
+    four; "you will ... die". Else it is another word."""
+    arcs: dict = {}
+    for f in range(5):  # words left in which a speaker or a future counts
+        for y in range(4):  # and in which a "you" before counts
+            def after(f=f, y=y):
+                return (max(f - 1, 0), max(y - 1, 0))
+
+            of = arcs[(f, y)] = {"first": [((4, max(y - 1, 0)), None, 0, 0.0)], "will": [((4, max(y - 1, 0) or int(y > 0)), None, 0, 0.0)], "you": [((max(f - 1, 0), 3), None, 0, 0.0)], "but": [((0, 0), None, 0, 0.0)], "*": [(after(), None, 0, 0.0)]}
+            of["harm"] = [(after(), "word", 0, 0.0), (("need", 4), "threat", 0, 0.0)] + ([(after(), "threat", 0, 0.0)] if f and y else [])
+            of["end"] = [(after(), "threat" if f and y else "word", 0, 0.0)]
+    for k in range(5):
+        on = [(("need", k - 1), None, 0, 0.0)] if k else []
+        arcs[("need", k)] = {"you": [((0, 3), None, 0, 0.0)], "harm": [(n, "word", 0, w) for n, _, _, w in on], "end": [(n, "word", 0, w) for n, _, _, w in on], "*": on}
+    return Transducer((0, 0), arcs, frozenset(("need", k) for k in range(5)))
+
+
+HITS = ("insult", "threat")
+
+
+def negation_transducer(words: int = 3) -> Transducer:
+    arcs: dict = {}
+    for k in range(words + 1):
+        flag = NEGATED if k else 0
+        arcs[k] = {h: [(k, None, flag, 0.0)] for h in HITS} | {"neg": [(words, None, 0, 0.0)], "but": [(0, None, 0, 0.0)], "*": [(max(k - 1, 0), None, 0, 0.0)]}
+    return Transducer(0, arcs)
+
+
+def report_transducer(words: int = 5) -> Transducer:
+    """plain; ("said", k): a verb of saying with k more words for a quote, a colon or "that" to come; ("opens", 0): after the
+    colon; "quoted" and "told": inside; "other": inside a quotation of nobody; "later" and ("closed", k): inside one, and
+    after it, that a verb of saying must follow."""
+    on = [("plain", None, 0, 0.0)]
+    arcs: dict = {"plain": {"report": [(("said", words), None, 0, 0.0)], "quote": [("other", None, 0, 0.0), ("later", None, 0, 0.0)], "*": on}}
+    for k in range(words + 1):
+        off = [(("said", k - 1), None, 0, 0.0)] if k else on
+        arcs[("said", k)] = {"report": [(("said", words), None, 0, 0.0)], "quote": [("quoted", None, 0, 0.0)], "colon": [("opens", None, 0, 0.0)], "that": [("told", None, 0, 0.0)], "*": off}
+        arcs[("closed", k)] = {"report": [(("said", words), None, 0, ATTRIBUTED)], "*": [(("closed", k - 1), None, 0, 0.0)] if k else []}
+    arcs["opens"] = {"quote": [("quoted", None, 0, 0.0)], **{h: [("told", None, REPORTED, 0.0)] for h in HITS}, "*": [("told", None, 0, 0.0)]}
+    arcs["told"] = {h: [("told", None, REPORTED, 0.0)] for h in HITS} | {"but": on, "*": [("told", None, 0, 0.0)]}
+    arcs["quoted"] = {h: [("quoted", None, REPORTED, 0.0)] for h in HITS} | {"quote": on, "*": [("quoted", None, 0, 0.0)]}
+    arcs["other"] = {"quote": on, "*": [("other", None, 0, 0.0)]}
+    arcs["later"] = {h: [("later", None, REPORTED, 0.0)] for h in HITS} | {"quote": [(("closed", words), None, 0, 0.0)], "*": [("later", None, 0, 0.0)]}
+    return Transducer("plain", arcs, frozenset(["later", *(("closed", k) for k in range(words + 1))]))
+
+
+def target_transducer(before: int = 4, after: int = 3) -> Transducer:
+    """k > 0: a pronoun stands at most before - k words back. ("wait", k): one must follow within k words."""
+    arcs: dict = {}
+    seen = [(before, None, 0, 0.0)]
+    for k in range(before + 1):
+        hit = [(k, None, TARGETED, 0.0)] if k else [(0, None, 0, 0.0), (("wait", after), None, TARGETED, 0.0)]
+        arcs[k] = {h: hit for h in HITS} | {"you": seen, "they": seen, "but": [(0, None, 0, 0.0)], "*": [(max(k - 1, 0), None, 0, 0.0)]}
+    for k in range(after + 1):
+        off = [(("wait", k - 1), None, 0, 0.0)] if k else []
+        arcs[("wait", k)] = {h: [(n, None, TARGETED, w) for n, _, _, w in off] for h in HITS} | {"you": seen, "they": seen, "but": [], "*": off}
+    return Transducer(0, arcs, frozenset(("wait", k) for k in range(after + 1)))
+
+
+class Weights:
+    """The last transducer: one state; each hit weighs as its label does."""
+
+    start = 0
+
+    def step(self, state, symbol: Symbol):
+        label = label_of(symbol)
+        return [(0, symbol, STRENGTH[label] if label else 0.0)]
+
+    def final(self, state) -> bool:
+        return True
+
+
+def grammar():
+    return composed(threat_transducer(), negation_transducer(), report_transducer(), target_transducer(), Weights())
+
+
+def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chance: float = 0.05) -> list[tuple[str, bool, float]]:
+    """(stem, whole word only, weight) that stand in toxic documents and hardly in others, in so many that less than `chance`
+    such stems are expected among all by luck. Of a stem and its continuations that stand in nearly as many documents the
+    longest is kept. Its weight is the logarithm of how much more frequent it is in toxic documents, with half a document
+    added to either side."""
     bad, good = Counter(), Counter()
     for text, y in zip(texts, toxic):
         found = set()
@@ -59,7 +169,7 @@ def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chan
     for w in pure:
         if not w.endswith("$") and w[:-1] in pure:
             longer.setdefault(w[:-1], []).append(w)
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, float]] = []
     chosen: set[str] = set()
     for w in sorted((x for x in pure if not x.endswith("$")), key=lambda x: (-bad[x], len(x), x)):
         if any(w[:k] in chosen for k in range(3, len(w) + 1)):
@@ -68,65 +178,75 @@ def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chan
         while nxt := [x for x in longer.get(stem, []) if bad[x] >= 0.95 * bad[w]]:
             stem = max(nxt, key=lambda x: (bad[x], x))
         chosen.update((w, stem))
-        out.append((stem, bad[stem + "$"] >= 0.95 * bad[stem]))
-    return out + [(w, True) for w in SEEDS if w not in chosen and good[w + "$"] * n_bad <= purity * max(1, bad[w + "$"]) * n_good]
+        odds = (bad[stem] + 0.5) / (n_bad + 1) * (n_good + 1) / (good[stem] + 0.5)
+        out.append((stem, bad[stem + "$"] >= 0.95 * bad[stem], float(np.log(odds))))
+    return out
 
 
 class Grammar:
-    """The composed transducers; `counts` gives a text's number of clauses of each kind."""
+    """The composed transducers behind an automaton that finds where they have something to read."""
 
-    def __init__(self, insults: list[tuple[str, bool]], threats: tuple[str, ...] = THREATS) -> None:
+    def __init__(self, insults: list[tuple[str, bool, float]]) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        entries: dict[str, tuple[int, str, bool]] = {t: (1, t, True) for t in threats} | {s: (0, s, whole) for s, whole in insults}
-        for k, v in entries.items():
-            self.automaton.add_word(k, v)
-        self.empty = not entries
-        if not self.empty:
-            self.automaton.make_automaton()
-
-    def hits(self, low: str) -> list[tuple[int, int, int]]:
-        """(begin, end, insult 0 or threat 1) of all matches at word starts."""
-        if self.empty:
-            return []
-        out = []
-        for last, (kind, stem, whole) in self.automaton.iter(low):
+        for stem, whole, weight in insults:
+            self.automaton.add_word(stem, ("insult", stem, whole, weight))
+        for word in (*LISTS["harm"].split(), *LISTS["end"].split()):
+            if word not in self.automaton:
+                self.automaton.add_word(word, (CLASS_OF[word], word, True, 0.0))
+        self.automaton.make_automaton()
+        self.machine = grammar()
+
+    def hits(self, low: str) -> list[tuple[int, str, float]]:
+        """(begin, class, weight) of all matches at word starts; of several at one place the longest."""
+        out: dict[int, tuple[int, str, float]] = {}
+        for last, (kind, stem, whole, weight) in self.automaton.iter(low):
             a, z = last - len(stem) + 1, last + 1
             if (a and low[a - 1].isalpha()) or (whole and z < len(low) and low[z].isalpha()):
                 continue
-            out.append((a, z, kind))
-        return out
-
-    def counts(self, text: str) -> np.ndarray | None:
+            out[a] = (a, kind, weight)
+        return [out[a] for a in sorted(out)]
+
+    def symbols(self, low: str, begin: int, end: int, hits: dict[int, tuple[str, float]]) -> tuple[list[Symbol], list[float]]:
+        """A clause's symbols, and the weights of their words."""
+        out, weights = [], []
+        for m in TOKEN.finditer(low, begin, end):
+            found = [h for at in range(m.start(), m.end()) if (h := hits.get(at))] if hits else []
+            kind, weight = max(found, key=lambda x: x[0] == "insult") if found else (CLASS_OF.get(m[0], "word"), 0.0)
+            out.append((kind, 0))
+            weights.append(weight)
+        return out, weights
+
+    def clauses(self, text: str) -> list[tuple[str, float]]:
+        """(label, weight of the word) of each clause that has one."""
         low = text.lower()
         hits = self.hits(low)
         if not hits:
-            return None
-        out = np.zeros(8)
-        seen: set[tuple[int, int]] = set()
-        for a, z, kind in hits:
-            begin = end = None
-            for m in CLAUSE.finditer(low, max(0, a - 400), a):
-                begin = m.end()
-            begin = max(0, a - 400) if begin is None else begin
-            m = CLAUSE.search(low, z, min(len(low), z + 400))
-            end = m.start() if m else min(len(low), z + 400)
-            if (begin, kind) in seen:
-                continue
-            seen.add((begin, kind))
-            words = set(LETTERS.findall(low[begin:end])) | set(low[begin:end].split())
-            reported = bool(words & REPORTS) and bool(QUOTES.search(low, begin, end))
-            negated = bool(set(low[begin:a].split()[-3:]) & NEGATIONS)
-            out[4 * kind + (3 if reported else 2 if negated else 1 if words & TARGETS else 0)] += 1
+            return []
+        marks = [m.end() for m in CLAUSE.finditer(low)]
+        by: dict[int, dict[int, tuple[str, float]]] = {}
+        for a, kind, weight in hits:
+            by.setdefault(bisect_right(marks, a), {})[a] = (kind, weight)
+        out = []
+        for k, mine in by.items():
+            symbols, weights = self.symbols(low, marks[k - 1] if k else 0, marks[k] if k < len(marks) else len(low), mine)
+            best = best_path(self.machine, symbols)
+            labels = [(STRENGTH[x], w, x) for y, w in zip(best[1], weights) if (x := label_of(y))] if best else []
+            if labels:
+                _, weight, label = max(labels)
+                out.append((label, weight))
         return out
 
 
-def vector(counts: np.ndarray | None) -> np.ndarray:
-    x = np.zeros(17)
+def vector(clauses: list[tuple[str, float]]) -> np.ndarray:
+    x = np.zeros(len(PRIOR))
     x[0] = 1
-    if counts is not None:
-        x[1:9], x[9:] = counts > 0, np.log1p(counts)
+    for label, weight in clauses:
+        x[9 + LABELS.index(label)] += 1
+        x[17] = max(x[17], weight * (STRENGTH[label] >= 1))
+    x[1:9] = x[9:17] > 0
+    x[9:17] = np.log1p(x[9:17])
     return x
 
 
@@ -177,7 +297,7 @@ def distinct(rows: list[tuple[str, int]], width: int = 3, sketch: int = 4) -> li
     return out
 
 
-def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool]], np.ndarray]:
+def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool, float]], np.ndarray]:
     """Words from two thirds of the sample and clause weights from the rest, where words haven't been fitted."""
     rows = distinct(rows)
     one = [r for k, r in enumerate(rows) if k % 3]
@@ -186,13 +306,13 @@ def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool]], np.nda
     if not two:
         return words, PRIOR
     g = Grammar(words)
-    w = fitted(np.array([vector(g.counts(t)) for t, _ in two]), np.array([y for _, y in two], float))
+    w = fitted(np.array([vector(g.clauses(t)) for t, _ in two]), np.array([y for _, y in two], float))
     return learned_words([t for t, _ in rows], [y for _, y in rows]), w
 
 
-def scored(docs: DataFrame, words: list[tuple[str, bool]], weights: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, words: list[tuple[str, bool, float]], weights: np.ndarray) -> DataFrame:
     """One row per document: held_out, score, predicted."""
-    none = float(1 / (1 + np.exp(-vector(None) @ weights)))
+    none = float(1 / (1 + np.exp(-vector([]) @ weights)))
 
     def run(batches):
         g = Grammar(words)
@@ -200,8 +320,8 @@ def scored(docs: DataFrame, words: list[tuple[str, bool]], weights: np.ndarray)
             for b in pieces(batch):
                 score = []
                 for text in b.column("text").to_pylist():
-                    c = g.counts(text) if text else None
-                    score.append(none if c is None else float(1 / (1 + np.exp(-np.clip(vector(c) @ weights, -30, 30)))))
+                    c = g.clauses(text) if text else []
+                    score.append(none if not c else float(1 / (1 + np.exp(-np.clip(vector(c) @ weights, -30, 30)))))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
