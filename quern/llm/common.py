@@ -25,8 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a folder of the machine only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset a session of one machine gets
+    a folder of it; any other is refused, as its executors would write each to a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with its scheme, so that Python and Spark mean one folder
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{whole.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
@@ -124,16 +129,15 @@ def dealt_evenly(files: DataFrame) -> DataFrame:
     return files.coalesce(1).repartition(max(1, min(n, files.count())))
 
 
-#: Rows that Spark hands to a Python worker at once, so that a batch of whole texts stays small on both sides.
-BATCH_ROWS = "1000"
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has the session hand rows to Python workers so many at a time, if it isn't told otherwise: a batch of whole texts then
+    stays small on both sides. For programs that own their session; operators don't change it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def tidy(run):
-    """A task's function that gives freed memory back at its end: workers stay for later tasks, of other operators too.
-    On the driver it also has the session hand over small batches, if it isn't told otherwise."""
-    session = SparkSession.getActiveSession()
-    if session is not None and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A task's function that gives freed memory back at its end: workers stay for later tasks, of other operators too."""
 
     def wrapped(batches):
         try:

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
-from .common import documents
+from .common import documents, small_batches
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(f):
-    Q[f.__name__] = f
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    Q[f.__name__] = run
     return f
 
 

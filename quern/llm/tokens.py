@@ -259,9 +259,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataF
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32. The window orders one row per shard."""
-    w = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.withColumn("start", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
+    placed = with_starts(shards)
 
     def run(batches):
         for b in batches:
@@ -286,5 +285,67 @@ def opened(file: str) -> Wavelet:
         return Wavelet(memoryview(f.read()))
 
 
+#: Positions that one key of the join of positions and shards stands for.
+BIN = 1 << 22
+
+
+def with_starts(shards: DataFrame) -> DataFrame:
+    """Adds `start`, the ids of all shards before. The window orders one row per shard."""
+    w = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.withColumn("start", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+
+
+def tokens_at(shards: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, token) of global positions (position long), from the shards' files; null outside of the corpus. A shard is
+    joined by the bins of positions that it reaches into, so no position meets more than a few shards."""
+    s = with_starts(shards).withColumn("bin", F.explode(F.sequence(F.expr(f"start div {BIN}"), F.expr(f"(start + tokens - 1) div {BIN}"))))
+    p = positions.select(F.col("position").cast("long").alias("position")).withColumn("bin", F.expr(f"position div {BIN}"))
+    met = p.join(s, "bin").where("position >= start and position < start + tokens").select("path", "start", "position")
+
+    def run(batches):
+        name, m = None, None
+        for b in batches:
+            out = []
+            for path, start, at in zip(*(b.column(c).to_pylist() for c in ("path", "start", "position"))):
+                if path != name:
+                    name, m = path, opened(path)
+                out.append(m.access(at - start))
+            yield pa.RecordBatch.from_arrays([b.column("position"), pa.array(out, pa.int64())], names=["position", "token"])
+
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(n, "path", F.expr(f"position div {BIN >> 4}")).sortWithinPartitions("path", "position").mapInArrow(tidy(run), "position long, token long").distinct()
+    return positions.select(F.col("position").cast("long").alias("position")).join(found, "position", "left")
+
+
+def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of the tokens stands in the corpus, by rank on the bit-planes of each shard."""
+    tokens = sorted({int(t) for t in tokens})
+
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                m = opened(path)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([m.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    found = dealt_evenly(shards).mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    every = shards.sparkSession.createDataFrame([(t,) for t in tokens], "token long")
+    return every.join(found, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def token_places(shards: DataFrame, tokens: list[int], block: int = 10_000) -> DataFrame:
+    """(token, position) of all occurrences, by select on the bit-planes of each shard."""
+
+    def run(batches):
+        for b in batches:
+            for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
+                m = opened(path)
+                for t in sorted(set(tokens)):
+                    for a in range(0, n := m.count(t), block):
+                        at = [start + m.select(t, k) for k in range(a, min(a + block, n))]
+                        yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int64()), pa.array(at, pa.int64())], names=["token", "position"])
+
+    return dealt_evenly(with_starts(shards)).mapInArrow(tidy(run), "token long, position long")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return read_shards(write_shards(docs, path, pattern, scratch(docs.sparkSession, "op7-shards")))

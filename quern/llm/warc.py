@@ -18,7 +18,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import local_fs, pieces, put_file, scratch, small, text_bytes, tidy, written
+from .common import BROADCAST_ROWS, dealt_evenly, local_fs, pieces, put_file, scratch, text_bytes, tidy, written
 
 MAGIC, LEVEL = 0x184D2A5D, 3
 DICT_BYTES, DICT_ROWS, SHARD_BYTES, MIN_REVISIT = 64 << 10, 600, 128 << 20, 100
@@ -141,13 +141,22 @@ def page(data: bytes, payload: bool = False) -> tuple:
     return (*out, body if kind == "response" else None) if payload else out
 
 
-def typed(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to, null for responses."""
+def typed(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """page_id, url, html and refers_to, null for responses. Digests that repeat are broadcast if they are few; else pages
+    are shuffled by digest, those of frequent digests dealt to `salts` tasks each and those without one by their id."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keys = p.where(F.octet_length("html") >= MIN_REVISIT).select("page_id", F.sha2("html", 256).alias("digest"))
-    first = small(written(keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "op3-first"))
-    p = p.withColumn("d", F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256)))
-    out = p.join(first, p["d"] == first["digest"], "left")
+    p = p.withColumn("d", F.when(F.octet_length("html") >= MIN_REVISIT, F.unhex(F.sha2("html", 256))))
+    first = written(p.where("d is not null").groupBy(F.col("d").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "op3-first")
+    if first.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        out = p.join(F.broadcast(first), p["d"] == first["digest"], "left")
+    else:
+        # as many hot digests as there are partitions at most, so they may be broadcast
+        least = F.lit(pages.count() / int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        hot = F.broadcast(first.where(F.col("n") > least).select(F.col("digest").alias("h")))
+        own = F.xxhash64("page_id", "url")
+        p = p.join(hot, p["d"] == hot["h"], "left").withColumn("salt", F.when(F.col("d").isNull(), own).when(F.col("h").isNotNull(), F.pmod(own, F.lit(salts))).otherwise(F.lit(0)))
+        first = first.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > least, salts - 1).otherwise(0).cast("long"))))
+        out = p.join(first, (F.coalesce("d", F.lit(b"")) == first["digest"]) & (p["salt"] == first["s"]), "left")
     return out.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -184,7 +193,7 @@ def write_archives(rows: DataFrame, words: bytes, folder: str) -> DataFrame:
 
 
 def read_archives(shards: DataFrame, payload: bool = False) -> DataFrame:
-    """All records of the archives in `path`, with the payload if asked for. Archives are dealt one by one."""
+    """All records of the archives in `path`, with the payload if asked for. Archives are dealt in turn to a bounded number of tasks."""
 
     def run(batches):
         names = [x.split()[0] for x in RECORD.split(", ")] + ["html"] * payload
@@ -205,8 +214,7 @@ def read_archives(shards: DataFrame, payload: bool = False) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    n = max(1, shards.count())
-    return shards.repartition(n, "path").mapInArrow(tidy(run), RECORD + (", html binary" if payload else ""))
+    return dealt_evenly(shards).mapInArrow(tidy(run), RECORD + (", html binary" if payload else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

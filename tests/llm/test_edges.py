@@ -551,3 +551,38 @@ def test_units_over_many_chunks(spark, nasty):
 
     got = units.valued(nasty.select("doc_id", "text"), scratch(spark, "test-units"), P.PATTERN, values, finish, "doc_id long, ids string", 3000)
     same(got, [(i, " ".join(map(str, lib.encode_ordinary(t.decode())))) for i, t in texts(nasty)])
+
+
+def test_token_lookups(spark, nasty):
+    """Tokens by position, counts and places over all shards, against the flat ids."""
+    from tokenizers import Tokenizer
+
+    from quern.llm.common import scratch
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    order = sorted(texts(nasty), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    flat = [i for _, x in order for i in [*t.encode(x.decode(), add_special_tokens=False).ids, 0]]
+    shards = tokens.write_shards(nasty, P.path("byte_bpe_50k.json"), P.PATTERN, scratch(spark, "test-shards"))
+    assert shards.count() > 1
+    wanted = [0, 1, 5, len(flat) // 2, len(flat) - 1, len(flat), 5]
+    got = Counter(map(tuple, tokens.tokens_at(shards, spark.createDataFrame([(x,) for x in wanted], "position long")).collect()))
+    assert got == Counter((x, flat[x] if x < len(flat) else None) for x in wanted)
+    some = [0, flat[0], flat[7], 50_000, 1 << 30]
+    assert Counter(map(tuple, tokens.token_counts(shards, some).collect())) == Counter((x, flat.count(x)) for x in set(some))
+    assert sorted(map(tuple, tokens.token_places(shards, some).collect())) == sorted((x, k) for k, x in enumerate(flat) if x in set(some))
+
+
+def test_warc_without_broadcast(nasty):
+    a, b = (sorted(map(str, warc.typed(pages_of(nasty), n).collect())) for n in (100_000, 0))
+    assert a == b and any("refers_to=0" in x for x in a)
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quern.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.scratch(far, "x")
