@@ -11,9 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..model import CountMatrix
+from ..model import BROADCAST_ROWS, CountMatrix, few
 from .storage import materialized
 
 MAX_CELLS = 40_000_000
@@ -36,28 +36,64 @@ class Packed:
 def packed(m: CountMatrix, features: list | None = None) -> Packed:
     """The matrix by sample. `features` fixes the index of features; others are left out."""
     spark = m.entries.sparkSession
-    names = [r[0] for r in m.features.select("feature_id").distinct().orderBy("feature_id").collect()] if features is None else list(features)
+    names = sorted(r[0] for r in few(m.features.select("feature_id").distinct(), MAX_CELLS, "features")) if features is None else list(features)
     dim = spark.createDataFrame([(f, i) for i, f in enumerate(names)], f"feature_id {dict(m.features.dtypes)['feature_id']}, i int")
-    e = m.entries.join(F.broadcast(dim), "feature_id").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("e"))
+    e = m.entries.join(F.broadcast(dim) if len(names) <= BROADCAST_ROWS else dim, "feature_id").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("e"))
     rows = m.samples.select("sample_id").distinct().join(e, "sample_id", "left").select("sample_id", F.coalesce(F.transform("e", lambda x: x["i"]), F.array().cast("array<int>")).alias("idx"), F.coalesce(F.transform("e", lambda x: x["value"]), F.array().cast("array<double>")).alias("val"))
     rows = materialized(rows, "packed")
     return Packed(rows, names, rows.count(), dict(rows.dtypes)["sample_id"])
 
 
-def dense(batch: pa.RecordBatch, p: int, step: int = 512):
-    """(first row, rows x p array) in steps of a batch."""
+#: Stored entries that a pass takes at a time.
+STEP = 200_000
+
+
+class Rows:
+    """Some samples as the compressed rows that they are stored as; no pass makes them dense."""
+
+    def __init__(self, idx: np.ndarray, val: np.ndarray, counts: np.ndarray, p: int) -> None:
+        self.idx, self.val, self.counts, self.p, self.n = idx, val, counts, p, len(counts)
+        self.row = np.repeat(np.arange(self.n), counts)
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        """rows x features times features x k."""
+        out = np.zeros((self.n, q.shape[1]))
+        some = np.flatnonzero(self.counts)
+        if len(some):
+            out[some] = np.add.reduceat(self.val[:, None] * q[self.idx], (np.cumsum(self.counts) - self.counts)[some], axis=0)
+        return out
+
+    def across(self, h: np.ndarray, val: np.ndarray | None = None) -> np.ndarray:
+        """features x rows times rows x k; `val` in place of the stored values."""
+        val = self.val if val is None else val
+        return np.column_stack([np.bincount(self.idx, val * h[self.row, j], self.p) for j in range(h.shape[1])])
+
+    def products(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(h w') at the stored entries."""
+        return (h[self.row] * w[self.idx]).sum(axis=1)
+
+    def sums(self, val: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.row, self.val if val is None else val, self.n)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.p))
+        out[self.row, self.idx] = self.val
+        return out
+
+
+def stored(batch: pa.RecordBatch, p: int):
+    """The batch's samples in steps of about STEP stored entries."""
     idx, val = batch.column("idx"), batch.column("val")
-    off, flat_i, flat_v = idx.offsets.to_numpy(), idx.values.to_numpy(), val.values.to_numpy()
-    for a in range(0, batch.num_rows, step):
-        z = min(a + step, batch.num_rows)
-        out = np.zeros((z - a, p))
-        r = np.repeat(np.arange(z - a), np.diff(off[a : z + 1]))
-        out[r, flat_i[off[a] : off[z]]] = flat_v[off[a] : off[z]]
-        yield a, out
+    off = idx.offsets.to_numpy().astype(np.int64)
+    flat_i, flat_v = idx.values.to_numpy(), val.values.to_numpy()
+    block = (off[1:] - off[0]) // STEP
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for a, z in zip(cuts, cuts[1:]):
+        yield Rows(flat_i[off[a] : off[z]], flat_v[off[a] : off[z]], np.diff(off[a : z + 1]), p)
 
 
 def summed(pk: Packed, visit, k: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over samples of visit(rows x p) -> (p x k array, vector of `extra` numbers)."""
+    """Sums over samples of visit(Rows) -> (p x k array or None, vector of `extra` numbers)."""
     if pk.p * k > MAX_CELLS:
         raise ValueError(f"{pk.p} features times {k} factors are too many for one pass: select features first")
     p = pk.p
@@ -65,37 +101,42 @@ def summed(pk: Packed, visit, k: int, extra: int = 0) -> tuple[np.ndarray, np.nd
     def run(batches):
         total, more = np.zeros((p, k)), np.zeros(extra)
         for b in batches:
-            for _, x in dense(b, p):
+            for x in stored(b, p):
                 t, e = visit(x)
-                total += t
+                if t is not None:
+                    total += t
                 if extra:
                     more += e
         rows = np.concatenate([total, np.pad(more.reshape(-1, 1), ((0, 0), (0, k - 1)))]) if extra else total
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), *(pa.array(rows[:, j]) for j in range(k))], names=["f", *(f"c{j}" for j in range(k))])
+        at = np.flatnonzero((rows != 0).any(axis=1))  # features that no sample here has are left out
+        for a in range(0, len(at), 10_000):
+            i = at[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *(pa.array(rows[i, j]) for j in range(k))], names=["f", *(f"c{j}" for j in range(k))])
 
     out = pk.rows.mapInArrow(run, "f int, " + ", ".join(f"c{j} double" for j in range(k))).groupBy("f").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k)))
     got = np.zeros((p + extra, k))
-    for r in out.collect():
-        got[r[0]] = r[1:]
+    table = out.toArrow()
+    got[table.column("f").to_numpy()] = np.column_stack([table.column(f"c{j}").to_numpy() for j in range(k)]) if table.num_rows else 0
     return got[:p], got[p:, 0]
 
 
 def each(pk: Packed, solve, name: str) -> DataFrame:
-    """(sample_id, name array<double>): solve(rows x p) for each sample."""
+    """(sample_id, name array<double>): solve(Rows) for each sample."""
     p = pk.p
 
     def run(batches):
         for b in batches:
-            parts = [solve(x) for _, x in dense(b, p)]
-            if parts:
-                y = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.reshape(-1)))], names=["sample_id", name])
+            at = 0
+            for x in stored(b, p):
+                y = solve(x)
+                yield pa.RecordBatch.from_arrays([b.column("sample_id").slice(at, len(y)), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.reshape(-1)))], names=["sample_id", name])
+                at += len(y)
 
     return pk.rows.mapInArrow(run, f"sample_id {pk.id_type}, {name} array<double>")
 
 
 def means(pk: Packed) -> np.ndarray:
-    return summed(pk, lambda x: (x.sum(axis=0)[:, None], None), 1)[0][:, 0] / max(pk.n, 1)
+    return summed(pk, lambda x: (np.bincount(x.idx, x.val, x.p)[:, None], None), 1)[0][:, 0] / max(pk.n, 1)
 
 
 def signs(u: np.ndarray) -> np.ndarray:
@@ -112,7 +153,7 @@ def truncated_svd(pk: Packed, k: int, center: bool = True, rounds: int = 12, see
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(pk.p, r)))[0]
     last = None
     for _ in range(rounds):
-        z = summed(pk, lambda x, q=q: (x.T @ (x @ q), None), r)[0] - pk.n * np.outer(mu, mu @ q)
+        z = summed(pk, lambda x, q=q: (x.across(x @ q), None), r)[0] - pk.n * np.outer(mu, mu @ q)
         t = q.T @ z
         values, vectors = np.linalg.eigh((t + t.T) / 2)
         order = np.argsort(-values)
@@ -129,7 +170,8 @@ def pca(pk: Packed, k: int, scaled: bool = False, seed: int = 1) -> DataFrame:
     u, d, mu = truncated_svd(pk, k, seed=seed)
     inv = np.where(d > 1e-10 * max(d.max(), 1e-300), 1 / np.maximum(d, 1e-300), 0)
     m = u if scaled else u * inv
-    return each(pk, lambda x: (x - mu) @ m, "v")
+    at = mu @ m
+    return each(pk, lambda x: x @ m - at, "v")
 
 
 def nnls(gram: np.ndarray, rhs: np.ndarray, sweeps: int = 200, tol: float = 1e-10, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> np.ndarray:

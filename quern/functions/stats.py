@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -104,23 +104,19 @@ def holm(p) -> np.ndarray:
     return out
 
 
-def bh_column(p: str, key: str) -> Column:
-    """Benjamini-Hochberg over a bounded table (one row per feature), ties by key."""
-    up = Window.orderBy(F.col(p).asc(), F.col(key).asc())
-    down = Window.orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return F.least(F.lit(1.0), F.min(F.col(p) * F.count("*").over(Window.partitionBy()) / F.row_number().over(up)).over(down))
+#: p-values (one per feature, or pair of clusters) that are adjusted on the driver.
+MOST_P = 5_000_000
 
 
-def bh_table(df: DataFrame, p: str, key: str, out: str = "p_adj") -> DataFrame:
-    w = Window.orderBy(F.col(p), F.col(key))
-    d = df.withColumn("__r", F.row_number().over(w)).withColumn("__m", F.count("*").over(Window.partitionBy()))
-    return d.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(Window.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)))).drop("__r", "__m")
+def adjusted(df: DataFrame, p: str, keys: list[str], method, out: str = "p_adj") -> DataFrame:
+    """The keys, p and p adjusted by `bh` or `holm` over all rows. One number a row is worked on the driver, for MOST_P rows at
+    most; the frame itself stays where it is."""
+    from ..model import few
 
-
-def holm_table(df: DataFrame, p: str, keys: list[str], out: str = "p_adj") -> DataFrame:
-    w = Window.orderBy(F.col(p), *keys)
-    d = df.withColumn("__r", F.row_number().over(w)).withColumn("__m", F.count("*").over(Window.partitionBy()))
-    return d.withColumn(out, F.least(F.lit(1.0), F.max((F.col("__m") - F.col("__r") + 1) * F.col(p)).over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)))).drop("__r", "__m")
+    rows = few(df.select(*keys, p), MOST_P, "p-values")
+    kinds = dict(df.dtypes)
+    values = method([r[-1] for r in rows])
+    return df.sparkSession.createDataFrame([(*r, float(v)) for r, v in zip(rows, values)], ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, p)), f"`{out}` double"]))
 
 
 def spline_fit(x: np.ndarray, y: np.ndarray, k: int = 10) -> np.ndarray:

@@ -19,6 +19,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def few(df: DataFrame, rows: int, what: str) -> list:
+    """The rows of a frame of which at most `rows` fit on the driver; raises if there are more."""
+    out = df.limit(rows + 1).collect()
+    if len(out) > rows:
+        raise ValueError(f"more than {rows} {what}")
+    return out
+
+
 @dataclass(frozen=True)
 class CountMatrix:
     entries: DataFrame

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import linalg
 from ..functions.storage import materialized
-from ..model import CountMatrix, bounded
-from .factorize import gram_of, products, solved, _completed
+from ..model import CountMatrix, bounded, few
+from .factorize import _check_loss, _completed, gram_of, kl_scores, products, project_samples, solved
 from .groups import flatten_groups, unflatten_groups  # noqa: F401  one import for both kinds of sets
 
 
@@ -29,7 +29,8 @@ def cluster_indicator(groups: DataFrame) -> DataFrame:
 
 
 def associate_pearson(m: CountMatrix, h: DataFrame, k: int) -> DataFrame:
-    """(feature_id, factor_idx, assoc): correlations over all samples from sums on stored entries, zeros included."""
+    """(feature_id, factor_idx, assoc): correlations over all samples from sums on stored entries, zeros included; null where
+    a side is constant, as for features without entries."""
     n = h.count()
     tot = h.agg(*(F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(k)), *(F.sum(F.col("h")[i] * F.col("h")[i]).alias(f"q{i}") for i in range(k))).first()
     sums = m.entries.join(h, "sample_id").groupBy("feature_id").agg(F.sum("value").alias("a"), F.sum(F.col("value") * F.col("value")).alias("aa"), *(F.sum(F.col("value") * F.col("h")[i]).alias(f"p{i}") for i in range(k)))
@@ -39,7 +40,7 @@ def associate_pearson(m: CountMatrix, h: DataFrame, k: int) -> DataFrame:
         up = F.col(f"p{i}") - F.col("a") * F.lit(s / n)
         down = F.sqrt((F.col("aa") - F.col("a") * F.col("a") / F.lit(float(n))) * F.lit(max(q - s * s / n, 0.0)))
         cols.append(F.struct(F.lit(i + 1).alias("factor_idx"), F.when(down > 0, up / down).alias("assoc")))
-    return m.features.join(sums, "feature_id").select("feature_id", F.explode(F.array(*cols)).alias("c")).select("feature_id", "c.*")
+    return m.features.join(sums, "feature_id", "left").select("feature_id", F.explode(F.array(*cols)).alias("c")).select("feature_id", "c.*")
 
 
 def average_ranks(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
@@ -348,14 +349,17 @@ def geneset_sums(m: CountMatrix, genesets: DataFrame) -> DataFrame:
     return m.entries.join(long, "feature_id").groupBy("geneset", "sample_id").agg(F.sum("value").alias("total"))
 
 
-def project_genesets(m: CountMatrix, genesets: DataFrame, method: str = "lm", max_iter: int = 20) -> tuple[list[str], DataFrame, DataFrame]:
-    """(names, w(feature_id, w), h(sample_id, h)): scores of sets. lm: least squares on membership; mf: factorisation whose
-    loadings stay 0 outside of the sets."""
-    names = [r[0] for r in genesets.select("geneset").distinct().orderBy("geneset").collect()]
+def project_genesets(m: CountMatrix, genesets: DataFrame, method: str = "lm", max_iter: int = 20, loss: str = "mse") -> tuple[list[str], DataFrame, DataFrame]:
+    """(names, w(feature_id, w), h(sample_id, h)): scores of sets. lm: least squares (or, with the loss "mkl", least KL
+    divergence) on membership; mf: factorisation whose loadings stay 0 outside of the sets."""
+    names = sorted(r[0] for r in few(genesets.select("geneset").distinct(), 10_000, "sets"))
     k = len(names)
     at = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))
     member = genesets_indicator(genesets).join(m.features, "feature_id", "left_semi").withColumn("i", at[F.col("geneset")])
     w = member.groupBy("feature_id").agg(F.collect_set("i").alias("s")).select("feature_id", F.array(*(F.when(F.array_contains("s", i), 1.0).otherwise(0.0) for i in range(k))).alias("w"))
+    if method == "lm" and loss == "mkl":
+        return names, w, project_samples(m, w, k, loss=loss)
+    _check_loss(loss)
     if method == "lm":
         return names, w, _completed(solved(products(m.entries, bounded(w), "feature_id", "sample_id", "w", k), gram_of(w, "w", k), "sample_id", "h"), m.samples, "sample_id", "h", k)
     if method != "mf":
@@ -366,24 +370,34 @@ def project_genesets(m: CountMatrix, genesets: DataFrame, method: str = "lm", ma
     for r in w.collect():
         mask[index[r.feature_id]] = r.w
     x = mask.copy()
-    for _ in range(max_iter):
+    if loss == "mkl":
+        for _ in range(max_iter):  # a zero stays a zero under multiplicative updates
+            def visit(a, x=x):
+                h = kl_scores(a, x)
+                return a.across(h, a.val / (a.products(h, x) + 1e-12)), h.sum(axis=0)
+
+            up, down = linalg.summed(pk, visit, k, k)
+            x = x * up / np.maximum(down, 1e-300)
+        h = linalg.each(pk, lambda a: kl_scores(a, x), "h")
+    else:
+        for _ in range(max_iter):
+            g = x.T @ x
+
+            def visit(a, x=x, g=g):
+                h = linalg.nnls(g, a @ x)
+                return a.across(h), (h.T @ h).reshape(-1)
+
+            b, hh = linalg.summed(pk, visit, k, k * k)
+            hh = hh.reshape(k, k)
+            new = np.zeros_like(x)
+            for pattern in {tuple(r) for r in mask.astype(bool).tolist()}:
+                cols = np.flatnonzero(pattern)
+                rows = np.flatnonzero((mask.astype(bool) == np.array(pattern)).all(axis=1))
+                if len(cols):
+                    new[np.ix_(rows, cols)] = linalg.nnls(hh[np.ix_(cols, cols)], b[np.ix_(rows, cols)])
+            x = new
         g = x.T @ x
-
-        def visit(a, x=x, g=g):
-            h = linalg.nnls(g, a @ x)
-            return a.T @ h, (h.T @ h).reshape(-1)
-
-        b, hh = linalg.summed(pk, visit, k, k * k)
-        hh = hh.reshape(k, k)
-        new = np.zeros_like(x)
-        for pattern in {tuple(r) for r in mask.astype(bool).tolist()}:
-            cols = np.flatnonzero(pattern)
-            rows = np.flatnonzero((mask.astype(bool) == np.array(pattern)).all(axis=1))
-            if len(cols):
-                new[np.ix_(rows, cols)] = linalg.nnls(hh[np.ix_(cols, cols)], b[np.ix_(rows, cols)])
-        x = new
-    g = x.T @ x
-    h = linalg.each(pk, lambda a: linalg.nnls(g, a @ x), "h")
+        h = linalg.each(pk, lambda a: linalg.nnls(g, a @ x), "h")
     spark = m.entries.sparkSession
     kind = dict(m.features.dtypes)["feature_id"]
     return names, spark.createDataFrame([(f, [float(v) for v in row]) for f, row in zip(pk.features, x)], f"feature_id {kind}, w array<double>"), h
@@ -396,34 +410,21 @@ def geneset_loadings(w: DataFrame, weights: DataFrame, genesets: DataFrame) -> D
     return j.groupBy("geneset", (F.col("i") + 1).alias("factor_idx")).agg(F.avg(F.col("x") * F.col("weight")).alias("loading"))
 
 
-def enrichment_scores(assoc: DataFrame, genesets: DataFrame, power: float = 1.0) -> DataFrame:
-    """(factor_idx, geneset, es): weighted running-sum statistic of each set along a factor's features in falling order;
-    the value farthest from zero, the upper one on ties."""
-    w = Window.partitionBy("factor_idx").orderBy(F.col("assoc").desc(), "feature_id")
-    ranked = assoc.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("factor_idx")))
-    hits = ranked.join(genesets_indicator(genesets), "feature_id").withColumn("hit", F.pow(F.abs("assoc"), F.lit(float(power))))
-    s = Window.partitionBy("factor_idx", "geneset")
-    run = s.orderBy("r")
-    h = hits.withColumn("m", F.count("*").over(s)).withColumn("total", F.sum("hit").over(s)).withColumn("up", F.sum("hit").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(run))
-    miss = F.lit(1.0) / (F.col("n") - F.col("m"))
-    at = F.col("up") / F.col("total") - (F.col("r") - F.col("k")) * miss
-    before = (F.col("up") - F.col("hit")) / F.col("total") - (F.col("r") - F.col("k")) * miss
-    g = h.withColumn("at", at).withColumn("before", before).groupBy("factor_idx", "geneset").agg(F.greatest(F.max("at"), F.lit(0.0)).alias("high"), F.least(F.min("before"), F.lit(0.0)).alias("low"))
-    return g.select("factor_idx", "geneset", F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")).alias("es"))
-
-
-def _es(x: np.ndarray, member: np.ndarray, power: float) -> float:
+def enrichment_score(x: np.ndarray, member: np.ndarray, power: float = 1.0) -> float:
+    """Weighted running-sum statistic of the members among values in falling order: the value farthest from zero, the upper
+    one on ties."""
     hit = np.where(member, np.abs(x) ** power, 0.0)
     total, miss = hit.sum(), (~member).sum()
     if not total or not miss:
         return 0.0
     run = np.cumsum(hit) / total - np.cumsum(~member) / miss
     high, low = max(run.max(), 0.0), min(run.min(), 0.0)
-    return float(high if high >= -low else low)
+    return float(high if round(high, 9) >= round(-low, 9) else low)
 
 
 def run_gsea(assoc: DataFrame, genesets: DataFrame, power: float = 1.0, n_rand: int = 1000, seed: int = 1) -> DataFrame:
-    """(factor_idx, geneset, es, p, q): permutation p-values, one group a factor (as many rows as features), q by BH."""
+    """(factor_idx, geneset, es, p, q): permutation p-values, one group a factor (as many rows as features), q by BH. Without
+    permutations (n_rand = 0) p is 1."""
     from ..functions.stats import bh
 
     known = genesets.limit(100_001).collect()
@@ -441,12 +442,12 @@ def run_gsea(assoc: DataFrame, genesets: DataFrame, power: float = 1.0, n_rand:
             m = int(member.sum())
             if not m or m == len(names):
                 continue
-            es = _es(x, member, power)
+            es = enrichment_score(x, member, power)
             null = []
             for _ in range(n_rand):
                 z = np.zeros(len(names), bool)
                 z[r.choice(len(names), m, replace=False)] = True
-                null.append(_es(x, z, power))
+                null.append(enrichment_score(x, z, power))
             null = np.array(null)
             same = null[null >= 0] if es >= 0 else null[null < 0]
             rows.append((int(g["factor_idx"].iloc[0]), name, es, float((np.sum(np.abs(same) >= abs(es)) + 1) / (len(same) + 1))))

@@ -6,64 +6,47 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..model import Embedding, bounded
-from .factorize import gram_of
 
 #: Names of distances, lower case, to the measure that they mean.
 DISTANCES = {"pearson": "pearson", "cor": "pearson", "correlation": "pearson", "ic": "ic", "mutual": "ic", "information": "ic", "mutual information": "ic", "cosine": "cosine", "euclidean": "euclidean"}
 
 
-def factor_moments(h: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sum of outer products, sums, number) of score arrays, in one aggregate."""
-    row = h.agg(F.count("*"), *(F.sum(F.col("h")[i]) for i in range(k))).first()
-    return gram_of(h, "h", k), np.array([x or 0.0 for x in row[1:]]), row[0]
-
-
-def factor_distances(h: DataFrame, k: int, dist: str = "cosine") -> np.ndarray:
-    """k x k distances between factors over all samples."""
+def factor_distance_table(h: DataFrame, k: int, dist: str = "cosine") -> DataFrame:
+    """(f1, f2, dist) of the pairs f1 < f2 of factors over all samples: sums in one aggregate, but for the information distance,
+    which takes passes."""
     kind = DISTANCES.get(dist.lower())
     if kind is None:
         raise ValueError(f"unknown distance {dist}")
+    names = [(i, j) for i in range(k) for j in range(i + 1, k)]
     if kind == "ic":
         from .annotate import information_matrix
 
         r = information_matrix(h, k)
-        d = np.sqrt(np.maximum(0, 2 * (1 - r)))
-    else:
-        g, s, n = factor_moments(h, k)
-        q = np.diag(g)
-        if kind == "euclidean":
-            d = np.sqrt(np.maximum(0, q[:, None] + q[None] - 2 * g))
-        elif kind == "cosine":
-            d = 1 - g / np.sqrt(np.maximum(np.outer(q, q), 1e-300))
-        else:
-            c = g - np.outer(s, s) / max(n, 1)
-            v = np.maximum(np.diag(c), 1e-300)
-            d = np.sqrt(np.maximum(0, 2 * (1 - c / np.sqrt(np.outer(v, v)))))
-    np.fill_diagonal(d, 0)
-    return (d + d.T) / 2
-
-
-def factor_distance_table(h: DataFrame, k: int, dist: str) -> DataFrame:
-    """(f1, f2, dist) of the pairs f1 < f2, by sums over exploded scores."""
-    kind = DISTANCES[dist.lower()]
-    aggs, names = [F.count("*").alias("n")], []
-    for i in range(k):
-        aggs += [F.sum(F.col("h")[i]).alias(f"s{i}"), F.sum(F.col("h")[i] * F.col("h")[i]).alias(f"q{i}")]
-        for j in range(i + 1, k):
-            aggs.append(F.sum(F.col("h")[i] * F.col("h")[j]).alias(f"g{i}_{j}"))
-            names.append((i, j))
-    one = h.agg(*aggs)
+        return h.sparkSession.createDataFrame([(i + 1, j + 1, float(np.sqrt(max(0.0, 2 * (1 - r[i, j]))))) for i, j in names], "f1 int, f2 int, dist double")
+    c, total = (lambda i: F.col("h")[i]), (lambda x: F.coalesce(F.sum(x), F.lit(0.0)))
+    sums = [F.count("*").alias("n"), *(total(c(i)).alias(f"s{i}") for i in range(k)), *(total(c(i) * c(i)).alias(f"q{i}") for i in range(k)), *(total(c(i) * c(j)).alias(f"g{i}_{j}") for i, j in names)]
+    least = F.lit(1e-300)
 
     def value(i, j):
         g, qi, qj, si, sj, n = (F.col(x) for x in (f"g{i}_{j}", f"q{i}", f"q{j}", f"s{i}", f"s{j}", "n"))
         if kind == "euclidean":
             return F.sqrt(F.greatest(F.lit(0.0), qi + qj - 2 * g))
         if kind == "cosine":
-            return 1 - g / F.sqrt(qi * qj)
-        return F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - (g - si * sj / n) / F.sqrt((qi - si * si / n) * (qj - sj * sj / n)))))
+            return 1 - g / F.sqrt(F.greatest(qi * qj, least))
+        n = F.greatest(n, F.lit(1))
+        vi, vj = F.greatest(qi - si * si / n, least), F.greatest(qj - sj * sj / n, least)
+        return F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - (g - si * sj / n) / (F.sqrt(vi) * F.sqrt(vj)))))
 
     pairs = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("f1"), F.lit(j + 1).alias("f2"), value(i, j).alias("dist")) for i, j in names))).alias("p")
-    return one.select(pairs).select("p.*")
+    return h.agg(*sums).select(pairs).select("p.*")
+
+
+def factor_distances(h: DataFrame, k: int, dist: str = "cosine") -> np.ndarray:
+    """The same as a k x k array."""
+    d = np.zeros((k, k))
+    for r in factor_distance_table(h, k, dist).collect():
+        d[r.f1 - 1, r.f2 - 1] = d[r.f2 - 1, r.f1 - 1] = r.dist
+    return d
 
 
 def classical_mds(d: np.ndarray) -> np.ndarray:

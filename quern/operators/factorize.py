@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import linalg
 from ..functions.storage import materialized
-from ..model import CountMatrix, Factorization, bounded
+from ..model import BROADCAST_ROWS, CountMatrix, Factorization, bounded, few
 
 INITS, LOSSES = ("ica", "nnsvd", "random"), ("mse", "mkl")
 
@@ -43,11 +43,9 @@ def nnsvd_init(pk: linalg.Packed, k: int, seed: int = 1) -> np.ndarray:
     k = u.shape[1]
     inv = np.where(d > 0, 1 / np.maximum(d, 1e-300), 0)
 
-    p = pk.p
-
     def norms(x):
         v = x @ u * inv
-        return np.zeros((p, 1)), np.concatenate([(np.maximum(v, 0) ** 2).sum(axis=0), (np.maximum(-v, 0) ** 2).sum(axis=0)])
+        return None, np.concatenate([(np.maximum(v, 0) ** 2).sum(axis=0), (np.maximum(-v, 0) ** 2).sum(axis=0)])
 
     sums = linalg.summed(pk, norms, 1, 2 * k)[1]
     w = np.zeros((pk.p, k))
@@ -95,7 +93,8 @@ def ica_init(pk: linalg.Packed, k: int, fast: bool = False, seed: int = 1) -> np
     u, d, mu = linalg.truncated_svd(pk, 50 if fast else k, seed=seed)
     r = u.shape[1]
     inv = np.where(d > 1e-10 * max(d.max(), 1e-300), 1 / np.maximum(d, 1e-300), 0)
-    coords = materialized(linalg.each(pk, lambda x: (x - mu) @ (u * inv), "v"), "ica")
+    at = mu @ (u * inv)
+    coords = materialized(linalg.each(pk, lambda x: x @ (u * inv) - at, "v"), "ica")
     rot = fast_ica(coords, r, min(k, r), pk.n, seed=seed)
     w = linalg.signs((u * d) @ rot)
     return np.pad(w, ((0, 0), (0, k - w.shape[1])))
@@ -111,12 +110,23 @@ def _start(pk: linalg.Packed, k: int, init: str, fast: bool, seed: int, mean: fl
     return np.where(w == 0, r.random(w.shape) * mean / 100, w)
 
 
-def _kl_scores(x: np.ndarray, w: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Scores that lower the KL divergence of rows x, by multiplicative updates."""
+def penalty(x: np.ndarray, alpha: tuple[float, float, float]) -> np.ndarray:
+    """What the L2, the angular and the L1 penalty add to the denominator of a multiplicative update."""
+    return alpha[0] * x + alpha[1] * (x.sum(axis=-1, keepdims=True) - x) + alpha[2]
+
+
+def kl_scores(x: linalg.Rows, w: np.ndarray, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), rounds: int = 30, tol: float = 0.0) -> np.ndarray:
+    """Scores that lower the KL divergence of the rows, by multiplicative updates on stored entries; until no score moves by
+    more than tol of the largest, if that is given."""
     down = w.sum(axis=0) + 1e-300
-    h = np.full((len(x), w.shape[1]), 1.0) * (x.sum(axis=1) / down.sum())[:, None]
+    h = np.full((x.n, w.shape[1]), 1.0) * (x.sums() / down.sum())[:, None]
     for _ in range(rounds):
-        h *= (x / (h @ w.T + 1e-12)) @ w / down
+        ratio = linalg.Rows(x.idx, x.val / (x.products(h, w) + 1e-12), x.counts, x.p)
+        new = h * (ratio @ w) / (down + penalty(h, alpha))
+        done = tol > 0 and np.abs(new - h).max(initial=0) <= tol * max(new.max(initial=0), 1e-300)
+        h = new
+        if done:
+            break
     return h
 
 
@@ -128,8 +138,8 @@ def run_nmf(m: CountMatrix, k: int, alpha: tuple[float, float, float] = (0.0, 0.
 
 
 def _factorized(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed) -> Factorization:
-    p, cells = pk.p, max(1, pk.p * pk.n)
-    s = linalg.summed(pk, lambda x: (np.zeros((p, 1)), np.array([x.sum(), (x * x).sum()])), 1, 2)[1]
+    cells = max(1, pk.p * pk.n)
+    s = linalg.summed(pk, lambda x: (None, np.array([x.val.sum(), (x.val * x.val).sum()])), 1, 2)[1]
     w = _start(pk, k, init, ica_fast, seed, s[0] / cells)
     errors: list[float] = []
     for _ in range(max_iter):
@@ -139,25 +149,28 @@ def _factorized(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed) -> Fact
             def visit(x, w=w, gram=gram):
                 b = x @ w
                 h = linalg.nnls(gram, b, alpha=alpha)
-                return x.T @ h, np.concatenate([(h.T @ h).reshape(-1), [(h * b).sum()]])
+                return x.across(h), np.concatenate([(h.T @ h).reshape(-1), [(h * b).sum()]])
 
             b, more = linalg.summed(pk, visit, k, k * k + 1)
             hh = more[:-1].reshape(k, k)
             errors.append(float((s[1] - 2 * more[-1] + (gram * hh).sum()) / cells))
             w = linalg.nnls(hh, b, alpha=alpha)
         else:
-            def visit(x, w=w):
-                h = _kl_scores(x, w)
-                y = h @ w.T + 1e-12
-                return (x / y).T @ h, np.concatenate([h.sum(axis=0), [float((np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / y), 0) - x + y).sum())]])
+            total = w.sum(axis=0)
+
+            def visit(x, w=w, total=total):
+                h = kl_scores(x, w, alpha)
+                y = x.products(h, w) + 1e-12
+                # stored entries, and the sum of all of h w' for those that aren't stored
+                return x.across(h, x.val / y), np.concatenate([h.sum(axis=0), [float((x.val * np.log(np.maximum(x.val, 1e-300) / y) - x.val).sum() + (h.sum(axis=0) * total).sum())]])
 
             b, more = linalg.summed(pk, visit, k, k + 1)
             errors.append(float(more[-1] / cells))
-            w = w * b / np.maximum(more[:-1], 1e-300)
+            w = w * b / np.maximum(more[:-1] + penalty(w, alpha), 1e-300)
         if len(errors) > 1 and abs(errors[-2] - errors[-1]) <= tol * max(abs(errors[-2]), 1e-300):
             break
     gram = w.T @ w
-    solve = (lambda x: linalg.nnls(gram, x @ w, alpha=alpha)) if loss == "mse" else (lambda x: _kl_scores(x, w))
+    solve = (lambda x: linalg.nnls(gram, x @ w, alpha=alpha)) if loss == "mse" else (lambda x: kl_scores(x, w, alpha))
     h = materialized(linalg.each(pk, solve, "h"), "h")
     spark = h.sparkSession
     kind = "string" if not pk.features or isinstance(pk.features[0], str) else "long"
@@ -201,17 +214,48 @@ def _completed(found: DataFrame, ids: DataFrame, key: str, name: str, k: int) ->
     return ids.select(key).distinct().join(found, key, "left").select(key, F.coalesce(name, zero).alias(name))
 
 
-def project_features(m: CountMatrix, h: DataFrame, k: int, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def kl_projected(entries: DataFrame, other: DataFrame, key: str, on: str, column: str, k: int, name: str, alpha: tuple[float, float, float], rounds: int = 200, tol: float = 1e-6) -> DataFrame:
+    """Of each `key` the k numbers that lower the KL divergence of its entries from their products with other(on, column):
+    multiplicative updates, each one join with the numbers so far and one aggregate, so no task gathers a key's entries."""
+    total = other.agg(*(F.sum(F.col(column)[i]) for i in range(k))).first()
+    down = np.array([x or 0.0 for x in total]) + 1e-300
+    rows = materialized(entries.join(other.select(on, F.col(column).alias("__l")), on).select(key, "value", "__l"), "products")
+    now = rows.groupBy(key).agg(F.sum("value").alias("__s")).select(key, F.array(*(F.col("__s") / F.lit(float(down.sum())) for _ in range(k))).alias("__x"))
+    for _ in range(rounds):
+        dot = sum((F.col("__l")[i] * F.col("__x")[i] for i in range(1, k)), F.col("__l")[0] * F.col("__x")[0]) + F.lit(1e-12)
+        up = rows.join(now, key).groupBy(key).agg(F.first("__x").alias("__x"), *(F.sum(F.col("value") / dot * F.col("__l")[i]).alias(f"u{i}") for i in range(k)))
+        whole = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v)
+        new = F.array(*(F.col("__x")[i] * F.col(f"u{i}") / (F.lit(float(down[i])) + alpha[0] * F.col("__x")[i] + alpha[1] * (whole - F.col("__x")[i]) + alpha[2]) for i in range(k)))
+        up = materialized(up.select(key, new.alias("__x"), F.array_max(F.zip_with(new, "__x", lambda a, b: F.abs(a - b))).alias("__d")), "kl")
+        moved, top = up.agg(F.max("__d"), F.max(F.array_max("__x"))).first()
+        now = up.drop("__d")
+        if (moved or 0.0) <= tol * (top or 0.0):
+            break
+    return now.withColumnRenamed("__x", name)
+
+
+def _check_loss(loss: str) -> None:
+    if loss not in LOSSES:
+        raise ValueError(f"loss must be one of {LOSSES}")
+
+
+def project_features(m: CountMatrix, h: DataFrame, k: int, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), loss: str = "mse") -> DataFrame:
     """(feature_id, w): loadings of all features of `m` on frozen scores."""
+    _check_loss(loss)
+    if loss == "mkl":
+        return _completed(kl_projected(m.entries, h, "feature_id", "sample_id", "h", k, "w", alpha), m.features, "feature_id", "w", k)
     b = products(m.entries, h, "sample_id", "feature_id", "h", k)
     return _completed(solved(b, gram_of(h, "h", k), "feature_id", "w", alpha), m.features, "feature_id", "w", k)
 
 
-def project_samples(m: CountMatrix, w: DataFrame, k: int, features: DataFrame | None = None, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def project_samples(m: CountMatrix, w: DataFrame, k: int, features: DataFrame | None = None, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), loss: str = "mse") -> DataFrame:
     """(sample_id, h): scores of new samples on frozen loadings, on the features that both have."""
+    _check_loss(loss)
     shared = w.join(m.features, "feature_id", "left_semi")
     if features is not None:
         shared = shared.join(features.select("feature_id"), "feature_id", "left_semi")
+    if loss == "mkl":
+        return _completed(kl_projected(m.entries, bounded(shared), "sample_id", "feature_id", "w", k, "h", alpha), m.samples, "sample_id", "h", k)
     b = products(m.entries, bounded(shared), "feature_id", "sample_id", "w", k)
     return _completed(solved(b, gram_of(shared, "w", k), "sample_id", "h", alpha), m.samples, "sample_id", "h", k)
 
@@ -220,7 +264,7 @@ def shuffled(m: CountMatrix, seed: int = 1) -> CountMatrix:
     """Every stored entry moved to another cell of the whole grid by one keyed permutation of the cells (a Feistel network
     with cycle walking), so absent entries are shuffled too, without sorting."""
     spark = m.entries.sparkSession
-    fs = [r[0] for r in m.features.orderBy("feature_id").collect()]
+    fs = sorted(r[0] for r in few(m.features.select("feature_id").distinct(), linalg.MAX_CELLS, "features"))
     names = spark.createDataFrame([(f, i) for i, f in enumerate(fs)], f"feature_id {dict(m.features.dtypes)['feature_id']}, f long")
     from .ranking import dense_index
 
@@ -250,8 +294,9 @@ def shuffled(m: CountMatrix, seed: int = 1) -> CountMatrix:
             c = moved(b.column("c").to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c // n), pa.array(c % n), b.column("value")], names=["f", "s", "value"])
 
-    cells = m.entries.join(F.broadcast(names), "feature_id").join(ids, "sample_id").select((F.col("f") * n + F.col("s")).alias("c"), "value")
-    out = cells.mapInArrow(run, "f long, s long, value double").join(F.broadcast(names), "f").join(ids, "s")
+    names = F.broadcast(names) if len(fs) <= BROADCAST_ROWS else names
+    cells = m.entries.join(names, "feature_id").join(ids, "sample_id").select((F.col("f") * n + F.col("s")).alias("c"), "value")
+    out = cells.mapInArrow(run, "f long, s long, value double").join(names, "f").join(ids, "s")
     return m.with_entries(out.select("feature_id", "sample_id", "value"))
 
 
@@ -289,12 +334,18 @@ def find_num_factors(m: CountMatrix, k_range=range(2, 13, 2), loss: str = "mse",
         if loss == "mse":
             return f.errors[-1]
         w = np.array([r.w for r in f.w.orderBy("feature_id").collect()])
-        gram, p = w.T @ w, pk.p
+        gram, eps = w.T @ w, 1e-12
 
         def visit(x):
-            y = linalg.nnls(gram, x @ w) @ w.T + 1e-12
-            z = x + 1e-12
-            return np.zeros((p, 1)), np.array([float((y * np.log(y / z) - y + z).sum())])
+            # every cell's y, once for cells without an entry (z is eps there), then mended at the stored ones
+            h = linalg.nnls(gram, x @ w)
+            at, z = x.products(h, w) + eps, x.val + eps
+            out = float((at * np.log(eps / z) + z - eps).sum())
+            step = max(1, 4_000_000 // max(x.n, 1))
+            for a in range(0, x.p, step):
+                y = h @ w[a : a + step].T + eps
+                out += float((y * np.log(y / eps) - y + eps).sum())
+            return None, np.array([out])
 
         return float(linalg.summed(pk, visit, 1, 1)[1][0] / max(1, pk.p * pk.n))
 

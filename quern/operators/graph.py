@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import linalg, stats
 from ..functions.storage import materialized
-from ..model import CountMatrix, bounded
+from ..model import CountMatrix, bounded, few
 
 
 def _blocks(points: DataFrame, rows: int, prefix: str) -> tuple[DataFrame, int]:
@@ -38,11 +38,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, r
                 y, names = y[order], [pi[j] for j in order]
                 at = {v: j for j, v in enumerate(names)} if same else {}
                 out_q, out_p, out_d = [], [], []
-                for a in range(0, len(qi), 64):
-                    z = x[a : a + 64]
-                    d = ((z[:, None, :] - y[None]) ** 2).sum(axis=2) if len(y) * z.shape[1] < 2_000_000 else np.maximum((z * z).sum(1)[:, None] + (y * y).sum(1) - 2 * z @ y.T, 0)
+                step = min(64, max(1, 8_000_000 // max(y.size, 1)))
+                for a in range(0, len(qi), step):
+                    z = x[a : a + step]
+                    d = ((z[:, None, :] - y[None]) ** 2).sum(axis=2)
                     if same:
-                        for r, name in enumerate(qi[a : a + 64]):
+                        for r, name in enumerate(qi[a : a + step]):
                             if name in at:
                                 d[r, at[name]] = np.inf
                     m = min(k, len(y))
@@ -60,16 +61,27 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, r
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_lsh(points: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate neighbours among points that share a bucket of a random projection; no pass over all pairs."""
+def nearest_lsh(points: DataFrame, k: int, bucket: float | None = None, tables: int = 8, seed: int = 7, probe: int = 200) -> DataFrame:
+    """(query_id, point_id, dist, rank): approximate neighbours among points that share a bucket of a random projection, no pass
+    over all pairs. Without a bucket's length it is twice the distance that nine tenths of `probe` samples, drawn by a hash,
+    have their k neighbours within. Samples that find fewer than k are looked up exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    d = points.select("sample_id", array_to_vector(F.col("v").cast("array<double>")).alias("x"))
+    p = materialized(points.select("sample_id", F.col("v").cast("array<double>").alias("v")), "points")
+    if bucket is None:
+        some = p.orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(probe)
+        far = nearest(some, p, k, same=True).where(F.col("rank") == k)
+        bucket = max(2.0 * float(far.agg(F.percentile("dist", F.lit(0.9))).first()[0] or 0.5), 1e-9)
+    d = p.select("sample_id", array_to_vector("v").alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(d)
-    pairs = model.approxSimilarityJoin(d, d, 4 * bucket, "dist").where("datasetA.sample_id != datasetB.sample_id")
+    pairs = model.approxSimilarityJoin(d, d, 2 * bucket, "dist").where("datasetA.sample_id != datasetB.sample_id")
     w = Window.partitionBy("query_id").orderBy("dist", "point_id")
-    return pairs.select(F.col("datasetA.sample_id").alias("query_id"), F.col("datasetB.sample_id").alias("point_id"), "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = pairs.select(F.col("datasetA.sample_id").alias("query_id"), F.col("datasetB.sample_id").alias("point_id"), "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = materialized(found, "near")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("sample_id"))
+    rest = materialized(p.join(full, "sample_id", "left_anti"), "far")
+    return found.join(full.withColumnRenamed("sample_id", "query_id"), "query_id", "left_semi").unionByName(nearest(rest, p, k, same=True)) if rest.limit(1).count() else found
 
 
 def calc_knn(points: DataFrame, k: int = 10) -> DataFrame:
@@ -81,11 +93,18 @@ def calc_knn(points: DataFrame, k: int = 10) -> DataFrame:
     return near.select(F.col("query_id").alias("src"), F.col("point_id").alias("dst")).unionByName(ids)
 
 
+#: Samples with one neighbour in common whose pairs one task forms.
+HUB = 1000
+
+
 def shared_neighbours(nn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
     """(src, dst, weight): Jaccard of neighbour sets of size k for all pairs that share a neighbour; below `prune` dropped;
-    the diagonal is 1."""
-    a, b = nn.select(F.col("src"), "dst"), nn.select(F.col("src").alias("other"), "dst")
-    s = a.join(b, "dst").groupBy("src", "other").agg(F.count("*").alias("s"))
+    the diagonal is 1. The samples that have a hub as neighbour are dealt to one task for each HUB of them."""
+    shares = nn.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("dst", F.ceil(F.col("n") / HUB).cast("int").alias("shares"))
+    e = nn.select("src", "dst").join(bounded(shares), "dst", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    a = e.select("src", "dst", F.pmod(F.xxhash64("src"), F.col("shares")).cast("int").alias("share"))
+    b = e.select(F.col("src").alias("other"), "dst", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    s = a.join(b, ["dst", "share"]).groupBy("src", "other").agg(F.count("*").alias("s"))
     w = F.when(F.col("src") == F.col("other"), F.lit(1.0)).otherwise(F.col("s") / (F.lit(2.0 * k) - F.col("s")))
     return s.select("src", F.col("other").alias("dst"), w.alias("weight")).where((F.col("weight") >= prune) | (F.col("src") == F.col("dst")))
 
@@ -120,15 +139,17 @@ def project_snn_counts(test: CountMatrix, train: CountMatrix, n_pcs: int | None
     """project_snn on the features that both matrices have, or on principal components of the train matrix. Test samples
     are scaled as the train samples are; with compat train coordinates are whitened and test coordinates aren't."""
     shared = train.features.select("feature_id").intersect(test.features.select("feature_id"))
-    names = [r[0] for r in shared.orderBy("feature_id").collect()]
+    names = sorted(r[0] for r in few(shared.distinct(), linalg.MAX_CELLS, "features"))
     a, b = linalg.packed(train, names), linalg.packed(test, names)
     if n_pcs is None:
-        return project_snn(linalg.each(b, lambda x: x, "v"), linalg.each(a, lambda x: x, "v"), k, k_scale, prune, compat)
+        return project_snn(linalg.each(b, lambda x: x.dense(), "v"), linalg.each(a, lambda x: x.dense(), "v"), k, k_scale, prune, compat)
     u, d, mu = linalg.truncated_svd(a, n_pcs)
     inv = np.where(d > 0, 1 / np.maximum(d, 1e-300), 0)
     mu_b = linalg.means(b)
-    one = materialized(linalg.each(a, lambda x: (x - mu) @ (u * inv), "v"), "train")
-    two = materialized(linalg.each(b, lambda x: (x - mu_b) @ (u if compat else u * inv), "v"), "test")
+    v = u if compat else u * inv
+    at, at_b = mu @ (u * inv), mu_b @ v
+    one = materialized(linalg.each(a, lambda x: x @ (u * inv) - at, "v"), "train")
+    two = materialized(linalg.each(b, lambda x: x @ v - at_b, "v"), "test")
     return project_snn(two, one, k, k_scale, prune, compat)
 
 
@@ -156,11 +177,15 @@ def link_statistics(links: DataFrame) -> DataFrame:
     return x.withColumn("theta", theta).withColumn("sd", F.sqrt(F.col("theta") * (1 - F.col("theta")) / F.col("total"))).withColumn("stat", F.col("links") / F.col("total") - F.col("theta")).drop("e1", "e2")
 
 
+#: Pairs of clusters that are tested on the driver, one row each.
+MOST_PAIRS = 4_000_000
+
+
 def compute_partitions(links: DataFrame, qval_cutoff: float = 0.05) -> DataFrame:
     """(c1, c2, links, num_links, stat, p, p_adj, significant): upper normal tails, Holm over all pairs of the square. The
     table has one row per pair of clusters, and is worked on the driver. num_links is stat / total."""
     x = link_statistics(links)
-    rows = x.orderBy("c1", "c2").collect()
+    rows = sorted(few(x, MOST_PAIRS, "pairs of clusters"), key=lambda r: (r.c1, r.c2))
     p = stats.normal_upper([r["stat"] or 0.0 for r in rows], 0.0, [r["sd"] or 1e-300 for r in rows])
     adj = stats.holm(p)
     kind = dict(links.dtypes)["c1"]
@@ -168,12 +193,12 @@ def compute_partitions(links: DataFrame, qval_cutoff: float = 0.05) -> DataFrame
     return links.sparkSession.createDataFrame(out, f"c1 {kind}, c2 {kind}, links double, num_links double, stat double, p double, p_adj double, significant boolean")
 
 
-def louvain(edges: DataFrame, max_nodes: int = 2_000_000, seed: int = 1) -> DataFrame:
+def louvain(edges: DataFrame, max_nodes: int = 300_000, seed: int = 1) -> DataFrame:
     """(sample_id, grp) by modularity, for graphs of at most max_nodes nodes: local moving and contraction on the driver."""
-    rows = edges.where("src != dst").select("src", "dst").distinct().limit(20 * max_nodes + 1).collect()
+    rows = few(edges.where("src != dst").select("src", "dst").distinct(), 20 * max_nodes, "links for clustering on the driver: use label_propagation or give clusters")
     ids = sorted({x for r in rows for x in (r[0], r[1])})
-    if len(ids) > max_nodes or len(rows) > 20 * max_nodes:
-        raise ValueError("the graph is too large for clustering on the driver; give clusters")
+    if len(ids) > max_nodes:
+        raise ValueError(f"more than {max_nodes} samples for clustering on the driver: use label_propagation or give clusters")
     at = {v: i for i, v in enumerate(ids)}
     graph: list[dict[int, float]] = [{} for _ in ids]
     for r in rows:
@@ -277,7 +302,7 @@ def partition_similarity_graph(pairs: DataFrame, coords: DataFrame, groups: Data
     """(edges c1, c2, sim; layout grp, x, y): similar clusters that are linked significantly, laid out by springs."""
     sig = pairs.where((F.col("p_adj") <= qval_cutoff) & (F.col("c1") < F.col("c2"))).select("c1", "c2")
     edges = materialized(centroid_cosine(coords, groups).where(F.col("sim") >= min_sim).join(sig, ["c1", "c2"], "left_semi"), "similar")
-    names = [r[0] for r in groups.where("grp is not null").select("grp").distinct().orderBy("grp").collect()]
+    names = sorted(r[0] for r in few(groups.where("grp is not null").select("grp").distinct(), 2000, "groups to lay out"))
     at = {v: i for i, v in enumerate(names)}
     n = len(names)
     w = np.zeros((n, n))

@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
-from ..model import CountMatrix, bounded
+from ..model import CountMatrix, bounded, few
+
+#: Features whose variance is modelled on the driver, one row each.
+MOST_FEATURES = 5_000_000
 
 
 def normalize_counts(m: CountMatrix, depth_scale: float = 1e3, batch: DataFrame | None = None) -> CountMatrix:
@@ -51,7 +54,7 @@ def adjust_variance(m: CountMatrix, gam_k: int = 10, max_adj: float = 1e3, min_a
     m is a spline, or a line with under 1.5 * gam_k finite features. One row per feature is fitted on the driver."""
     spark = m.entries.sparkSession
     n = m.n_samples()
-    rows = col_mean_var(m, n).orderBy("feature_id").collect()
+    rows = sorted(few(col_mean_var(m, n), MOST_FEATURES, "features"), key=lambda r: str(r.feature_id))
     schema = "feature_id string, m double, v double, nobs long, res double, lp double, lpa double, qv double, gsf double, overdispersed boolean"
     if not rows:
         return spark.createDataFrame([], schema)

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import stats
-from ..functions.storage import materialized
-from ..model import CountMatrix
+from ..functions import linalg, stats
+from ..functions.storage import folder, materialized
+from ..model import CountMatrix, Embedding
 from ..operators import annotate, embed, evaluate, factorize, filtering, graph, groups, normalize, plotdata
 from ..sources import text
 from . import pipeline
@@ -63,7 +63,8 @@ def counts(spark, d) -> CountMatrix:
     name = F.concat_ws("|", "p_brand", "p_type")
     e = l.select("l_orderkey", "l_partkey", "l_quantity").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.select("p_partkey", name.alias("feature_id")), F.col("l_partkey") == F.col("p_partkey"))
     e = e.groupBy("feature_id", F.col("o_custkey").alias("sample_id")).agg(F.sum("l_quantity").alias("value"))
-    return CountMatrix(e, p.select(name.alias("feature_id")).distinct(), table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id")))
+    # operators pass over a matrix several times: the joins and the aggregate are done once
+    return CountMatrix(materialized(e, "counts"), p.select(name.alias("feature_id")).distinct(), table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id")))
 
 
 def held(m: CountMatrix) -> CountMatrix:
@@ -133,14 +134,17 @@ def make_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.make_names(F.col("c_name")).alias("name"))
 
 
-@query("""SELECT o_custkey AS sample_id, split_part(p_type, ' ', 1) AS feature_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2""")
+@query("""SELECT 'c' || o_custkey AS sample_id, p_brand AS feature_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND p_size % 2 = 0 GROUP BY 1, 2""")
 def species_filter(spark, d):
-    """The filter by sample class on driver tables: a semi join and a token of the feature's name."""
-    m = counts(spark, d)
-    m = m.subset(samples=table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sample_id")))
-    name = text.extract_field(text.extract_field(F.col("feature_id"), 2, r"\|"), 1, " ")
-    return m.entries.groupBy("sample_id", name.alias("feature_id")).agg(F.sum("value").alias("value"))
+    """Customers of one segment are samples of one species, parts of even size its features."""
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 2 == 0, "hg19_").otherwise("mm10_"), F.col("p_brand")).alias("feature_id"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = j.groupBy("feature_id", F.concat(F.lit("c"), F.col("o_custkey")).alias("sample_id")).agg(F.sum("l_quantity").alias("value"))
+    c = table(spark, d, "customer")
+    m = CountMatrix(e, p.select("feature_id").distinct(), c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("sample_id")))
+    calls = c.select(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("-1")).alias("barcode"), F.when(F.col("c_mktsegment") == "BUILDING", "hg19").otherwise("mm10").alias("call"))
+    return text.filter_species(m, calls).entries
 
 
 FILTER = f"""WITH {COUNTS}, ps AS (SELECT sample_id FROM e GROUP BY 1 HAVING sum(value) < 5000 AND count(CASE WHEN value > 0 THEN 1 END) > 20),
@@ -211,12 +215,12 @@ def _pvals(spark, d):
 
 @query(f"WITH {PVALS} SELECT k, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM r")
 def bh_adjust(spark, d):
-    return rounded(stats.bh_table(_pvals(spark, d), "p", "k"), 6, "p_adj").select("k", "p_adj")
+    return rounded(stats.adjusted(_pvals(spark, d), "p", ["k"], stats.bh), 6, "p_adj").select("k", "p_adj")
 
 
 @query(f"WITH {PVALS} SELECT k, round(least(1.0, max((m - r + 1) * p) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM r")
 def holm_adjust(spark, d):
-    return rounded(stats.holm_table(_pvals(spark, d), "p", ["k"]), 6, "p_adj").select("k", "p_adj")
+    return rounded(stats.adjusted(_pvals(spark, d), "p", ["k"], stats.holm), 6, "p_adj").select("k", "p_adj")
 
 
 NORM = f"{COUNTS}, {DEPTH}, nm AS (SELECT feature_id, e.sample_id, value / (depth / md.m) AS v FROM e JOIN dp ON e.sample_id = dp.sample_id, md)"
@@ -261,12 +265,12 @@ def minmax_integrated(spark, d):
 
 @query()
 def select_features_gam(spark, d):
-    return rounded(normalize.select_features(held(counts(spark, d)), n_features=50), 6, "lp")
+    return rounded(normalize.select_features(counts(spark, d), n_features=50), 6, "lp")
 
 
 @query()
 def adjust_variance(spark, d):
-    return normalize.adjust_variance(held(counts(spark, d)))
+    return normalize.adjust_variance(counts(spark, d))
 
 
 # ---------------------------------------------------------------- graphs
@@ -324,6 +328,41 @@ def partition_similarity(spark, d):
     return rounded(graph.centroid_cosine(points(spark, d), labels(spark, d)), 6, "sim")
 
 
+#: P(N(0, 1) > z) by the series of the error function, all of whose terms are positive; beyond 6 it is 0 to 8 digits.
+def upper_tail(z: str) -> str:
+    series = f"exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 100), lambda n: pow(abs({z}) / sqrt(2.0), 2 * n + 1) / gamma(n + 1.5)))"
+    return f"CASE WHEN {z} > 6 THEN 0.0 WHEN {z} < -6 THEN 1.0 WHEN {z} >= 0 THEN 0.5 * (1 - {series}) ELSE 0.5 * (1 + {series}) END"
+
+
+PAGA = f"""{LINKS}, zz AS (SELECT c1, c2, links, t, links / t - e1 / t * e2 / t AS stat, (links / t - e1 / t * e2 / t) / sqrt(e1 / t * e2 / t * (1 - e1 / t * e2 / t) / t) AS z FROM st),
+ pp AS (SELECT *, {upper_tail("z")} AS pv FROM zz), rr AS (SELECT *, row_number() OVER (ORDER BY pv, c1, c2) AS r, count(*) OVER () AS m FROM pp),
+ pa AS (SELECT c1, c2, links, stat, t, pv, least(1.0, max((m - r + 1) * pv) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING)) AS p_adj FROM rr)"""
+
+
+@query(f"WITH {PAGA} SELECT c1, c2, links, round(stat / t, 10) AS num_links, round(stat, 8) AS stat, round(pv, 7) AS p, round(p_adj, 6) AS p_adj, p_adj <= 0.05 AS significant FROM pa")
+def build_paga(spark, d):
+    """Clusters are given, so every number is exact."""
+    pairs, _ = graph.build_paga(graph.calc_knn(points(spark, d), 10), labels(spark, d))
+    return rounded(rounded(rounded(rounded(pairs, 10, "num_links"), 8, "stat"), 7, "p"), 6, "p_adj")
+
+
+@query(f"""WITH {SNN}, x AS (WITH {PAGA.replace(KNN + ",", NN + ", nn AS (SELECT src, dst FROM r WHERE rn <= 9 UNION ALL SELECT vec_id, vec_id FROM p),", 1)} SELECT c1, c2 FROM pa WHERE p_adj > 0.05 AND c1 != c2)
+SELECT snn.src, snn.dst, round(CASE WHEN snn.src = snn.dst THEN 1.0 ELSE weight END, 6) AS weight FROM snn JOIN p a ON snn.src = a.vec_id JOIN p b ON snn.dst = b.vec_id WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.c1 = a.label AND x.c2 = b.label)""")
+def prune_snn(spark, d):
+    p = points(spark, d)
+    knn = materialized(graph.calc_knn(p, 10), "knn")
+    return rounded(graph.prune_snn(graph.shared_neighbours(knn, 10), knn, labels(spark, d)), 6, "weight")
+
+
+@query(f"""WITH {PAGA}, pt AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), ct AS (SELECT label AS grp, pos, avg(v) AS value FROM pt GROUP BY 1, 2), nm AS (SELECT grp, sqrt(sum(value * value)) AS n FROM ct GROUP BY 1),
+ sm AS (SELECT a.grp AS c1, b.grp AS c2, sum(a.value * b.value) / any_value(x.n) / any_value(y.n) AS sim FROM ct a JOIN ct b ON a.pos = b.pos AND a.grp < b.grp JOIN nm x ON x.grp = a.grp JOIN nm y ON y.grp = b.grp GROUP BY 1, 2)
+SELECT sm.c1, sm.c2, round(sim, 6) AS sim FROM sm JOIN pa ON pa.c1 = sm.c1 AND pa.c2 = sm.c2 WHERE pa.p_adj <= 0.9999 AND sim >= -0.05""")
+def partition_edges(spark, d):
+    p, g = points(spark, d), labels(spark, d)
+    pairs, _ = graph.build_paga(graph.calc_knn(p, 10), g)
+    return rounded(graph.partition_similarity_graph(pairs, p, g, 0.9999, -0.05)[0], 6, "sim")
+
+
 @query()
 def build_paga_louvain(spark, d):
     pairs, _ = graph.build_paga(materialized(graph.calc_knn(points(spark, d), 10), "knn"))
@@ -334,7 +373,7 @@ def build_paga_louvain(spark, d):
 def partition_layout(spark, d):
     p, g = points(spark, d), labels(spark, d)
     pairs = graph.compute_partitions(graph.cluster_links(graph.calc_knn(p, 10), g))
-    return graph.partition_similarity_graph(pairs, p, g, 1.0, -1.0)[1]
+    return graph.partition_similarity_graph(pairs, p, g, 0.9999, -0.05)[1]
 
 
 # ---------------------------------------------------------------- embedding
@@ -380,21 +419,21 @@ def snn_smooth(spark, d):
 SELECT feature_id, round(sum(x * v) / nullif(sum(v), 0), 6) AS x, round(sum(y * v) / nullif(sum(v), 0), 6) AS y FROM rk JOIN xy ON rk.i = xy.i WHERE rn <= 3 GROUP BY 1""")
 def embed_features(spark, d):
     a, _ = brands(spark, d)
-    e = embed.embed_features(embed.Embedding(factor_xy(spark), _vec_xy(spark, d)), a, n_pull=3)
+    e = embed.embed_features(Embedding(factor_xy(spark), _vec_xy(spark, d)), a, n_pull=3)
     return rounded(e.features, 6, "x", "y")
 
 
-@query(f"""WITH {SNN}, {VXY}, ed AS (SELECT src, weight, x, y FROM snn JOIN cv ON snn.dst = cv.vec_id WHERE src % 5 = 0 AND dst % 5 != 0 UNION ALL SELECT vec_id, 1.0, x, y FROM cv WHERE vec_id % 5 = 0)
+@query(f"""WITH {SNN}, {VXY}, {XYSQL}, hh AS (SELECT vec_id, abs(v[1]) + 0.1 AS a, abs(v[2]) + 0.1 AS b, abs(v[3]) + 0.1 AS c FROM p),
+ own AS (SELECT vec_id, (SELECT sum(CASE i WHEN 1 THEN a WHEN 2 THEN b ELSE c END * x) FROM xy WHERE i <= 3) / (a + b + c) AS x, (SELECT sum(CASE i WHEN 1 THEN a WHEN 2 THEN b ELSE c END * y) FROM xy WHERE i <= 3) / (a + b + c) AS y FROM hh WHERE vec_id % 5 = 0),
+ ed AS (SELECT src, weight, x, y FROM snn JOIN cv ON snn.dst = cv.vec_id WHERE src % 5 = 0 AND dst % 5 != 0 UNION ALL SELECT vec_id, 1.0, x, y FROM own)
 SELECT src AS sample_id, round(sum(weight * x) / sum(weight), 6) AS x, round(sum(weight * y) / sum(weight), 6) AS y FROM ed GROUP BY 1""")
 def project_coords(spark, d):
-    """Smoothing of projected samples: own coordinates come from two factors at (1, 0) and (0, 1) and are the scores."""
-    xy = _vec_xy(spark, d)
-    snn = graph.calc_snn(points(spark, d), 10).where("src % 5 = 0 and dst % 5 != 0").select(F.col("src").alias("test_id"), F.col("dst").alias("train_id"), "weight")
-    own = xy.where("sample_id % 5 = 0")
-    e = snn.join(xy.where("sample_id % 5 != 0").withColumnRenamed("sample_id", "train_id"), "train_id").select(F.col("test_id").alias("sample_id"), F.col("weight").alias("w"), "x", "y")
-    a = own.select("sample_id", F.lit(1.0).alias("w"), "x", "y").unionByName(e)
-    out = a.groupBy("sample_id").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
-    return rounded(out, 6, "x", "y")
+    """Every fifth point is new: its scores on three factors place it, then the others that it is linked to."""
+    p = points(spark, d)
+    snn = graph.calc_snn(p, 10).where("src % 5 = 0 and dst % 5 != 0").select(F.col("src").alias("test_id"), F.col("dst").alias("train_id"), "weight")
+    new = p.where("sample_id % 5 = 0").select("sample_id", F.transform(F.slice("v", 1, 3), lambda x: F.abs(x) + 0.1).alias("h"))
+    emb = Embedding(factor_xy(spark).where("factor_idx <= 3"), _vec_xy(spark, d).where("sample_id % 5 != 0"))
+    return rounded(embed.project_embedding(emb, new, snn), 6, "x", "y")
 
 
 @query("""SELECT * FROM (VALUES ('factor_1', 1, 'north'), ('factor_2', 2, ''), ('factor_3', 3, 'south'), ('factor_4', 4, ''), ('factor_5', 5, ''), ('factor_6', 6, '')) t(factor, factor_idx, name)""")
@@ -438,7 +477,8 @@ def _cust(spark, d):
 
 @query(f"""WITH {COUNTS}, {SCORES}, n AS (SELECT count(*) AS n FROM ids), b AS (SELECT i, sum(v) AS s, sum(v * v) AS q FROM h GROUP BY 1),
  x AS (SELECT feature_id, i, sum(value * v) AS p FROM e JOIN h ON e.sample_id = h.sample_id GROUP BY 1, 2), a AS (SELECT feature_id, sum(value) AS a, sum(value * value) AS aa FROM e GROUP BY 1)
-SELECT x.feature_id, CAST(x.i AS INTEGER) AS factor_idx, round((p - a * s / n) / sqrt((aa - a * a / n) * (q - s * s / n)), 6) AS assoc FROM x JOIN a ON x.feature_id = a.feature_id JOIN b ON b.i = x.i, n""")
+SELECT f.feature_id, CAST(b.i AS INTEGER) AS factor_idx, CASE WHEN (aa - a * a / n) * (q - s * s / n) > 0 THEN round((p - a * s / n) / sqrt((aa - a * a / n) * (q - s * s / n)), 6) END AS assoc
+FROM f CROSS JOIN b CROSS JOIN n LEFT JOIN x ON x.feature_id = f.feature_id AND x.i = b.i LEFT JOIN a ON a.feature_id = f.feature_id""")
 def factor_assoc_pearson(spark, d):
     m, h, k = _cust(spark, d)
     return rounded(annotate.associate_pearson(m, h, k), 6, "assoc")
@@ -510,7 +550,7 @@ def geneset_loadings(spark, d):
  x AS (SELECT i, geneset, greatest(max(run), 0) AS hi, least(min(run), 0) AS lo FROM c GROUP BY 1, 2)
 SELECT CAST(i AS INTEGER) AS factor_idx, geneset, round(CASE WHEN round(hi, 9) >= round(-lo, 9) THEN hi ELSE lo END, 6) AS es FROM x""")
 def gsea_es(spark, d):
-    return rounded(annotate.enrichment_scores(_assoc(spark, d), _brandsets(spark, d)), 6, "es")
+    return rounded(annotate.run_gsea(_assoc(spark, d), _brandsets(spark, d), n_rand=0), 6, "es").select("factor_idx", "geneset", "es")
 
 
 @query()
@@ -523,20 +563,35 @@ def geneset_sums(spark, d):
     return annotate.geneset_sums(counts(spark, d), genesets(spark, d))
 
 
-@query()
+@query(f"""WITH {COUNTS}, {SCORES}, g AS (SELECT DISTINCT p_brand AS geneset, p_brand || '|' || p_type AS feature_id FROM part), sz AS (SELECT geneset, count(*) AS c FROM g GROUP BY 1), n AS (SELECT count(*) AS n FROM ids),
+ sc AS (SELECT g.geneset, sample_id, sum(value) / any_value(sz.c) AS y FROM e JOIN g ON e.feature_id = g.feature_id JOIN sz ON sz.geneset = g.geneset GROUP BY 1, 2), a AS (SELECT geneset, sum(y) AS a, sum(y * y) AS aa FROM sc GROUP BY 1),
+ b AS (SELECT i, sum(v) AS s, sum(v * v) AS q FROM h GROUP BY 1), x AS (SELECT geneset, i, sum(y * v) AS p FROM sc JOIN h ON sc.sample_id = h.sample_id GROUP BY 1, 2),
+ r AS (SELECT x.geneset, x.i, (p - a * s / n) / sqrt((aa - a * a / n) * (q - s * s / n)) AS assoc FROM x JOIN a ON a.geneset = x.geneset JOIN b ON b.i = x.i, n),
+ o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY assoc DESC, geneset) AS rn FROM r)
+SELECT round(assoc, 6) AS assoc, geneset AS feature_id, CAST(i AS INTEGER) AS factor_idx FROM o WHERE rn <= 5""")
 def select_genesets(spark, d):
     m, h, k = _cust(spark, d)
-    return rounded(annotate.select_genesets(held(m), materialized(h, "h"), k, genesets(spark, d)), 6, "assoc")
+    return rounded(annotate.select_genesets(m, materialized(h, "h"), k, genesets(spark, d)), 6, "assoc")
+
+
+LOADINGS = "ld AS (SELECT feature_id, CAST(length(feature_id) AS DOUBLE) AS w1, CAST(ascii(substr(feature_id, 7, 1)) % 5 AS DOUBLE) AS w2, CAST(ascii(right(feature_id, 1)) % 3 + 1 AS DOUBLE) AS w3 FROM f)"
+
 
+def _loadings(m: CountMatrix, k: int):
+    f = F.col("feature_id")
+    w = [F.length(f), F.ascii(F.substring(f, 7, 1)) % 5, F.ascii(F.right(f, F.lit(1))) % 3 + 1]
+    return m.features.select("feature_id", F.array(*(x.cast("double") for x in w[:k])).alias("w"))
 
-@query(f"""WITH {COUNTS}, ps AS (SELECT batch, count(*) AS n FROM s GROUP BY 1), nn AS (SELECT count(*) AS n FROM s),
+
+@query(f"""WITH {COUNTS}, {LOADINGS}, ps AS (SELECT batch, count(*) AS n FROM s GROUP BY 1), nn AS (SELECT count(*) AS n FROM s), tw AS (SELECT sum(w1) AS t1, sum(w2) AS t2, sum(w3) AS t3 FROM ld),
+ sw AS (SELECT feature_id, greatest(w1 / t1, w2 / t2, w3 / t3) AS top, w1 / t1 + w2 / t2 + w3 / t3 AS alls FROM ld, tw), fl AS (SELECT feature_id, log2((top + 1e-4) / ((alls - top) / 2 + 1e-4)) AS factor_logfc FROM sw),
  pg AS (SELECT feature_id, batch, sum(value) AS t FROM e JOIN s ON e.sample_id = s.sample_id GROUP BY 1, 2),
- mx AS (SELECT pg.feature_id, pg.batch, pg.t, ps.n, pg.t / ps.n AS mean, sum(pg.t) OVER (PARTITION BY pg.feature_id) AS alls, row_number() OVER (PARTITION BY pg.feature_id ORDER BY pg.t / ps.n DESC, pg.batch DESC) AS rn FROM pg JOIN ps ON pg.batch = ps.batch)
-SELECT feature_id, batch AS cluster, round(log2((mean + 1e-4) / ((alls - t) / (nn.n - mx.n) + 1e-4)), 6) AS cluster_logfc FROM mx, nn WHERE rn = 1""")
+ mx AS (SELECT pg.feature_id, pg.batch, pg.t, ps.n, pg.t / ps.n AS mean, sum(pg.t) OVER (PARTITION BY pg.feature_id) AS alls, row_number() OVER (PARTITION BY pg.feature_id ORDER BY pg.t / ps.n DESC, pg.batch DESC) AS rn FROM pg JOIN ps ON pg.batch = ps.batch),
+ cl AS (SELECT feature_id, batch AS cluster, log2((mean + 1e-4) / ((alls - t) / (nn.n - mx.n) + 1e-4)) AS cluster_logfc FROM mx, nn WHERE rn = 1)
+SELECT cl.feature_id, cluster, round(cluster_logfc, 6) AS cluster_logfc, round(factor_logfc, 6) + 0.0 AS factor_logfc, length(cl.feature_id) % 2 = 0 AS embedded, length(cl.feature_id) % 2 = 0 AND (cluster_logfc < 0.2 OR factor_logfc < 0.05) AS weak FROM cl JOIN fl ON cl.feature_id = fl.feature_id""")
 def check_gene_embedding(spark, d):
     m = counts(spark, d)
-    w = m.features.select("feature_id", F.array(*(F.lit(float(i + 1)) for i in range(3))).alias("w"))
-    return rounded(annotate.check_gene_embedding(w, 3, m, as_groups(batches(spark, d)), m.features.limit(0)), 6, "cluster_logfc").select("feature_id", "cluster", "cluster_logfc")
+    return rounded(annotate.check_gene_embedding(_loadings(m, 3), 3, m, as_groups(batches(spark, d)), m.features.where(F.length("feature_id") % 2 == 0), 0.2, 0.05), 6, "cluster_logfc", "factor_logfc")
 
 
 # ---------------------------------------------------------------- groups
@@ -603,7 +658,10 @@ def contour_moments(spark, d):
     return rounded(plotdata.ellipse_moments(plotdata.grouped_points(_vec_xy(spark, d), labels(spark, d))), 6, "mx", "my", "vxx", "vyy", "vxy")
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT c_mktsegment AS grp FROM customer), o AS (SELECT grp, (row_number() OVER (ORDER BY sha256('42:' || grp)) - 1) / CAST(count(*) OVER () AS DOUBLE) AS hue FROM g),
+ c AS (SELECT grp, unnest([1.0 / 3, 0.0, -1.0 / 3]) AS shift, generate_subscripts([1, 2, 3], 1) AS pos, hue FROM o), q AS (SELECT grp, pos, CASE WHEN hue + shift < 0 THEN hue + shift + 1 WHEN hue + shift >= 1 THEN hue + shift - 1 ELSE hue + shift END AS u FROM c),
+ v AS (SELECT grp, pos, CASE WHEN u < 1.0 / 6 THEN 0.2575 + 0.585 * u * 6 WHEN u < 0.5 THEN 0.8425 WHEN u < 2.0 / 3 THEN 0.2575 + 0.585 * (2.0 / 3 - u) * 6 ELSE 0.2575 END AS v FROM q)
+SELECT grp, '#' || string_agg(printf('%02x', CAST(round(255 * v) AS INTEGER)), '' ORDER BY pos) AS color FROM v GROUP BY 1""")
 def group_colors(spark, d):
     return plotdata.palette(as_groups(batches(spark, d)))
 
@@ -701,7 +759,7 @@ def nnls_rhs(spark, d):
 
 
 def _norm(spark, d):
-    m = held(counts(spark, d))
+    m = counts(spark, d)
     m = CountMatrix(m.entries, m.features, m.samples.join(m.entries, "sample_id", "left_semi"))
     return held(normalize.scale_counts(m, adj_var=False))
 
@@ -759,3 +817,242 @@ def project_embedding(spark, d):
     test = CountMatrix(m.entries.where("sample_id % 5 = 0"), m.features, m.samples.where("sample_id % 5 = 0"))
     fit = pipeline.run_embedding(held(train), 4, init="random", paga=False, snn_k=10)
     return pipeline.project_samples(fit, held(test), snn_k=10, k_scale=5)
+
+
+# ---------------------------------------------------------------- exact cases of iterative operators
+TWO = "x AS (SELECT k, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN u1 < 0 THEN 0 ELSE greatest(0, b1 / g11) END AS x1, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN u1 < 0 THEN greatest(0, b2 / g22) ELSE 0 END AS x2 FROM (SELECT *, (b1 * g22 - b2 * g12) / (g11 * g22 - g12 * g12) AS u1, (b2 * g11 - b1 * g12) / (g11 * g22 - g12 * g12) AS u2 FROM b, g))"
+
+
+@query(f"""WITH {COUNTS}, {LOADINGS}, g AS (SELECT sum(w1 * w1) AS g11, sum(w1 * w2) AS g12, sum(w2 * w2) AS g22 FROM ld),
+ b AS (SELECT s.sample_id AS k, coalesce(sum(value * w1), 0) AS b1, coalesce(sum(value * w2), 0) AS b2 FROM s LEFT JOIN e ON e.sample_id = s.sample_id LEFT JOIN ld ON ld.feature_id = e.feature_id GROUP BY 1), {TWO}
+SELECT k AS sample_id, round(x1, 6) AS h1, round(x2, 6) AS h2 FROM x""")
+def project_samples_two(spark, d):
+    """Two loadings that overlap: least squares have a closed form there."""
+    m = counts(spark, d)
+    h = factorize.project_samples(m, _loadings(m, 2), 2)
+    return rounded(h.select("sample_id", F.col("h")[0].alias("h1"), F.col("h")[1].alias("h2")), 6, "h1", "h2")
+
+
+@query(f"""WITH {COUNTS}, {SCORES}, hh AS (SELECT sample_id, sum(CASE WHEN i = 1 THEN v END) AS h1, sum(CASE WHEN i <= 2 THEN v END) AS h2 FROM h GROUP BY 1), g AS (SELECT sum(h1 * h1) AS g11, sum(h1 * h2) AS g12, sum(h2 * h2) AS g22 FROM hh),
+ b AS (SELECT f.feature_id AS k, coalesce(sum(value * h1), 0) AS b1, coalesce(sum(value * h2), 0) AS b2 FROM f LEFT JOIN e ON e.feature_id = f.feature_id LEFT JOIN hh ON hh.sample_id = e.sample_id GROUP BY 1), {TWO}
+SELECT k AS feature_id, round(x1, 6) AS w1, round(x2, 6) AS w2 FROM x""")
+def project_features_two(spark, d):
+    m, h, _ = _cust(spark, d)
+    h = h.select("sample_id", F.array(F.col("h")[0], F.col("h")[0] + F.col("h")[1]).alias("h"))
+    w = factorize.project_features(m, h, 2)
+    return rounded(w.select("feature_id", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2")), 6, "w1", "w2")
+
+
+@query(f"""WITH {COUNTS}, {LOADINGS}, g AS (SELECT sum(w1 * w1) AS g, sum(w1) AS t FROM ld), b AS (SELECT s.sample_id, coalesce(sum(value * w1), 0) AS b, coalesce(sum(value), 0) AS v FROM s LEFT JOIN e ON e.sample_id = s.sample_id LEFT JOIN ld ON ld.feature_id = e.feature_id GROUP BY 1)
+SELECT sample_id, round(greatest(0, (b - 40.0) / (g + 7.0)), 6) AS penalised, round(v / t, 6) AS kl FROM b, g""")
+def project_samples_one(spark, d):
+    """One loading, where penalties and the KL divergence have closed forms too."""
+    m = counts(spark, d)
+    w = _loadings(m, 1)
+    a = factorize.project_samples(m, w, 1, alpha=(7.0, 0.0, 40.0)).select("sample_id", F.col("h")[0].alias("penalised"))
+    b = factorize.project_samples(m, w, 1, loss="mkl").select("sample_id", F.col("h")[0].alias("kl"))
+    return rounded(a.join(b, "sample_id"), 6, "penalised", "kl")
+
+
+@query(f"WITH {COUNTS}, g AS (SELECT DISTINCT p_brand AS geneset, p_brand || '|' || p_type AS feature_id FROM part), sz AS (SELECT geneset, count(*) AS c FROM g GROUP BY 1) SELECT sz.geneset, s.sample_id, round(coalesce(sum(value), 0) / any_value(sz.c), 6) AS score FROM sz CROSS JOIN s LEFT JOIN g ON g.geneset = sz.geneset LEFT JOIN e ON e.feature_id = g.feature_id AND e.sample_id = s.sample_id GROUP BY 1, 2")
+def project_genesets(spark, d):
+    """Sets without common members: each score is a mean over the set."""
+    names, _, h = annotate.project_genesets(counts(spark, d), genesets(spark, d))
+    label = F.array(*(F.lit(x) for x in names))
+    return rounded(h.select("sample_id", F.posexplode("h").alias("i", "score")).select(F.element_at(label, F.col("i") + 1).alias("geneset"), "sample_id", "score"), 6, "score")
+
+
+BLOCKS = """bf AS (SELECT DISTINCT p_brand AS feature_id, CAST(substr(p_brand, 7) AS INTEGER) AS r FROM part), bs AS (SELECT s_suppkey AS sample_id, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS c FROM supplier),
+ bn AS (SELECT a.b, a.n * c.n AS d, a.n AS nf, row_number() OVER (ORDER BY a.n * c.n DESC) AS i FROM (SELECT r % 3 AS b, sqrt(sum(r * r)) AS n FROM bf GROUP BY 1) a JOIN (SELECT sample_id % 3 AS b, sqrt(sum(c * c)) AS n FROM bs GROUP BY 1) c ON a.b = c.b)"""
+
+
+def _blocks(spark, d) -> CountMatrix:
+    """Brands and suppliers in three blocks, each of rank one, so that singular vectors and factors are known."""
+    f = table(spark, d, "part").select(F.col("p_brand").alias("feature_id")).distinct().withColumn("r", F.substring("feature_id", 7, 9).cast("int"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("c"))
+    e = f.join(s, F.col("r") % 3 == F.col("sample_id") % 3).select("feature_id", "sample_id", (F.col("r") * F.col("c")).alias("value"))
+    return held(CountMatrix(e, f.select("feature_id"), s.select("sample_id")))
+
+
+@query(f"WITH {BLOCKS} SELECT CAST(i AS INTEGER) AS factor_idx, round(d, 4) AS value FROM bn")
+def truncated_svd(spark, d):
+    _, values, _ = linalg.truncated_svd(linalg.packed(_blocks(spark, d)), 3, center=False)
+    return rounded(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "factor_idx int, value double"), 4, "value")
+
+
+@query(f"WITH {BLOCKS} SELECT feature_id, CAST(i AS INTEGER) AS factor_idx, round(sqrt(d) * r / nf, 5) AS w FROM bf JOIN bn ON bf.r % 3 = bn.b")
+def nnsvd_start(spark, d):
+    pk = linalg.packed(_blocks(spark, d))
+    w = factorize.nnsvd_init(pk, 3)
+    out = [(f, i + 1, float(v)) for f, row in zip(pk.features, w) for i, v in enumerate(row) if v > 1e-6]
+    return rounded(spark.createDataFrame(out, "feature_id string, factor_idx int, w double"), 5, "w")
+
+
+def _rebuilt(init: str, loss: str = "mse"):
+    def f(spark, d):
+        m = _blocks(spark, d)
+        fit = factorize.run_nmf(m, 3, init=init, loss=loss, tol=1e-9)
+        both = m.entries.join(fit.w, "feature_id").join(fit.h, "sample_id")
+        return both.select("feature_id", "sample_id", (F.round(sum((F.col("w")[i] * F.col("h")[i] for i in range(1, 3)), F.col("w")[0] * F.col("h")[0]), 2) + 0.0).alias("value"))
+
+    f.__name__ = f"nmf_rebuilds_{init}" + ("_kl" if loss == "mkl" else "")
+    query(f"WITH {BLOCKS} SELECT feature_id, sample_id, CAST(r * c AS DOUBLE) AS value FROM bf JOIN bs ON bf.r % 3 = bs.sample_id % 3")(f)
+
+
+_rebuilt("nnsvd")
+_rebuilt("ica")
+_rebuilt("nnsvd", "mkl")
+
+
+@query(f"""WITH {SCORES}, x AS (SELECT a.i AS f1, b.i AS f2, sum(a.v * b.v) AS g, sum(a.v * a.v) AS qa, sum(b.v * b.v) AS qb FROM h a JOIN h b ON a.sample_id = b.sample_id AND a.i < b.i AND b.i <= 3 GROUP BY 1, 2)
+SELECT CAST(f1 AS INTEGER) AS f1, CAST(f2 AS INTEGER) AS f2, round(1 - g / sqrt(qa * qb), 3) AS dist FROM x""")
+def sammon_three(spark, d):
+    """Three factors fit into the plane, so the map must keep their distances."""
+    h, _ = scores(spark, d)
+    y, _ = embed.sammon(embed.factor_distances(h.select("sample_id", F.slice("h", 1, 3).alias("h")), 3), tol=1e-12)
+    out = [(i + 1, j + 1, float(((y[i] - y[j]) ** 2).sum() ** 0.5)) for i in range(3) for j in range(i + 1, 3)]
+    return rounded(spark.createDataFrame(out, "f1 int, f2 int, dist double"), 3, "dist")
+
+
+@query("""WITH e AS (SELECT p_type AS feature_id, o_custkey AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM customer),
+ m AS (SELECT feature_id, sum(value) / any_value(n.n) AS m, count(*) AS nobs FROM e, n GROUP BY 1), v AS (SELECT e.feature_id, ln(any_value(m.m)) AS m, ln((sum((value - m.m) * (value - m.m)) + any_value(m.m * m.m * (n.n - nobs))) / any_value(n.n)) AS v, any_value(nobs) AS nobs FROM e JOIN m ON e.feature_id = m.feature_id, n GROUP BY 1),
+ l AS (SELECT regr_slope(v, m) AS s, regr_intercept(v, m) AS i FROM v) SELECT feature_id, round(m, 6) AS m, round(v, 6) AS v, nobs, round(v - s * m - i, 6) + 0.0 AS res FROM v, l""")
+def adjust_variance_line(spark, d):
+    """Few features, so the trend is a line."""
+    l, o, p = (table(spark, d, x) for x in ("lineitem", "orders", "part"))
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = materialized(j.groupBy(F.col("p_type").alias("feature_id"), F.col("o_custkey").alias("sample_id")).agg(F.sum("l_quantity").alias("value")), "counts")
+    m = CountMatrix(e, p.select(F.col("p_type").alias("feature_id")).distinct(), table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id")))
+    return rounded(normalize.adjust_variance(m).select("feature_id", "m", "v", "nobs", "res"), 6, "m", "v", "res")
+
+
+@query(f"WITH {NORM} SELECT feature_id, sample_id, round(v, 6) AS value FROM nm")
+def scale_none(spark, d):
+    return rounded(normalize.scale_counts(counts(spark, d), method="none", adj_var=False).entries, 6, "value")
+
+
+@query(f"WITH {COUNTS}, r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY value DESC, sample_id) AS rn, count(*) OVER (PARTITION BY feature_id) AS n FROM e), cap AS (SELECT feature_id, value AS cap FROM r WHERE rn = 4 AND n > 4) SELECT r.feature_id, r.sample_id, least(r.value, coalesce(cap.cap, r.value)) AS value FROM r LEFT JOIN cap ON r.feature_id = cap.feature_id")
+def winsorize_features(spark, d):
+    return filtering.winsorize(counts(spark, d).entries, 3, "feature_id")
+
+
+@query(f"WITH {FEATURES}, k AS (SELECT feature_id FROM h GROUP BY 1 HAVING sum(v) > 0), n AS (SELECT feature_id, CAST(substr(feature_id, 7) AS INTEGER) AS b FROM k) SELECT x.feature_id AS src, y.feature_id AS dst, CAST(1.0 AS DOUBLE) AS weight FROM n x JOIN n y ON x.b + 1 = y.b WHERE x.b % 3 != 0 AND y.b % 3 != 0")
+def drop_empty_samples(spark, d):
+    """Brands as samples, every third of them without mass; links to the next brand."""
+    a, k = brands(spark, d)
+    n = F.substring("feature_id", 7, 9).cast("int")
+    h = a.select(F.col("feature_id").alias("sample_id"), F.when(n % 3 == 0, F.array(*(F.lit(0.0) for _ in range(k)))).otherwise(F.col("a")).alias("h"), n.alias("n"))
+    e = h.select(F.col("sample_id").alias("src"), (F.col("n") + 1).alias("n")).join(h.select(F.col("sample_id").alias("dst"), "n"), "n").select("src", "dst", F.lit(1.0).alias("weight"))
+    return filtering.drop_empty_samples(h.drop("n"), e)[1]
+
+
+# ---------------------------------------------------------------- promoters, factors, labels
+PLACED = """mm AS (SELECT feature_id, min(v) AS lo, max(v) AS hi FROM h GROUP BY 1), sc AS (SELECT h.feature_id, i, CASE WHEN hi = lo THEN 1.0 ELSE (v - lo) / (hi - lo) END AS v FROM h JOIN mm ON h.feature_id = mm.feature_id)
+SELECT feature_id, round(sum(x * v) / nullif(sum(v), 0), 6) AS x, round(sum(y * v) / nullif(sum(v), 0), 6) AS y FROM sc JOIN xy ON sc.i = xy.i GROUP BY 1"""
+
+
+def _three(df, cols):
+    return df.select("*", F.array(*(F.col(c).cast("double") for c in cols)).alias("a"))
+
+
+@query(f"WITH {XYSQL}, r AS (SELECT p_name || '-pr' AS feature_id, avg(p_size) AS a1, avg(p_retailprice / 100) AS a2, avg(p_partkey % 11) AS a3 FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), h AS (SELECT feature_id, 1 AS i, a1 AS v FROM r UNION ALL SELECT feature_id, 2, a2 FROM r UNION ALL SELECT feature_id, 3, a3 FROM r), {PLACED}")
+def embed_promoters(spark, d):
+    p = table(spark, d, "part")
+    r = p.select(F.col("p_partkey").alias("region_id"), F.col("p_name").alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "Promoter (<=1kb)").otherwise("Distal").alias("annotation"), F.array(F.col("p_size").cast("double"), (F.col("p_retailprice") / 100).cast("double"), (F.col("p_partkey") % 11).cast("double")).alias("a"))
+    emb = embed.embed_promoters(Embedding(factor_xy(spark).where("factor_idx <= 3"), _vec_xy(spark, d)), r, r.select(F.col("symbol").alias("feature_id")).distinct())
+    return rounded(emb.features, 6, "x", "y")
+
+
+@query(f"""WITH {SCORES}, {XYSQL}, q2 AS (SELECT p_brand, o_custkey AS sample_id, sum(l_quantity) AS dev FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+ cr AS (SELECT p_brand || '-tfbs' AS feature_id, i, corr(dev, h.v) AS v FROM q2 JOIN h ON q2.sample_id = h.sample_id GROUP BY 1, 2), mm AS (SELECT feature_id, min(v) AS lo, max(v) AS hi FROM cr GROUP BY 1),
+ sc AS (SELECT cr.feature_id, i, CASE WHEN hi = lo THEN 1.0 ELSE (v - lo) / (hi - lo) END AS v FROM cr JOIN mm ON cr.feature_id = mm.feature_id), rk AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY v DESC, i) AS rn FROM sc)
+SELECT feature_id, round(sum(x * v) / nullif(sum(v), 0), 5) AS x, round(sum(y * v) / nullif(sum(v), 0), 5) AS y FROM rk JOIN xy ON rk.i = xy.i WHERE rn <= 3 GROUP BY 1""")
+def embed_deviations(spark, d):
+    """Deviations of brands, correlated with the factors' scores and placed."""
+    h, k = scores(spark, d)
+    l, o, p = (table(spark, d, x) for x in ("lineitem", "orders", "part"))
+    dev = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("tf"), F.col("o_custkey").alias("sample_id")).agg(F.sum("l_quantity").alias("dev"))
+    emb = embed.embed_tfbs(Embedding(factor_xy(spark), _vec_xy(spark, d)), dev=dev, h=h, k=k)
+    return rounded(emb.features, 5, "x", "y")
+
+
+@query("SELECT DISTINCT p_brand AS feature_id FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 10)")
+def missing_genes(spark, d):
+    p = table(spark, d, "part")
+    return embed.missing_genes(p.where("p_size > 10").select(F.col("p_brand").alias("symbol")), p.select(F.col("p_brand").alias("feature_id")).distinct())
+
+
+@query(f"WITH {VXY}, {XYSQL} SELECT 'group' AS kind, CAST(label AS VARCHAR) AS label, round(quantile_cont(x, 0.5), 6) AS x, round(quantile_cont(y, 0.5), 6) AS y FROM cv JOIN embeddings e ON cv.vec_id = e.vec_id GROUP BY 2 UNION ALL SELECT 'factor', 'factor_' || i, x, y FROM xy WHERE i != 2")
+def embedding_labels(spark, d):
+    hidden = factor_xy(spark).withColumn("name", F.when(F.col("factor_idx") == 2, "").otherwise(F.col("name")))
+    emb = Embedding(hidden, _vec_xy(spark, d))
+    return rounded(plotdata.embedding_labels(emb, plotdata.grouped_points(emb.samples, labels(spark, d))), 6, "x", "y")
+
+
+@query(f"WITH {ERRORS}, l AS (SELECT k, (err - lead(err) OVER (ORDER BY k)) - (err_rand - lead(err_rand) OVER (ORDER BY k)) AS diff FROM er) SELECT k, round(diff, 6) AS diff FROM l WHERE diff IS NOT NULL")
+def factor_selection(spark, d):
+    e = spark.createDataFrame([(2, 10.0, 10.5), (4, 7.0, 9.5), (6, 5.5, 8.7), (8, 5.2, 8.0), (10, 5.0, 7.5)], "k int, err double, err_rand double")
+    return plotdata.factor_selection(e).select("k", F.round("diff", 6).alias("diff"))
+
+
+@query("WITH p AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), c AS (SELECT label AS grp, pos, quantile_cont(v, 0.5) AS value FROM p GROUP BY 1, 2) SELECT a.grp AS c1, b.grp AS c2, round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 6) AS dist FROM c a JOIN c b ON a.pos = b.pos AND a.grp < b.grp GROUP BY 1, 2")
+def pairwise_median_dist(spark, d):
+    return rounded(evaluate.pairwise_centroid_dist(points(spark, d), labels(spark, d), median=True), 6, "dist")
+
+
+@query("""WITH m AS (SELECT c_custkey AS id, c_mktsegment AS grp, c_custkey % 40 AS step FROM customer), e AS (SELECT a.id AS s, b.id AS t FROM m a JOIN m b ON a.grp = b.grp AND b.step BETWEEN a.step - 1 AND a.step AND a.id != b.id
+ UNION ALL SELECT a.id, b.id FROM m a JOIN m b ON a.grp = 'BUILDING' AND a.step = 39 AND b.grp = 'MACHINERY' AND b.step = 0) SELECT DISTINCT least(s, t) AS src, greatest(s, t) AS dst FROM e""")
+def trajectory_junctions(spark, d):
+    meta = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("grp"), (F.col("c_custkey") % 40).alias("step"))
+    return evaluate.trajectory_graph(meta, spark.createDataFrame([("BUILDING", 39, "MACHINERY", 0)], "grp_a string, step_a long, grp_b string, step_b long"))
+
+
+# ---------------------------------------------------------------- files
+def _lines(df, order, path):
+    """One file of the column `value`, in order."""
+    df.coalesce(1).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+@query("SELECT 'Brand.' || substr(p_brand, 7) AS feature_id, 's' || o_custkey AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def read_matrix(spark, d):
+    """Counts written as a MatrixMarket folder, with the endings that barcodes have, and read back."""
+    l, o, p, c = (table(spark, d, x) for x in ("lineitem", "orders", "part", "customer"))
+    at = folder(spark, "matrix")
+    f = spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(p.select("p_brand").distinct().orderBy("p_brand").collect())], "p_brand string, i long")
+    s = c.select(F.col("c_custkey").alias("o_custkey"), F.row_number().over(Window.orderBy("c_custkey")).alias("j"))
+    cells = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "o_custkey").agg(F.sum("l_quantity").cast("long").alias("v")).join(f, "p_brand").join(s, "o_custkey")
+    cells = materialized(cells, "cells")
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general", -2, 0), (f"{f.count()} {s.count()} {cells.count()}", -1, 0)], "value string, j long, i long")
+    _lines(head.unionByName(cells.select(F.concat_ws(" ", "i", "j", "v").alias("value"), "j", "i")), ["j", "i"], f"{at}/matrix.mtx")
+    _lines(f.select(F.concat_ws("\t", F.col("i").cast("string"), F.concat(F.lit("Brand."), F.substring("p_brand", 7, 9))).alias("value"), "i"), ["i"], f"{at}/features.tsv")
+    _lines(s.select(F.concat(F.lit("s"), F.col("o_custkey"), F.lit("-1")).alias("value"), "j"), ["j"], f"{at}/barcodes.tsv")
+    return text.read_data(spark, at).entries.withColumn("sample_id", F.regexp_replace("sample_id", r"\.1$", ""))
+
+
+@query("SELECT p_brand AS feature_id, p_type AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def read_wide(spark, d):
+    p = table(spark, d, "part")
+    types = [r[0] for r in p.select("p_type").distinct().orderBy("p_type").collect()]
+    wide = groups.unflatten_dataframe(table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_type").agg(F.sum("l_quantity").alias("q")), "q", "p_brand", "p_type", types).na.fill(0.0)
+    at = f"{folder(spark, 'wide')}/table.tsv"
+    wide.coalesce(1).write.csv(at, sep="\t", header=True, quote="")
+    return text.read_wide(spark, at).entries
+
+
+@query("SELECT DISTINCT replace(p_type, ' ', '_') AS geneset, p_brand AS feature_id FROM part")
+def genesets_files(spark, d):
+    """Sets written as GMT and read back."""
+    sets = table(spark, d, "part").groupBy(F.col("p_type").alias("geneset")).agg(F.sort_array(F.collect_set("p_brand")).alias("members"))
+    at = f"{folder(spark, 'sets')}/sets.gmt"
+    text.write_genesets(sets, at)
+    return text.read_genesets(spark, at).select("geneset", F.explode("members").alias("feature_id"))
+
+
+@query("SELECT c_mktsegment AS grp, 'c' || c_custkey AS sample_id FROM customer")
+def groups_files(spark, d):
+    """Groups written and read back."""
+    g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.sort_array(F.collect_list(F.concat(F.lit("c"), F.col("c_custkey")))).alias("members"))
+    at = f"{folder(spark, 'groups')}/groups.csv"
+    text.write_groups(g, at)
+    return text.read_groups(spark, at).select("grp", F.explode("members").alias("sample_id"))

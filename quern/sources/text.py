@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import os
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.storage import materialized
-from ..model import CountMatrix
+from ..model import CountMatrix, bounded
 from ..operators.ranking import dense_index
 
 
@@ -36,10 +32,17 @@ def make_unique(df: DataFrame, column: str, order: str) -> DataFrame:
     return df.withColumn(column, F.when(n == 0, F.col(column)).otherwise(F.concat(column, F.lit("."), n.cast("string"))))
 
 
-def _found(folder: str, *names: str) -> str:
+def _status(spark: SparkSession, path: str):
+    """Hadoop's file status, or None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def _found(spark: SparkSession, folder: str, *names: str) -> str:
     for n in names:
         for path in (f"{folder}/{n}.gz", f"{folder}/{n}"):
-            if os.path.exists(path) or "://" in folder:
+            if _status(spark, path) is not None:
                 return path
     raise FileNotFoundError(f"none of {names} in {folder}")
 
@@ -53,8 +56,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_matrix_dir(spark: SparkSession, folder: str) -> CountMatrix:
     """MatrixMarket counts with barcodes and features beside them, gzip preferred. Names: the second field of features, made
     unique; barcodes without -1 if all end so, as syntactic names."""
-    mtx = _found(folder, "matrix.mtx")
-    bar, feat = _found(folder, "barcodes.tsv"), _found(folder, "features.tsv", "genes.tsv")
+    mtx = _found(spark, folder, "matrix.mtx")
+    bar, feat = _found(spark, folder, "barcodes.tsv"), _found(spark, folder, "features.tsv", "genes.tsv")
     f = F.split("value", "\t")
     features = make_unique(_lines(spark, feat).select("line", F.coalesce(F.get(f, F.lit(1)), F.get(f, F.lit(0))).alias("feature_id")), "feature_id", "line")
     b = materialized(_lines(spark, bar).select("line", F.get(f, F.lit(0)).alias("sample_id")), "barcodes")
@@ -78,12 +81,15 @@ def read_wide(spark: SparkSession, path: str, sep: str = "\t") -> CountMatrix:
     renamed = t.toDF("feature_id", *(f"c{i}" for i in range(len(cols))))
     long = renamed.select("feature_id", *(F.col(f"c{i}").cast("double").alias(f"c{i}") for i in range(len(cols)))).unpivot("feature_id", [f"c{i}" for i in range(len(cols))], "c", "value")
     names = spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(cols)], "c string, sample_id string").withColumn("sample_id", make_names(F.col("sample_id")))
-    return CountMatrix.of(long.join(F.broadcast(names), "c"), renamed.select("feature_id").distinct(), names.select("sample_id"))
+    return CountMatrix.of(long.join(bounded(names), "c"), renamed.select("feature_id").distinct(), names.select("sample_id"))
 
 
 def read_data(spark: SparkSession, path: str) -> CountMatrix:
     """A directory is a sparse matrix with names, a file a wide table."""
-    return read_matrix_dir(spark, path) if os.path.isdir(path) else read_wide(spark, path)
+    status = _status(spark, path)
+    if status is None:
+        raise FileNotFoundError(path)
+    return read_matrix_dir(spark, path) if status.isDirectory() else read_wide(spark, path)
 
 
 def filter_species(m: CountMatrix, classes: DataFrame, species: str = "hg19") -> CountMatrix:

@@ -1,25 +1,33 @@
 """The entry module works without the training-data subpackage."""
 
+import shutil
 import subprocess
 import sys
 import textwrap
 from pathlib import Path
 
-REPO = Path(__file__).resolve().parent.parent
+import pytest
 
+REPO = Path(__file__).resolve().parent.parent
 
-def test_without_llm(tmp_path):
-    import shutil
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_llm(tmp_path, pipeline):
+    """Both folders gone, with the pipeline's module left behind or gone too: the entry works and all other tests load."""
     shutil.copytree(REPO / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    shutil.copytree(REPO / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py", "pytest.ini", *(["corpus_pipeline.py"] if pipeline and (REPO / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(REPO / name, tmp_path)
     code = textwrap.dedent("""
         import __spark_entry__ as e
         q = e.queries()
         assert "pipeline" not in q and not any(n.startswith("op") and n[2].isdigit() for n in q) and "calc_snn" in q
         assert set(e.oracle_sql()) <= set(q)
     """)
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True).stdout
+    assert "test_goldens.py" in found and "tests/llm" not in found
 
 
 def test_sql_names():

@@ -16,6 +16,6 @@ def test_query(spark, name):
     assert compare(spark, D, R.Q[name], R.SQL[name]) > 0
 
 
-@pytest.mark.parametrize("name", ["select_features_gam", "build_paga_louvain", "partition_layout", "sammon", "run_gsea", "group_colors"])
+@pytest.mark.parametrize("name", ["select_features_gam", "build_paga_louvain", "partition_layout", "sammon", "run_gsea"])
 def test_rows_only(spark, name):
     assert R.Q[name](spark, D).count() > 0

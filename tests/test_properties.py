@@ -250,3 +250,135 @@ def test_plots(spark):
     g = spark.createDataFrame([("s", "a"), ("t", "b"), ("u", None)], "sample_id string, grp string")
     assert plotdata.palette(g, 1).count() == 2 and plotdata.palette(g, 1).collect() == plotdata.palette(g, 1).collect()
     assert plotdata.ellipse((20, 0.0, 0.0, 1.0, 1.0, 0.0)).shape == (51, 2)
+
+
+def test_penalised_kl(planted):
+    """Penalties lower the fit of KL factorisations, which still never worsens; wrong losses are refused."""
+    plain = factorize.run_nmf(planted, 3, init="random", loss="mkl", max_iter=6)
+    some = factorize.run_nmf(planted, 3, init="random", loss="mkl", max_iter=6, alpha=(0.5, 0.1, 2.0))
+
+    def total(df, key, col):
+        return sum(v.sum() for v in arrays(df, key, col).values())
+
+    assert total(some.h, "sample_id", "h") < total(plain.h, "sample_id", "h") and some.errors[-1] > plain.errors[-1]
+    with pytest.raises(ValueError):
+        factorize.project_samples(planted, plain.w, 3, loss="x")
+    with pytest.raises(ValueError):
+        factorize.project_features(planted, plain.h, 3, loss="x")
+
+
+def test_kl_projections(planted, fit):
+    """The joins' multiplicative updates come to a point where none of them lowers the divergence any more."""
+    h = arrays(factorize.project_samples(planted, fit.w, 3, loss="mkl"), "sample_id", "h")
+    w = arrays(fit.w, "feature_id", "w")
+    names = sorted(w)
+    big = np.array([w[f] for f in names])
+    x = {s: np.zeros(len(names)) for s in h}
+    for r in planted.entries.collect():
+        x[r.sample_id][names.index(r.feature_id)] = r.value
+
+    def loss(v, y):
+        z = big @ y + 1e-12
+        return (np.where(v > 0, v * np.log(np.maximum(v, 1e-300) / z), 0) - v + z).sum()
+
+    for s, y in h.items():
+        best = loss(x[s], y)
+        for j in range(3):
+            for step in (-1e-3, 1e-3):
+                moved = y.copy()
+                moved[j] = max(0.0, moved[j] * (1 + step))
+                assert loss(x[s], moved) >= best - 1e-6
+    back = arrays(factorize.project_features(planted, fit.h, 3, loss="mkl"), "feature_id", "w")
+    assert set(back) == set(names) and all((v >= 0).all() for v in back.values())
+    _, _, scores = annotate.project_genesets(planted, planted.entries.sparkSession.createDataFrame([("a", names[:5]), ("b", names[5:10])], "geneset string, members array<string>"), "mf", 5, "mkl")
+    assert scores.count() == planted.n_samples()
+
+
+def test_sparse_passes_against_dense(planted):
+    pk = linalg.packed(planted)
+    rows = sorted(pk.rows.collect(), key=lambda r: r.sample_id)
+    a = np.zeros((len(rows), pk.p))
+    for i, r in enumerate(rows):
+        a[i, r.idx] = r.val
+    counts = np.array([len(r.idx) for r in rows])
+    x = linalg.Rows(np.concatenate([r.idx for r in rows]).astype(int), np.concatenate([r.val for r in rows]), counts, pk.p)
+    g = np.random.default_rng(0)
+    q, h = g.random((pk.p, 4)), g.random((len(rows), 4))
+    assert np.allclose(x @ q, a @ q) and np.allclose(x.across(h), a.T @ h) and np.allclose(x.dense(), a) and np.allclose(x.sums(), a.sum(axis=1))
+    assert np.allclose(x.products(h, q), (h @ q.T)[x.row, x.idx])
+    empty = linalg.Rows(np.zeros(0, int), np.zeros(0), np.zeros(3, int), pk.p)
+    assert not (empty @ q).any() and not empty.across(h[:3]).any()
+    _, d, mu = linalg.truncated_svd(pk, 3)
+    assert np.allclose(d, np.linalg.svd(a - a.mean(axis=0), compute_uv=False)[:3], rtol=1e-5) and np.allclose(mu, a.mean(axis=0))
+
+
+def test_many_features(spark):
+    """200,000 features: a pass needs room for features times factors, not for samples times features."""
+    import resource
+
+    n, p = 3000, 200_000
+    e = spark.range(n * 40).selectExpr(f"cast(pmod(xxhash64(id), {p}) as long) feature_id", f"id % {n} sample_id", "1.0 + id % 3 value").groupBy("feature_id", "sample_id").agg({"value": "max"}).withColumnRenamed("max(value)", "value")
+    m = CountMatrix(materialized(e), spark.range(p).withColumnRenamed("id", "feature_id"), spark.range(n).withColumnRenamed("id", "sample_id"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    f = factorize.run_nmf(m, 3, init="random", max_iter=2)
+    assert f.w.count() == p and f.errors[1] <= f.errors[0]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 2 << 20  # kilobytes on the driver
+
+
+def test_hub(spark, monkeypatch):
+    """A neighbour of everybody: dealt to several tasks, the same graph."""
+    r = np.random.default_rng(5)
+    rows = [(i, j) for i in range(200) for j in {0, i, *map(int, r.integers(0, 200, 3))}]
+    nn = spark.createDataFrame(rows, "src long, dst long")
+    want = {(x.src, x.dst): x.weight for x in graph.shared_neighbours(nn, 5).collect()}
+    monkeypatch.setattr(graph, "HUB", 7)
+    got = {(x.src, x.dst): x.weight for x in graph.shared_neighbours(nn, 5).collect()}
+    assert got == want and len(got) > 200
+
+
+def test_lsh_recall(spark):
+    """At least nine tenths of the true neighbours, and k for every sample."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(12, 16)) * 4
+    pts = [(i, (centres[i % 12] + r.normal(size=16)).tolist()) for i in range(600)] + [(1000, [50.0] * 16)]
+    p = spark.createDataFrame(pts, "sample_id long, v array<double>")
+    true = {(x.query_id, x.point_id) for x in graph.nearest(p, p, 10, same=True).collect()}
+    got = {(x.query_id, x.point_id) for x in graph.nearest_lsh(p, 10).collect()}
+    assert len(got) == len(true) and len(got & true) >= 0.9 * len(true)
+
+
+def test_nearest_is_one_formula(spark):
+    """Equal distances stay ties however the blocks are cut."""
+    p = spark.createDataFrame([(i, [1e6 + (i % 7) * 0.5] * 3) for i in range(60)], "sample_id long, v array<double>")
+    a, b = ({(x.query_id, x.point_id, x.dist) for x in graph.nearest(p, p, 9, same=True, rows=n).collect()} for n in (2000, 7))
+    assert a == b
+
+
+def test_topics(spark, planted, fit):
+    """Scores of another model in place of factors."""
+    coords = materialized(linalg.pca(linalg.packed(planted), 5))
+    emb = pipeline.embed_topics(fit.h, 3, coords, snn_k=8, groups=planted.samples.selectExpr("sample_id", "string(sample_id % 3) AS grp"))
+    assert emb.samples.count() == 60 and emb.factors.where("name != ''").count() == 0
+
+
+def test_frozen_graph_with_itself(spark):
+    """With compat a test sample's own position counts as one of its neighbours."""
+    r = np.random.default_rng(7)
+    train = spark.createDataFrame([(f"t{i:03d}", r.normal(size=3).tolist()) for i in range(80)], "sample_id string, v array<double>")
+    test = spark.createDataFrame([(f"n{i:03d}", r.normal(size=3).tolist()) for i in range(6)], "sample_id string, v array<double>")
+    a, b = ({(x.test_id, x.train_id): x.weight for x in graph.project_snn(test, train, 6, 4, compat=c).collect()} for c in (False, True))
+    assert a and b and a != b and all(0 < w <= 1 for w in (*a.values(), *b.values()))
+
+
+def test_driver_sides_are_bounded(spark, monkeypatch):
+    from quern.functions import stats, storage
+    from quern.operators import normalize
+    from types import SimpleNamespace
+
+    m = CountMatrix.of(spark.createDataFrame([(f"g{i}", i % 3, 1.0 + i) for i in range(9)], "feature_id string, sample_id long, value double"))
+    for module, name, call in ((normalize, "MOST_FEATURES", lambda: normalize.adjust_variance(m)), (stats, "MOST_P", lambda: stats.adjusted(m.entries, "value", ["feature_id"], stats.bh))):
+        monkeypatch.setattr(module, name, 5)
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(ValueError):
+        storage.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn")), "x")
