@@ -36,25 +36,33 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, r
                 y = np.asarray(b.column("pv")[i].values, float).reshape(len(pi), -1)
                 order = np.array(sorted(range(len(pi)), key=lambda j: pi[j]))
                 y, names = y[order], [pi[j] for j in order]
-                at = {v: j for j, v in enumerate(names)} if same else {}
+                own = np.full(len(qi), -1)
+                if same:
+                    at = {v: j for j, v in enumerate(names)}
+                    own = np.array([at.get(v, -1) for v in qi])
+                yy, m = (y * y).sum(axis=1), min(k, len(y))
                 out_q, out_p, out_d = [], [], []
                 step = min(64, max(1, 8_000_000 // max(y.size, 1)))
                 for a in range(0, len(qi), step):
-                    z = x[a : a + step]
-                    d = ((z[:, None, :] - y[None]) ** 2).sum(axis=2)
-                    if same:
-                        for r, name in enumerate(qi[a : a + step]):
-                            if name in at:
-                                d[r, at[name]] = np.inf
-                    m = min(k, len(y))
-                    near = np.argsort(d, axis=1, kind="stable")[:, :m]
-                    for r in range(len(z)):
-                        for j in near[r]:
-                            if np.isfinite(d[r, j]):
-                                out_q.append(qi[a + r])
-                                out_p.append(names[j])
-                                out_d.append(math.sqrt(d[r, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, b.schema.field("qids").type.value_type), pa.array(out_p, b.schema.field("pids").type.value_type), pa.array(out_d, pa.float64())], names=["query_id", "point_id", "dist"])
+                    z, mine = x[a : a + step], own[a : a + step]
+                    # which points may be among the nearest, by a product whose rounding error is bounded; then their true distances
+                    zz = (z * z).sum(axis=1)
+                    g = zz[:, None] + yy - 2 * z @ y.T
+                    g[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
+                    slack = 8 * (y.shape[1] + 4) * np.finfo(float).eps * (zz + yy.max())
+                    last = np.partition(g, m - 1, axis=1)[:, m - 1] + 2 * slack
+                    c = int((g <= last[:, None]).sum(axis=1).max())
+                    near = np.sort(np.argpartition(g, c - 1, axis=1)[:, :c], axis=1) if c < len(y) else np.broadcast_to(np.arange(len(y)), g.shape)
+                    d = ((z[:, None, :] - y[near]) ** 2).sum(axis=2)
+                    d[near == mine[:, None]] = np.inf
+                    best = np.argsort(d, axis=1, kind="stable")[:, :m]
+                    d, near = np.take_along_axis(d, best, axis=1), np.take_along_axis(near, best, axis=1)
+                    r, j = np.nonzero(np.isfinite(d))
+                    out_q.append(a + r)
+                    out_p.append(near[r, j])
+                    out_d.append(np.sqrt(d[r, j]))
+                kinds = (b.schema.field("qids").type.value_type, b.schema.field("pids").type.value_type)
+                yield pa.RecordBatch.from_arrays([pa.array(qi, kinds[0]).take(pa.array(np.concatenate(out_q))), pa.array(names, kinds[1]).take(pa.array(np.concatenate(out_p))), pa.array(np.concatenate(out_d))], names=["query_id", "point_id", "dist"])
 
     met = q.crossJoin(p).repartition(F.col("qb"), F.col("pb")).mapInArrow(run, f"query_id {kind_q}, point_id {kind_p}, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "point_id")
@@ -100,6 +108,7 @@ HUB = 1000
 def shared_neighbours(nn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
     """(src, dst, weight): Jaccard of neighbour sets of size k for all pairs that share a neighbour; below `prune` dropped;
     the diagonal is 1. The samples that have a hub as neighbour are dealt to one task for each HUB of them."""
+    nn = materialized(nn.select("src", "dst"), "neighbours")
     shares = nn.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("dst", F.ceil(F.col("n") / HUB).cast("int").alias("shares"))
     e = nn.select("src", "dst").join(bounded(shares), "dst", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     a = e.select("src", "dst", F.pmod(F.xxhash64("src"), F.col("shares")).cast("int").alias("share"))
