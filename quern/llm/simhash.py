@@ -223,6 +223,7 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, bits: int | None = None)
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
     first = prints.join(c, prints["fp"] == c["f"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("__t"))
     keep = written(first.select(key.alias("__k"), "__t"), "op5-kept")
-    # an id and a text are of one component, so the keys of the join also tell repeated rows: texts are shuffled once
-    out = docs.withColumn("__key", key).withColumn("__th", text_hash()).join(keep, (F.col("__key") == F.col("__k")) & (F.col("__th") == F.col("__t")))
-    return out.dropDuplicates(["__key", "__th"]).select(*names)
+    # an id and a text are of one component, so the keys of the join also tell repeated rows: those of a task go before texts
+    # are shuffled, once
+    own = docs.withColumn("__key", key).withColumn("__th", text_hash()).dropDuplicates(["__key", "__th"])
+    return own.join(keep, (F.col("__key") == F.col("__k")) & (F.col("__th") == F.col("__t"))).select(*names)

@@ -31,7 +31,7 @@ from .common import dealt_evenly, local_fs, parts_for, put_file, scratch, spread
 from .units import valued
 
 MAGIC, BLOCK = b"QWM1", 1 << 19
-SHARD_BYTES, END = 12 << 20, 0
+SHARD_BYTES, END = 16 << 20, 0
 
 
 def stable(a: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, int]:
