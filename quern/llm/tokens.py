@@ -34,16 +34,6 @@ MAGIC, BLOCK = b"QWM1", 1 << 19
 SHARD_BYTES, END = 16 << 20, 0
 
 
-def stable(a: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, int]:
-    """`a` with the elements of bit 0 first, and how many those are. `plane`: the packed bits."""
-    def some(bits):
-        return pa.Array.from_buffers(kind, len(a), [None, pa.py_buffer(a)]).filter(pa.Array.from_buffers(pa.bool_(), len(a), [None, pa.py_buffer(bits)])).to_numpy()
-
-    kind = pa.from_numpy_dtype(a.dtype)
-    zero, one = some(~plane), some(plane)
-    return np.concatenate((zero, one)), len(zero)
-
-
 def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, nulls: list[int]) -> bytes:
     """The file of a shard. docs: ids of documents (0 where null), lengths: tokens of each."""
     import zstandard
@@ -63,14 +53,18 @@ def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, nulls: list[in
     add("lengths", lengths.astype("<i8").tobytes())
     zeros = []
     for level in range(levels - 1, -1, -1):
-        plane = np.packbits((a >> a.dtype.type(level)).astype(np.uint8) & 1, bitorder="little")
-        ones = 0
-        for k in range(0, len(plane), BLOCK // 8):
-            block = plane[k : k + BLOCK // 8]
-            add(str(level), block.tobytes(), ones)
-            ones += int(np.bitwise_count(block).sum(dtype=np.int64))
-        a, z = stable(a, plane)
-        zeros.append(z)
+        after, ones = np.empty_like(a), 0
+        total = len(a) - int(np.count_nonzero(a & a.dtype.type(1 << level)))
+        for k in range(0, len(a), BLOCK):
+            some = a[k : k + BLOCK]
+            bits = (some & a.dtype.type(1 << level)) != 0
+            add(str(level), np.packbits(bits, bitorder="little").tobytes(), ones)
+            one = np.flatnonzero(bits)
+            after[total + ones : total + ones + len(one)] = some[one]
+            after[k - ones : k - ones + len(some) - len(one)] = some[np.flatnonzero(~bits)]
+            ones += len(one)
+        a = after
+        zeros.append(total)
     head = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "docs": len(docs), "nulls": nulls, "blocks": blocks}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
@@ -169,20 +163,19 @@ class Wavelet:
 
     def unrolled(self) -> np.ndarray:
         """All tokens in order."""
-        x = None
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        x = np.zeros(self.n, kind)  # below the last level all tokens are sorted by their reversed bits; none is known there
         for level in range(self.levels - 1, -1, -1):
-            plane = np.frombuffer(b"".join(self.raw(at, size) for at, size, _ in self.planes[level]), np.uint8)
-            bits = np.unpackbits(plane, count=self.n, bitorder="little")
-            kind = np.uint16 if self.levels <= 16 else np.uint32
-            if x is None:  # below the last level all tokens are sorted by their reversed bits; start with none known
-                x = np.zeros(self.n, kind)
-            out = np.empty_like(x)
-            b = bits.view(bool)
-            z = self.zeros[level]
-            out[b] = x[z:] | kind(1 << (self.levels - 1 - level))
-            out[~b] = x[:z]
+            out, z, bit = np.empty_like(x), self.zeros[level], kind(1 << (self.levels - 1 - level))
+            for k, (at, size, ones) in enumerate(self.planes[level]):
+                a = k * BLOCK
+                some = out[a : a + BLOCK]
+                bits = np.unpackbits(np.frombuffer(self.raw(at, size), np.uint8), count=len(some), bitorder="little").view(bool)
+                one = np.flatnonzero(bits)
+                some[one] = x[z + ones : z + ones + len(one)] | bit
+                some[np.flatnonzero(~bits)] = x[a - ones : a - ones + len(some) - len(one)]
             x = out
-        return np.zeros(0, np.uint16) if x is None else x
+        return x
 
 
 class Encoder:

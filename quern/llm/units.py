@@ -81,14 +81,20 @@ def cut(raws: list[bytes], find: Callable[[str], list[str]]) -> tuple[bytes, np.
 
 def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct key, in the order of `one`; which of them each place has)."""
-    order = np.argsort(one)
+    import pandas as pd
+
+    code, values = pd.factorize(one)
+    first = np.empty(len(values), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    order = np.argsort(values)
+    if (two[first][code] == two).all():
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return first[order], rank[code]
+    order = np.lexsort((two, one))  # two units of the same first 64 bits
     k, t = one[order], two[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    if (t[1:] != t[:-1])[~new[1:]].any():
-        order = np.lexsort((two, one))
-        k, t = one[order], two[order]
-        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
     which = np.empty(len(k), np.uint32)
     which[order] = np.cumsum(new) - 1
     return order[new], which

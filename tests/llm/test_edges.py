@@ -586,3 +586,14 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         common.scratch(far, "x")
+
+
+def test_keys_of_the_same_first_half():
+    from quern.llm import units
+
+    one, two = np.array([5, 3, 5, 5, 3, 9], np.uint64), np.array([1, 1, 2, 1, 1, 1], np.uint64)
+    first, which = units.distinct(one, two)
+    assert one[first].tolist() == [3, 5, 5, 9] and two[first].tolist() == [1, 1, 2, 1]
+    assert one[first][which].tolist() == one.tolist() and two[first][which].tolist() == two.tolist()
+    first, which = units.distinct(one[:0], two[:0])
+    assert len(first) == len(which) == 0
