@@ -976,10 +976,10 @@ def embed_deviations(spark, d):
     return rounded(emb.features, 5, "x", "y")
 
 
-@query("SELECT DISTINCT p_brand AS feature_id FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 10)")
+@query("SELECT p_partkey AS feature_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def missing_genes(spark, d):
-    p = table(spark, d, "part")
-    return embed.missing_genes(p.where("p_size > 10").select(F.col("p_brand").alias("symbol")), p.select(F.col("p_brand").alias("feature_id")).distinct())
+    regions = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("symbol"))
+    return embed.missing_genes(regions, table(spark, d, "part").select(F.col("p_partkey").alias("feature_id")))
 
 
 @query(f"WITH {VXY}, {XYSQL} SELECT 'group' AS kind, CAST(label AS VARCHAR) AS label, round(quantile_cont(x, 0.5), 6) AS x, round(quantile_cont(y, 0.5), 6) AS y FROM cv JOIN embeddings e ON cv.vec_id = e.vec_id GROUP BY 2 UNION ALL SELECT 'factor', 'factor_' || i, x, y FROM xy WHERE i != 2")
