@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
+from . import bpe, language, lexical, media, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import documents, small_batches
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op10_quality(spark, sf_dir):
     return quality.judged(documents(spark, sf_dir))
 
 
+@query
+def op13_lexical(spark, sf_dir):
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 SQL["op3_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS b, sha256(html) AS s FROM p),
@@ -85,3 +90,15 @@ SELECT d.page_id, CAST(d.b AS BIGINT) AS payload_bytes, d.s AS payload_digest,
   CASE WHEN f.first IS NULL OR d.page_id = f.first THEN NULL ELSE f.first END AS refers_to
 FROM d LEFT JOIN f ON d.s = f.s AND d.b >= 100
 """
+
+SQL["op13_lexical"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT r, doc_id, size, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p GROUP BY term),
+c AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * (SELECT n FROM s)) // (SELECT l FROM s)))) AS gain FROM p JOIN w USING (term)),
+t AS (SELECT item_id, r, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM i JOIN c USING (term) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank, doc_id, score FROM t WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
