@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lexical, media, mixing, quality, simhash, substring, tokens, toxicity, warc
+from . import bpe, language, lexical, licenses, media, mixing, negatives, quality, simhash, substring, tokens, toxicity, warc
 from .common import documents, small_batches
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,16 @@ def op10_quality(spark, sf_dir):
     return quality.judged(documents(spark, sf_dir))
 
 
+@query
+def op11_licenses(spark, sf_dir):
+    return licenses.labelled(documents(spark, sf_dir))
+
+
+@query
+def op12_negatives(spark, sf_dir):
+    return negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op13_lexical(spark, sf_dir):
     return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -91,6 +101,16 @@ SELECT d.page_id, CAST(d.b AS BIGINT) AS payload_bytes, d.s AS payload_digest,
 FROM d LEFT JOIN f ON d.s = f.s AND d.b >= 100
 """
 
+SQL["op11_licenses"] = licenses.sql()
+SQL["op12_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5
+"""
 SQL["op13_lexical"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
 s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
