@@ -1,11 +1,13 @@
-"""Distribution tails, p-value adjustment and a penalised spline, in numpy on bounded inputs (one value per feature)."""
+"""Distribution tails in numpy, for batches of values, and p-value adjustment over any number of rows."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from .storage import materialized
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -104,58 +106,19 @@ def holm(p) -> np.ndarray:
     return out
 
 
-#: p-values (one per feature, or pair of clusters) that are adjusted on the driver.
-MOST_P = 5_000_000
-
-
 def adjusted(df: DataFrame, p: str, keys: list[str], method, out: str = "p_adj") -> DataFrame:
-    """The keys, p and p adjusted by `bh` or `holm` over all rows. One number a row is worked on the driver, for MOST_P rows at
-    most; the frame itself stays where it is."""
-    from ..model import few
-
-    rows = few(df.select(*keys, p), MOST_P, "p-values")
-    kinds = dict(df.dtypes)
-    values = method([r[-1] for r in rows])
-    return df.sparkSession.createDataFrame([(*r, float(v)) for r, v in zip(rows, values)], ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, p)), f"`{out}` double"]))
-
-
-def spline_fit(x: np.ndarray, y: np.ndarray, k: int = 10) -> np.ndarray:
-    """Fitted values of a cubic regression spline with k basis functions, its roughness penalty chosen by generalised
-    cross-validation: an approximation of a thin-plate smooth of the same dimension."""
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    u = (x - x.min()) / (x.max() - x.min() or 1.0)
-    knots = np.unique(np.quantile(u, np.linspace(0, 1, k)))
-    m = len(knots)
-    if m < 4:
-        return np.polyval(np.polyfit(u, y, min(1, m - 1)), u)
-    g = np.diff(knots)
-    q, r = np.zeros((m, m - 2)), np.zeros((m - 2, m - 2))
-    for j in range(1, m - 1):
-        q[j - 1, j - 1], q[j, j - 1], q[j + 1, j - 1] = 1 / g[j - 1], -1 / g[j - 1] - 1 / g[j], 1 / g[j]
-        r[j - 1, j - 1] = (g[j - 1] + g[j]) / 3
-        if j < m - 2:
-            r[j - 1, j] = r[j, j - 1] = g[j] / 6
-    curve = np.linalg.solve(r, q.T)
-    penalty = q @ curve
-    second = np.vstack([np.zeros(m), curve, np.zeros(m)])
-    i = np.clip(np.searchsorted(knots, u, side="right") - 1, 0, m - 2)
-    t, w = u - knots[i], g[i]
-    basis = np.zeros((len(u), m))
-    rows = np.arange(len(u))
-    basis[rows, i] += 1 - t / w
-    basis[rows, i + 1] += t / w
-    a, b = 1 - t / w, t / w
-    basis += ((a**3 - a) * w * w / 6)[:, None] * second[i] + ((b**3 - b) * w * w / 6)[:, None] * second[i + 1]
-    gram, rhs = basis.T @ basis, basis.T @ y
-    best = None
-    for lam in 10.0 ** np.arange(-8, 6.5, 0.5):
-        try:
-            inv = np.linalg.solve(gram + lam * penalty + 1e-10 * np.eye(m), np.column_stack([rhs, gram]))
-        except np.linalg.LinAlgError:
-            continue
-        fit = basis @ inv[:, 0]
-        edf = np.trace(inv[:, 1:])
-        score = len(u) * ((y - fit) ** 2).sum() / max(len(u) - edf, 1e-9) ** 2
-        if best is None or score < best[0]:
-            best = (score, fit)
-    return best[1]
+    """The rows with p adjusted by `bh` or `holm` over all of them; a null p stays null and isn't counted. Sorted by range
+    over the cluster; ranks and the running extreme are scans. `keys` tell rows apart and spread equal p."""
+    from . import scans
+
+    if method not in (bh, holm):
+        raise ValueError("p-values are adjusted by bh or holm")
+    order = [p, *keys]
+    t = materialized(scans.scanned(scans.ranged(df.where(F.col(p).isNotNull()), order), order, F.lit(1), "sum", "__rank"), "p-ranks")
+    m = F.lit(t.count())
+    if method is bh:
+        t = scans.scanned(t, order, F.col(p) * m / F.col("__rank"), "min", out, backwards=True)
+    else:
+        t = scans.scanned(t, order, F.col(p) * (m - F.col("__rank") + 1), "max", out)
+    t = t.withColumn(out, F.least(F.col(out), F.lit(1.0))).drop(scans.PART, "__rank")
+    return t.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import linalg
+from ..functions import linalg, scans
 from ..functions.storage import materialized
 from ..model import CountMatrix, bounded, few
 from .factorize import _check_loss, _completed, gram_of, kl_scores, products, project_samples, solved
@@ -43,22 +43,16 @@ def associate_pearson(m: CountMatrix, h: DataFrame, k: int) -> DataFrame:
     return m.features.join(sums, "feature_id", "left").select("feature_id", F.explode(F.array(*cols)).alias("c")).select("feature_id", "c.*")
 
 
-def average_ranks(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
-    """Average rank of `value` within `by`."""
-    r = F.rank().over(Window.partitionBy(by).orderBy(value)) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / F.lit(2.0)
-    return df.withColumn(out, r)
-
-
 def associate_spearman(m: CountMatrix, h: DataFrame, k: int) -> DataFrame:
     """Rank correlations. Absent entries are one tie block of zeros below the stored ones (values must not be negative),
     so only stored entries are ranked: their rank is shifted by the block, and the block's share is summed in closed form."""
     n = h.count()
     long = h.select("sample_id", F.posexplode("h").alias("i", "s"))
-    r = average_ranks(long, "i", "s", "r").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("e")).select("sample_id", F.transform("e", lambda x: x["r"]).alias("h"))
+    r = scans.average_ranks(long, ["i"], "s", "r").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("e")).select("sample_id", F.transform("e", lambda x: x["r"]).alias("h"))
     qs = r.agg(*(F.sum(F.col("h")[i] * F.col("h")[i]).alias(f"q{i}") for i in range(k))).first()
-    e = average_ranks(m.entries, "feature_id", "value", "a")
-    nnz = F.count("*").over(Window.partitionBy("feature_id"))
-    e = e.withColumn("z", F.lit(n) - nnz).withColumn("a", F.col("a") + F.col("z"))
+    e = scans.average_ranks(m.entries, ["feature_id"], "value", "a")
+    e = scans.beside(e, m.entries.groupBy("feature_id").agg((F.lit(n) - F.count("*")).alias("z")), ["feature_id"])
+    e = e.withColumn("a", F.col("a") + F.col("z"))
     mean = (n + 1) / 2.0
     # sums of rank * rank: the zero block has rank (z + 1) / 2, and score ranks that add up to n * mean less the stored ones'
     sums = e.join(r, "sample_id").groupBy("feature_id").agg(F.first("z").alias("z"), F.sum(F.col("a") * F.col("a")).alias("aa"), *(F.sum(F.col("a") * F.col("h")[i]).alias(f"p{i}") for i in range(k)), *(F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(k)))

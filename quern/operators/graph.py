@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import linalg, stats
 from ..functions.storage import materialized
 from ..model import CountMatrix, bounded, few
+from .louvain import communities
+from .neighbours import nearest_by_cells
 
 
 def _blocks(points: DataFrame, rows: int, prefix: str) -> tuple[DataFrame, int]:
@@ -92,11 +94,27 @@ def nearest_lsh(points: DataFrame, k: int, bucket: float | None = None, tables:
     return found.join(full.withColumnRenamed("sample_id", "query_id"), "query_id", "left_semi").unionByName(nearest(rest, p, k, same=True)) if rest.limit(1).count() else found
 
 
-def calc_knn(points: DataFrame, k: int = 10) -> DataFrame:
+#: Samples up to which comparing all pairs in blocks beats building an index. The rows are the same.
+BLOCKED = 20_000
+
+
+def neighbours(queries: DataFrame, points: DataFrame, k: int, same: bool = False, method: str | None = None) -> DataFrame:
+    """(query_id, point_id, dist, rank) by "cells" (an index), "blocks" (all pairs) or "lsh" (approximate, only with `same`);
+    by default blocks for few points, else cells."""
+    if method is None:
+        method = "blocks" if points.limit(BLOCKED + 1).count() <= BLOCKED else "cells"
+    if method == "lsh" and same:
+        return nearest_lsh(points, k)
+    if method not in ("cells", "blocks"):
+        raise ValueError(f"unknown method {method}")
+    return nearest_by_cells(queries, points, k, same) if method == "cells" else nearest(queries, points, k, same)
+
+
+def calc_knn(points: DataFrame, k: int = 10, method: str | None = None) -> DataFrame:
     """(src, dst): each sample itself and its k - 1 nearest others. Raises with fewer than k samples."""
     if points.limit(k).count() < k:
         raise ValueError(f"fewer than k = {k} samples")
-    near = nearest(points, points, k - 1, same=True)
+    near = neighbours(points, points, k - 1, True, method)
     ids = points.select(F.col("sample_id").alias("src"), F.col("sample_id").alias("dst"))
     return near.select(F.col("query_id").alias("src"), F.col("point_id").alias("dst")).unionByName(ids)
 
@@ -118,18 +136,18 @@ def shared_neighbours(nn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame
     return s.select("src", F.col("other").alias("dst"), w.alias("weight")).where((F.col("weight") >= prune) | (F.col("src") == F.col("dst")))
 
 
-def calc_snn(points: DataFrame, k: int = 10, prune: float = 1 / 15) -> DataFrame:
-    return shared_neighbours(calc_knn(points, k), k, prune)
+def calc_snn(points: DataFrame, k: int = 10, prune: float = 1 / 15, method: str | None = None) -> DataFrame:
+    return shared_neighbours(calc_knn(points, k, method), k, prune)
 
 
-def project_snn(test: DataFrame, train: DataFrame, k: int = 30, k_scale: int = 10, prune: float = 1 / 15, compat: bool = False) -> DataFrame:
+def project_snn(test: DataFrame, train: DataFrame, k: int = 30, k_scale: int = 10, prune: float = 1 / 15, compat: bool = False, method: str | None = None) -> DataFrame:
     """(test_id, train_id, weight): Jaccard of a test sample's nearest train samples and a train sample's neighbour set, for
     the k * k_scale nearest train samples of each test sample, kept above `prune`. A test sample has k - 1 neighbours; with
     compat it also has itself, by its position among the test samples, as a train index."""
     n = train.count()
     if k * k_scale >= n - 1:
         raise ValueError("k * k_scale must be under the number of train samples less one")
-    far = materialized(nearest(test, train, k * k_scale), "projected")
+    far = materialized(neighbours(test, train, k * k_scale, method=None if method == "lsh" else method), "projected")
     mine = far.where(F.col("rank") <= k - 1).select(F.col("query_id").alias("test_id"), F.col("point_id").alias("dst"))
     if compat:
         from .ranking import dense_index
@@ -137,7 +155,7 @@ def project_snn(test: DataFrame, train: DataFrame, k: int = 30, k_scale: int = 1
         at = dense_index(test.select("sample_id"), "sample_id", "i").select(F.col("sample_id").alias("test_id"), "i")
         names = dense_index(train.select("sample_id"), "sample_id", "i").select(F.col("sample_id").alias("dst"), "i")
         mine = mine.unionByName(at.join(names, "i").select("test_id", "dst")).distinct()
-    nn = calc_knn(train, k).select(F.col("src").alias("train_id"), "dst")
+    nn = calc_knn(train, k, method).select(F.col("src").alias("train_id"), "dst")
     sizes = mine.groupBy("test_id").agg(F.count("*").alias("a"))
     shared = far.select(F.col("query_id").alias("test_id"), F.col("point_id").alias("train_id")).join(mine, "test_id").join(nn, ["train_id", "dst"]).groupBy("test_id", "train_id").agg(F.count("*").alias("s"))
     w = F.col("s") / (F.col("a") + F.lit(float(k)) - F.col("s"))
@@ -202,20 +220,9 @@ def compute_partitions(links: DataFrame, qval_cutoff: float = 0.05) -> DataFrame
     return links.sparkSession.createDataFrame(out, f"c1 {kind}, c2 {kind}, links double, num_links double, stat double, p double, p_adj double, significant boolean")
 
 
-def louvain(edges: DataFrame, max_nodes: int = 300_000, seed: int = 1) -> DataFrame:
-    """(sample_id, grp) by modularity, for graphs of at most max_nodes nodes: local moving and contraction on the driver."""
-    rows = few(edges.where("src != dst").select("src", "dst").distinct(), 20 * max_nodes, "links for clustering on the driver: use label_propagation or give clusters")
-    ids = sorted({x for r in rows for x in (r[0], r[1])})
-    if len(ids) > max_nodes:
-        raise ValueError(f"more than {max_nodes} samples for clustering on the driver: use label_propagation or give clusters")
-    at = {v: i for i, v in enumerate(ids)}
-    graph: list[dict[int, float]] = [{} for _ in ids]
-    for r in rows:
-        a, b = at[r[0]], at[r[1]]
-        graph[a][b] = graph[a].get(b, 0.0) + 1.0
-        graph[b][a] = graph[b].get(a, 0.0) + 1.0
-    member = list(range(len(ids)))
-    loops = [0.0] * len(ids)
+def louvain_local(graph: list[dict[int, float]], loops: list[float], seed: int = 1) -> list[int]:
+    """The community of each node of a graph in memory: weights to other nodes, and inside each (from both ends)."""
+    member = list(range(len(graph)))
     while graph:
         n = len(graph)
         degree = [sum(g.values()) + loops[i] for i, g in enumerate(graph)]
@@ -257,6 +264,23 @@ def louvain(edges: DataFrame, max_nodes: int = 300_000, seed: int = 1) -> DataFr
                 else:
                     new[a][b] = new[a].get(b, 0.0) + w
         graph, loops = new, more
+    return member
+
+
+def louvain(edges: DataFrame, max_nodes: int = 300_000, seed: int = 1) -> DataFrame:
+    """(sample_id, grp) by modularity, for graphs of at most max_nodes nodes: local moving and contraction on the driver.
+    communities() does it on the cluster, for any number."""
+    rows = few(edges.where("src != dst").select("src", "dst").distinct(), 20 * max_nodes, "links for clustering on the driver: use label_propagation or give clusters")
+    ids = sorted({x for r in rows for x in (r[0], r[1])})
+    if len(ids) > max_nodes:
+        raise ValueError(f"more than {max_nodes} samples for clustering on the driver: use label_propagation or give clusters")
+    at = {v: i for i, v in enumerate(ids)}
+    graph: list[dict[int, float]] = [{} for _ in ids]
+    for r in rows:
+        a, b = at[r[0]], at[r[1]]
+        graph[a][b] = graph[a].get(b, 0.0) + 1.0
+        graph[b][a] = graph[b].get(a, 0.0) + 1.0
+    member = louvain_local(graph, [0.0] * len(ids), seed)
     kind = dict(edges.dtypes)["src"]
     return edges.sparkSession.createDataFrame([(v, str(member[i])) for v, i in at.items()], f"sample_id {kind}, grp string")
 
@@ -274,8 +298,8 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def build_paga(knn: DataFrame, groups: DataFrame | None = None, qval_cutoff: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(table of cluster pairs, groups). Clusters are found if none are given; given ones are joined by sample."""
-    groups = louvain(undirected(knn)) if groups is None else groups.where("grp is not null")
+    """(table of cluster pairs, groups). Clusters are found on the cluster if none are given; given ones are joined by sample."""
+    groups = communities(knn) if groups is None else groups.where("grp is not null")
     return compute_partitions(cluster_links(knn, groups), qval_cutoff), groups
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import stats
-from ..model import CountMatrix, bounded, few
-
-#: Features whose variance is modelled on the driver, one row each.
-MOST_FEATURES = 5_000_000
+from ..functions import scans, smooth, stats
+from ..functions.storage import materialized
+from ..model import CountMatrix, bounded
 
 
 def normalize_counts(m: CountMatrix, depth_scale: float = 1e3, batch: DataFrame | None = None) -> CountMatrix:
@@ -51,31 +50,43 @@ def col_mean_var(m: CountMatrix, n: int | None = None) -> DataFrame:
 
 def adjust_variance(m: CountMatrix, gam_k: int = 10, max_adj: float = 1e3, min_adj: float = 1e-3, q_val: float = 0.05) -> DataFrame:
     """feature_id, m, v (logarithms), nobs, res, lp (a plain p-value), lpa (BH), qv, gsf, overdispersed. The trend of v on
-    m is a spline, or a line with under 1.5 * gam_k finite features. One row per feature is fitted on the driver."""
-    spark = m.entries.sparkSession
+    m is a thin-plate regression spline, or a line with under 1.5 * gam_k finite features. Features stay on the cluster."""
     n = m.n_samples()
-    rows = sorted(few(col_mean_var(m, n), MOST_FEATURES, "features"), key=lambda r: str(r.feature_id))
-    schema = "feature_id string, m double, v double, nobs long, res double, lp double, lpa double, qv double, gsf double, overdispersed boolean"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    with np.errstate(all="ignore"):
-        mean, var = np.log([r.m for r in rows]), np.log([r.v for r in rows])
-        nobs = np.array([r.nobs for r in rows], float)
-        ok = np.isfinite(var) & np.isfinite(mean)
-        res = np.full(len(rows), -np.inf)
-        if ok.sum() >= 1.5 * gam_k:
-            res[ok] = var[ok] - stats.spline_fit(mean[ok], var[ok], gam_k)
-        elif ok.sum() >= 2:
-            res[ok] = var[ok] - np.polyval(np.polyfit(mean[ok], var[ok], 1), mean[ok])
-        elif ok.any():
-            res[ok] = 0.0
-        lp = np.where(np.isfinite(res) & (nobs > 0), stats.f_upper(np.exp(np.where(np.isfinite(res), res, 0)), np.maximum(nobs, 1), np.maximum(nobs, 1)), 1.0)
-        lpa = stats.bh(lp)
-        qv = stats.chi2_quantile(1 - lp, max(n - 1, 1)) / n
-        gsf = np.sqrt(np.clip(qv, min_adj, max_adj) / np.exp(var))
-        gsf[~np.isfinite(gsf)] = 0
-    out = [(str(r.feature_id), *(float(c[i]) for c in (mean, var)), int(nobs[i]), *(float(c[i]) for c in (res, lp, lpa, qv, gsf)), bool(lpa[i] < q_val)) for i, r in enumerate(rows)]
-    return spark.createDataFrame(out, schema)
+    logs = "CASE WHEN {0} > 0 THEN ln({0}) ELSE double('-infinity') END AS {0}"
+    t = materialized(col_mean_var(m, n).selectExpr("cast(feature_id AS string) AS feature_id", logs.format("m"), logs.format("v"), "cast(nobs AS long) AS nobs"), "variances")
+    ok = t.where("m > double('-infinity') AND v > double('-infinity') AND NOT isnan(m) AND NOT isnan(v)").select("m", "v")
+    count = ok.count()
+    if count >= 1.5 * gam_k:
+        plate, b = smooth.fitted(ok, "m", "v", gam_k)
+
+        def trend(x):
+            return plate.basis(x) @ b
+    else:
+        line = ok.agg(F.regr_slope("v", "m").alias("slope"), F.regr_intercept("v", "m").alias("at"), F.avg("v").alias("mean")).first()
+        slope, at = (0.0, line["mean"] or 0.0) if line.slope is None else (line.slope, line["at"])
+
+        def trend(x):
+            return at + slope * x
+
+    schema = "feature_id string, m double, v double, nobs long, res double, lp double, qv double, gsf double"
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, 1 << 12) for i in range(0, b.num_rows, 1 << 12)):
+                mean, var, nobs = (smooth.batch(part, c) for c in ("m", "v", "nobs"))
+                with np.errstate(all="ignore"):
+                    fine = np.isfinite(mean) & np.isfinite(var)
+                    res = np.full(len(mean), -np.inf)
+                    res[fine] = var[fine] - trend(mean[fine])
+                    seen = fine & (nobs > 0)
+                    lp = np.where(seen, stats.f_upper(np.exp(np.where(seen, res, 0)), np.maximum(nobs, 1), np.maximum(nobs, 1)), 1.0)
+                    qv = stats.chi2_quantile(1 - lp, max(n - 1, 1)) / n
+                    gsf = np.sqrt(np.clip(qv, min_adj, max_adj) / np.exp(var))
+                    gsf[~np.isfinite(gsf)] = 0
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("feature_id", "m", "v", "nobs")] + [pa.array(x, pa.float64()) for x in (res, lp, qv, gsf)], names=[x.split()[0] for x in schema.split(", ")])
+
+    out = stats.adjusted(t.mapInArrow(run, schema), "lp", ["feature_id"], stats.bh, "lpa")
+    return out.select("feature_id", "m", "v", "nobs", "res", "lp", "lpa", "qv", "gsf", (F.col("lpa") < q_val).alias("overdispersed"))
 
 
 def median_depth(m: CountMatrix) -> float:
@@ -123,18 +134,19 @@ def scale_counts(m: CountMatrix, batch: DataFrame | None = None, method: str = "
 def normalize_vector(df: DataFrame, value: str, method: str, by: list[str] | None = None, n_ranks: int = 10_000, out: str = "value") -> DataFrame:
     """scale: z-score with the sample deviation; rank: average rank / length * n_ranks; bounded: min-max. A constant vector
     gives NaN (scale, bounded). `by` names the columns that identify a vector."""
-    x, w = F.col(value), Window.partitionBy(*(by or []))
+    by, x = by or [], F.col(value)
     if method == "scale":
-        sd = F.stddev_samp(x).over(w)
-        y = F.when((sd == 0) | sd.isNull(), F.lit(float("nan"))).otherwise((x - F.avg(x).over(w)) / sd)
+        one = df.groupBy(*by).agg(F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__sd"))
+        y = F.when((F.col("__sd") == 0) | F.col("__sd").isNull(), F.lit(float("nan"))).otherwise((x - F.col("__mean")) / F.col("__sd"))
     elif method == "rank":
-        y = (F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*(by or []), x)) - 1) / F.lit(2.0)) / F.count("*").over(w) * n_ranks
+        one = df.groupBy(*by).agg(F.count(x).alias("__n"))
+        df, y = scans.average_ranks(df, by, value, "__rank"), F.col("__rank") / F.col("__n") * n_ranks
     elif method == "bounded":
-        low, high = F.min(x).over(w), F.max(x).over(w)
-        y = F.when(high == low, F.lit(float("nan"))).otherwise((x - low) / (high - low))
+        one = df.groupBy(*by).agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
+        y = F.when(F.col("__high") == F.col("__low"), F.lit(float("nan"))).otherwise((x - F.col("__low")) / (F.col("__high") - F.col("__low")))
     else:
         raise ValueError(f"unknown method {method}")
-    return df.withColumn(out, y)
+    return scans.beside(df, one, by).withColumn(out, y).drop("__mean", "__sd", "__n", "__rank", "__low", "__high")
 
 
 def minmax_by_feature(entries: DataFrame) -> DataFrame:

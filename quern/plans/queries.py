@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import linalg, stats
 from ..functions.storage import folder, materialized
 from ..model import CountMatrix, Embedding
-from ..operators import annotate, embed, evaluate, factorize, filtering, graph, groups, normalize, plotdata
+from ..operators import annotate, embed, evaluate, factorize, filtering, graph, groups, louvain, normalize, plotdata
+from ..operators.ranking import dense_index
 from ..sources import text
 from . import pipeline
 
@@ -268,6 +269,14 @@ def select_features_gam(spark, d):
     return rounded(normalize.select_features(counts(spark, d), n_features=50), 6, "lp")
 
 
+@query(f"WITH {NORM}, mv AS (SELECT f.feature_id, sum(v) / (SELECT count(*) FROM s) AS m, sum(v * v) / (SELECT count(*) FROM s) AS q FROM f JOIN nm ON nm.feature_id = f.feature_id GROUP BY 1), l AS (SELECT ln(m) AS m, ln(q - m * m) AS v FROM mv WHERE q - m * m > 0) SELECT count(*) AS n, round(sum(v), 5) AS total, 0.0 AS res_sum, 0.0 AS res_line FROM l")
+def variance_spline_moments(spark, d):
+    """Of a spline with a free line, residuals add up to nothing, also times the mean; with the trend they are the variances."""
+    m = counts(spark, d)
+    v = normalize.adjust_variance(normalize.normalize_counts(m, normalize.median_depth(m))).where("res > double('-infinity')")
+    return v.agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"), (F.round(F.sum("res"), 5) + 0.0).alias("res_sum"), (F.round(F.sum(F.col("res") * F.col("m")), 4) + 0.0).alias("res_line"))
+
+
 @query()
 def adjust_variance(spark, d):
     return normalize.adjust_variance(counts(spark, d))
@@ -276,7 +285,12 @@ def adjust_variance(spark, d):
 # ---------------------------------------------------------------- graphs
 @query(f"WITH {KNN} SELECT src, dst FROM nn")
 def calc_knn(spark, d):
-    return graph.calc_knn(points(spark, d), 10)
+    return graph.calc_knn(points(spark, d), 10, "cells")
+
+
+@query(f"WITH {KNN} SELECT src, dst FROM nn")
+def calc_knn_blocks(spark, d):
+    return graph.calc_knn(points(spark, d), 10, "blocks")
 
 
 @query(f"WITH {SNN} SELECT src, dst, round(weight, 6) AS weight FROM snn")
@@ -363,6 +377,24 @@ def partition_edges(spark, d):
     return rounded(graph.partition_similarity_graph(pairs, p, g, 0.9999, -0.05)[0], 6, "sim")
 
 
+@query("SELECT c_custkey AS sample_id, CAST(min(c_custkey) OVER (PARTITION BY c_nationkey) AS BIGINT) AS first_member FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey) > 1")
+def louvain_stars(spark, d):
+    """Customers linked to the first of their nation: the best communities are the nations."""
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), "c_nationkey")
+    hub = s.groupBy("c_nationkey").agg(F.min("src").alias("dst"))
+    g = graph.communities(s.join(hub, "c_nationkey").select("src", "dst"))
+    first = g.groupBy("grp").agg(F.min("sample_id").cast("long").alias("first_member"))
+    return g.join(first, "grp").select("sample_id", "first_member")
+
+
+@query(f"""WITH {KNN}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM nn WHERE src != dst), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u),
+ c AS (SELECT x.label AS c1, count(*) AS tot, count(*) FILTER (x.label = y.label) AS inside FROM e JOIN p x ON e.a = x.vec_id JOIN p y ON e.b = y.vec_id GROUP BY 1), t AS (SELECT sum(tot) AS m FROM c)
+SELECT round(sum(inside / m - (tot / m) * (tot / m)), 8) AS modularity FROM c, t""")
+def modularity(spark, d):
+    q = louvain.modularity(graph.calc_knn(points(spark, d), 10), labels(spark, d))
+    return spark.createDataFrame([(round(q, 8),)], "modularity double")
+
+
 @query()
 def build_paga_louvain(spark, d):
     pairs, _ = graph.build_paga(materialized(graph.calc_knn(points(spark, d), 10), "knn"))
@@ -649,8 +681,8 @@ def heat_scale_melt(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS idx, c_name AS name, c_acctbal AS value FROM customer")
 def bar_table(spark, d):
-    c = table(spark, d, "customer").withColumn("idx", F.row_number().over(Window.orderBy("c_custkey")))
-    return plotdata.bar_table(c.select("idx", F.col("c_name").alias("name"), F.col("c_acctbal").alias("value")))
+    c = dense_index(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey", "idx")
+    return plotdata.bar_table(c.select((F.col("idx") + 1).cast("int").alias("idx"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("value")))
 
 
 @query(f"WITH {VXY} SELECT label AS grp, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(var_samp(x), 6) AS vxx, round(var_samp(y), 6) AS vyy, round(covar_samp(x, y), 6) AS vxy FROM cv JOIN embeddings e ON cv.vec_id = e.vec_id GROUP BY 1")

@@ -85,8 +85,6 @@ def test_tails():
     assert float(stats.normal_upper(1.959963985)) == pytest.approx(0.025, abs=1e-9)
     p = np.array([0.01, 0.02, 0.03, 0.9])
     assert stats.bh(p) == pytest.approx([0.04, 0.04, 0.04, 0.9]) and stats.holm(p) == pytest.approx([0.04, 0.06, 0.06, 0.9])
-    x = np.linspace(0, 1, 200)
-    assert np.abs(stats.spline_fit(x, np.sin(6 * x)) - np.sin(6 * x)).max() < 0.01
 
 
 def test_groups(spark):

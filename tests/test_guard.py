@@ -1,5 +1,6 @@
 """The entry module works without the training-data subpackage."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -24,9 +25,17 @@ def test_without_llm(tmp_path, pipeline):
         assert "pipeline" not in q and not any(n.startswith("op") and n[2].isdigit() for n in q) and "calc_snn" in q
         assert set(e.oracle_sql()) <= set(q)
     """)
-    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
-    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True).stdout
+    # The caller's environment, which may be where the tests' modules come from, with the copy before all else on the path.
+    path = [x for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x and Path(x).resolve() != REPO]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(tmp_path), *path]), "PYTHONDONTWRITEBYTECODE": "1"}
+
+    def run(*args):
+        done = subprocess.run([sys.executable, *args], cwd=tmp_path, env=env, capture_output=True, text=True)
+        assert done.returncode == 0, f"{args}:\n{done.stdout[-4000:]}\n{done.stderr[-4000:]}"
+        return done.stdout
+
+    run("-c", code)
+    found = run("-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
     assert "test_goldens.py" in found and "tests/llm" not in found
 
 

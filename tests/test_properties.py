@@ -370,15 +370,9 @@ def test_frozen_graph_with_itself(spark):
     assert a and b and a != b and all(0 < w <= 1 for w in (*a.values(), *b.values()))
 
 
-def test_driver_sides_are_bounded(spark, monkeypatch):
-    from quern.functions import stats, storage
-    from quern.operators import normalize
+def test_shared_folder_is_asked_for():
+    from quern.functions import storage
     from types import SimpleNamespace
 
-    m = CountMatrix.of(spark.createDataFrame([(f"g{i}", i % 3, 1.0 + i) for i in range(9)], "feature_id string, sample_id long, value double"))
-    for module, name, call in ((normalize, "MOST_FEATURES", lambda: normalize.adjust_variance(m)), (stats, "MOST_P", lambda: stats.adjusted(m.entries, "value", ["feature_id"], stats.bh))):
-        monkeypatch.setattr(module, name, 5)
-        with pytest.raises(ValueError):
-            call()
     with pytest.raises(ValueError):
         storage.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn")), "x")
