@@ -12,7 +12,8 @@ Texts are brought into the order of their ids first; a chunk of them becomes a s
 unit of the corpus once (`units` tells how units get to it and ids back to the shards).
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows of equal id are ordered by text;
-an empty table writes no shard and gives an empty result.
+an empty table writes no shard and gives an empty result. A special token's text in a document is that token, as the
+library has it. Other columns, also ones named like the results, are ignored.
 """
 
 from __future__ import annotations
@@ -180,20 +181,23 @@ class Wavelet:
 
 class Encoder:
     """Ids of units by the tokenizers library. Units go to it many in one text, with line ends between them; those that hold
-    a line end or have white space at an end (but for one space before) go each for itself."""
+    a line end or have white space at an end (but for one space before) go each for itself, as do special tokens, which the
+    library tells from text wherever they stand in it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        tokens = self.t.get_added_tokens_decoder().values()
+        if any(x.lstrip or x.rstrip or x.single_word for x in tokens):
+            raise ValueError("added tokens that take spaces with them, or stand as words alone, are not supported")
+        self.special = tuple(sorted(x.content for x in tokens))
         (self.line_end,) = self.t.encode("\n", add_special_tokens=False).ids
 
-    @staticmethod
-    def joinable(unit: str) -> bool:
+    def joinable(self, unit: str) -> bool:
         t = unit[1:] if unit[:1] == " " else unit
-        return bool(t) and not t[0].isspace() and not t[-1].isspace() and "\n" not in t
+        return bool(t) and unit not in self.special and not t[0].isspace() and not t[-1].isspace() and "\n" not in t
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units, where each unit's end)."""
@@ -248,7 +252,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, folder: str) -> DataF
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n, _ = parts_for(d)
     ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(valued(ordered, f"{folder}-units", pattern, lambda: encoder(path), finish, "part long, shard long, path string, tokens long", SHARD_BYTES), "op7-list")
+    return written(valued(ordered, f"{folder}-units", pattern, lambda: encoder(path), finish, "part long, shard long, path string, tokens long", SHARD_BYTES, encoder(path).special), "op7-list")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -53,7 +53,25 @@ def beside_white(x: np.ndarray, space: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(raws: list[bytes], find: Callable[[str], list[str]]) -> tuple[bytes, np.ndarray, np.ndarray]:
+class Finder:
+    """A pattern's matches in a text, where special tokens stand for themselves and end the text before them."""
+
+    def __init__(self, pattern: str, special: tuple[str, ...] = ()) -> None:
+        import regex
+
+        self.find, self.special = regex.compile(pattern).findall, [x.encode() for x in special]
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+
+    def __call__(self, text: str) -> list[str]:
+        if self.split is None:
+            return self.find(text)
+        return [x for k, part in enumerate(self.split(text)) for x in ([part] if k % 2 else self.find(part))]
+
+    def special_in(self, raws: list[bytes]) -> list[int]:
+        return [k for k, raw in enumerate(raws) if any(x in raw for x in self.special)] if self.special else []
+
+
+def cut(raws: list[bytes], find: Finder) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(all texts joined, where each unit starts in them, number of units of each text)."""
     buf = b"".join(raws)
     x = np.frombuffer(buf, np.uint8)
@@ -66,7 +84,7 @@ def cut(raws: list[bytes], find: Callable[[str], list[str]]) -> tuple[bytes, np.
     edge[begins] = edge[stops] = True
     bad = beside_white(x, space) | edge[space] | edge[space + 1]
     first[begins[sizes > 0]] = True
-    for k in np.unique(np.searchsorted(begins, space[bad], side="right") - 1).tolist():
+    for k in np.unique(np.r_[np.searchsorted(begins, space[bad], side="right") - 1, find.special_in(raws)].astype(np.int64)).tolist():
         a, z = int(begins[k]), int(stops[k])
         text = raws[k].decode()
         found = find(text)
@@ -152,7 +170,7 @@ def in_batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.Record
 class Gathered:
     """The texts of a chunk as they come in, a slice at a time."""
 
-    def __init__(self, find: Callable[[str], list[str]]) -> None:
+    def __init__(self, find: Finder) -> None:
         self.find = find
         self.docs: list[pa.Array] = []
         self.buf, self.starts, self.sizes, self.counts, self.one, self.two = ([] for _ in range(6))
@@ -206,14 +224,13 @@ class Gathered:
             yield to, chunk, int(part[a]), pack(small_numbers(sizes[a:z]) + flat[ends[a] : ends[z]].tobytes())
 
 
-def sent(docs: DataFrame, folder: str, pattern: str, parts: int, most: int = CHUNK_BYTES) -> DataFrame:
+def sent(docs: DataFrame, folder: str, pattern: str, parts: int, most: int = CHUNK_BYTES, special: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text. Writes chunks of about `most` bytes; rows for step 2."""
 
     def run(batches):
-        import regex
         from pyspark import TaskContext
 
-        find, task, n = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        find, task, n = Finder(pattern, special), TaskContext.get().partitionId(), 0
         held = Gathered(find)
         for batch in batches:
             for b in pieces(batch, min(most, SLICE_BYTES)):
@@ -318,12 +335,12 @@ def by_chunk(batches) -> Iterator[tuple[str, list[bytes]]]:
         yield name, got
 
 
-def valued(docs: DataFrame, folder: str, pattern: str, values: Callable, finish: Callable[[Iterator[Chunk]], Iterator[pa.RecordBatch]], schema: str, most: int = CHUNK_BYTES) -> DataFrame:
-    """finish(chunks) -> rows. docs: doc_id, text. `most`: bytes of text in a chunk."""
+def valued(docs: DataFrame, folder: str, pattern: str, values: Callable, finish: Callable[[Iterator[Chunk]], Iterator[pa.RecordBatch]], schema: str, most: int = CHUNK_BYTES, special: tuple[str, ...] = ()) -> DataFrame:
+    """finish(chunks) -> rows. docs: doc_id, text. `most`: bytes of text in a chunk. `special`: tokens that the pattern doesn't see."""
     _, parts = parts_for(docs)
 
     def run(batches):
         yield from finish(Chunk(path, answers) for path, answers in by_chunk(batches))
 
-    back = met(sent(docs, folder, pattern, parts, most), values, parts)
+    back = met(sent(docs, folder, pattern, parts, most, special), values, parts)
     return back.repartitionById(parts, F.col("to") % parts).sortWithinPartitions("chunk", "part").mapInArrow(tidy(run), schema)

@@ -212,11 +212,27 @@ def test_components(spark):
     assert dict(zip(a.tolist(), b.tolist())) == {2: 1, 5: 1, 9: 1}
 
 
+def test_tokens_special(spark):
+    """Special tokens in texts, against the library as it comes."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    some = [f"a {e} b", e, e + e, f" {e} ", f"x{e}\n\n {e}  y", f"<|endoftext |> {e[:-1]}", f"é {e}é", "a <| endoftext|>", f"{e}\n", f"<|endof{e}text|>"]
+    order = list(enumerate(some))
+    want, at = Counter(), 0
+    for i, x in order:
+        ids = t.encode(x, add_special_tokens=False).ids + [0]
+        want[(i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+        at += len(ids)
+    same(tokens.round_trip(spark.createDataFrame(order, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN), want.elements())
+    assert 50256 in t.encode(some[0], add_special_tokens=False).ids
+
+
 def test_tokens(nasty, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     order = sorted(texts(nasty), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want, at = Counter(), 0
     for i, x in order:
@@ -438,6 +454,24 @@ def test_mixing_near_targets(spark):
     assert all(abs(t - n) <= 14 for t, n in by.items()) and len(by) == 3
 
 
+def test_mixing_cuts_between_equal_rows(spark):
+    """A mass of one row: its source still comes near its target, and the documents taken are those of the sizes."""
+    rows = [(5, " ".join(["w"] * 10), "a")] * 400 + [(100 + k, " ".join(["v"] * 10), "a") for k in range(400)] + [(1000 + k, "x y", "b") for k in range(300)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    out = mixing.mixed_sizes(df).collect()
+    by, goal = Counter(), {}
+    for r in out:
+        by[r.source_size] += r.taken
+        goal[r.source_size] = r.target
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    assert len(out) == len(rows) and all(abs(by[s] - t) <= 10 for s, t in goal.items()) and 8000 < goal[8000] < 16000
+    assert Counter(map(tuple, mixing.mixed_sizes(df.repartition(3)).collect())) == Counter(map(tuple, out))
+    taken = Counter()
+    for r in out:
+        taken[r.doc_id] += r.taken // r["size"] if r["size"] else 0
+    assert Counter(r.doc_id for r in mixing.mixed(df).collect()) == +taken
+
+
 def test_quality(nasty, nothing):
     want = []
     for i, t in texts(nasty):
@@ -500,11 +534,9 @@ def test_cascade_short_circuits():
 
 def test_units(spark):
     """Units of odd and even texts are cut as the pattern cuts the whole text, and keys tell all of them apart."""
-    import regex
-
     from quern.llm import units
 
-    find = regex.compile(P.PATTERN).findall
+    find = units.Finder(P.PATTERN)
     r = np.random.default_rng(4)
     alphabet = ["a", "b", " ", " ", "\n", "\t", ".", "'s", "é", "　", " ", " ", " ", "\u0085", "1", "日", "\x1c", "\x00", "longer" * 5, " word", " and", ","]
     texts = ["".join(r.choice(alphabet, int(n))) for n in r.integers(0, 30, 3000)] + ["", " ", "a", "a b", " a", "a ", "a  b", "x" * 40 + " " + "x" * 41]
@@ -560,7 +592,6 @@ def test_token_lookups(spark, nasty):
     from quern.llm.common import scratch
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     order = sorted(texts(nasty), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     flat = [i for _, x in order for i in [*t.encode(x.decode(), add_special_tokens=False).ids, 0]]
     shards = tokens.write_shards(nasty, P.path("byte_bpe_50k.json"), P.PATTERN, scratch(spark, "test-shards"))

@@ -105,17 +105,17 @@ class Plain:
             s = rows[k][self.source]
             for lap in (0, 1):
                 if target[s] > 0 and size[k]:
-                    queue.append(((before[s] + size[k] + lap * total[s]) / target[s], s is not None, s or "", keys[k], lap, size[k], s))
+                    queue.append(((before[s] + size[k] + lap * total[s]) / target[s], s is not None, s or "", keys[k], k, lap, size[k], s))
             before[s] += size[k]
         at, last = 0, {}
-        for f, _, _, key, lap, n, s in sorted(queue):
+        for f, _, _, key, k, lap, n, s in sorted(queue):
             if at + n <= round(sum(target.values())):
-                last[s] = max(last.get(s, (-1, 0)), (lap, key))
+                last[s] = max(last.get(s, (-1, 0, 0)), (lap, key, k))
             at += n
         out = []
-        for r, n, key in zip(rows, size, keys):
-            lap, most = last.get(r[self.source], (-1, None))
-            out.append(0 if lap < 0 or not n else lap + (key <= most))
+        for k, (r, n, key) in enumerate(zip(rows, size, keys)):
+            lap, *most = last.get(r[self.source], (-1, None, None))
+            out.append(0 if lap < 0 or not n else lap + ([key, k] <= most))
         return out
 
     def mix(self, rows):
