@@ -61,3 +61,20 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
     for b in by:
         on = on & df[b].eqNullSafe(t[f"__{b}"])
     return df.join(t, on, "left").drop("__x", *(f"__{b}" for b in by))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact percentiles (between two values a line) of each group, or of all rows, as columns by name: the values at the
+    places that they fall on, found among the counted distinct values in their order. A null value isn't counted."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    order = [*by, "__x"]
+    t = materialized(scanned(ranged(n, order), order, F.col("__n"), "sum", "__before", own=False).drop(PART), "ranks")
+    t = beside(t, t.groupBy(*by).agg(F.min("__before").alias("__start"), F.sum("__n").alias("__all")), by)
+    first = F.col("__before") - F.col("__start")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place < first + F.col("__n")), F.col("__x")))
+
+    places = {k: F.lit(float(q)) * (F.col("__all") - 1) for k, q in wanted.items()}
+    t = t.groupBy(*by).agg(*(f(x).alias(f"__{w}{i}") for i, x in enumerate(places.values()) for w, f in (("low", lambda x: at(F.floor(x))), ("high", lambda x: at(F.ceil(x))), ("part", lambda x: F.max(x - F.floor(x))))))
+    return t.select(*by, *((F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__part{i}")).alias(k) for i, k in enumerate(places)))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import linalg, stats
+from ..functions import linalg, scans, stats
 from ..functions.storage import materialized
 from ..model import CountMatrix, bounded, few
 from .louvain import communities
@@ -197,27 +197,26 @@ def cluster_links(knn: DataFrame, groups: DataFrame) -> DataFrame:
 
 def link_statistics(links: DataFrame) -> DataFrame:
     """Adds total, theta (expected share), sd and stat (share above the expected) of every pair; one row per pair."""
-    all_ = Window.partitionBy()
-    e1, e2 = F.sum("links").over(Window.partitionBy("c1")), F.sum("links").over(Window.partitionBy("c2"))
-    x = links.withColumn("e1", e1).withColumn("e2", e2).withColumn("total", F.sum("links").over(all_))
+    x = scans.beside(links, links.groupBy("c1").agg(F.sum("links").alias("e1")), ["c1"])
+    x = scans.beside(x, links.groupBy("c2").agg(F.sum("links").alias("e2")), ["c2"])
+    x = scans.beside(x, links.agg(F.sum("links").alias("total")), [])
     theta = F.col("e1") / F.col("total") * F.col("e2") / F.col("total")
     return x.withColumn("theta", theta).withColumn("sd", F.sqrt(F.col("theta") * (1 - F.col("theta")) / F.col("total"))).withColumn("stat", F.col("links") / F.col("total") - F.col("theta")).drop("e1", "e2")
 
 
-#: Pairs of clusters that are tested on the driver, one row each.
-MOST_PAIRS = 4_000_000
+def compute_partitions(links: DataFrame, qval_cutoff: float = 0.05) -> DataFrame:
+    """(c1, c2, links, num_links, stat, p, p_adj, significant): upper normal tails, Holm over all pairs of the square, as
+    scans on the cluster. num_links is stat / total."""
+    x = link_statistics(links).selectExpr("c1", "c2", "links", "coalesce(stat / nullif(total, 0), stat, 0D) AS num_links", "coalesce(stat, 0D) AS stat", "if(sd > 0, sd, 1e-300D) AS sd")
+    kind = links.schema["c1"].dataType.simpleString()
 
+    def run(batches):
+        for b in batches:
+            stat, sd = (b.column(c).to_numpy(zero_copy_only=False) for c in ("stat", "sd"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("c1", "c2", "links", "num_links", "stat")), pa.array(stats.normal_upper(stat, 0.0, sd), pa.float64())], names=["c1", "c2", "links", "num_links", "stat", "p"])
 
-def compute_partitions(links: DataFrame, qval_cutoff: float = 0.05) -> DataFrame:
-    """(c1, c2, links, num_links, stat, p, p_adj, significant): upper normal tails, Holm over all pairs of the square. The
-    table has one row per pair of clusters, and is worked on the driver. num_links is stat / total."""
-    x = link_statistics(links)
-    rows = sorted(few(x, MOST_PAIRS, "pairs of clusters"), key=lambda r: (r.c1, r.c2))
-    p = stats.normal_upper([r["stat"] or 0.0 for r in rows], 0.0, [r["sd"] or 1e-300 for r in rows])
-    adj = stats.holm(p)
-    kind = dict(links.dtypes)["c1"]
-    out = [(r.c1, r.c2, float(r.links), float((r["stat"] or 0.0) / (r.total or 1.0)), float(r["stat"] or 0.0), float(p[i]), float(adj[i]), bool(adj[i] <= qval_cutoff)) for i, r in enumerate(rows)]
-    return links.sparkSession.createDataFrame(out, f"c1 {kind}, c2 {kind}, links double, num_links double, stat double, p double, p_adj double, significant boolean")
+    tested = materialized(x.mapInArrow(run, f"c1 {kind}, c2 {kind}, links double, num_links double, stat double, p double"), "tested")
+    return stats.adjusted(tested, "p", ["c1", "c2"], stats.holm).withColumn("significant", F.col("p_adj") <= qval_cutoff)
 
 
 def louvain_local(graph: list[dict[int, float]], loops: list[float], seed: int = 1) -> list[int]:
@@ -319,7 +318,7 @@ def prune_snn(snn: DataFrame, knn: DataFrame, groups: DataFrame | None = None, q
 def centroids(coords: DataFrame, groups: DataFrame, median: bool = False) -> DataFrame:
     """(grp, pos, value) of array coordinates: mean or median of each position over a group's samples."""
     long = coords.join(groups.where("grp is not null"), "sample_id").select("grp", F.posexplode(F.col("v").cast("array<double>")).alias("pos", "value"))
-    return long.groupBy("grp", "pos").agg((F.percentile("value", F.lit(0.5)) if median else F.avg("value")).alias("value"))
+    return scans.percentiles(long, ["grp", "pos"], "value", {"value": 0.5}) if median else long.groupBy("grp", "pos").agg(F.avg("value").alias("value"))
 
 
 def centroid_cosine(coords: DataFrame, groups: DataFrame) -> DataFrame:

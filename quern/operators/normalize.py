@@ -90,7 +90,7 @@ def adjust_variance(m: CountMatrix, gam_k: int = 10, max_adj: float = 1e3, min_a
 
 
 def median_depth(m: CountMatrix) -> float:
-    return m.depths().agg(F.percentile("depth", F.lit(0.5))).first()[0] or 0.0
+    return scans.percentiles(m.depths(), [], "depth", {"mid": 0.5}).first()[0] or 0.0
 
 
 def select_features(m: CountMatrix, batch: DataFrame | None = None, n_features: int = 3000, gam_k: int = 10) -> DataFrame:
@@ -113,7 +113,7 @@ def log_rank(m: CountMatrix, raw: CountMatrix) -> DataFrame:
     """Average rank of a sample's stored entries, over the number of features, times the median number of entries."""
     by_value = Window.partitionBy("sample_id").orderBy("value")
     peers = Window.partitionBy("sample_id", "value")
-    mid = raw.entries.groupBy("sample_id").agg(F.count("*").alias("c")).agg(F.percentile("c", F.lit(0.5))).first()[0] or 0.0
+    mid = scans.percentiles(raw.entries.groupBy("sample_id").agg(F.count("*").alias("c")), [], "c", {"mid": 0.5}).first()[0] or 0.0
     return m.entries.withColumn("value", (F.rank().over(by_value) + (F.count("*").over(peers) - 1) / F.lit(2.0)) / F.lit(float(m.n_features())) * F.lit(float(mid)))
 
 

@@ -8,6 +8,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import scans
 from ..model import Embedding
 
 
@@ -19,7 +20,9 @@ def grouped_points(coords: DataFrame, groups: DataFrame, samples: DataFrame | No
 
 def group_medians(points: DataFrame) -> DataFrame:
     """(label, x, y): where a group's name stands."""
-    return points.where("grp is not null").groupBy("grp").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("y", F.lit(0.5)).alias("y")).select(F.col("grp").cast("string").alias("label"), "x", "y")
+    p = points.where("grp is not null")
+    x, y = (scans.percentiles(p, ["grp"], c, {c: 0.5}) for c in ("x", "y"))
+    return x.join(y, "grp").select(F.col("grp").cast("string").alias("label"), "x", "y")
 
 
 def embedding_labels(emb: Embedding, points: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def embedding_labels(emb: Embedding, points: DataFrame) -> DataFrame:
 def clipped_scores(points: DataFrame, scores: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(sample_id, x, y, score): scores clipped to quantiles and min-maxed; null scores stay null; to be drawn in rising
     order of score."""
-    q = scores.where("score is not null").agg(F.percentile("score", F.lit(low)).alias("lo"), F.percentile("score", F.lit(high)).alias("hi"))
+    q = scans.percentiles(scores, [], "score", {"lo": low, "hi": high})
     c = points.join(scores, "sample_id", "left").crossJoin(F.broadcast(q))
     v = F.least(F.greatest("score", "lo"), "hi")
     unit = F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.when(F.col("score").isNotNull(), F.lit(0.0)))

@@ -109,7 +109,7 @@ def read_genesets(spark: SparkSession, path: str) -> DataFrame:
     """(geneset, members) of a GMT file: name with underscores for spaces, a description that is left out, members. A line
     without members is dropped."""
     p = F.split("value", "\t")
-    return spark.read.text(path).select(F.regexp_replace(p[0], " ", "_").alias("geneset"), F.when(F.size(p) > 2, F.slice(p, 3, 1_000_000)).alias("members")).where("members is not null").withColumn("members", F.filter("members", lambda x: x != ""))
+    return spark.read.text(path).select(F.regexp_replace(p[0], " ", "_").alias("geneset"), F.when(F.size(p) > 2, F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0)))).alias("members")).where("members is not null").withColumn("members", F.filter("members", lambda x: x != ""))
 
 
 def write_genesets(genesets: DataFrame, path: str) -> None:

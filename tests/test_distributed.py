@@ -153,3 +153,24 @@ def test_smooth_on_the_cluster(spark):
     assert np.abs(basis @ b - want).max() < 1e-6 and np.sqrt(np.mean((basis @ b - x**3 + x) ** 2)) < 0.1
     res = y - basis @ b
     assert abs(res.sum()) < 1e-6 and abs((res * x).sum()) < 1e-6
+
+
+def test_percentiles(spark, numbers):
+    """Against numpy, with ties, nulls, a null group and values that span partitions."""
+    df = spark.createDataFrame([(g, float(p) if k % 40 else None) for k, g, p in zip(numbers.k, numbers.g, numbers.p)], "g string, p double").repartition(4)
+    t = df.toPandas()
+    got = {r.g: (r.lo, r.mid, r.hi) for r in scans.percentiles(df, ["g"], "p", {"lo": 0.05, "mid": 0.5, "hi": 0.99}).collect()}
+    for g in ("a", "b", None):
+        x = t.p[(t.g == g) if g else t.g.isna()].dropna()
+        assert got[g] == pytest.approx(tuple(np.quantile(x, [0.05, 0.5, 0.99])))
+    assert scans.percentiles(df, [], "p", {"all": 1.0, "least": 0.0}).first().asDict() == {"all": t.p.max(), "least": t.p.min()}
+    assert scans.percentiles(df.limit(0), [], "p", {"mid": 0.5}).first()[0] is None
+
+
+def test_many_members(spark, tmp_path):
+    """A set of more than a million members keeps them all."""
+    from quern.sources.text import read_genesets
+
+    (tmp_path / "sets.gmt").write_text("big set\td\t" + "\t".join(map(str, range(1_000_010))) + "\nnone\td\none\td\ta\n")
+    got = {r.geneset: r.n for r in read_genesets(spark, f"file://{tmp_path}/sets.gmt").select("geneset", F.size("members").alias("n")).collect()}
+    assert got == {"big_set": 1_000_010, "one": 1}
