@@ -468,10 +468,15 @@ def project_coords(spark, d):
     return rounded(embed.project_embedding(emb, new, snn), 6, "x", "y")
 
 
-@query("""SELECT * FROM (VALUES ('factor_1', 1, 'north'), ('factor_2', 2, ''), ('factor_3', 3, 'south'), ('factor_4', 4, ''), ('factor_5', 5, ''), ('factor_6', 6, '')) t(factor, factor_idx, name)""")
+@query("""WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS i, avg(p_size) AS s FROM part GROUP BY 1)
+SELECT 'factor_' || i AS factor, CAST(i AS INTEGER) AS factor_idx, CASE WHEN s > (SELECT avg(p_size) FROM part) THEN p_type ELSE '' END AS name FROM t""")
 def rename_factors(spark, d):
-    m = spark.createDataFrame([("factor_1", "north"), ("factor_3", "south"), ("factor_5", "factor_5")], "old string, new string")
-    return embed.rename_factors(factor_xy(spark), m).select("factor", "factor_idx", "name")
+    """A factor for each part type; those of large parts get the type's name, the others keep theirs and so lose it."""
+    p = table(spark, d, "part")
+    t = dense_index(p.groupBy("p_type").agg(F.avg("p_size").alias("s")), "p_type", "i").crossJoin(F.broadcast(p.agg(F.avg("p_size").alias("mean"))))
+    f = materialized(t.select(F.concat(F.lit("factor_"), F.col("i") + 1).alias("factor"), (F.col("i") + 1).cast("int").alias("factor_idx"), "p_type", "s", "mean"), "factors")
+    mapping = f.select(F.col("factor").alias("old"), F.when(F.col("s") > F.col("mean"), F.col("p_type")).otherwise(F.col("factor")).alias("new"))
+    return embed.rename_factors(f.select("factor", "factor_idx", F.col("factor").alias("name")), mapping).select("factor", "factor_idx", "name")
 
 
 def _regions(spark, d):
@@ -774,12 +779,17 @@ def kl_div(spark, d):
     return n.select("feature_id", "sample_id", F.round(factorize.kl_divergence(F.col("value"), F.log1p("value")), 4).alias("kl"))
 
 
-ERRORS = "er AS (SELECT * FROM (VALUES (2, 10.0, 10.5), (4, 7.0, 9.5), (6, 5.5, 8.7), (8, 5.2, 8.0), (10, 5.0, 7.5)) t(k, err, err_rand))"
+#: Errors by number of factors, with those of a shuffled matrix: quantities by line number against 25 a line.
+ERRORS = "er AS (SELECT l_linenumber AS k, sum(l_quantity) AS err, CAST(count(*) * 25 AS DOUBLE) AS err_rand FROM lineitem GROUP BY 1)"
+
+
+def _errors(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.sum("l_quantity").alias("err"), (F.count("*") * 25).cast("double").alias("err_rand"))
 
 
 @query(f"WITH {ERRORS} SELECT k, round((err - lead(err) OVER (ORDER BY k)) - (err_rand - lead(err_rand) OVER (ORDER BY k)), 6) AS diff FROM er")
 def num_factors_rule(spark, d):
-    e = spark.createDataFrame([(2, 10.0, 10.5), (4, 7.0, 9.5), (6, 5.5, 8.7), (8, 5.2, 8.0), (10, 5.0, 7.5)], "k int, err double, err_rand double")
+    e = _errors(spark, d)
     return factorize.factor_number_table(e).select("k", F.round("diff", 6).alias("diff"))
 
 
@@ -1023,7 +1033,7 @@ def embedding_labels(spark, d):
 
 @query(f"WITH {ERRORS}, l AS (SELECT k, (err - lead(err) OVER (ORDER BY k)) - (err_rand - lead(err_rand) OVER (ORDER BY k)) AS diff FROM er) SELECT k, round(diff, 6) AS diff FROM l WHERE diff IS NOT NULL")
 def factor_selection(spark, d):
-    e = spark.createDataFrame([(2, 10.0, 10.5), (4, 7.0, 9.5), (6, 5.5, 8.7), (8, 5.2, 8.0), (10, 5.0, 7.5)], "k int, err double, err_rand double")
+    e = _errors(spark, d)
     return plotdata.factor_selection(e).select("k", F.round("diff", 6).alias("diff"))
 
 
