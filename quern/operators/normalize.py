@@ -85,7 +85,7 @@ def adjust_variance(m: CountMatrix, gam_k: int = 10, max_adj: float = 1e3, min_a
                     gsf[~np.isfinite(gsf)] = 0
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("feature_id", "m", "v", "nobs")] + [pa.array(x, pa.float64()) for x in (res, lp, qv, gsf)], names=[x.split()[0] for x in schema.split(", ")])
 
-    out = stats.adjusted(t.mapInArrow(run, schema), "lp", ["feature_id"], stats.bh, "lpa")
+    out = stats.adjusted(materialized(t.mapInArrow(run, schema), "tested"), "lp", ["feature_id"], stats.bh, "lpa")
     return out.select("feature_id", "m", "v", "nobs", "res", "lp", "lpa", "qv", "gsf", (F.col("lpa") < q_val).alias("overdispersed"))
 
 
