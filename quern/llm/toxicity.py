@@ -6,18 +6,22 @@ row of symbols (hits, pronouns, negations, verbs of saying, quotes, ...), which
 
   threat    a harmful act counts only with its target after it, or before it with a speaker or a future
   negation  a hit within three words of a negation is negated; a comma or "but" ends that
-  report    a hit in a quotation with a verb of saying before or after it, or after such a verb and a colon or "that"
+  report    a hit in a quotation with a verb of saying before or after it, after such a verb and a colon or "that", after a
+            verb of naming ("called him a ..."), or before a comma and a verb of saying ("..., said the man")
   target    a pronoun within four words before a hit or three after it is its target
   weights   of each hit by its label (insult or threat; reported, negated, targeted or plain) and its word
 
 The best path is the clause's reading, its strongest hit the clause's label. A document's score comes from how many of
 its clauses have which label and from the strongest word: isolated words count only as the reading of their clause says.
-Insult words and stems with their weights, and the weights of labels, are learned from a bounded sample of labelled
-documents: at most SAMPLE_ROWS of each label, by the order of a hash of the id, each under SAMPLE_CHARS characters, never
-held-out rows. Pronouns, negations, verbs and the like are fixed lists in four languages. Scoring reads whole texts.
+Insult words and stems, the words of threats, their weights, and the weights of labels are learned from a bounded sample of
+labelled documents: at most SAMPLE_ROWS of each label, by the order of a hash of the id, each under SAMPLE_CHARS characters,
+never held-out rows. A word of a threat is one that stands where a threat has its verb ("I will ... you", "you will ...") in
+toxic documents and hardly there in others, so "must pay" or "will beat you at chess" is a threat only where labels say so,
+and a threat by a word that no labelled threat holds isn't known. Pronouns, negations, verbs of saying and the like are
+fixed lists in four languages. Scoring reads whole texts.
 
 Defined results: a null or empty text has no clause and gets the score of one without hits; repeated rows get repeated
-results; without usable labels no insult is known and the weights are the priors; other columns are ignored; an empty
+results, and of rows that share an id the sample takes the smallest text; without usable labels no insult is known and the weights are the priors; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -40,6 +44,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 LETTERS = re.compile(r"[^\W\d_]+")
 QUOTES = "\"«»„“”‹›"
 CLAUSE = re.compile(rf"[.!?;\n]+(?![{QUOTES}.!?;\n])")
+MARKS = frozenset(".!?;\n")
+FRAME = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[,.!?;\n]")
 TOKEN = re.compile(rf"[^\W\d_]+(?:['’][^\W\d_]+)*|[{QUOTES}:,]")
 #: Words of a class, in English, German, French and Spanish.
 LISTS = {
@@ -48,11 +54,10 @@ LISTS = {
     "first": "i we i'll i'm we'll ich wir je j'vais nous yo nosotros",
     "will": "will gonna going shall must should werde werden wirst wird vais va allez vas voy va vais",
     "neg": "not no never isn't aren't wasn't don't doesn't didn't won't can't cannot without nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun aucune nunca jamás sin ni tampoco",
-    "report": "said says say saying wrote writes called calls quoted reported reports claimed claims sagte sagt schrieb nannte berichtet dit disait écrit appelé selon rapporte dijo dice escribió llamó según informa",
+    "report": "said says say saying wrote writes quoted reported reports claimed claims sagte sagt schrieb berichtet dit disait écrit selon rapporte dijo dice escribió según informa",
+    "name": "called calls nannte nannten nennt appelé appelle appelait llamó llama llamaron",
     "that": "that dass que qu'il qu'elle",
     "but": "but aber sondern mais pero sino",
-    "harm": "kill murder strangle stab shoot hurt beat destroy crush töten töte umbringen umbringe erschlagen erschlage erwürgen erwürge vernichten vernichte tuer tuerai frapper frapperai étrangler étranglerai détruire détruirai matar mataré golpear golpearé estrangular estrangularé destruir destruiré",
-    "end": "die pay suffer sterben büßen bezahlen mourir payer souffrir morir pagar sufrir morirás pagarás",
 }
 CLASS_OF = {w: c for c, words in LISTS.items() for w in words.split()} | {q: "quote" for q in QUOTES} | {":": "colon", ",": "but"}
 NEGATED, REPORTED, TARGETED = 1, 2, 4
@@ -65,7 +70,7 @@ PRIOR = np.array([-3.0] + [2.0, 5.0, 0.5, 0.5, 5.0, 6.0, 0.5, 0.5] + [0.5] * 8 +
 
 
 def label_of(symbol: Symbol) -> str | None:
-    kind, flags = symbol
+    kind, flags, _ = symbol
     if kind not in ("insult", "threat"):
         return None
     return kind + ("+report" if flags & REPORTED else "+negation" if flags & NEGATED else "+target" if flags & TARGETED else "")
@@ -101,21 +106,32 @@ def negation_transducer(words: int = 3) -> Transducer:
 
 
 def report_transducer(words: int = 5) -> Transducer:
-    """plain; ("said", k): a verb of saying with k more words for a quote, a colon or "that" to come; ("opens", 0): after the
-    colon; "quoted" and "told": inside; "other": inside a quotation of nobody; "later" and ("closed", k): inside one, and
-    after it, that a verb of saying must follow."""
+    """plain; ("said", k): a verb of saying with k more words for a quote, a colon or "that" to come; ("named", k): a verb of
+    naming with k more words for the name; ("opens", 0): after the colon; "quoted" and "told": inside; "other": inside a
+    quotation of nobody; "later" and ("closed", k): inside one, and after it, that a verb of saying must follow; ("before", k)
+    and ("comma", k): after a hit that a comma and such a verb, of another than the speaker, must follow."""
     on = [("plain", None, 0, 0.0)]
-    arcs: dict = {"plain": {"report": [(("said", words), None, 0, 0.0)], "quote": [("other", None, 0, 0.0), ("later", None, 0, 0.0)], "*": on}}
+    says = {"report": [(("said", words), None, 0, 0.0)], "name": [(("named", words - 1), None, 0, 0.0)]}
+    attributed = {c: [(n, None, 0, ATTRIBUTED) for n, _, _, _ in arcs] for c, arcs in says.items()}
+    opened = {"quote": [("quoted", None, 0, 0.0)], "colon": [("opens", None, 0, 0.0)], "that": [("told", None, 0, 0.0)]}
+    guess = {h: [*on, (("before", words), None, REPORTED, 0.0)] for h in HITS}
+    arcs: dict = {"plain": {**says, **guess, "quote": [("other", None, 0, 0.0), ("later", None, 0, 0.0)], "*": on}}
     for k in range(words + 1):
-        off = [(("said", k - 1), None, 0, 0.0)] if k else on
-        arcs[("said", k)] = {"report": [(("said", words), None, 0, 0.0)], "quote": [("quoted", None, 0, 0.0)], "colon": [("opens", None, 0, 0.0)], "that": [("told", None, 0, 0.0)], "*": off}
-        arcs[("closed", k)] = {"report": [(("said", words), None, 0, ATTRIBUTED)], "*": [(("closed", k - 1), None, 0, 0.0)] if k else []}
+        less = k - 1
+        arcs[("said", k)] = {**says, **guess, **opened, "*": [(("said", less), None, 0, 0.0)] if k else on}
+        arcs[("closed", k)] = {**attributed, "*": [(("closed", less), None, 0, 0.0)] if k else []}
+        arcs[("before", k)] = {**{h: [(("before", words), None, REPORTED, 0.0)] for h in HITS}, "but": [(("comma", 2), None, 0, 0.0)], "quote": [], "*": [(("before", less), None, 0, 0.0)] if k else []}
+    for k in range(words):
+        arcs[("named", k)] = {**says, **opened, **{h: [("plain", None, REPORTED, 0.0)] for h in HITS}, "but": on, "*": [(("named", k - 1), None, 0, 0.0)] if k else on}
+    for k in range(3):
+        arcs[("comma", k)] = {**attributed, **dict.fromkeys((*HITS, "first", "quote", "but"), []), "*": [(("comma", k - 1), None, 0, 0.0)] if k else []}
     arcs["opens"] = {"quote": [("quoted", None, 0, 0.0)], **{h: [("told", None, REPORTED, 0.0)] for h in HITS}, "*": [("told", None, 0, 0.0)]}
     arcs["told"] = {h: [("told", None, REPORTED, 0.0)] for h in HITS} | {"but": on, "*": [("told", None, 0, 0.0)]}
     arcs["quoted"] = {h: [("quoted", None, REPORTED, 0.0)] for h in HITS} | {"quote": on, "*": [("quoted", None, 0, 0.0)]}
     arcs["other"] = {"quote": on, "*": [("other", None, 0, 0.0)]}
     arcs["later"] = {h: [("later", None, REPORTED, 0.0)] for h in HITS} | {"quote": [(("closed", words), None, 0, 0.0)], "*": [("later", None, 0, 0.0)]}
-    return Transducer("plain", arcs, frozenset(["later", *(("closed", k) for k in range(words + 1))]))
+    dead = ["later", *((c, k) for c in ("closed", "before") for k in range(words + 1)), *(("comma", k) for k in range(3))]
+    return Transducer("plain", arcs, frozenset(dead))
 
 
 def target_transducer(before: int = 4, after: int = 3) -> Transducer:
@@ -132,13 +148,13 @@ def target_transducer(before: int = 4, after: int = 3) -> Transducer:
 
 
 class Weights:
-    """The last transducer: one state; each hit weighs as its label does."""
+    """The last transducer: one state; each hit weighs as its label does, times the weight of its word."""
 
     start = 0
 
     def step(self, state, symbol: Symbol):
         label = label_of(symbol)
-        return [(0, symbol, STRENGTH[label] if label else 0.0)]
+        return [(0, symbol, STRENGTH[label] * symbol[2] if label else 0.0)]
 
     def final(self, state) -> bool:
         return True
@@ -148,11 +164,23 @@ def grammar():
     return composed(threat_transducer(), negation_transducer(), report_transducer(), target_transducer(), Weights())
 
 
+def telling(bad: Counter, good: Counter, n_bad: int, n_good: int, purity: float, chance: float) -> set:
+    """What stands in toxic documents and hardly in others, in so many that less than `chance` such things are expected among
+    all by luck."""
+    share, many, least = n_bad / (n_bad + n_good), sorted(bad.values(), reverse=True), 3
+    while least <= n_bad and share**least * np.searchsorted([-n for n in many], -least, side="right") > chance:
+        least += 1
+    return {w for w, n in bad.items() if n >= least and good[w] * n_bad <= purity * n * n_good}
+
+
+def log_odds(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """Logarithm of how much more frequent a word is in toxic documents, with half a document added to either side."""
+    return float(np.log((bad + 0.5) / (n_bad + 1) * (n_good + 1) / (good + 0.5)))
+
+
 def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chance: float = 0.05) -> list[tuple[str, bool, float]]:
-    """(stem, whole word only, weight) that stand in toxic documents and hardly in others, in so many that less than `chance`
-    such stems are expected among all by luck. Of a stem and its continuations that stand in nearly as many documents the
-    longest is kept. Its weight is the logarithm of how much more frequent it is in toxic documents, with half a document
-    added to either side."""
+    """(stem, whole word only, weight) of the stems that tell toxic documents from others. Of a stem and its continuations
+    that stand in nearly as many documents the longest is kept. Its weight is its log_odds."""
     bad, good = Counter(), Counter()
     for text, y in zip(texts, toxic):
         found = set()
@@ -161,10 +189,7 @@ def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chan
             found.add(w + "$")
         (bad if y else good).update(found)
     n_bad, n_good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    share, many, least = n_bad / (n_bad + n_good), sorted(bad.values(), reverse=True), 3
-    while least <= n_bad and share**least * np.searchsorted([-n for n in many], -least, side="right") > chance:
-        least += 1
-    pure = {w for w, n in bad.items() if n >= least and good[w] * n_bad <= purity * n * n_good}
+    pure = telling(bad, good, n_bad, n_good, purity, chance)
     longer: dict[str, list[str]] = {}
     for w in pure:
         if not w.endswith("$") and w[:-1] in pure:
@@ -178,28 +203,65 @@ def learned_words(texts: list[str], toxic: list[int], purity: float = 0.02, chan
         while nxt := [x for x in longer.get(stem, []) if bad[x] >= 0.95 * bad[w]]:
             stem = max(nxt, key=lambda x: (bad[x], x))
         chosen.update((w, stem))
-        odds = (bad[stem] + 0.5) / (n_bad + 1) * (n_good + 1) / (good[stem] + 0.5)
-        out.append((stem, bad[stem + "$"] >= 0.95 * bad[stem], float(np.log(odds))))
+        out.append((stem, bad[stem + "$"] >= 0.95 * bad[stem], log_odds(bad[stem], good[stem], n_bad, n_good)))
     return out
 
 
+def threat_frames(text: str, opener: int = 4, target: int = 4, subject: int = 3) -> set[tuple[str, str]]:
+    """(word, class) of the words that stand where a threat has its verb: "harm" within four words after a speaker or a future
+    with "you" in the four words after, "end" with "you" in the three words before. Commas and clauses end a frame."""
+    tokens = FRAME.findall(text.lower())
+    out = set()
+    for at, t in enumerate(tokens):
+        if CLASS_OF.get(t) not in ("first", "will"):
+            continue
+        for k in range(at + 1, min(at + opener + 1, len(tokens))):
+            kind = CLASS_OF.get(tokens[k])
+            if kind == "but" or tokens[k] in MARKS:
+                break
+            if kind is not None:
+                continue
+            for near, frame in ((tokens[k + 1 : k + target + 1], "harm"), (tokens[max(0, k - subject) : k][::-1], "end")):
+                for x in near:
+                    if CLASS_OF.get(x) == "you":
+                        out.add((tokens[k], frame))
+                    if CLASS_OF.get(x) in ("you", "but") or x in MARKS:
+                        break
+    return out
+
+
+def threat_words(texts: list[str], toxic: list[int], purity: float = 0.02, chance: float = 0.05) -> list[tuple[str, str, float]]:
+    """(word, class, weight) of the words of threats, by the rule of `learned_words` but counted in threat_frames only. A word
+    that is both harm and end is harm, which reads either way."""
+    bad, good = Counter(), Counter()
+    for text, y in zip(texts, toxic):
+        (bad if y else good).update(threat_frames(text))
+    n_bad, n_good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    out: dict[str, tuple[str, str, float]] = {}
+    for w, kind in sorted(telling(bad, good, n_bad, n_good, purity, chance), reverse=True):
+        out[w] = (w, kind if w not in out else "harm", log_odds(bad[w, kind], good[w, kind], n_bad, n_good))
+    return [out[w] for w in sorted(out)]
+
+
 class Grammar:
     """The composed transducers behind an automaton that finds where they have something to read."""
 
-    def __init__(self, insults: list[tuple[str, bool, float]]) -> None:
+    def __init__(self, insults: list[tuple[str, bool, float]], threats: list[tuple[str, str, float]] = ()) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for stem, whole, weight in insults:
             self.automaton.add_word(stem, ("insult", stem, whole, weight))
-        for word in (*LISTS["harm"].split(), *LISTS["end"].split()):
+        for word, kind, weight in threats:
             if word not in self.automaton:
-                self.automaton.add_word(word, (CLASS_OF[word], word, True, 0.0))
+                self.automaton.add_word(word, (kind, word, True, weight))
         self.automaton.make_automaton()
         self.machine = grammar()
 
     def hits(self, low: str) -> list[tuple[int, str, float]]:
         """(begin, class, weight) of all matches at word starts; of several at one place the longest."""
+        if not len(self.automaton):
+            return []
         out: dict[int, tuple[int, str, float]] = {}
         for last, (kind, stem, whole, weight) in self.automaton.iter(low):
             a, z = last - len(stem) + 1, last + 1
@@ -214,7 +276,7 @@ class Grammar:
         for m in TOKEN.finditer(low, begin, end):
             found = [h for at in range(m.start(), m.end()) if (h := hits.get(at))] if hits else []
             kind, weight = max(found, key=lambda x: x[0] == "insult") if found else (CLASS_OF.get(m[0], "word"), 0.0)
-            out.append((kind, 0))
+            out.append((kind, 0, round(weight, 1)))
             weights.append(weight)
         return out, weights
 
@@ -276,8 +338,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     ids = first_of_each(drawn(l.groupBy("id").agg(F.max("toxic").alias("toxic")), "toxic", "id", rows).limit(4 * rows).collect(), "toxic", "id", rows)
     few = docs.sparkSession.createDataFrame([(r.id, r.toxic) for r in ids], "id long, toxic int")
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") < SAMPLE_CHARS)
-    got = d.join(F.broadcast(few), "id").select("id", "text", "toxic").limit(4 * rows).collect()
-    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.id, r.text))]
+    got = d.join(F.broadcast(few), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: r.id)]
 
 
 def distinct(rows: list[tuple[str, int]], width: int = 3, sketch: int = 4) -> list[tuple[str, int]]:
@@ -297,25 +359,26 @@ def distinct(rows: list[tuple[str, int]], width: int = 3, sketch: int = 4) -> li
     return out
 
 
-def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool, float]], np.ndarray]:
-    """Words from two thirds of the sample and clause weights from the rest, where words haven't been fitted."""
+def learned(rows: list[tuple[str, int]]) -> tuple[list[tuple[str, bool, float]], np.ndarray, list[tuple[str, str, float]]]:
+    """(insults, clause weights, threats): words from two thirds of the sample for clause weights from the rest, where words
+    haven't been fitted; then words from all."""
     rows = distinct(rows)
-    one = [r for k, r in enumerate(rows) if k % 3]
-    two = [r for k, r in enumerate(rows) if not k % 3]
-    words = learned_words([t for t, _ in one], [y for _, y in one])
+    texts, toxic = [t for t, _ in rows], [y for _, y in rows]
+    one, two = [k for k in range(len(rows)) if k % 3], range(0, len(rows), 3)
     if not two:
-        return words, PRIOR
-    g = Grammar(words)
-    w = fitted(np.array([vector(g.clauses(t)) for t, _ in two]), np.array([y for _, y in two], float))
-    return learned_words([t for t, _ in rows], [y for _, y in rows]), w
+        return [], PRIOR, []
+    some = ([texts[k] for k in one], [toxic[k] for k in one])
+    g = Grammar(learned_words(*some), threat_words(*some))
+    w = fitted(np.array([vector(g.clauses(texts[k])) for k in two]), np.array([toxic[k] for k in two], float))
+    return learned_words(texts, toxic), w, threat_words(texts, toxic)
 
 
-def scored(docs: DataFrame, words: list[tuple[str, bool, float]], weights: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, words: list[tuple[str, bool, float]], weights: np.ndarray, threats: list[tuple[str, str, float]] = ()) -> DataFrame:
     """One row per document: held_out, score, predicted."""
     none = float(1 / (1 + np.exp(-vector([]) @ weights)))
 
     def run(batches):
-        g = Grammar(words)
+        g = Grammar(words, threats)
         for batch in batches:
             for b in pieces(batch):
                 score = []

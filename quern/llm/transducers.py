@@ -1,8 +1,9 @@
 """Small weighted finite-state transducers over the symbols of a clause, their composition, and best paths.
 
-Weights add along a path and the greater is the better (the tropical semiring with its sign turned). A symbol is a class
-and a set of flags; a transducer reads classes, and hands symbols on with flags of its own added or the class changed. It
-may guess what comes later by having several arcs, of which those that guess wrong end in states that aren't final.
+Weights add along a path and the greater is the better (the tropical semiring with its sign turned). A symbol is a class,
+a set of flags and the weight of its word; a transducer reads classes, and hands symbols on with flags of its own added or
+the class changed. It may guess what comes later by having several arcs, of which those that guess wrong end in states that
+aren't final.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: (class, flags)
-Symbol = tuple[str, int]
+#: (class, flags, weight of the word)
+Symbol = tuple[str, int, float]
 #: (next state, symbol handed on, weight)
 Arc = tuple[object, Symbol, float]
 
@@ -30,7 +31,7 @@ class Transducer:
         found = of.get(symbol[0])
         if found is None:
             found = of.get("*", ())
-        return [(n, (symbol[0] if c is None else c, symbol[1] | f), w) for n, c, f, w in found]
+        return [(n, (symbol[0] if c is None else c, symbol[1] | f, symbol[2]), w) for n, c, f, w in found]
 
     def final(self, state) -> bool:
         return state not in self.dead

@@ -375,12 +375,17 @@ def test_toxicity_on_held_out_rows(spark):
     rows = got.join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
     hit, miss, wrong = (sum(r.toxic == t and r.predicted == p for r in rows) for t, p in ((1, 1), (1, 0), (0, 1)))
     assert len(rows) > 100 and hit >= 0.9 * (hit + miss) and wrong <= 0.02 * len(rows), (len(rows), hit, miss, wrong)
+    made = toxicity.learned(toxicity.sample(docs, labels))
+    harmless = spark.createDataFrame(list(enumerate(HARMLESS)), "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.scored(harmless, *made).collect() if r.predicted] == []
     other = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
-    assert toxicity.learned(toxicity.sample(docs, labels))[0] == toxicity.learned(toxicity.sample(docs.selectExpr("doc_id", "text", "'x' as lang", "null as source"), other))[0]
+    again = toxicity.learned(toxicity.sample(docs.selectExpr("doc_id", "text", "'x' as lang", "null as source"), other))
+    assert (made[0], made[2]) == (again[0], again[2])
 
 
 def test_toxic_grammar():
-    g = toxicity.Grammar([("idiot", True, 5.0), ("lowei", False, 4.0)])
+    threats = [(w, "harm", 4.0) for w in ("kill", "töten", "tuer")] + [("die", "end", 4.0)]
+    g = toxicity.Grammar([("idiot", True, 5.0), ("lowei", False, 4.0)], threats)
 
     def read(text):
         return [label for label, _ in g.clauses(text)]
@@ -389,9 +394,10 @@ def test_toxic_grammar():
     assert read("The idiot. A loweisch x!") == ["insult", "insult"]
     assert read("you idiot") == read("such an idiot you are") == read("not an idiot, but you are an idiot") == ["insult+target"]
     assert read("not an idiot") == ["insult+negation"]
-    for text in ('x said "idiot"', 'he said: "you idiot"', '"You idiot!" he said.', "she said that you are an idiot"):
+    for text in ('x said "idiot"', 'he said: "you idiot"', '"You idiot!" he said.', "she said that you are an idiot", "they called him an idiot", "you idiot, said the report", "er nannte ihn idiot"):
         assert read(text) == ["insult+report"], text
-    assert read('"You idiot!" and so on') == ["insult+target"]
+    for text in ('"You idiot!" and so on', "you idiot, I say", "you idiot, come here", "they called him, you idiot", "he called him an idiot, and you are an idiot"):
+        assert read(text) == ["insult+target"], text
     for text in ("I will kill you", "you will die", "ich werde dich töten", "je vais te tuer", "kill all of you"):
         assert read(text) == ["threat+target"], text
     assert read("I will not kill you") == ["threat+negation"]
@@ -399,16 +405,34 @@ def test_toxic_grammar():
     assert read(f"he said that {far} idiot {far}") == ["insult+report"] and read(f"{far} idiot {far} you {far} idiot") == ["insult"]
 
 
+HARMLESS = ["you must pay the rent", "you will pay 20 euro", "I will beat you at chess", "you will die in the last level of this game", "we will destroy the old papers for you",
+    "du musst die Miete bezahlen", "ich werde dich im Schach schlagen", "vous allez payer le loyer", "je vais te battre aux échecs", "vas a pagar el alquiler", "voy a ganarte al ajedrez"]
+
+
+def test_threats_are_learned():
+    """A word of a threat is known by labels only: in the frame of a threat, in toxic documents and not in others."""
+    words = ["stone", "river", "paper", "window", "garden", "letter", "winter", "candle"]
+    fill = [" ".join(words[(k * j) % 8] for j in range(1, 9)) + f" w{k}" for k in range(240)]
+    rows = [(f"{t}. I will zorbel you {k}. I will beat you at chess.", 1) if k % 4 == 0 else (f"{t}. You will frump {k}. The dough, zorbel it.", 1) if k % 4 == 1 else (f"{t}. I will beat you at chess {k}. We zorbel dough.", 0) for k, t in enumerate(fill)]
+    threats = toxicity.threat_words([t for t, _ in rows], [y for _, y in rows])
+    assert {(w, kind) for w, kind, _ in threats} == {("zorbel", "harm"), ("frump", "end")} and all(x > 2 for *_, x in threats)
+    g = toxicity.Grammar([], threats)
+    assert [x for x, _ in g.clauses("I will zorbel you. You shall frump. I will not zorbel you. We zorbel dough.")] == ["threat+target", "threat+target", "threat+negation"]
+    assert toxicity.threat_frames("you will. die") == set() and toxicity.threat_frames("ich werde dich, bei Gott, finden") == set()
+    assert toxicity.threat_words([], []) == [] and toxicity.learned([])[2] == []
+
+
 def test_composition_against_all_paths():
     """The best path of the composition weighs as the best of all chains of paths through the single transducers."""
     from quern.llm import transducers as T
 
+    assert toxicity.label_of(("insult", 0, 1.0)) == "insult" and toxicity.label_of(("harm", 0, 1.0)) is None
     parts = [toxicity.threat_transducer(), toxicity.negation_transducer(), toxicity.report_transducer(), toxicity.target_transducer(), toxicity.Weights()]
     machine = T.composed(*parts)
-    classes = ["insult", "harm", "end", "you", "they", "first", "will", "neg", "report", "that", "quote", "colon", "but", "word"]
+    classes = ["insult", "harm", "end", "you", "they", "first", "will", "neg", "report", "name", "that", "quote", "colon", "but", "word"]
     r = np.random.default_rng(8)
     for _ in range(400):
-        clause = [(str(c), 0) for c in r.choice(classes, int(r.integers(0, 8)))]
+        clause = [(str(c), 0, float(r.integers(1, 4))) for c in r.choice(classes, int(r.integers(0, 8)))]
         chains = [(0.0, tuple(clause))]
         for p in parts:
             chains = [(a + b, out) for a, x in chains for b, out in T.all_paths(p, list(x))]
