@@ -106,19 +106,22 @@ def holm(p) -> np.ndarray:
     return out
 
 
-def adjusted(df: DataFrame, p: str, keys: list[str], method, out: str = "p_adj") -> DataFrame:
-    """The rows with p adjusted by `bh` or `holm` over all of them; a null p stays null and isn't counted. Sorted by range
-    over the cluster; ranks and the running extreme are scans. `keys` tell rows apart and spread equal p."""
+def adjusted(df: DataFrame, p: str, keys: list[str], method, out: str = "p_adj", by: list[str] = ()) -> DataFrame:
+    """The rows with p adjusted by `bh` or `holm` over all of them, or within groups; a null p stays null and isn't counted.
+    Sorted by range over the cluster; ranks and the running extreme are scans. `keys` tell rows apart and spread equal p."""
     from . import scans
 
     if method not in (bh, holm):
         raise ValueError("p-values are adjusted by bh or holm")
-    order = [p, *keys]
+    order = [*by, p, *keys]
     t = materialized(scans.scanned(scans.ranged(df.where(F.col(p).isNotNull()), order), order, F.lit(1), "sum", "__rank"), "p-ranks")
-    m = F.lit(t.count())
-    if method is bh:
-        t = scans.scanned(t, order, F.col(p) * m / F.col("__rank"), "min", out, backwards=True)
+    if by:
+        t = scans.beside(t, t.groupBy(*by).agg((F.min("__rank") - 1).alias("__start"), F.count("*").alias("__m")), [*by])
+        rank, m = F.col("__rank") - F.col("__start"), F.col("__m")
     else:
-        t = scans.scanned(t, order, F.col(p) * (m - F.col("__rank") + 1), "max", out)
-    t = t.withColumn(out, F.least(F.col(out), F.lit(1.0))).drop(scans.PART, "__rank")
+        rank, m = F.col("__rank"), F.lit(t.count())
+    # Groups come one after the other, so an extreme of (group, value) never looks beyond the row's own group.
+    value = F.struct(*by, (F.col(p) * m / rank if method is bh else F.col(p) * (m - rank + 1)).alias("__v"))
+    t = scans.scanned(t, order, value, "min", out, backwards=True) if method is bh else scans.scanned(t, order, value, "max", out)
+    t = t.withColumn(out, F.least(F.col(f"{out}.__v"), F.lit(1.0))).drop(scans.PART, "__rank", "__start", "__m")
     return t.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import linalg, scans
 from ..functions.storage import materialized
 from ..model import CountMatrix, bounded, few
+from .enrichment import run_gsea  # noqa: F401  beside the other annotations
 from .factorize import _check_loss, _completed, gram_of, kl_scores, products, project_samples, solved
 from .groups import flatten_groups, unflatten_groups  # noqa: F401  one import for both kinds of sets
 
@@ -404,54 +405,6 @@ def geneset_loadings(w: DataFrame, weights: DataFrame, genesets: DataFrame) -> D
     return j.groupBy("geneset", (F.col("i") + 1).alias("factor_idx")).agg(F.avg(F.col("x") * F.col("weight")).alias("loading"))
 
 
-def enrichment_score(x: np.ndarray, member: np.ndarray, power: float = 1.0) -> float:
-    """Weighted running-sum statistic of the members among values in falling order: the value farthest from zero, the upper
-    one on ties."""
-    hit = np.where(member, np.abs(x) ** power, 0.0)
-    total, miss = hit.sum(), (~member).sum()
-    if not total or not miss:
-        return 0.0
-    run = np.cumsum(hit) / total - np.cumsum(~member) / miss
-    high, low = max(run.max(), 0.0), min(run.min(), 0.0)
-    return float(high if round(high, 9) >= round(-low, 9) else low)
-
-
-def run_gsea(assoc: DataFrame, genesets: DataFrame, power: float = 1.0, n_rand: int = 1000, seed: int = 1) -> DataFrame:
-    """(factor_idx, geneset, es, p, q): permutation p-values, one group a factor (as many rows as features), q by BH. Without
-    permutations (n_rand = 0) p is 1."""
-    from ..functions.stats import bh
-
-    known = genesets.limit(100_001).collect()
-    if len(known) > 100_000:
-        raise ValueError("more than 100,000 sets for the permutation test")
-    sets = {r.geneset: set(r.members) for r in known}
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["assoc", "feature_id"], ascending=[False, True])
-        x, names = g["assoc"].to_numpy(float), g["feature_id"].tolist()
-        r = np.random.default_rng(seed)
-        rows = []
-        for name in sorted(sets):
-            member = np.array([f in sets[name] for f in names])
-            m = int(member.sum())
-            if not m or m == len(names):
-                continue
-            es = enrichment_score(x, member, power)
-            null = []
-            for _ in range(n_rand):
-                z = np.zeros(len(names), bool)
-                z[r.choice(len(names), m, replace=False)] = True
-                null.append(enrichment_score(x, z, power))
-            null = np.array(null)
-            same = null[null >= 0] if es >= 0 else null[null < 0]
-            rows.append((int(g["factor_idx"].iloc[0]), name, es, float((np.sum(np.abs(same) >= abs(es)) + 1) / (len(same) + 1))))
-        out = pd.DataFrame(rows, columns=["factor_idx", "geneset", "es", "p"])
-        out["q"] = bh(out["p"].to_numpy()) if len(out) else []
-        return out
-
-    return assoc.groupBy("factor_idx").applyInPandas(one, "factor_idx int, geneset string, es double, p double, q double")
-
-
 def select_genesets(m: CountMatrix, h: DataFrame, k: int, genesets: DataFrame, metric: str = "pearson", method: str = "lm", n: int = 5) -> DataFrame:
     """The sets most associated with each factor: project, associate, summarise."""
     names, _, scores = project_genesets(m, genesets, method)
