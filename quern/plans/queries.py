@@ -1050,26 +1050,32 @@ def trajectory_junctions(spark, d):
 
 
 # ---------------------------------------------------------------- files
-def _lines(df, order, path):
-    """One file of the column `value`, in order."""
-    df.coalesce(1).sortWithinPartitions(*order).select("value").write.text(path)
-    return path
-
-
 @query("SELECT 'Brand.' || substr(p_brand, 7) AS feature_id, 's' || o_custkey AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def read_matrix(spark, d):
     """Counts written as a MatrixMarket folder, with the endings that barcodes have, and read back."""
-    l, o, p, c = (table(spark, d, x) for x in ("lineitem", "orders", "part", "customer"))
     at = folder(spark, "matrix")
-    f = spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(p.select("p_brand").distinct().orderBy("p_brand").collect())], "p_brand string, i long")
-    s = c.select(F.col("c_custkey").alias("o_custkey"), F.row_number().over(Window.orderBy("c_custkey")).alias("j"))
-    cells = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "o_custkey").agg(F.sum("l_quantity").cast("long").alias("v")).join(f, "p_brand").join(s, "o_custkey")
-    cells = materialized(cells, "cells")
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general", -2, 0), (f"{f.count()} {s.count()} {cells.count()}", -1, 0)], "value string, j long, i long")
-    _lines(head.unionByName(cells.select(F.concat_ws(" ", "i", "j", "v").alias("value"), "j", "i")), ["j", "i"], f"{at}/matrix.mtx")
-    _lines(f.select(F.concat_ws("\t", F.col("i").cast("string"), F.concat(F.lit("Brand."), F.substring("p_brand", 7, 9))).alias("value"), "i"), ["i"], f"{at}/features.tsv")
-    _lines(s.select(F.concat(F.lit("s"), F.col("o_custkey"), F.lit("-1")).alias("value"), "j"), ["j"], f"{at}/barcodes.tsv")
-    return text.read_data(spark, at).entries.withColumn("sample_id", F.regexp_replace("sample_id", r"\.1$", ""))
+    text.write_matrix_dir(_brand_counts(spark, d, F.concat(F.lit("Brand."), F.substring("p_brand", 7, 9))), at)
+    return text.read_data(spark, at).entries
+
+
+def _brand_counts(spark, d, name) -> CountMatrix:
+    """Quantities by a name of the part's brand and customers' barcodes."""
+    l, o, p, c = (table(spark, d, x) for x in ("lineitem", "orders", "part", "customer"))
+    code = lambda key: F.concat(F.lit("s"), key, F.lit("-1")).alias("sample_id")
+    e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(name.alias("feature_id"), code("o_custkey")).agg(F.sum("l_quantity").alias("value"))
+    return CountMatrix(e, p.select(name.alias("feature_id")).distinct(), c.select(code("c_custkey")))
+
+
+@query("""SELECT 'Brand.' || substr(p_brand, 7) AS feature_id, 's' || o_custkey AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON c_custkey = o_custkey
+WHERE substr(p_brand, 7, 1) NOT IN ('1', '2') AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2""")
+def read_species(spark, d):
+    """A matrix of two species' features and a table of calls, written and read back as those of one."""
+    at, calls = folder(spark, "matrix"), folder(spark, "calls")
+    name = F.concat(F.when(F.substring("p_brand", 7, 1).isin("1", "2"), "mm10_Brand.").otherwise("hg19_Brand."), F.substring("p_brand", 7, 9))
+    text.write_matrix_dir(_brand_counts(spark, d, name), at)
+    c = table(spark, d, "customer")
+    c.select(F.concat(F.lit("s"), "c_custkey", F.lit("-1")).alias("barcode"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "mm10").otherwise("hg19").alias("call")).write.csv(calls, header=True)
+    return text.read_10x_species(spark, at, calls).entries
 
 
 @query("SELECT p_brand AS feature_id, p_type AS sample_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
@@ -1078,7 +1084,7 @@ def read_wide(spark, d):
     types = [r[0] for r in p.select("p_type").distinct().orderBy("p_type").collect()]
     wide = groups.unflatten_dataframe(table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_type").agg(F.sum("l_quantity").alias("q")), "q", "p_brand", "p_type", types).na.fill(0.0)
     at = f"{folder(spark, 'wide')}/table.tsv"
-    wide.coalesce(1).write.csv(at, sep="\t", header=True, quote="")
+    wide.write.csv(at, sep="\t", header=True, quote="")
     return text.read_wide(spark, at).entries
 
 

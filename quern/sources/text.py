@@ -47,14 +47,20 @@ def _found(spark: SparkSession, folder: str, *names: str) -> str:
     raise FileNotFoundError(f"none of {names} in {folder}")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): the lines of a file, or of a folder's files in the order of their names, and a place that sorts as they
+    stand. Files are read as they are split, in any order of tasks."""
+    t = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start")
+    return t.select("value", F.struct("file_name", "file_block_start", F.monotonically_increasing_id().alias("k")).alias("at"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) in the order of the file. A text file is read as it is split; lines are numbered by range."""
-    t = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return dense_index(t, "at", "line").select((F.col("line") + 1).alias("line"), "value")
+    """(line, value) in the order of the file, or of a folder's files by name. Lines are numbered by range."""
+    return dense_index(_placed(spark, path), "at", "line").select((F.col("line") + 1).alias("line"), "value")
 
 
 def read_matrix_dir(spark: SparkSession, folder: str) -> CountMatrix:
-    """MatrixMarket counts with barcodes and features beside them, gzip preferred. Names: the second field of features, made
+    """MatrixMarket counts with barcodes and features beside them, gzip preferred, each a file or a folder of files. Names: the second field of features, made
     unique; barcodes without -1 if all end so, as syntactic names."""
     mtx = _found(spark, folder, "matrix.mtx")
     bar, feat = _found(spark, folder, "barcodes.tsv"), _found(spark, folder, "features.tsv", "genes.tsv")
@@ -64,16 +70,46 @@ def read_matrix_dir(spark: SparkSession, folder: str) -> CountMatrix:
     if not b.where(~F.col("sample_id").rlike("-1$")).limit(1).count():
         b = b.withColumn("sample_id", F.regexp_replace("sample_id", "-.*$", ""))
     b = b.withColumn("sample_id", make_names(F.col("sample_id")))
-    t = spark.read.text(mtx).withColumn("at", F.monotonically_increasing_id()).where("value not like '\\%%'")
+    t = _placed(spark, mtx).where("value not like '\\%%'")
     head, at = t.agg(F.min_by("value", "at"), F.min("at")).first()
+    if head is None:
+        raise ValueError(f"{mtx} has no line of its size")
     size = tuple(int(x) for x in head.split())
-    cells = t.where(F.col("at") > at).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].cast("long").alias("i"), F.col("p")[1].cast("long").alias("j"), F.col("p")[2].cast("double").alias("value"))
+    cells = t.where(F.col("at") > F.struct(*(F.lit(x).alias(n) for n, x in at.asDict().items()))).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].cast("long").alias("i"), F.col("p")[1].cast("long").alias("j"), F.col("p")[2].cast("double").alias("value"))
     m = CountMatrix.of(cells.join(features.withColumnRenamed("line", "i"), "i").join(b.withColumnRenamed("line", "j"), "j"), features.select("feature_id"), b.select("sample_id"))
     if size[0] != features.count() or size[1] != b.count():
         raise ValueError(f"the matrix is {size[0]} x {size[1]}, its names are not")
     return m
 
 
+def _ordered(df: DataFrame, order: list[str], path: str) -> None:
+    """The column `value` as text files, whose lines are in order when the files are taken by name."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
+def write_matrix_dir(m: CountMatrix, path: str) -> None:
+    """A new folder with matrix.mtx, features.tsv and barcodes.tsv as folders of text files, each written by many tasks. Taken
+    by name their lines are in order (cells by sample, then feature, behind the line of the size), so the files of a folder
+    put together are the plain format; read_matrix_dir reads them as they are. Null names and names with a tab or a line end
+    are an error; entries of a name outside the matrix, and zeros, aren't written; repeated entries are written as they are."""
+    names = {"features.tsv": ("feature_id", m.features), "barcodes.tsv": ("sample_id", m.samples)}
+    held = {}
+    for file, (key, df) in names.items():
+        d = df.select(F.col(key).cast("string").alias(key)).distinct()
+        if d.where(F.col(key).isNull() | F.col(key).rlike("[\t\r\n]")).limit(1).count():
+            raise ValueError(f"null, a tab or a line end in {key}")
+        held[key] = materialized(dense_index(d, key, "n"), "names")
+        line = F.col(key) if key == "sample_id" else F.concat_ws("\t", key, key)
+        _ordered(held[key].select("n", line.alias("value")), ["n"], f"{path}/{file}")
+    f, s = (held[k].select(k, (F.col("n") + 1).alias(n)) for k, n in (("feature_id", "i"), ("sample_id", "j")))
+    e = m.entries.where("value != 0").select(F.col("feature_id").cast("string").alias("feature_id"), F.col("sample_id").cast("string").alias("sample_id"), F.col("value").cast("double").alias("value"))
+    cells = materialized(e.join(bounded(f), "feature_id").join(bounded(s), "sample_id").select("j", "i", F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")).alias("value")), "cells")
+    size = f"{f.count()} {s.count()} {cells.count()}"
+    head = m.entries.sparkSession.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate real general"), (-1, 0, size)], "j long, i long, value string")
+    _ordered(head.unionByName(cells), ["j", "i"], f"{path}/matrix.mtx")
+
+
 def read_wide(spark: SparkSession, path: str, sep: str = "\t") -> CountMatrix:
     """A table with sample names in the header and feature names in the first column; zeros are not stored."""
     t = spark.read.csv(path, sep=sep, header=True, quote="")
@@ -113,8 +149,8 @@ def read_genesets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_genesets(genesets: DataFrame, path: str) -> None:
-    """GMT with the name also as description."""
-    genesets.orderBy("geneset").select(F.concat_ws("\t", "geneset", "geneset", F.array_join("members", "\t")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """GMT with the name also as description: a folder of files whose lines, taken by name, are in order."""
+    genesets.orderBy("geneset").select(F.concat_ws("\t", "geneset", "geneset", F.array_join("members", "\t")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_groups(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -124,5 +160,5 @@ def read_groups(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
-    """group,"a, b, c" by line."""
-    groups.orderBy("grp").select(F.concat(F.col("grp"), F.lit(',"'), F.array_join("members", ", "), F.lit('"')).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """group,"a, b, c" by line: a folder of files whose lines, taken by name, are in order."""
+    groups.orderBy("grp").select(F.concat(F.col("grp"), F.lit(',"'), F.array_join("members", ", "), F.lit('"')).alias("value")).write.mode("overwrite").text(path)
