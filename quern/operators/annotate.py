@@ -204,14 +204,19 @@ def information_matrix(h: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def numbers(m: CountMatrix) -> CountMatrix:
+    """The matrix with null and NaN values as zeros; their features stay."""
+    v = F.col("value").cast("double")
+    return m.with_entries(m.entries.withColumn("value", F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)))
+
+
 def associate_ic_passes(m: CountMatrix, h: DataFrame, k: int, features: int = 2000) -> DataFrame:
     """As associate_ic for any number of samples: bandwidths from distances in bins, then kernel sums on the grid. Only
     stored entries are visited with their sample's scores; the block of zeros is the kernel at zero times what the sum over
     all samples has beyond the stored ones. Features are taken by their hash, about `features` at a time."""
+    m = numbers(m)
     h = materialized(h.select("sample_id", "h"), "scores")
     e = materialized(m.entries.join(h, "sample_id").select("feature_id", "sample_id", F.col("value").cast("double").alias("value"), "h"), "scored")
-    if e.where("value is null or isnan(value)").limit(1).count():
-        raise ValueError("values must be numbers")
     s = score_summaries(h, k)
     names = materialized(m.entries.select("feature_id").distinct(), "features")
     kind = dict(m.entries.dtypes)["feature_id"]
@@ -304,8 +309,9 @@ def _ic_part(e: DataFrame, h: DataFrame, k: int, s: dict, kind: str) -> DataFram
 
 
 def associate_ic(m: CountMatrix, h: DataFrame, k: int, most: int = 2_000_000) -> DataFrame:
-    """Information coefficients of every feature with every factor; absent entries are zeros. Up to `most`
+    """Information coefficients of every feature with every factor; absent entries, nulls and NaN are zeros. Up to `most`
     numbers the scores are the broadcast side and a feature's stored entries one group; beyond, passes sum the kernels."""
+    m = numbers(m)
     if h.limit(most // max(k, 1) + 1).count() * k > most:
         return associate_ic_passes(m, h, k)
     rows = h.orderBy("sample_id").collect()

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from quern.functions import stats
-from quern.operators import enrichment
+from quern.model import CountMatrix
+from quern.operators import annotate, enrichment
 
 
 def plain(x, member):
@@ -86,3 +87,21 @@ def test_adjusted_within_groups(spark):
             mine = [(k, p) for h, k, p in rows if h == g]
             assert [got[k] for k, _ in mine] == pytest.approx(method([p for _, p in mine]))
         assert got[999] is None
+
+
+def test_ic_with_nulls_on_both_ways(spark):
+    """The scores in memory and the passes over them agree, a null or NaN value being a zero on either."""
+    r = np.random.default_rng(6)
+    h = spark.createDataFrame([(k, [float(x) for x in r.random(2)]) for k in range(60)], "sample_id long, h array<double>")
+    cells = [(f"f{f}", k, float(r.integers(1, 9))) for f in range(3) for k in range(60) if r.random() < 0.6]
+    holes = [(a, k, None if n % 7 == 0 else float("nan") if n % 7 == 1 else v) for n, (a, k, v) in enumerate(cells)] + [("hollow", 1, None)]
+    schema = "feature_id string, sample_id long, value double"
+    got = []
+    for rows in (holes, [(a, k, v if v == v and v is not None else 0.0) for a, k, v in holes]):
+        e = spark.createDataFrame(rows, schema)
+        m = CountMatrix(e, e.select("feature_id").distinct(), h.select("sample_id"))
+        for most in (1_000_000, 119):
+            got.append({(a.feature_id, a.factor_idx): a.assoc for a in annotate.associate_ic(m, h, 2, most).collect()})
+    assert len(got[0]) == 8 and all(x.keys() == got[0].keys() for x in got)
+    for x in got[1:]:
+        assert all(x[k] == pytest.approx(got[0][k], abs=1e-6) for k in x), (x, got[0])
