@@ -7,6 +7,7 @@ The number of features times k is bounded and checked; samples are not.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,24 +146,52 @@ def signs(u: np.ndarray) -> np.ndarray:
     return u * np.where(s == 0, 1, s)
 
 
-def truncated_svd(pk: Packed, k: int, center: bool = True, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature vectors p x k, singular values, feature means), by subspace iteration; one pass each round."""
+def krylov(apply, p: int, k: int, width: int, rounds: int, tol: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(k largest eigenvalues, vectors p x k, norms of their residuals, passes) of a symmetric nonnegative p x p matrix that
+    `apply` multiplies a block with. Block Lanczos with full orthogonalisation: each round adds the residuals of the leading
+    vectors that aren't there yet; beyond 6 * width columns (fewer, to 3, where those would be more than MAX_CELLS numbers) it
+    restarts thick, from the leading vectors. It ends when all k residuals are at most tol times the largest eigenvalue, or after `rounds` passes."""
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, width)))[0]
+    v, z = np.zeros((p, 0)), np.zeros((p, 0))
+    most = width * max(3, min(6, MAX_CELLS // (p * width)))
+    for done in range(1, rounds + 1):
+        v, z = np.hstack([v, q]), np.hstack([z, apply(q)])
+        t = v.T @ z
+        values, s = np.linalg.eigh((t + t.T) / 2)
+        lead = np.argsort(-values)[: max(width, k)]
+        values, u, au = values[lead], v @ s[:, lead], z @ s[:, lead]
+        rest = au - u * values
+        norms, top = np.linalg.norm(rest, axis=0), max(values[0], 1e-300)
+        if (norms[:k] <= tol * top).all() or v.shape[1] >= p:
+            break
+        if v.shape[1] + width > most:
+            v, z = u, au
+        new = rest[:, norms > tol * top / 10]
+        new = new / np.linalg.norm(new, axis=0)
+        for _ in range(2):
+            new = new - v @ (v.T @ new)
+        left, size, _ = np.linalg.svd(new, full_matrices=False)
+        q = left[:, size > 1e-10][:, : p - v.shape[1]]
+        q = np.linalg.qr(q - v @ (v.T @ q))[0]
+        if not q.shape[1]:
+            break
+    return values[:k], u[:, :k], norms[:k], done
+
+
+def truncated_svd(pk: Packed, k: int, center: bool = True, rounds: int = 60, seed: int = 1, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature vectors p x k, singular values, feature means) by `krylov` on the features' products; one pass each round. It
+    warns where some residual is above the bound after all rounds."""
     k = max(1, min(k, pk.p, pk.n))
-    r = min(pk.p, k + 8)
     mu = means(pk) if center else np.zeros(pk.p)
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(pk.p, r)))[0]
-    last = None
-    for _ in range(rounds):
-        z = summed(pk, lambda x, q=q: (x.across(x @ q), None), r)[0] - pk.n * np.outer(mu, mu @ q)
-        t = q.T @ z
-        values, vectors = np.linalg.eigh((t + t.T) / 2)
-        order = np.argsort(-values)
-        values, u = values[order], q @ vectors[:, order]
-        q = np.linalg.qr(z)[0]
-        if last is not None and np.allclose(values[:k], last, rtol=1e-8, atol=1e-10 * max(values[0], 1e-300)):
-            break
-        last = values[:k]
-    return signs(u[:, :k]), np.sqrt(np.maximum(values[:k], 0)), mu
+
+    def apply(q: np.ndarray) -> np.ndarray:
+        return summed(pk, lambda x, q=q: (x.across(x @ q), None), q.shape[1])[0] - pk.n * np.outer(mu, mu @ q)
+
+    values, u, norms, done = krylov(apply, pk.p, k, min(pk.p, k + 8), rounds, tol, seed)
+    worst = float(norms.max()) / max(values[0], 1e-300)
+    if worst > tol and done >= rounds:
+        warnings.warn(f"singular vectors have residuals of up to {worst:.1e} after {done} passes", stacklevel=2)
+    return signs(u), np.sqrt(np.maximum(values, 0)), mu
 
 
 def pca(pk: Packed, k: int, scaled: bool = False, seed: int = 1) -> DataFrame:
