@@ -47,6 +47,33 @@ def test_cells_visited_on_clusters(spark):
     assert exact.count() == 5 * 2000 and exact.agg(F.sum("dist")).first()[0] == pytest.approx(graph.nearest(p, p, 5, True).agg(F.sum("dist")).first()[0], rel=1e-12)
 
 
+def test_a_query_travels_once_for_each_part(spark, monkeypatch):
+    """Points without clusters: all cells are in reach, but a query goes to the few parts that they are put together to."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 150)
+    p = points(spark, np.random.default_rng(8).normal(size=(400, 12)))
+    index = neighbours.Cells(p, 40)
+    index.placed(p)
+    sent = neighbours.due(p.withColumn("bound", F.lit(100.0)), index, 5, False).groupBy("sample_id").count().agg(F.max("count")).first()[0]
+    assert sent == index.all <= 5
+    assert {(g.query_id, g.rank, g.point_id) for g in neighbours.nearest_by_cells(p, p, 5, True, 40).collect()} == plain_knn(np.array([r.v for r in p.orderBy("sample_id").collect()]), 5)
+
+
+def test_copies_beyond_k_are_left_out():
+    """Of equal rows only the first by rank can be neighbours; other rows stay."""
+    y = np.r_[np.ones((50, 3)), np.arange(12.0).reshape(4, 3)]
+    rank = np.random.default_rng(1).permutation(len(y))
+    kept = neighbours.early_copies(y, rank, 4)
+    assert kept[50:].all() and set(np.flatnonzero(kept[:50])) == set(np.argsort(rank[:50])[:4])
+
+
+def test_graphs_find_neighbours_once(spark):
+    """Links and their statistics read neighbours several times; they are found before, not in each of these plans."""
+    p = points(spark, np.random.default_rng(3).normal(size=(60, 4)))
+    g = spark.createDataFrame([(i, i % 3) for i in range(60)], "sample_id long, grp int")
+    links = graph.link_statistics(graph.cluster_links(graph.calc_knn(p, 5), g))
+    assert links.count() == 9 and "MapInArrow" not in links._jdf.queryExecution().toString()
+
+
 def test_method(spark):
     p = points(spark, np.random.default_rng(1).normal(size=(40, 3)))
     one, two, three = (sorted(map(tuple, graph.calc_knn(p, 5, m).collect())) for m in (None, "cells", "blocks"))
@@ -174,3 +201,23 @@ def test_many_members(spark, tmp_path):
     (tmp_path / "sets.gmt").write_text("big set\td\t" + "\t".join(map(str, range(1_000_010))) + "\nnone\td\none\td\ta\n")
     got = {r.geneset: r.n for r in read_genesets(spark, f"file://{tmp_path}/sets.gmt").select("geneset", F.size("members").alias("n")).collect()}
     assert got == {"big_set": 1_000_010, "one": 1}
+
+
+@pytest.mark.parametrize("rows", [None, 40])
+def test_silhouettes_by_parts(spark, rows):
+    """Against plain widths: clusters cut into parts, one of a single sample, equal points, a sample without a cluster."""
+    from quern.operators import evaluate
+
+    r = np.random.default_rng(9)
+    x = np.r_[r.normal(size=(70, 5)), 1000 + r.normal(size=(60, 5)), np.tile(7.0, (20, 5)), [[3.0] * 5]]
+    grp = [*("ab"[i % 2] for i in range(70)), *("c" * 60), *("d" * 20), "e"]
+    of = spark.createDataFrame([*enumerate(grp), (900, None)], "sample_id long, grp string")
+    p = points(spark, x).unionByName(spark.createDataFrame([(900, [0.0] * 5)], "sample_id long, v array<double>"))
+    got = {g.sample_id: g.width for g in evaluate.silhouette(p, of, rows).collect()}
+    d, names = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.array(grp)
+    for i in range(len(x)):
+        n = (names == grp[i]).sum()
+        a = d[i, names == grp[i]].sum() / (n - 1) if n > 1 else None
+        b = min(d[i, names == o].mean() for o in "abcde" if o != grp[i])
+        assert got[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b), abs=1e-9)
+    assert len(got) == len(x)
