@@ -132,29 +132,37 @@ def kl_scores(x: linalg.Rows, w: np.ndarray, alpha: tuple[float, float, float] =
 
 def run_nmf(m: CountMatrix, k: int, alpha: tuple[float, float, float] = (0.0, 0.0, 0.0), init: str = "ica", loss: str = "mse", max_iter: int = 500, ica_fast: bool = False, tol: float = 1e-4, seed: int = 1, pk: linalg.Packed | None = None) -> Factorization:
     """A ~ W H with W, H >= 0. Each round solves H exactly for W and then W for H, so the error never rises; it ends when
-    the error falls by less than `tol` of itself, or after max_iter rounds."""
+    the error falls by less than `tol` of itself, or after max_iter rounds. A factor that no sample uses would stay zero: once,
+    it starts again from what the others leave of the features' sums."""
     _check(m, k, init, loss)
     return _factorized(linalg.packed(m) if pk is None else pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed)
 
 
 def _factorized(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed) -> Factorization:
     cells = max(1, pk.p * pk.n)
-    s = linalg.summed(pk, lambda x: (None, np.array([x.val.sum(), (x.val * x.val).sum()])), 1, 2)[1]
+    sums, s = linalg.summed(pk, lambda x: (np.bincount(x.idx, x.val, x.p)[:, None], np.array([x.val.sum(), (x.val * x.val).sum()])), 1, 2)
     w = _start(pk, k, init, ica_fast, seed, s[0] / cells)
     errors: list[float] = []
+    again: set[int] = set()
     for _ in range(max_iter):
+        lost: list[int] = []
         if loss == "mse":
             gram = w.T @ w
 
             def visit(x, w=w, gram=gram):
                 b = x @ w
                 h = linalg.nnls(gram, b, alpha=alpha)
-                return x.across(h), np.concatenate([(h.T @ h).reshape(-1), [(h * b).sum()]])
+                return x.across(h), np.concatenate([(h.T @ h).reshape(-1), [(h * b).sum()], h.sum(axis=0)])
 
-            b, more = linalg.summed(pk, visit, k, k * k + 1)
-            hh = more[:-1].reshape(k, k)
-            errors.append(float((s[1] - 2 * more[-1] + (gram * hh).sum()) / cells))
+            b, more = linalg.summed(pk, visit, k, k * k + 1 + k)
+            hh = more[: k * k].reshape(k, k)
+            errors.append(float((s[1] - 2 * more[k * k] + (gram * hh).sum()) / cells))
+            rest = np.maximum(sums[:, 0] - w @ more[-k:], 0)
             w = linalg.nnls(hh, b, alpha=alpha)
+            lost = [j for j in np.flatnonzero(~w.any(axis=0)).tolist() if j not in again][:1] if rest.max(initial=0) > 1e-9 * sums.max(initial=0) else []
+            for j in lost:
+                w[:, j] = rest / np.linalg.norm(rest)
+                again.add(j)
         else:
             total = w.sum(axis=0)
 
@@ -167,7 +175,7 @@ def _factorized(pk, k, alpha, init, loss, max_iter, ica_fast, tol, seed) -> Fact
             b, more = linalg.summed(pk, visit, k, k + 1)
             errors.append(float(more[-1] / cells))
             w = w * b / np.maximum(more[:-1] + penalty(w, alpha), 1e-300)
-        if len(errors) > 1 and abs(errors[-2] - errors[-1]) <= tol * max(abs(errors[-2]), 1e-300):
+        if not lost and len(errors) > 1 and abs(errors[-2] - errors[-1]) <= tol * max(abs(errors[-2]), 1e-300):
             break
     gram = w.T @ w
     solve = (lambda x: linalg.nnls(gram, x @ w, alpha=alpha)) if loss == "mse" else (lambda x: kl_scores(x, w, alpha))

@@ -376,3 +376,19 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(ValueError):
         storage.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn")), "x")
+
+
+def test_lost_factors_start_again(spark, monkeypatch):
+    """A start with two equal columns leaves one factor unused and a block of the matrix without any."""
+    import numpy as np
+
+    from quern.model import CountMatrix
+    from quern.operators import factorize
+
+    cells = [(f"f{i}", j, float((i + 1) * (j % 5 + 1))) for i in range(9) for j in range(30) if i % 3 == j % 3]
+    m = CountMatrix.of(spark.createDataFrame(cells, "feature_id string, sample_id long, value double"))
+    at = np.arange(9)
+    start = np.column_stack([at % 3 == 0, at % 3 == 0, at % 3 == 1]) * (at + 1.0)[:, None]
+    monkeypatch.setattr(factorize, "_start", lambda *a: start.copy())
+    fit = factorize.run_nmf(m, 3, tol=1e-9)
+    assert fit.errors[-1] < 1e-9 * fit.errors[0] and all(b <= a + 1e-9 for a, b in zip(fit.errors, fit.errors[1:]))
