@@ -7,8 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from ..model import bounded
 
 
+#: Members that one row of a nested table holds.
+MEMBERS = 10_000
+
+
+def nest_groups(flat: DataFrame) -> DataFrame:
+    """(sample_id, grp) -> (grp, members) with several rows for a group of many, dealt by a hash, so that no row grows with the
+    table."""
+    share = F.pmod(F.xxhash64("sample_id"), F.lit(max(1, -(-flat.count() // MEMBERS))))
+    return flat.groupBy("grp", share.alias("__share")).agg(F.collect_list("sample_id").alias("members")).select("grp", "members")
+
+
 def flatten_groups(nested: DataFrame) -> DataFrame:
-    """(grp, members) -> (sample_id, grp), without samples that are in more than one group."""
+    """(grp, members) -> (sample_id, grp), without samples that are in more than one group. A group may have several rows."""
     long = nested.select("grp", F.explode("members").alias("sample_id")).distinct()
     return long.groupBy("sample_id").agg(F.count("*").alias("n"), F.first("grp").alias("grp")).where("n = 1").select("sample_id", "grp")
 

@@ -634,8 +634,8 @@ def check_gene_embedding(spark, d):
 # ---------------------------------------------------------------- groups
 @query("WITH m AS (SELECT DISTINCT l_returnflag AS grp, l_orderkey AS sample_id FROM lineitem) SELECT sample_id, any_value(grp) AS grp FROM m GROUP BY 1 HAVING count(*) = 1")
 def flatten_groups(spark, d):
-    o = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_orderkey").alias("s")).distinct()
-    return groups.flatten_groups(o.groupBy("grp").agg(F.collect_list("s").alias("members")))
+    o = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_orderkey").alias("sample_id")).distinct()
+    return groups.flatten_groups(groups.nest_groups(o))
 
 
 @query("SELECT c_mktsegment AS grp, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS members FROM customer GROUP BY 1")

@@ -221,3 +221,14 @@ def test_silhouettes_by_parts(spark, rows):
         b = min(d[i, names == o].mean() for o in "abcde" if o != grp[i])
         assert got[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b), abs=1e-9)
     assert len(got) == len(x)
+
+
+def test_nested_rows_are_bounded(spark, monkeypatch):
+    """A group of many members is several rows, and flat again it is whole."""
+    from quern.operators import groups
+
+    monkeypatch.setattr(groups, "MEMBERS", 100)
+    flat = spark.range(2000).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 1900, "a").otherwise("b").alias("grp"))
+    nested = groups.nest_groups(flat)
+    assert nested.agg(F.max(F.size("members"))).first()[0] < 200
+    assert sorted(map(tuple, groups.flatten_groups(nested).collect())) == sorted(map(tuple, flat.collect()))
