@@ -232,3 +232,19 @@ def test_nested_rows_are_bounded(spark, monkeypatch):
     nested = groups.nest_groups(flat)
     assert nested.agg(F.max(F.size("members"))).first()[0] < 200
     assert sorted(map(tuple, groups.flatten_groups(nested).collect())) == sorted(map(tuple, flat.collect()))
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_trajectories_without_a_distinct(spark, monkeypatch, several):
+    """Steps cut into packs, junctions given twice, turned, within a path and of a step with itself: against plain pairs. No pair
+    is made twice where samples are in one step only."""
+    from quern.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "STEP_ROWS", 4)
+    meta = [(i, "ab"[i % 2], i // 2 % 5) for i in range(90)] + ([(3, "a", 0), (4, "b", 4)] if several else [])
+    jun = [("a", 4, "b", 0), ("b", 0, "a", 4), ("a", 4, "b", 0), ("a", 1, "a", 2), ("b", 2, "b", 2), ("a", 0, "a", 3)]
+    got = evaluate.trajectory_graph(spark.createDataFrame(meta, "sample_id long, grp string, step long"), spark.createDataFrame(jun, "grp_a string, step_a long, grp_b string, step_b long"))
+    want = {(min(i, j), max(i, j)) for i, g, s in meta for j, h, t in meta if (g == h and abs(s - t) <= 1 and i != j) or (g, s, h, t) in jun}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert several or "aggregate(keys=[src" not in got._jdf.queryExecution().toString().lower()
