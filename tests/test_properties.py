@@ -392,3 +392,23 @@ def test_lost_factors_start_again(spark, monkeypatch):
     monkeypatch.setattr(factorize, "_start", lambda *a: start.copy())
     fit = factorize.run_nmf(m, 3, tol=1e-9)
     assert fit.errors[-1] < 1e-9 * fit.errors[0] and all(b <= a + 1e-9 for a, b in zip(fit.errors, fit.errors[1:]))
+
+
+def test_kl_scores_dense_and_gathered(monkeypatch):
+    """Filled rows go the dense way, with the scores of the other one."""
+    import numpy as np
+
+    from quern.functions import linalg
+    from quern.operators import factorize
+
+    r = np.random.default_rng(2)
+    counts = r.integers(0, 12, 40)
+    idx = np.concatenate([np.sort(r.choice(20, c, replace=False)) for c in counts]).astype(np.int32)
+    x, w = linalg.Rows(idx, r.random(len(idx)) + 0.1, counts, 20), r.random((20, 3))
+    seen = []
+    plain = linalg.Rows.products
+    monkeypatch.setattr(linalg.Rows, "products", lambda *a: seen.append(1) or plain(*a))
+    dense = factorize.kl_scores(x, w)
+    assert not seen
+    monkeypatch.setattr(factorize, "DENSE", 0)
+    assert np.allclose(dense, factorize.kl_scores(x, w), rtol=1e-10, atol=0) and seen
