@@ -74,6 +74,32 @@ def test_graphs_find_neighbours_once(spark):
     assert links.count() == 9 and "MapInArrow" not in links._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("hub", [1000, 9])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shared_neighbours_travel_packed(spark, monkeypatch, hub, kind):
+    """Pairs with a neighbour in common are counted from lists that are sent to one of the two; no aggregate of pairs, the same
+    weights."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = np.random.default_rng(9)
+    sets = {i: {0, i, *map(int, r.integers(0, 60, 3))} for i in range(60)}
+    got = graph.shared_neighbours(spark.createDataFrame([(i, j) for i, s in sets.items() for j in s], "src long, dst long").selectExpr(f"cast(src as {kind}) src", f"cast(dst as {kind}) dst"), 5, 0.15)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "count(1) AS s" not in plan
+    want = {(i, j): 1.0 if i == j else len(a & b) / (10 - len(a & b)) for i, a in sets.items() for j, b in sets.items()}
+    rows = got.collect()
+    assert {(int(x.src), int(x.dst)): x.weight for x in rows} == {x: w for x, w in want.items() if w >= 0.15 or x[0] == x[1]} and len(rows) == len({(x.src, x.dst) for x in rows})
+
+
+def test_single_precision_travels_as_such(spark):
+    """Numbers that are single precision go as that, if all are; the rows are those of doubles."""
+    x = np.random.default_rng(4).normal(size=(80, 6)).astype(np.float32)
+    one, two = points(spark, x), points(spark, x.astype(float) + 1e-9)
+    assert [y.schema["v"].dataType.simpleString() for y in neighbours.narrowed(one, one)] == ["array<float>"] * 2
+    assert [y.schema["v"].dataType.simpleString() for y in neighbours.narrowed(one, two)] == ["array<double>"] * 2
+    for method in ("cells", "blocks"):
+        assert {(g.query_id, g.rank, g.point_id) for g in graph.neighbours(one, one, 7, True, method).collect()} == plain_knn(x.astype(float), 7)
+
+
 def test_method(spark):
     p = points(spark, np.random.default_rng(1).normal(size=(40, 3)))
     one, two, three = (sorted(map(tuple, graph.calc_knn(p, 5, m).collect())) for m in (None, "cells", "blocks"))
