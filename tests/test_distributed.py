@@ -274,3 +274,34 @@ def test_trajectories_without_a_distinct(spark, monkeypatch, several):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert several or "aggregate(keys=[src" not in got._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.parametrize("method", ["cells", "blocks"])
+def test_copies_meet_as_one(spark, monkeypatch, method):
+    """Queries and points that are copies meet once for each distinct vector; rows are those of all pairs, with ties by id."""
+    r, met, dealt = np.random.default_rng(11), [], neighbours.dealt
+    x = r.permutation(np.r_[np.tile(r.integers(0, 3, (20, 2)), (30, 1)), r.integers(0, 30, (40, 2)), [[90, 0]]]).astype(float)
+    distinct = len(np.unique(x, axis=0))
+
+    def seen(points, queries, *rest):
+        met.append((points.count(), queries.count()))
+        return dealt(points, queries, *rest)
+
+    monkeypatch.setattr(neighbours, "dealt", seen)
+    p = points(spark, x)
+    got = [(g.query_id, g["rank"], g.point_id) for g in graph.neighbours(p, p, 7, True, method).collect()]
+    assert len(got) == 7 * len(x) and set(got) == plain_knn(x, 7)
+    assert met and all(a <= distinct and b <= distinct for a, b in met)
+    # other queries than the points, one of them far from all
+    d = np.sqrt(((x[::3, None] - x[None]) ** 2).sum(2))
+    want = {(3 * i, n + 1, int(j)) for i in range(len(d)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:45])}
+    assert {(g.query_id, g["rank"], g.point_id) for g in graph.neighbours(p.where("sample_id % 3 = 0"), p, 45, method=method).collect()} == want
+
+
+def test_no_links_between_clusters(spark):
+    """Clusters without a link between them: nothing is divided by their sum, no pair is significant, no link is dropped."""
+    knn = spark.createDataFrame([(i, j) for c in (0, 3) for i in range(c, c + 3) for j in range(c, c + 3)], "src long, dst long")
+    groups = spark.createDataFrame([(i, i // 3) for i in range(6)], "sample_id long, grp int")
+    pairs, _ = graph.build_paga(knn, groups)
+    assert [(r.links, r.stat, r.significant) for r in pairs.collect()] == [(0.0, 0.0, False)] * 4
+    assert graph.prune_snn(graph.shared_neighbours(knn, 3), knn, groups).count() == 18
