@@ -298,6 +298,12 @@ def test_copies_meet_as_one(spark, monkeypatch, method):
     assert {(g.query_id, g["rank"], g.point_id) for g in graph.neighbours(p.where("sample_id % 3 = 0"), p, 45, method=method).collect()} == want
 
 
+def test_points_are_sent_once_a_core(spark):
+    """The number of tasks that a part's points go to stays where it is as queries become more."""
+    assert neighbours.shares_for(spark, 1, 10**5) == neighbours.shares_for(spark, 1, 10**8) == spark.sparkContext.defaultParallelism
+    assert neighbours.shares_for(spark, 3, 10**8) <= 1 + spark.sparkContext.defaultParallelism // 3
+
+
 def test_no_links_between_clusters(spark):
     """Clusters without a link between them: nothing is divided by their sum, no pair is significant, no link is dropped."""
     knn = spark.createDataFrame([(i, j) for c in (0, 3) for i in range(c, c + 3) for j in range(c, c + 3)], "src long, dst long")
