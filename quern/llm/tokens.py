@@ -179,10 +179,14 @@ class Wavelet:
         return x
 
 
+#: Units of one text for the library, and texts of a call: more of them no longer fit the processor's caches.
+JOINED, CALLED = 200, 8
+
+
 class Encoder:
-    """Ids of units by the tokenizers library. Units go to it many in one text, with line ends between them; those that hold
-    a line end or have white space at an end (but for one space before) go each for itself, as do special tokens, which the
-    library tells from text wherever they stand in it."""
+    """Ids of units by the tokenizers library. Units go to it many in one text, with line ends between them; those that have
+    white space at an end (but for one space before) or beside a line end go each for itself, as do special tokens, which the
+    library tells from text wherever they stand in it. A line end without white space beside it is one id of its own."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -197,7 +201,7 @@ class Encoder:
 
     def joinable(self, unit: str) -> bool:
         t = unit[1:] if unit[:1] == " " else unit
-        return bool(t) and unit not in self.special and not t[0].isspace() and not t[-1].isspace() and "\n" not in t
+        return unit not in self.special and all(x and not x[0].isspace() and not x[-1].isspace() for x in (t.split("\n") if "\n" in t else (t,)))
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units, where each unit's end)."""
@@ -206,15 +210,17 @@ class Encoder:
         sizes = np.zeros(len(texts), np.int64)
         found = [np.zeros(0, np.uint32)]  # ids of the joined units, then of the others
         together, alone = np.flatnonzero(fit), np.flatnonzero(~fit)
-        for a in range(0, len(together), 16_000):
-            some = [together[k : k + 2000] for k in range(a, min(a + 16_000, len(together)), 2000)]
+        lines = np.fromiter((t.count("\n") for t in texts), np.int64, len(texts))
+        for a in range(0, len(together), JOINED * CALLED):
+            some = [together[k : k + JOINED] for k in range(a, min(a + JOINED * CALLED, len(together)), JOINED)]
             for group, e in zip(some, self.t.encode_batch_fast(["\n".join([texts[k] for k in g.tolist()]) for g in some], add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
-                ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-                if len(ends) != len(group):
+                at, last = np.append(np.flatnonzero(ids == self.line_end), len(ids)), np.cumsum(lines[group] + 1) - 1
+                if len(at) != last[-1] + 1:
                     raise ValueError("units ran together")
+                ends = at[last]
                 sizes[group] = np.diff(ends, prepend=-1) - 1
-                found.append(ids[ids != self.line_end])
+                found.append(np.delete(ids, ends[:-1]))
         for a in range(0, len(alone), 2000):
             some = alone[a : a + 2000]
             for k, e in zip(some.tolist(), self.t.encode_batch_fast([texts[k] for k in some.tolist()], add_special_tokens=False)):
