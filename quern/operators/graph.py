@@ -125,18 +125,20 @@ def project_snn(test: DataFrame, train: DataFrame, k: int = 30, k_scale: int = 1
     if k * k_scale >= n - 1:
         raise ValueError("k * k_scale must be under the number of train samples less one")
     far = neighbours(test, train, k * k_scale, method=None if method == "lsh" else method)
-    mine = far.where(F.col("rank") <= k - 1).select(F.col("query_id").alias("test_id"), F.col("point_id").alias("dst"))
+    near = far.select(F.col("query_id").alias("test_id"), "point_id", F.lit(True).alias("far"), (F.col("rank") <= k - 1).alias("mine"))
     if compat:
         from .ranking import dense_index
 
         at = dense_index(test.select("sample_id"), "sample_id", "i").select(F.col("sample_id").alias("test_id"), "i")
-        names = dense_index(train.select("sample_id"), "sample_id", "i").select(F.col("sample_id").alias("dst"), "i")
-        mine = mine.unionByName(at.join(names, "i").select("test_id", "dst")).distinct()
-    nn = calc_knn(train, k, method).select(F.col("src").alias("train_id"), "dst")
-    sizes = mine.groupBy("test_id").agg(F.count("*").alias("a"))
-    shared = far.select(F.col("query_id").alias("test_id"), F.col("point_id").alias("train_id")).join(mine, "test_id").join(nn, ["train_id", "dst"]).groupBy("test_id", "train_id").agg(F.count("*").alias("s"))
+        names = dense_index(train.select("sample_id"), "sample_id", "i").select(F.col("sample_id").alias("point_id"), "i")
+        near = near.unionByName(at.join(names, "i").select("test_id", "point_id", F.lit(False).alias("far"), F.lit(True).alias("mine")))
+    # a test sample's neighbours travel once to each of its train samples, as a list that meets the list there
+    taken = lambda x: F.when(F.col(x), F.col("point_id"))
+    sent = near.groupBy("test_id").agg(F.collect_list(taken("far")).alias("far"), F.collect_set(taken("mine")).alias("mine")).select("test_id", "mine", F.explode("far").alias("train_id"))
+    nn = calc_knn(train, k, method).groupBy(F.col("src").alias("train_id")).agg(F.collect_list("dst").alias("nn"))
+    met = sent.join(nn, "train_id").select("test_id", "train_id", F.size("mine").alias("a"), F.size(F.array_intersect("mine", "nn")).alias("s")).where("s > 0")
     w = F.col("s") / (F.col("a") + F.lit(float(k)) - F.col("s"))
-    return shared.join(sizes, "test_id").select("test_id", "train_id", w.alias("weight")).where(F.col("weight") > prune)
+    return met.select("test_id", "train_id", w.alias("weight")).where(F.col("weight") > prune)
 
 
 def project_snn_counts(test: CountMatrix, train: CountMatrix, n_pcs: int | None = None, k: int = 30, k_scale: int = 10, prune: float = 1 / 15, compat: bool = False) -> DataFrame:
