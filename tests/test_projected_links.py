@@ -39,3 +39,22 @@ def test_links_of_new_samples(spark, compat):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     pairs = [line for line in plan.splitlines() if "Join" in line and ("train_id" in line or "test_id" in line)]
     assert len(pairs) == 1, plan
+
+
+def test_copies_have_one_set_of_links(spark, monkeypatch):
+    """New samples that are copies: links are found for one of them, and all have them."""
+    r = random.Random(9)
+    train = {i: [float(r.randint(0, 3)), float(r.randint(0, 3))] for i in range(120)}
+    test = {1000 + i: [float(i % 5), -0.0 if i % 2 else 0.0] for i in range(40)}
+    a, b = (spark.createDataFrame(list(x.items()), "sample_id long, v array<double>") for x in (test, train))
+    asked, find = [], graph.neighbours
+
+    def seen(queries, points, *rest, **more):
+        asked.append((queries is points, queries.count()))
+        return find(queries, points, *rest, **more)
+
+    monkeypatch.setattr(graph, "neighbours", seen)
+    got = {(x.test_id, x.train_id): x.weight for x in graph.project_snn(a, b, 6, 4).collect()}
+    want = by_hand(test, train, 6, 4, 1 / 15, False)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert asked == [(False, 5), (True, 120)]
