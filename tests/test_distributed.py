@@ -311,3 +311,28 @@ def test_no_links_between_clusters(spark):
     pairs, _ = graph.build_paga(knn, groups)
     assert [(r.links, r.stat, r.significant) for r in pairs.collect()] == [(0.0, 0.0, False)] * 4
     assert graph.prune_snn(graph.shared_neighbours(knn, 3), knn, groups).count() == 18
+
+
+@pytest.mark.parametrize("exp", [1.0, 0.5])
+def test_twins_are_one_class(spark, exp):
+    """Copies make few links: the graph of classes stands for all pairs, pruned and averaged as they are, with samples left out."""
+    from quern.operators import embed
+
+    r = np.random.default_rng(12)
+    x = r.permutation(np.r_[np.tile(r.integers(0, 3, (6, 2)), (25, 1)), r.integers(0, 30, (30, 2))]).astype(float)
+    knn = graph.calc_knn(points(spark, x), 6).localCheckpoint()
+    groups = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(len(x))], "sample_id long, grp int")
+    pairs = spark.createDataFrame([(a, b, 1.0 if {a, b} == {0, 1} else 0.0) for a in range(3) for b in range(3)], "c1 int, c2 int, p_adj double")
+    for prune, paga in ((1 / 20, False), (0.6, False), (0.9, False), (1 / 20, True)):
+        g = graph.twinned(knn, 6, prune, groups if paga else None)
+        whole = graph.shared_neighbours(knn, 6, prune)
+        if paga:
+            g, whole = type(g)(graph.prune_with(g.links, groups, pairs), g.members), graph.prune_with(whole, groups, pairs)
+        want = {(a.src, a.dst): a.weight for a in whole.collect()}
+        got = g.pairs().collect()
+        assert len(got) == len(want) and {(a.src, a.dst): a.weight for a in got} == want
+        assert g.members.count() == len(x)
+        assert prune > 0.5 or g.links.count() < len(want) / 2
+        h = spark.createDataFrame([(i, [float(v) for v in r.random(3)] if i % 11 else [0.0] * 3) for i in range(len(x))], "sample_id long, h array<double>")
+        a, b = ({y.sample_id: (y.x, y.y) for y in embed.embed_samples(h, 3, e, 1.25, exp, 3).samples.collect()} for e in (g, whole))
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
