@@ -1,5 +1,7 @@
 """Indexes, scans, communities and smooths that work on the cluster, against plain Python."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -274,6 +276,9 @@ def test_trajectories_without_a_distinct(spark, monkeypatch, several):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert several or "aggregate(keys=[src" not in got._jdf.queryExecution().toString().lower()
+    # the two explodes are two steps: a task holds what one sample becomes, not what a pack of samples does
+    steps = [x.split()[0] for x in re.findall(r"(Generate explode|Coalesce)\b", got._jdf.queryExecution().sparkPlan().toString())]
+    assert "-".join(steps).count("Generate-Coalesce-Generate") == 1
 
 
 @pytest.mark.parametrize("method", ["cells", "blocks"])
