@@ -58,3 +58,21 @@ def test_copies_have_one_set_of_links(spark, monkeypatch):
     want = by_hand(test, train, 6, 4, 1 / 15, False)
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
     assert asked == [(False, 5), (True, 120)]
+
+
+def test_places_of_copies(spark):
+    """New samples that share links are placed as if each had its own; one has no place of its own, one no links."""
+    from quern.model import Embedding
+    from quern.operators import embed
+
+    factors = spark.createDataFrame([("a", 1, 0.0, 0.0, ""), ("b", 2, 1.0, 0.0, ""), ("c", 3, 0.0, 1.0, "")], "factor string, factor_idx int, x double, y double, name string")
+    emb = Embedding(factors, spark.createDataFrame([(i, i / 7, 1 - i / 9) for i in range(6)], "sample_id long, x double, y double"))
+    h = spark.createDataFrame([(10, [1.0, 2.0, 0.0]), (11, [0.0, 0.0, 0.0]), (12, [0.0, 1.0, 3.0]), (13, [1.0, 1.0, 1.0]), (14, [0.0] * 3)], "sample_id long, h array<double>")
+    links = spark.createDataFrame([(10, 1, 0.5), (10, 2, 0.2), (10, 5, 1.0), (12, 0, 0.1)], "test_id long, train_id long, weight double")
+    copies = spark.createDataFrame([(10, 10), (11, 10), (12, 12), (13, 10), (14, 14)], "sample_id long, test_id long")
+    whole = links.join(copies, "test_id").select("sample_id", "train_id", "weight").withColumnRenamed("sample_id", "test_id")
+    a, b = ({r.sample_id: (r.x, r.y) for r in embed.project_embedding(emb, h, e, 1.25, 0.5, 3, c).collect()} for e, c in ((links, copies), (whole, None)))
+    assert a == b and a[14] == (None, None) and set(a) == set(range(10, 15))
+    w = [0.5**0.5, 0.2**0.5, 1.0]
+    assert abs(a[11][0] - sum(x * i / 7 for x, i in zip(w, (1, 2, 5))) / (1 + sum(w))) < 1e-12
+    assert abs(a[10][0] - (2**1.25 / (1 + 2**1.25) + sum(x * i / 7 for x, i in zip(w, (1, 2, 5)))) / (1 + sum(w))) < 1e-12
